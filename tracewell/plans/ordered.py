@@ -69,6 +69,12 @@ def next_known(value: Column, include_current: bool = False) -> Running:
     return Running("known", value, include_current, backward=True)
 
 
+def text_place(text: Column) -> Column:
+    """Number that sorts like the first seven bytes of a text, to range it by."""
+    head = F.rpad(F.substring(F.hex(text.cast("binary")), 1, 14), 14, "0")
+    return F.conv(head, 16, 10).cast("long")
+
+
 def _same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 

@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-AUDIT_EVENT = T.StructType.fromDDL(
+_TYPES = {
+    "string": T.StringType(),
+    "bigint": T.LongType(),
+    "int": T.IntegerType(),
+    "double": T.DoubleType(),
+    "boolean": T.BooleanType(),
+}
+
+
+def struct(ddl: str) -> T.StructType:
+    """Schema from ``name type`` pairs, without a running session."""
+    pairs = [p.split() for p in ddl.replace("`", "").split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
+
+AUDIT_EVENT = struct(
     """
     v string, seq_global bigint, ts_ms bigint, type string, actor string, session_id string,
     seq_session bigint, timestamp_ms bigint, capture_id bigint, capture_session_uuid string,
@@ -24,12 +38,12 @@ AUDIT_EVENT = T.StructType.fromDDL(
     """
 )
 
-MANIFEST = T.StructType.fromDDL(
+MANIFEST = struct(
     "path string, bytes bigint, seq_start bigint, seq_end bigint, first_hash string, "
     "last_hash string, file_sha256 string, generated_at string"
 )
 
-SAMPLE = T.StructType.fromDDL(
+SAMPLE = struct(
     """
     experiment_id string, environment_id string, iteration int, concurrency int,
     virtual_user_id string, journey_id string, step_id string, phase string,
