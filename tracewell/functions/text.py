@@ -171,8 +171,84 @@ def atomic_inputs(data: Column) -> Column:
     )
 
 
-# Names of single control characters in key markers.
-KEY_PATTERN = r"\x1b\[[0-9;?]*[A-Za-z~]|\x1bO[A-Za-z]|\x1b|\r\n|\r|\n|\t|[\x08\x7f]|[^\x00-\x1f\x7f]+"
+KEY_TOKENS = r"\x1b\[[A-Za-z]|\x1b\[|\x1b|[\r\n]|\t|[^\x1b\r\n\t]+"
+
+
+def key_events(text: Column) -> Column:
+    """Typed text and control keys of an input, in order, as an array."""
+
+    def name(token: Column) -> Column:
+        return (
+            F.when(token.isin("\r", "\n"), "{KEY:ENTER}")
+            .when(token == "\t", "{KEY:TAB}")
+            .when(token.rlike(r"\A\x1b\[[A-Za-z]\z"), F.concat(F.lit("{KEY:"), F.substring(token, 3, 1), F.lit("}")))
+            .when(token.startswith("\x1b"), "{KEY:ESC}")
+            .otherwise(token)
+        )
+
+    return F.transform(F.regexp_extract_all(text, F.lit(KEY_TOKENS), F.lit(0)), name)
+
+
+PLACEHOLDER = r"(?U)\{\{(\w+)(?:\.(\w+))?\}\}"
+
+
+def render_template(template: Column, values: Column) -> Column:
+    """Fill ``{{entity.field}}`` and ``{{field}}`` from a map with upper-case keys.
+
+    Keys are FIELD or ENTITY.FIELD; an unknown placeholder stays as it is.
+    """
+    marks = F.regexp_extract_all(template, F.lit(PLACEHOLDER), F.lit(0))
+    gaps = F.split(template, PLACEHOLDER, -1)
+
+    def value(mark: Column) -> Column:
+        path = F.upper(F.regexp_extract(mark, r"\{\{(.+)\}\}", 1))
+        return F.coalesce(
+            F.try_element_at(values, path), F.try_element_at(values, F.substring_index(path, ".", -1)), mark
+        )
+
+    body = F.zip_with(F.slice(gaps, F.lit(1), F.size(marks)), F.transform(marks, value), lambda g, v: F.concat(g, v))
+    return F.concat(F.array_join(body, ""), F.element_at(gaps, -1))
+
+
+def template_entities(template: Column) -> Column:
+    """Sorted first names of the placeholders of a template."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(template, F.lit(PLACEHOLDER), F.lit(1))))
+
+
+def decode_bytes(data: Column, encoding: Column) -> Column:
+    """Text of a byte string by its charset (utf-8, latin-1, cp850, cp437, windows-1252)."""
+    high = "".join(chr(c) for c in range(128, 256))
+    latin = F.decode(data, "ISO-8859-1")
+    out = F.make_valid_utf8(data.cast("string"))
+    for name, codec in (("cp850", "cp850"), ("cp437", "cp437"), ("windows-1252", "cp1252")):
+        table = bytes(range(128, 256)).decode(codec, errors="replace")
+        out = F.when(encoding == name, F.translate(latin, high, table)).otherwise(out)
+    return F.when(encoding.isin("iso-8859-1", "latin1"), latin).otherwise(out)
+
+
+# Accepted charset names and what they stand for.
+CHARSETS = {
+    "utf-8": "utf-8", "utf8": "utf-8", "ascii": "utf-8", "cp850": "cp850", "ibm850": "cp850", "850": "cp850",
+    "cp437": "cp437", "ibm437": "cp437", "437": "cp437", "iso-8859-1": "iso-8859-1", "latin-1": "iso-8859-1",
+    "latin1": "latin1", "cp1252": "windows-1252", "windows-1252": "windows-1252", "1252": "windows-1252",
+}
+
+
+def normalize_charset(name: Column) -> Column:
+    clean = F.lower(F.trim(name))
+    out = F.lit("utf-8")
+    for given, meant in CHARSETS.items():
+        out = F.when(clean == given, meant).otherwise(out)
+    return out
+
+
+# the start of a character whose last bytes are missing, as hex at the end of a chunk
+_OPEN_CHARACTER = r"(?:C[2-9A-F]|D[0-9A-F]|E[0-9A-F](?:[89AB][0-9A-F])?|F[0-4](?:[89AB][0-9A-F]){0,2})$"
+
+
+def open_tail(data: Column) -> Column:
+    """Bytes at the end of a UTF-8 chunk that begin a character continued in the next one."""
+    return F.unhex(F.regexp_extract(F.hex(data), _OPEN_CHARACTER, 0))
 
 
 def similarity(left: Column, right: Column) -> Column:

@@ -74,7 +74,7 @@ def summarize_sessions(events: DataFrame, keys: tuple[str, ...] = ("session_id",
     typ, direction, seq = F.col("type"), F.col("dir"), F.col("seq_global")
     is_start = typ == "session_start"
     size = F.coalesce(F.col("n"), F.lit(0))
-    text = F.decode(F.unbase64("data_b64"), "UTF-8")
+    text = F.make_valid_utf8(F.expr("try_to_binary(data_b64, 'base64')").cast("string"))
     out_text = F.when((typ == "bytes") & (direction == "out") & (text != ""), F.substring(text, 1, 240))
     sig = F.when(typ == "checkpoint", _filled("sig"))
 
