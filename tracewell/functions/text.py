@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tracewell.functions.similarity import block_ratio
+
 # Box-drawing characters and their plain forms.
 BOX_CHARACTERS = "─━│┃┌┏┐┓└┗┘┛├┣┤┫┬┳┴┻┼╋═║╔╗╚╝╠╣╦╩╬"
 BOX_PLAIN = "--||" + "+" * 18 + "=|" + "+" * 9
@@ -48,9 +50,10 @@ def normalize_whitespace(text: Column) -> Column:
     Works on the whole text with two replacements, so its cost stays linear.
     """
     trimmed = F.regexp_replace(unify_newlines(text), r"(?U)[^\S\n]+(?=\n|\z)", "")
-    # blank lines at the start: n line ends mean n blank lines; elsewhere n - 1
-    head = F.regexp_replace(trimmed, r"\A\n{2,}", "\n")
-    return F.regexp_replace(head, r"(?<=[^\n])\n{3,}", "\n\n")
+    # a run of n line ends is n blank lines at either end of the text, n - 1 inside it
+    inside = F.regexp_replace(trimmed, r"(?<=[^\n])\n{3,}(?=[^\n])", "\n\n")
+    ends = F.regexp_replace(inside, r"\A\n{2,}|\n{2,}\z", "\n")
+    return F.when(ends.rlike(r"\A\n*\z"), "").otherwise(ends)
 
 
 def normalize_screen(text: Column) -> Column:
@@ -253,18 +256,4 @@ def open_tail(data: Column) -> Column:
 
 def similarity(left: Column, right: Column) -> Column:
     """Ratio of matching blocks (2·M / T); equal texts never reach Python."""
-    return F.when(left == right, F.lit(1.0)).otherwise(_ratio(left, right))
-
-
-def _ratio(left: Column, right: Column) -> Column:
-    import pandas as pd
-
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
-
-        return pd.Series(
-            [1.0 if x == y else SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype="float64"
-        )
-
-    return ratio(left, right)
+    return F.when(left == right, F.lit(1.0)).otherwise(block_ratio(left, right))

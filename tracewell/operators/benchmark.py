@@ -26,18 +26,13 @@ class DegradationLimits:
 
 def latency_statistics(samples: DataFrame, keys: list[str], value: str = "latency_ms") -> DataFrame:
     """n, mean, exact percentiles, maximum, population deviation, cv and normal 95 % interval."""
-    base = samples.groupBy(*keys).agg(
-        F.count(value).alias("n"),
-        F.avg(value).alias("mean"),
-        F.max(value).alias("max"),
-        F.stddev_pop(value).alias("stdev"),
-    )
-    ranks = exact_percentiles(samples, keys, value, PERCENTILES)
-    on = None
-    for k in keys:
-        test = base[k].eqNullSafe(ranks[k])
-        on = test if on is None else on & test
-    joined = base.join(ranks, on).select(*[base[k] for k in keys], "n", "mean", *PERCENTILES, "max", "stdev")
+    moments = {
+        "n": F.count(value),
+        "mean": F.avg(value),
+        "max": F.max(value),
+        "stdev": F.stddev_pop(value),
+    }
+    joined = exact_percentiles(samples, keys, value, PERCENTILES, moments)
     margin = F.col("stdev") * 1.96 / F.sqrt("n")
     return joined.select(
         "*",
@@ -87,14 +82,14 @@ def load_ladder(samples: DataFrame, keys: list[str]) -> DataFrame:
     by = [*keys, "concurrency"]
     done = samples.where(F.col("run_status") == "COMPLETED")
     seconds = F.greatest(F.lit(1e-9), (F.col("last_ns") - F.col("first_ns")) / 1e9)
-    levels = done.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(~F.col("success") | F.col("timeout")).alias("bad"),
-        F.min("started_ns").alias("first_ns"),
-        F.max("finished_ns").alias("last_ns"),
-    )
-    ranks = exact_percentiles(done, by, "latency_ms", {"p95_ms": 0.95, "p99_ms": 0.99})
-    return levels.join(ranks, by).select(
+    facts = {
+        "total": F.count(F.lit(1)),
+        "bad": F.count_if(~F.col("success") | F.col("timeout")),
+        "first_ns": F.min("started_ns"),
+        "last_ns": F.max("finished_ns"),
+    }
+    levels = exact_percentiles(done, by, "latency_ms", {"p95_ms": 0.95, "p99_ms": 0.99}, facts)
+    return levels.select(
         *by,
         (F.col("total") / seconds).alias("tps"),
         "p95_ms",
@@ -170,14 +165,15 @@ def downgrade_transients(samples: DataFrame, keys: list[str], order: list[str])
     then text divergences whose next checked step matched (late screen).
     """
     diverged = F.coalesce("functional_divergence", F.lit(False))
+    hot = ordered.hot_keys(samples, keys, order[0])
     ahead = ordered.scan(
-        samples, keys, order,
+        samples, keys, order, hot,
         __next_ok=ordered.lead(F.col("screen_sig_checked") & ~diverged),
     )
     skew = diverged & (F.col("screen_check_kind") == "sig") & F.coalesce("__next_ok", F.lit(False))
     first = ahead.withColumn("segmentation_skew", skew).withColumn("functional_divergence", diverged & ~skew)
     later = ordered.scan(
-        first.drop("__next_ok"), keys, order,
+        first.drop("__next_ok"), keys, order, hot,
         __next_checked=ordered.next_known(F.when(F.col("screen_sig_checked"), F.col("functional_divergence"))),
     )
     lag = (
@@ -223,11 +219,12 @@ def replay_steps(events: DataFrame, quiet_ms: int = 300, reach: int = 8) -> Data
     ``quiet_ms`` old; ``lag_window`` lists the inputs up to ``reach`` before and after.
     """
     out_ts = F.when((F.col("type") == "bytes") & (F.col("dir") == "out"), F.col("ts_ms"))
+    hot = ordered.hot_keys(events, ["session_id"], "seq_global")
     timed = ordered.scan(
-        events, ["session_id"], ["seq_global"], last_out=ordered.running_max(out_ts, include_current=False)
+        events, ["session_id"], ["seq_global"], hot, last_out=ordered.running_max(out_ts, include_current=False)
     ).where(F.col("type") == "deterministic_input")
     placed = ordered.scan(
-        timed, ["session_id"], ["seq_global"], position=ordered.row_number(), next_sig=ordered.lead(F.col("sig"))
+        timed, ["session_id"], ["seq_global"], hot, position=ordered.row_number(), next_sig=ordered.lead(F.col("sig"))
     )
     near = ordered.neighbours(
         placed, ["session_id"], "position", reach, reach, window=F.collect_list("seq_global")

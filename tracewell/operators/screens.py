@@ -74,40 +74,51 @@ def clean_screen(text: Column) -> Column:
     return F.regexp_replace(tx.unify_newlines(tx.strip_ansi(text)), " {2,}", " ")
 
 
-def _any_rule() -> str:
-    return _FLAGS + "|".join(f"(?:{r[0]})" for r in ERROR_RULES)
+def _folded(text: Column) -> Column:
+    """Lower case for the cheap test (long s included), so that patterns need no flags."""
+    return F.translate(F.lower(text), "ſ", "s")
+
+
+def _mentions(folded: Column, *shapes: str) -> Column:
+    return folded.rlike("(?d)" + "|".join(f"(?:{s.lower()})" for s in shapes))
 
 
 def detect_errors(screens: DataFrame, text: str = "text") -> DataFrame:
     """One row per match of an error rule, with its line, field and advice.
 
     A screen without any match is dropped by one combined pattern before the single
-    rules run; all patterns are literals, so each compiles once per task.
+    rules are tried; patterns in these tests are literals, so each compiles once.
+    Positions and lines are only worked out for the rules that hit.
     """
     kept = [c for c in screens.columns if c != text]
-    suspects = screens.select(*kept, clean_screen(F.col(text)).alias("__t")).where(F.col("__t").rlike(_any_rule()))
-    rules = []
-    for no, (shape, kind, severity, description) in enumerate(ERROR_RULES):
-        pattern = _FLAGS + shape
-        group = 1 if "\\1" in description else 0
-        rules.append(
-            F.when(
-                F.col("__t").rlike(pattern),
-                F.struct(
-                    F.lit(no).alias("rule_no"), F.lit(kind).alias("error_type"), F.lit(severity).alias("severity"),
-                    F.lit(description).alias("description"),
-                    F.regexp_extract_all("__t", F.lit(pattern), F.lit(0)).alias("hits"),
-                    F.regexp_extract_all("__t", F.lit(pattern), F.lit(group)).alias("details"),
-                    F.split("__t", pattern, -1).alias("gaps"),
-                ),
-            )
-        )
-    per_rule = suspects.select(*kept, "__t", F.explode(F.array_compact(F.array(*rules))).alias("r")).select(
-        *kept, "__t", "r.*"
+    shapes = [r[0] for r in ERROR_RULES]
+    suspects = (
+        screens.select(*kept, clean_screen(F.col(text)).alias("__t"))
+        .withColumn("__f", _folded(F.col("__t")))
+        .where(_mentions(F.col("__f"), *shapes))
     )
-    hits = per_rule.select(
-        *kept, "__t", "rule_no", "error_type", "severity", "description", "details", "hits", "gaps",
-        F.posexplode("hits").alias("match_no", "hit"),
+    numbers = F.array_compact(F.array(*[F.when(_mentions(F.col("__f"), s), no) for no, s in enumerate(shapes)]))
+
+    def of_rule(values: list) -> Column:
+        return F.get(F.array(*[F.lit(v) for v in values]), F.col("rule_no"))
+
+    shape = of_rule([_FLAGS + s for s in shapes])
+    group = of_rule([1 if "\\1" in r[3] else 0 for r in ERROR_RULES])
+    hits = (
+        suspects.select(*kept, "__t", F.explode(numbers).alias("rule_no"))
+        .select(
+            *kept, "__t", "rule_no",
+            of_rule([r[1] for r in ERROR_RULES]).alias("error_type"),
+            of_rule([r[2] for r in ERROR_RULES]).alias("severity"),
+            of_rule([r[3] for r in ERROR_RULES]).alias("description"),
+            F.regexp_extract_all("__t", shape, F.lit(0)).alias("hits"),
+            F.regexp_extract_all("__t", shape, group).alias("details"),
+            F.split("__t", shape, -1).alias("gaps"),
+        )
+        .select(
+            *kept, "__t", "rule_no", "error_type", "severity", "description", "details", "hits", "gaps",
+            F.posexplode("hits").alias("match_no", "hit"),
+        )
     )
     upto = F.col("match_no") + 1
     before = F.aggregate(F.slice("gaps", F.lit(1), upto), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(
@@ -139,19 +150,19 @@ def detect_errors(screens: DataFrame, text: str = "text") -> DataFrame:
 
 def screen_errors(text: Column) -> Column:
     """Worst error of a screen as a struct, null when no rule matches."""
-    clean = clean_screen(text)
+    ranked = sorted(range(len(ERROR_RULES)), key=lambda no: (SEVERITY_ORDER.index(ERROR_RULES[no][2]), no))
 
-    def worst(t: Column) -> Column:
-        out = F.lit(None).cast("struct<error_type:string,severity:string>")
-        for severity in reversed(SEVERITY_ORDER):
-            for shape, kind, sev, _ in reversed(ERROR_RULES):
-                if sev == severity:
-                    out = F.when(
-                        t.rlike(_FLAGS + shape), F.struct(F.lit(kind).alias("error_type"), F.lit(sev).alias("severity"))
-                    ).otherwise(out)
-        return F.when(t.rlike(_any_rule()), out)
+    def worst(folded: Column) -> Column:
+        found = [
+            F.when(
+                _mentions(folded, ERROR_RULES[no][0]),
+                F.struct(F.lit(ERROR_RULES[no][1]).alias("error_type"), F.lit(ERROR_RULES[no][2]).alias("severity")),
+            )
+            for no in ranked
+        ]
+        return F.when(_mentions(folded, *[r[0] for r in ERROR_RULES]), F.coalesce(*found))
 
-    return F.transform(F.array(clean), worst)[0]
+    return F.transform(F.array(_folded(clean_screen(text))), worst)[0]
 
 
 def classify_screens(screens: DataFrame, text: str = "text", expected: str = "expected_signature") -> DataFrame:
@@ -349,7 +360,7 @@ def compare_baseline(baseline: DataFrame, observed: DataFrame) -> DataFrame:
         F.when(known, F.sha2("__want", 256)).otherwise("").alias("expected_hash"),
         F.sha2("text", 256).alias("observed_hash"),
         (known & (F.sha2("__want", 256) == F.sha2("text", 256))).alias("matches"),
-        F.when(known, F.bround(tx.similarity(F.col("__want"), F.col("text")), 4)).otherwise(0.0).alias("similarity"),
+        F.when(known, F.bround(tx.similarity(F.coalesce("__want", F.lit("")), F.col("text")), 4)).otherwise(0.0).alias("similarity"),
         F.when(~known, "new").when(F.sha2("__want", 256) == F.sha2("text", 256), "match").otherwise("diverged").alias("state"),
     )
 
@@ -559,7 +570,8 @@ def place_checkpoints(outputs: DataFrame) -> DataFrame:
     so it folds over stretches of at most 250 events, all independent of each other.
     At most 2 000 per session, as the player shows.
     """
-    numbered = ordered.scan(outputs, ["session_id"], ["seq_global"], out_no=ordered.row_number())
+    hot = ordered.hot_keys(outputs, ["session_id"], "seq_global")
+    numbered = ordered.scan(outputs, ["session_id"], ["seq_global"], hot, out_no=ordered.row_number())
     fixed = (
         F.when(F.col("reset"), "ris")
         .when(F.col("resize"), "resize")
@@ -568,7 +580,7 @@ def place_checkpoints(outputs: DataFrame) -> DataFrame:
         .when(F.col("out_no") % CHECKPOINT_EVENTS == 0, "interval_events")
     )
     stretched = ordered.scan(
-        numbered.withColumn("fixed", fixed), ["session_id"], ["seq_global"],
+        numbered.withColumn("fixed", fixed), ["session_id"], ["seq_global"], hot,
         stretch=ordered.running_sum(F.when(F.col("fixed").isNotNull(), 1).otherwise(0)),
     )
     event = F.struct("seq_global", "ts_ms", "fixed")
@@ -589,5 +601,5 @@ def place_checkpoints(outputs: DataFrame) -> DataFrame:
         .select("session_id", F.explode(F.aggregate("events", start, step)["picks"]).alias("p"))
         .select("session_id", "p.*")
     )
-    ranked = ordered.scan(picks, ["session_id"], ["seq_global"], place=ordered.row_number())
+    ranked = ordered.scan(picks, ["session_id"], ["seq_global"], hot, place=ordered.row_number())
     return ranked.where(F.col("place") <= CHECKPOINT_LIMIT).drop("place")

@@ -440,8 +440,9 @@ def screen_segments(events: DataFrame) -> DataFrame:
     A checkpoint always opens a screen; an input opens one when its signature differs
     from the screen before it.
     """
+    hot = ordered.hot_keys(events, ["session_id"], "seq_global")
     known = ordered.scan(
-        events, ["session_id"], ["seq_global"], prev_sig=ordered.last_known(F.col("sig"), include_current=False)
+        events, ["session_id"], ["seq_global"], hot, prev_sig=ordered.last_known(F.col("sig"), include_current=False)
     )
     opens = F.col("sig").isNotNull() & (
         (F.col("type") == "checkpoint") | F.col("prev_sig").isNull() | (F.col("sig") != F.col("prev_sig"))
@@ -450,6 +451,7 @@ def screen_segments(events: DataFrame) -> DataFrame:
         known.withColumn("__opens", opens.cast("long")),
         ["session_id"],
         ["seq_global"],
+        hot,
         screen_no=ordered.running_sum(F.col("__opens")),
     ).drop("__opens", "prev_sig")
 
@@ -511,10 +513,11 @@ def recorded_journey(events: DataFrame) -> DataFrame:
 
 def pacing_plan(inputs: DataFrame, speed: float, ramp_per_sec: float, users: int) -> DataFrame:
     """Send offsets of a replay: gap divided by speed, started along a ramp, user by hash."""
-    gaps = ordered.scan(inputs, ["session_id"], ["seq_global"], prev_ts=ordered.lag(F.col("ts_ms"))).withColumn(
+    hot = ordered.hot_keys(inputs, ["session_id"], "seq_global")
+    gaps = ordered.scan(inputs, ["session_id"], ["seq_global"], hot, prev_ts=ordered.lag(F.col("ts_ms"))).withColumn(
         "wait_ms", F.coalesce(F.floor(F.greatest(F.col("ts_ms") - F.col("prev_ts"), F.lit(0)) / speed), F.lit(0))
     )
-    timed = ordered.scan(gaps, ["session_id"], ["seq_global"], offset_ms=ordered.running_sum(F.col("wait_ms")))
+    timed = ordered.scan(gaps, ["session_id"], ["seq_global"], hot, offset_ms=ordered.running_sum(F.col("wait_ms")))
     starts = inputs.select("session_id").distinct().withColumn("plan", F.lit("plan"))
     starts = starts.withColumn("place", ordered.text_place(F.col("session_id")))
     ranked = ordered.scan(starts, ["plan"], ["place", "session_id"], session_rank=ordered.row_number())

@@ -1,12 +1,14 @@
 """Running values over an ordered group that stay distributed when one group is huge.
 
-``Window.partitionBy(key)`` sends a whole key to one task.  Here keys above a row
-limit are cut into ranges of the ordering column; the window runs per (key, range),
-and what earlier ranges contribute is added from a small per-range summary.
-
-Sizes that are broadcast are bounded by construction: at most ``MAX_HOT_KEYS`` keys
-are cut and each into at most ``RANGES_PER_LIMIT * rows / limit`` ranges.  Keys past
-that number are smaller than 1/MAX_HOT_KEYS of the table and need no cut.
+``Window.partitionBy(key)`` sends a whole key to one task.  So the size of the keys is
+checked first (a count over the key and order columns alone).  If no key exceeds the row
+limit, the plain window is used: one shuffle, shared by all scans of the same key.
+Keys above the limit are cut into ranges of the ordering column; the window runs per
+(key, range), and what earlier ranges contribute is added from a small per-range summary.
+
+Sizes are bounded by construction: at most ``MAX_HOT_KEYS`` keys are cut, each into at
+most ``RANGES_PER_LIMIT * rows / limit`` ranges.  Keys past that number are smaller than
+1/MAX_HOT_KEYS of the table and need no cut.
 """
 
 from __future__ import annotations
@@ -79,49 +81,81 @@ def _same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
-def hot_keys(df: DataFrame, keys: list[str], order: str, limit: int) -> DataFrame:
-    """The largest keys above ``limit`` rows with the bounds of their ordering column."""
-    return (
+def hot_keys(df: DataFrame, keys: list[str], order: str) -> list[tuple]:
+    """Keys above the row limit: their values, bounds of the ordering column and number of ranges.
+
+    Runs one aggregation; at most ``MAX_HOT_KEYS`` short rows come back.
+    """
+    limit = hot_rows(df.sparkSession)
+    counted = (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("__n"), F.min(order).alias("__lo"), F.max(order).alias("__hi"))
         .where(F.col("__n") > limit)
         .orderBy(F.desc("__n"))
         .limit(MAX_HOT_KEYS)
+        .select(
+            *[F.col(k).alias(f"__hot_{k}") for k in keys],
+            F.col("__lo").cast("double").alias("__lo"),
+            (F.col("__hi").cast("double") - F.col("__lo").cast("double")).alias("__span"),
+            F.least(F.ceil(F.col("__n") * RANGES_PER_LIMIT / F.lit(limit)), F.lit(MAX_RANGES_PER_KEY))
+            .cast("long")
+            .alias("__k"),
+        )
     )
+    return [counted.schema, *counted.collect()]
 
 
-def with_range(df: DataFrame, keys: list[str], order: str, limit: int) -> DataFrame:
+def with_range(df: DataFrame, keys: list[str], order: str, hot: list[tuple]) -> DataFrame:
     """Add the range number: 0 for ordinary keys, 1..k along the order for huge ones."""
-    hot = hot_keys(df, keys, order, limit).select(
-        *[F.col(k).alias(f"__hot_{k}") for k in keys],
-        F.col("__lo"),
-        (F.col("__hi") - F.col("__lo")).alias("__span"),
-        F.least(F.ceil(F.col("__n") * RANGES_PER_LIMIT / F.lit(limit)), F.lit(MAX_RANGES_PER_KEY)).alias("__k"),
-    )
+    schema, *rows = hot
+    table = df.sparkSession.createDataFrame(rows, schema)
     on = None
     for k in keys:
-        test = _same(df[k], hot[f"__hot_{k}"])
+        test = _same(df[k], table[f"__hot_{k}"])
         on = test if on is None else on & test
-    place = F.floor((F.col(order) - F.col("__lo")) / F.col("__span") * F.col("__k"))
-    ranged = F.when(F.col("__k").isNull(), F.lit(0)).when(F.col("__span") == 0, F.lit(1))
-    ranged = ranged.otherwise(F.least(place, F.col("__k") - 1) + 1).cast("long")
-    joined = df.join(F.broadcast(hot), on, "left")
-    return joined.select(*df.columns, ranged.alias(_RANGE))
+    place = F.floor((F.col(order).cast("double") - F.col("__lo")) / F.col("__span") * F.col("__k"))
+    inside = F.greatest(F.lit(0), F.least(place, F.col("__k") - 1)) + 1
+    ranged = F.when(F.col("__k").isNull(), F.lit(0)).when(F.col("__span") == 0, F.lit(1)).otherwise(inside)
+    joined = df.join(F.broadcast(table), on, "left")
+    return joined.select(*df.columns, ranged.cast("long").alias(_RANGE))
 
 
-def scan(df: DataFrame, keys: list[str], order: list[str], **outputs: Running) -> DataFrame:
+def _plain(df: DataFrame, keys: list[str], order: list[str], outputs: dict[str, Running]) -> DataFrame:
+    columns = []
+    for name, spec in outputs.items():
+        ordering = [F.col(c).desc() if spec.backward else F.col(c).asc() for c in order]
+        stop = Window.currentRow if spec.include_current else -1
+        frame = Window.partitionBy(*keys).orderBy(*ordering).rowsBetween(Window.unboundedPreceding, stop)
+        if spec.kind == "count":
+            column = F.count(F.lit(1)).over(frame)
+        elif spec.kind == "near":
+            column = F.lag(spec.value).over(Window.partitionBy(*keys).orderBy(*ordering))
+        else:
+            aggregate = {"sum": F.sum, "max": F.max, "min": F.min, "known": lambda v: F.last(v, ignorenulls=True)}
+            column = aggregate[spec.kind](spec.value).over(frame)
+        columns.append(column.alias(name))
+    return df.select("*", *columns)
+
+
+def scan(
+    df: DataFrame, keys: list[str], order: list[str], hot: list[tuple] | None = None, **outputs: Running
+) -> DataFrame:
     """``df`` plus running columns along ``order`` inside ``keys``.
 
     ``order`` must identify a row inside its key, and its first column must be
-    numeric.  One shuffle of the rows, no key bound to one task.
+    numeric.  Pass ``hot`` (from ``hot_keys`` over the same rows or a superset) to
+    check the sizes once for several scans.
     """
-    limit = hot_rows(df.sparkSession)
+    if hot is None:
+        hot = hot_keys(df, keys, order[0])
+    if len(hot) == 1:
+        return _plain(df, keys, order, outputs)
     inputs, staged = [], {}
     for name, spec in outputs.items():
         if spec.value is not None:
             staged[name] = f"__in_{name}"
             inputs.append(spec.value.alias(staged[name]))
-    base = with_range(df.select("*", *inputs), keys, order[0], limit)
+    base = with_range(df.select("*", *inputs), keys, order[0], hot)
     along = [F.col(c).asc() for c in order]
     against = [F.col(c).desc() for c in order]
     parts = [*keys, _RANGE]
