@@ -57,7 +57,10 @@ def normalize_whitespace(text: Column) -> Column:
 
 
 def normalize_screen(text: Column) -> Column:
-    return normalize_whitespace(F.translate(strip_ansi(text), BOX_CHARACTERS, BOX_PLAIN))
+    bare = strip_ansi(text)
+    # translating walks the text character by character, so only screens with boxes pay for it
+    plain = F.when(bare.rlike(f"[{BOX_CHARACTERS}]"), F.translate(bare, BOX_CHARACTERS, BOX_PLAIN)).otherwise(bare)
+    return normalize_whitespace(plain)
 
 
 def is_blank(text: Column) -> Column:
@@ -75,7 +78,8 @@ def layout_signature(norm: Column) -> Column:
             F.slice(rows, 1, 4), lambda x: (strip(x) != "") & (F.length(F.regexp_replace(x, r"[^+\-=|]", "")) >= 3)
         )
         titles = F.array_join(F.transform(framed, lambda x: strip(x)), "|")
-        found = F.transform(rows, lambda x: F.regexp_extract(strip(x), LABEL, 1))
+        labelled = F.filter(rows, lambda x: F.contains(x, F.lit(":")))
+        found = F.transform(labelled, lambda x: F.regexp_extract(strip(x), LABEL, 1))
         labels = F.array_join(
             F.transform(F.filter(found, lambda x: x != ""), lambda x: F.regexp_replace(x, r"\s+", " ")), ";"
         )

@@ -76,7 +76,7 @@ def clean_screen(text: Column) -> Column:
 
 def _folded(text: Column) -> Column:
     """Lower case for the cheap test (long s included), so that patterns need no flags."""
-    return F.translate(F.lower(text), "ſ", "s")
+    return F.replace(F.lower(text), F.lit("ſ"), F.lit("s"))
 
 
 def _mentions(folded: Column, *shapes: str) -> Column:

@@ -531,3 +531,12 @@ def pacing_plan(inputs: DataFrame, speed: float, ramp_per_sec: float, users: int
     return timed.join(ranked, "session_id").select(
         "session_id", "seq_global", "wait_ms", (F.col("start_ms") + F.col("offset_ms")).alias("send_at_ms"), "user_slot"
     )
+
+
+def connection_changes(samples: DataFrame) -> DataFrame:
+    """Open and close events from periodic samples of (connection, sample number)."""
+    seen = samples.distinct()
+    expected = seen.select("connection", (F.col("sample") + 1).alias("sample"))
+    opened = seen.join(expected, ["connection", "sample"], "left_anti").withColumn("change", F.lit("open"))
+    closed = expected.join(seen, ["connection", "sample"], "left_anti").withColumn("change", F.lit("close"))
+    return opened.unionByName(closed)
