@@ -147,7 +147,7 @@ def _alias_lines(spark, sf):
         _BASE,
         """ev AS (SELECT file, 'cad110' AS alias, 10 AS score FROM base WHERE ln = 1 UNION ALL SELECT file, 'cad' || lower(tab), 8 FROM base WHERE ln = 2
              UNION ALL SELECT file, 'cad' || lower(tab), 1 FROM base WHERE ln IN (2, 3) UNION ALL SELECT file, 'fat' || lower(oth), 1 FROM base WHERE ln = 3
-             UNION ALL SELECT file, 'fat' || lower(oth), 3 FROM base WHERE ln = 4 UNION ALL SELECT file, 'sncabre', 1 FROM base WHERE ln = 5
+             UNION ALL SELECT file, 'fat' || lower(oth), 3 FROM base WHERE ln = 4 UNION ALL SELECT file, 'sncabre', 1 FROM base WHERE ln = 5 UNION ALL SELECT file, 'prg', 3 FROM base WHERE ln = 5
              UNION ALL SELECT file, 'fat' || lower(oth), 2 FROM base WHERE ln = 6)""",
     )
     + """SELECT file, alias, CAST(sum(score) AS BIGINT) AS score, count(*) AS hits, least(sum(score) / 20.0, 1.0) AS confidence,
@@ -509,9 +509,9 @@ def edge_rules(spark, sf):
 
 _MENUS = """
 links AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="/([^"]+)"', 1)) AS called, generate_subscripts(regexp_extract_all(html, '<a href="/([^"]+)"', 1), 1) AS pos FROM pages),
-menus AS (SELECT p.page_id AS menu_id, coalesce(upper(l.called), '') AS stem, array_to_string(string_split(CAST(p.page_id AS VARCHAR), ''), '.') AS route, length(CAST(p.page_id AS VARCHAR)) AS depth
+menus AS (SELECT p.page_id AS menu_id, coalesce(replace(upper(l.called), 'ß', 'SS'), '') AS stem, array_to_string(string_split(CAST(p.page_id AS VARCHAR), ''), '.') AS route, length(CAST(p.page_id AS VARCHAR)) AS depth
   FROM pages p LEFT JOIN links l ON l.page_id = p.page_id AND l.pos = 1),
-callers AS (SELECT DISTINCT l.page_id AS caller, upper(called) AS stem, depth FROM links l JOIN menus m ON m.menu_id = l.page_id WHERE pos > 1)"""
+callers AS (SELECT DISTINCT l.page_id AS caller, replace(upper(called), 'ß', 'SS') AS stem, depth FROM links l JOIN menus m ON m.menu_id = l.page_id WHERE pos > 1)"""
 
 
 @query(
@@ -532,14 +532,14 @@ def menu_parents(spark, sf):
         F.col("page_id").alias("menu_id"), F.coalesce(F.get(links, F.lit(0)), F.lit("")).alias("stem"), F.lit("sys").alias("module"),
         F.array_join(F.split(F.col("page_id").cast("string"), ""), ".").alias("route"),
     )
-    calls = pages.select(F.col("page_id").alias("menu_id"), F.explode(F.slice(links, 2, 10_000)).alias("called"))
+    calls = pages.select(F.col("page_id").alias("menu_id"), F.explode(F.slice(links, F.lit(2), F.size(links))).alias("called"))
     return graph.menu_parents(menus, calls)
 
 
 @query(
     "grf06_unreached_programs",
     t.with_tables(_MENUS)
-    + "SELECT DISTINCT upper(unnest(string_split(p_name, ' '))) AS program FROM part EXCEPT SELECT upper(called) FROM links",
+    + "SELECT DISTINCT upper(unnest(string_split(p_name, ' '))) AS program FROM part EXCEPT SELECT replace(upper(called), 'ß', 'SS') FROM links",
 )
 def unreached_programs(spark, sf):
     inventory = t.read(spark, sf, "part").select(F.explode(F.split(F.upper("p_name"), " ")).alias("program")).distinct()
