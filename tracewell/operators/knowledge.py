@@ -154,17 +154,10 @@ KEY_WORDS = ("id", "cod", "cd", "fk", "ref", "chave", "num", "nr")
 def alias_target(field: Column) -> Column:
     """Entity a key field names by prefix, suffix, alias or plural; empty when none."""
     upper = F.upper(field)
-    clean = upper
-    for mark in KEY_MARKS:
-        clean = F.when(clean.startswith(f"{mark}_"), F.substring(clean, F.lit(len(mark) + 2), F.length(clean))).otherwise(clean)
-    glued = clean
-    for mark in reversed(("COD", "CD", "ID", "NUM", "NR", "FK", "REF")):
-        glued = F.when(
-            clean.startswith(mark) & (F.length(clean) > len(mark) + 1), F.substring(clean, F.lit(len(mark) + 1), F.length(clean))
-        ).otherwise(glued)
-    clean = glued
-    for mark in KEY_MARKS:
-        clean = F.regexp_replace(clean, f"_{mark}$", "")
+    # each mark comes off once, in this order; a mark without underscore needs two characters after it
+    clean = F.regexp_replace(upper, "^" + "".join(f"({m}_)?" for m in KEY_MARKS), "")
+    clean = F.regexp_replace(clean, "^(?:COD|CD|ID|NUM|NR|FK|REF)(?=.{2})", "")
+    clean = F.regexp_replace(clean, "".join(f"(_{m})?" for m in reversed(KEY_MARKS)) + "$", "")
     clean = F.regexp_replace(clean, "^_+|_+$", "")
 
     def target(name: Column) -> Column:
@@ -173,9 +166,7 @@ def alias_target(field: Column) -> Column:
         return F.coalesce(*direct, *inside, F.lit(""))
 
     named = F.transform(F.array(clean), target)[0]
-    return (
-        F.when(upper.isin(*SELLER_FIELDS), "VENDEDORES").when(upper.isin(*SALE_FIELDS), "VENDAS").when(clean == "", "").otherwise(named)
-    )
+    return F.when(upper.isin(*SELLER_FIELDS), "VENDEDORES").when(upper.isin(*SALE_FIELDS), "VENDAS").otherwise(named)
 
 
 def key_tokens(name: Column) -> Column:
@@ -411,19 +402,22 @@ def containing(texts: DataFrame, phrases: DataFrame, text: str, phrase: str) ->
     reach = 4
     heads = phrases.where(F.length(phrase) > 0).withColumn("__piece", F.left(phrase, F.lit(reach)))
     sizes = heads.agg(F.collect_set(F.length("__piece"))).scalar()  # at most four numbers
-    size = F.length(text)
-
-    def pieces(n: Column) -> Column:
-        return F.when(
-            size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(F.col(text), i, n))
-        ).otherwise(F.array().cast("array<string>"))
-
-    cut = F.array_distinct(F.flatten(F.transform(sizes, pieces)))
+    # a look-ahead yields every overlapping piece in one pass over the text
+    cut = F.array_distinct(
+        F.concat(
+            *[
+                F.when(F.array_contains("__sizes", n), F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+                .otherwise(F.array().cast("array<string>"))
+                for n in range(1, reach + 1)
+            ]
+        )
+    )
     return (
-        texts.withColumn("__piece", F.explode(cut))
+        texts.withColumn("__sizes", sizes)
+        .withColumn("__piece", F.explode(cut))
         .join(heads, "__piece")
         .where(F.contains(F.col(text), F.col(phrase)))
-        .drop("__piece")
+        .drop("__piece", "__sizes")
     )
 
 

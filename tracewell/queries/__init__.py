@@ -6,7 +6,7 @@ import importlib
 
 from tracewell.queries.registry import all_queries, all_sql
 
-MODULES: tuple[str, ...] = ("sessions", "reports", "benchmark", "screens", "corpus", "knowledge")
+MODULES: tuple[str, ...] = ("sessions", "reports", "benchmark", "screens", "corpus", "knowledge", "synth", "live")
 
 
 def load() -> None:

@@ -75,7 +75,7 @@ def provider_routing(spark, sf):
 # Expected answers of the key fields among the names above: target, type, confidence, rule.
 _KEYS = """
 kx(field, target, confidence, evidence) AS (VALUES ('CLIENTE_ID', 'CLIENTES', 0.85, 'alias'), ('CODCLI', 'CLIENTES', 0.85, 'alias'), ('ID_PRODUTO', 'PRODUTOS', 0.85, 'alias'),
-  ('PEDIDO_ID', 'PEDIDOS', 0.85, 'alias'), ('COD_ITENS_PEDIDO', 'ITENS_PEDIDO', 0.85, 'alias'), ('COD_VEN', 'VENDEDORES', 0.85, 'alias'))"""
+  ('PEDIDO_ID', 'PEDIDOS', 0.85, 'alias'), ('COD_ITENS_PEDIDO', 'ITENS_PEDIDO', 0.85, 'alias'), ('COD_VEN', 'VENDEDORES', 0.85, 'alias'), ('cpf_cliente', 'CLIENTES', 0.85, 'alias'))"""
 
 
 @query(
@@ -136,9 +136,9 @@ _WORDS = "bolt ring widget gear panel".split()
     """WITH s AS (SELECT doc_id AS screen_id, upper(text) AS sample, upper(source) AS signature FROM documents), b AS (SELECT upper(s_name) AS x, s_suppkey FROM supplier),
         ti AS (SELECT DISTINCT CASE s_suppkey % 4 WHEN 0 THEN 'THE' WHEN 1 THEN 'SRC' || (s_suppkey % 8) WHEN 2 THEN 'OUNG' || s_suppkey ELSE 'SRC1 TELA' END AS title, s_suppkey FROM supplier),
         fi AS (SELECT title, min('ent' || (s_suppkey % 9)) AS entity FROM ti GROUP BY 1), na AS (SELECT DISTINCT upper(n) AS name, n AS entity FROM (SELECT unnest(['und', 'les', 'nation', 'que']) AS n)),
-        h AS (SELECT screen_id, entity, 1 AS r, title AS by FROM s JOIN fi ON contains(sample, title) UNION ALL SELECT screen_id, entity, 2, title FROM s JOIN fi ON contains(signature, title) OR contains(title, signature)
+        h AS (SELECT screen_id, entity, 1 AS r, title AS hit FROM s JOIN fi ON contains(sample, title) UNION ALL SELECT screen_id, entity, 2, title FROM s JOIN fi ON contains(signature, title) OR contains(title, signature)
               UNION ALL SELECT screen_id, entity, 3, name FROM s JOIN na ON contains(sample, name)),
-        best AS (SELECT screen_id, arg_min(entity, (r, by)) AS entity, min(r) AS rule FROM h GROUP BY 1)
+        best AS (SELECT screen_id, arg_min(entity, (r, hit)) AS entity, min(r) AS rule FROM h GROUP BY 1)
       SELECT screen_id, entity, rule FROM s LEFT JOIN best USING (screen_id)""",
 )
 def capture_bindings(spark, sf):
@@ -209,12 +209,12 @@ def relation_hints(spark, sf):
 
 @query(
     "jn16_uncovered_entities",
-    "SELECT c_custkey AS entity FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "SELECT c_custkey AS entity FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)",
 )
 def uncovered_entities(spark, sf):
     return knowledge.without_partner(
         t.read(spark, sf, "customer").select(F.col("c_custkey").alias("entity")),
-        t.read(spark, sf, "orders").select(F.col("o_custkey").alias("entity")), "entity",
+        t.read(spark, sf, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("entity")), "entity",
     )
 
 
