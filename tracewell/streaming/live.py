@@ -103,8 +103,11 @@ def _admit(hits: Iterator[tuple], start, count: int, limit: int, window_ms: int)
     return verdicts, start, count
 
 
-def rate_limit_stream(hits: DataFrame, limit: int, window_ms: int) -> DataFrame:
-    """Verdict per hit (key, ts_ms, id); the window of a key starts at its first hit."""
+def rate_limit_stream(hits: DataFrame, limit: int, window_ms: int, delay: str = "1 minute") -> DataFrame:
+    """Verdict per hit (key, ts_ms, id); the window of a key starts at its first hit.
+
+    A key whose window has passed the watermark is forgotten.
+    """
 
     def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -115,13 +118,14 @@ def rate_limit_stream(hits: DataFrame, limit: int, window_ms: int) -> DataFrame:
         pdf = pd.concat(list(batches)).sort_values(["ts_ms", "id"])
         verdicts, start, count = _admit(pdf["ts_ms"], start, count, limit, window_ms)
         state.update((int(start), int(count)))
-        state.setTimeoutDuration(max(1, window_ms))
+        state.setTimeoutTimestamp(max(int(start) + window_ms, state.getCurrentWatermarkMs() + 1))
         yield pdf.assign(allowed=[v[0] for v in verdicts], retry_after=[v[1] for v in verdicts])[
             ["key", "ts_ms", "id", "allowed", "retry_after"]
         ]
 
-    return hits.groupBy("key").applyInPandasWithState(
-        judge, LIMIT_SCHEMA, "start bigint, count bigint", "append", GroupStateTimeout.ProcessingTimeTimeout
+    timed = hits.withColumn("ts", F.timestamp_millis("ts_ms")).withWatermark("ts", delay)
+    return timed.groupBy("key").applyInPandasWithState(
+        judge, LIMIT_SCHEMA, "start bigint, count bigint", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
