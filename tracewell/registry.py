@@ -52,4 +52,7 @@ class Extractors:
 
 def register_function(spark: SparkSession, name: str, function, return_type: str) -> None:
     """Make a user function callable from SQL text (vectorised functions preferred)."""
-    spark.udf.register(name, function, return_type) if not hasattr(function, "evalType") else spark.udf.register(name, function)
+    if hasattr(function, "evalType"):
+        spark.udf.register(name, function)
+    else:
+        spark.udf.register(name, function, return_type)
