@@ -13,6 +13,8 @@ from tracewell.plans import ordered
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    # the tables store wall-clock times; they are read as UTC whatever the session was started with
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
