@@ -509,9 +509,9 @@ def edge_rules(spark, sf):
 
 _MENUS = """
 links AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="/([^"]+)"', 1)) AS called, generate_subscripts(regexp_extract_all(html, '<a href="/([^"]+)"', 1), 1) AS pos FROM pages),
-menus AS (SELECT p.page_id AS menu_id, coalesce(replace(upper(l.called), 'ß', 'SS'), '') AS stem, array_to_string(string_split(CAST(p.page_id AS VARCHAR), ''), '.') AS route, length(CAST(p.page_id AS VARCHAR)) AS depth
+menus AS (SELECT p.page_id AS menu_id, coalesce(replace(replace(upper(l.called), 'ß', 'SS'), 'ẞ', 'SS'), '') AS stem, array_to_string(string_split(CAST(p.page_id AS VARCHAR), ''), '.') AS route, length(CAST(p.page_id AS VARCHAR)) AS depth
   FROM pages p LEFT JOIN links l ON l.page_id = p.page_id AND l.pos = 1),
-callers AS (SELECT DISTINCT l.page_id AS caller, replace(upper(called), 'ß', 'SS') AS stem, depth FROM links l JOIN menus m ON m.menu_id = l.page_id WHERE pos > 1)"""
+callers AS (SELECT DISTINCT l.page_id AS caller, replace(replace(upper(called), 'ß', 'SS'), 'ẞ', 'SS') AS stem, depth FROM links l JOIN menus m ON m.menu_id = l.page_id WHERE pos > 1)"""
 
 
 @query(
@@ -539,7 +539,7 @@ def menu_parents(spark, sf):
 @query(
     "grf06_unreached_programs",
     t.with_tables(_MENUS)
-    + "SELECT DISTINCT upper(unnest(string_split(p_name, ' '))) AS program FROM part EXCEPT SELECT replace(upper(called), 'ß', 'SS') FROM links",
+    + "SELECT DISTINCT upper(unnest(string_split(p_name, ' '))) AS program FROM part EXCEPT SELECT replace(replace(upper(called), 'ß', 'SS'), 'ẞ', 'SS') FROM links",
 )
 def unreached_programs(spark, sf):
     inventory = t.read(spark, sf, "part").select(F.explode(F.split(F.upper("p_name"), " ")).alias("program")).distinct()
