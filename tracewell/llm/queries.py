@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import decontaminate, lm, mixing, pii, quality, topk, toxicity, url_filter
+from tracewell.llm import decontaminate, jaccard, lm, mixing, pii, quality, topk, toxicity, url_filter
 from tracewell.llm.common import is_remainder, table
 
 
@@ -69,6 +69,10 @@ def op9_top_k(spark: SparkSession, sf: str) -> DataFrame:
     return topk.top_k(table(spark, sf, "embeddings"), F.pmod(F.col("vec_id"), F.lit(50)) == 0)
 
 
+def op10_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.join(table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_pii": op2_pii,
@@ -78,4 +82,5 @@ QUERIES = {
     "op7_lm_score": op7_lm_score,
     "op8_toxicity": op8_toxicity,
     "op9_top_k": op9_top_k,
+    "op10_jaccard_join": op10_jaccard_join,
 }
