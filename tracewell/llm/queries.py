@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import decontaminate, jaccard, lm, mixing, pii, quality, topk, toxicity, url_filter
+from tracewell.llm import decontaminate, jaccard, lines, lm, mixing, pii, quality, topk, toxicity, url_filter
 from tracewell.llm.common import is_remainder, table
 
 
@@ -30,6 +30,13 @@ def op2_pii(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("row.doc_id", *counts, F.sha2(text(base).cast("binary"), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
 
 
+def op3_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    edited = lines.dedup(docs)
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return edited.select("row.doc_id", "n_words", "n_deleted", spans.alias("deleted"), "text")
+
+
 def op4_mixing(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -76,6 +83,7 @@ def op10_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_pii": op2_pii,
+    "op3_line_dedup": op3_line_dedup,
     "op4_mixing": op4_mixing,
     "op5_quality": op5_quality,
     "op6_decontaminate": op6_decontaminate,
