@@ -92,3 +92,5 @@ QUERIES = {
     "op9_top_k": op9_top_k,
     "op10_jaccard_join": op10_jaccard_join,
 }
+
+SQL: dict[str, str] = {}
