@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tracewell.llm import decontaminate, jaccard, lines, lm, mixing, pii, quality, topk, toxicity, url_filter
 from tracewell.llm.common import is_remainder, table
+from tracewell.llm.twins import SQL
+
+__all__ = ["QUERIES", "SQL"]
 
 
 #: Rules of the URL query: (verdict, rule).
@@ -92,5 +95,3 @@ QUERIES = {
     "op9_top_k": op9_top_k,
     "op10_jaccard_join": op10_jaccard_join,
 }
-
-SQL: dict[str, str] = {}

@@ -32,8 +32,8 @@ def normal(text: bytes) -> bytes:
     return b" " + b" ".join(text.translate(LETTERS).split()) + b" "
 
 
-def cells(data: np.ndarray) -> Iterator[np.ndarray]:
-    """For each n-gram length the cell of every position of ``data``; one starts at each byte."""
+def cells(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, cells) for each n-gram length: the cell of the n-gram that starts at each byte of ``data``."""
     code = np.zeros(len(data), np.uint64)
     for length in range(1, max(LENGTHS) + 1):
         n = len(data) - length + 1
@@ -42,7 +42,7 @@ def cells(data: np.ndarray) -> Iterator[np.ndarray]:
         code = (code[:n] << np.uint64(8)) | data[length - 1 :].astype(np.uint64)
         if length in LENGTHS:
             salted = (code + np.uint64(length * 0xD6E8FEB86659FD93 % 2**64)) * MIX
-            yield (salted >> np.uint64(64 - BITS)).astype(np.int32)
+            yield length, (salted >> np.uint64(64 - BITS)).astype(np.int32)
 
 
 def chunks(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -61,8 +61,9 @@ def present(texts: list[bytes], keep: np.ndarray) -> Iterator[tuple[int, int, np
     """(first text, texts, owners, cells): each kept cell once per text. ``keep`` is a mask of cells."""
     for first, data, owner in chunks(texts):
         pairs = []
-        for found in cells(data):
+        for length, found in cells(data):
             at = np.flatnonzero(keep[found])
+            at = at[owner[at] == owner[at + length - 1]]  # within one text
             pairs.append((owner[at].astype(np.int64) << BITS) | found[at])
         joined = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, np.int64)
         yield first, int(owner[-1]) + 1, joined >> BITS, joined & ((1 << BITS) - 1)
