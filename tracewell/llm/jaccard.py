@@ -72,7 +72,7 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # arrays, one per range of hashes; a range tells each set how many of its shingles other sets hold.
 
 PACKED = "range long, chunk long, what int, a binary, b binary"
-CREDIT = "chunk long, slot int, key long, n int, credit int"
+CREDIT = "chunk long, what int, a binary, b binary"
 
 
 def _pack(ranges: int):
@@ -128,20 +128,18 @@ def _pack(ranges: int):
 
 
 def _credit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows arrive ordered by range, and one range is held at a time."""
+    """Rows arrive ordered by range, and one range is held at a time; a row goes back to each chunk."""
 
-    def out(chunk, slot, key, n, credit) -> pa.RecordBatch:
-        types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
-        columns = [pa.array(c, t) for c, t in zip((chunk, slot, key, n, credit), types, strict=True)]
-        return pa.RecordBatch.from_arrays(columns, names=["chunk", "slot", "key", "n", "credit"])
+    def out(chunk: list, what: int, a: list, b: list) -> pa.RecordBatch:
+        columns = [pa.array(chunk, pa.int64()), pa.array([what] * len(a), pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["chunk", "what", "a", "b"])
 
     def settle_range(held: list) -> Iterator[pa.RecordBatch]:
         known = np.unique(np.concatenate([np.frombuffer(a, np.uint32) for what, _, a, _ in held if what == 2] or [np.empty(0, np.uint32)]))
         single = [(c, np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint16)) for what, c, a, b in held if what == 0]
         if not single:
             return
-        low, slot = np.concatenate([a for _, a, _ in single]), np.concatenate([b for _, _, b in single])
-        chunk = np.repeat(np.array([c for c, _, _ in single]), [len(a) for _, a, _ in single])
+        low = np.concatenate([a for _, a, _ in single])
         order = np.argsort(low, kind="stable")
         ordered = low[order]
         twice = np.zeros(len(ordered), bool)
@@ -149,19 +147,25 @@ def _credit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice[:-1] |= twice[1:]
         if len(known):
             twice |= known[np.searchsorted(known, ordered).clip(max=len(known) - 1)] == ordered
-        at = order[twice]
-        if len(at):
-            owner, n = np.unique(np.stack([chunk[at], slot[at].astype(np.int64)]), axis=1, return_counts=True)
-            none = [None] * len(n)
-            yield out(owner[0], owner[1], none, none, n)
+        shared = np.zeros(len(low), bool)
+        shared[order] = twice
+        at, chunks, slots, counts = 0, [], [], []
+        for chunk, a, slot in single:
+            found, n = np.unique(slot[shared[at : at + len(a)]], return_counts=True)
+            at += len(a)
+            if len(found):
+                chunks.append(chunk)
+                slots.append(found.tobytes())
+                counts.append(n.astype(np.uint32).tobytes())
+        if chunks:
+            yield out(chunks, 0, slots, counts)
 
     held, current = [], None
     for batch in batches:
         for rng, chunk, what, a, b in zip(*(batch.column(c) for c in ("range", "chunk", "what", "a", "b")), strict=True):
             rng, chunk, what, a, b = rng.as_py(), chunk.as_py(), what.as_py(), a.as_py(), b.as_py()
             if what == 1:
-                key, (n, credit) = np.frombuffer(a, np.int64), np.frombuffer(b, np.int32).reshape(2, -1)
-                yield out(np.full(len(key), chunk), np.arange(len(key)), key, n, credit)
+                yield out([chunk], 1, [a], [b])
                 continue
             if rng != current:
                 yield from settle_range(held)
@@ -170,6 +174,30 @@ def _credit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from settle_range(held)
 
 
+def _able(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows arrive ordered by chunk; the keys of a chunk's sets that enough other sets share."""
+
+    def passing(held: list) -> pa.RecordBatch:
+        key = np.concatenate([np.frombuffer(a, np.int64) for what, a, _ in held if what == 1])
+        n, credit = np.concatenate([np.frombuffer(b, np.int32).reshape(2, -1) for what, _, b in held if what == 1], 1)
+        credit = credit.astype(np.int64)
+        for what, a, b in held:
+            if what == 0:
+                credit[np.frombuffer(a, np.uint16)] += np.frombuffer(b, np.uint32)
+        return pa.RecordBatch.from_arrays([pa.array(key[credit * WHOLE >= n.astype(np.int64) * PART])], names=["key"])
+
+    held, current = [], None
+    for batch in batches:
+        for chunk, what, a, b in zip(*(batch.column(c) for c in ("chunk", "what", "a", "b")), strict=True):
+            if chunk.as_py() != current:
+                if held:
+                    yield passing(held)
+                held, current = [], chunk.as_py()
+            held.append((what.as_py(), a.as_py(), b.as_py()))
+    if held:
+        yield passing(held)
+
+
 def able(texts: DataFrame, total: int) -> DataFrame:
     """(key) of sets of which three quarters or more of the shingles occur in other sets as well.
 
@@ -179,8 +207,8 @@ def able(texts: DataFrame, total: int) -> DataFrame:
     """
     ranges = max(1, math.ceil(total / RANGE))
     packed = texts.mapInArrow(_pack(ranges), PACKED).repartition("range").sortWithinPartitions("range")
-    credit = packed.mapInArrow(_credit, CREDIT).groupBy("chunk", "slot").agg(F.max("key").alias("key"), F.max("n").alias("n"), F.sum("credit").alias("credit"))
-    return credit.where(F.col("credit") * WHOLE >= F.col("n") * PART).select("key").distinct()
+    credit = packed.mapInArrow(_credit, CREDIT).repartition("chunk").sortWithinPartitions("chunk")
+    return credit.mapInArrow(_able, "key long").distinct()
 
 
 def least_overlap(a: Column, b: Column) -> Column:
