@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import FOLD, packed, utf8, with_row
+from tracewell.llm.common import FOLD, utf8, with_row
 from tracewell.plans.lineage import settle
 
 #: Bytes of context. A code is the context and the byte after it, the oldest byte highest.
@@ -23,7 +23,7 @@ ENTRIES = 2_000_000
 #: Words whose counts are broadcast: the most frequent ones, at most. All others are joined.
 FREQUENT = 100_000
 #: Bytes of text that are turned into codes at once.
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 #: A text is read as if it came after line ends; the last byte, which UTF-8 never uses, is its end.
 START, END = b"\n" * ORDER, b"\xff"
 TOKEN_ROWS, CODE_ROWS = 300_000, 2_000_000
@@ -103,7 +103,7 @@ class Level:
         self.contexts, slot = np.unique(codes >> np.uint64(8), return_inverse=True)
         self.total = np.bincount(slot, self.counts, len(self.contexts))
         self.distinct = np.bincount(slot, minlength=len(self.contexts)).astype(float)
-        self.slot = slot
+        self.slot = slot.astype(np.int32)
 
     def below(self, length: int) -> Level:
         """The level of contexts one byte shorter; ``length`` is that of its codes in bytes."""
@@ -111,7 +111,10 @@ class Level:
         return Level(short, np.bincount(slot, self.counts, len(short)))
 
     def count(self, codes: np.ndarray) -> np.ndarray:
-        return self.counts[find(self.codes, codes).clip(0)] * (find(self.codes, codes) >= 0) if len(self.codes) else np.zeros(len(codes))
+        if not len(self.codes):
+            return np.zeros(len(codes))
+        at = find(self.codes, codes)
+        return np.where(at >= 0, self.counts[at.clip(0)], 0.0)
 
     def exclude(self, shorter: Level, length: int) -> None:
         """For each context, how much of its suffix its own bytes take up, to be left out after an escape."""
@@ -136,6 +139,7 @@ class Trie:
             levels[order] = levels[order + 1].below(order + 1)
         for order in range(ORDER, 0, -1):
             levels[order].exclude(levels[order - 1], order)
+            del levels[order].slot  # needed for building only
         self.levels = levels
 
     def log10(self, codes: np.ndarray) -> np.ndarray:
@@ -233,7 +237,7 @@ def _arrays(codes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def score(docs: DataFrame, training: Column, entries: int = ENTRIES, frequent: int = FREQUENT) -> DataFrame:
     """(row, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
 
-    The model learns from all rows for which ``training`` holds: one pass adds up words and byte
+    ``row`` is the input row without its text. The model learns from all rows for which ``training`` holds: one pass adds up words and byte
     codes per task, then per key. ``score`` is the log10 probability that the trie gives the whole
     text as it stands and its end; ``base_score`` is that of an add-one word model over lower-cased
     words and one end.
@@ -245,7 +249,8 @@ def score(docs: DataFrame, training: Column, entries: int = ENTRIES, frequent: i
     log10(256). Repeated rows get equal scores; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    texts = packed(docs, utf8("text").alias("text"), F.lit(0.0).alias("score"))
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    texts = docs.select(others.alias("row"), utf8("text").alias("text"), F.lit(0.0).alias("score"))
     train = docs.where(training).select(utf8("text").alias("text"))
     counted = settle(train.mapInArrow(_counter, "token binary, code long, n long").groupBy("token", "code").agg(F.sum("n").alias("n")))
     words, codes = counted.where(F.col("token").isNotNull()), counted.where(F.col("token").isNull())
@@ -261,7 +266,14 @@ def score(docs: DataFrame, training: Column, entries: int = ENTRIES, frequent: i
         trie = Trie(short, _arrays(codes.where(place == block)), block, blocks)
         scored = scored.mapInArrow(_adder(spark.sparkContext.broadcast(trie)), with_row(texts, "text binary, score double"))
 
-    top = words.orderBy(F.desc("n"), "token").limit(frequent).collect()
+    scale = F.floor(F.log2("n")).cast("int")
+    left, least = frequent, 63
+    for r in words.groupBy(scale.alias("scale")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("scale")).collect():
+        left -= r["words"]
+        if left < 0:
+            break
+        least = r["scale"]
+    top = words.where(scale >= least).collect()  # at most ``frequent`` rows
     known = {bytes(r["token"]): math.log10((r["n"] + 1) / size) for r in top}
     fields = "score double, n_tokens long, n_known long, base double, rare array<struct<token:binary,n:long>>"
     parts = settle(scored.mapInArrow(_word_scorer(spark.sparkContext.broadcast(known)), with_row(texts, fields)))
