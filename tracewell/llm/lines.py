@@ -206,20 +206,29 @@ def aligned(places: np.ndarray, others: np.ndarray, alone: np.ndarray, earlier:
     return out
 
 
-def doomed(doc: int, hashes: np.ndarray, words: np.ndarray, opens: np.ndarray, first_doc: np.ndarray, first_meta: np.ndarray, most: int) -> np.ndarray:
-    """Mask of the lines of one document that are deleted. ``first_doc`` is each line's first holder
-    (the document itself if there is no earlier one), ``first_meta`` its place there."""
+def in_long_runs(owner: np.ndarray, words: np.ndarray, earlier: np.ndarray, most: int) -> np.ndarray:
+    """Lines in unbroken runs of lines that earlier documents hold, of a length that can hold a block to delete."""
+    if not len(words):
+        return earlier
+    change = np.ones(len(words), bool)
+    change[1:] = (owner[1:] != owner[:-1]) | (earlier[1:] != earlier[:-1])
+    run = np.cumsum(change) - 1
+    return earlier & (np.bincount(run, words)[run] + 2 * (WINDOW - 1) > most)
+
+
+def doomed(hashes: np.ndarray, words: np.ndarray, opens: np.ndarray, first_doc: np.ndarray, first_meta: np.ndarray, earlier: np.ndarray, most: int) -> np.ndarray:
+    """Mask of the lines of one document that are deleted. ``first_doc`` is each line's first holder,
+    ``first_meta`` its place there, ``earlier`` the lines ``in_long_runs``."""
     out = np.zeros(len(hashes), bool)
-    earlier = first_doc < doc
-    slack = 2 * (WINDOW - 1)
-    if words[earlier].sum() + slack <= most:
-        return out
     _, slot, times = np.unique(hashes, return_inverse=True, return_counts=True)
     once = times[slot] == 1
     ends = np.append(opens[1:], True)
     total = np.concatenate([[0], np.cumsum(words)])
-    for other in np.unique(first_doc[earlier]).tolist():
-        mine = np.flatnonzero(first_doc == other)
+    others, of, lines_of = np.unique(first_doc[earlier], return_inverse=True, return_counts=True)
+    words_of = np.bincount(of, words[earlier], len(others))
+    # a single line makes a block by itself or none
+    for other in others[(lines_of > 1) | (words_of + 2 * (WINDOW - 1) > most)].tolist():
+        mine = np.flatnonzero((first_doc == other) & earlier)
         alone = once[mine] & (first_meta[mine] % 2 == 1)
         for a, b in aligned(mine, first_meta[mine] // 2, alone, earlier):
             # a passage that starts or ends inside a line reaches up to WINDOW - 1 words further
@@ -257,19 +266,24 @@ def _edit(shared, most: int):
         h = h[order]
         doc = np.concatenate([right["first_doc"].to_numpy(), hot_doc])[order]
         meta = np.concatenate([right["first_meta"].to_numpy(), hot_meta])[order]
-        ids, texts = left["doc_id"].to_pylist(), left["text"].to_pylist()
+        texts = left["text"].to_pylist()
+        ids = left["doc_id"].fill_null(np.iinfo(np.int64).min).to_numpy()  # before any other: nothing is earlier
         new, n_words, n_deleted, spans = [], [], [], []
         for first, last, lines in runs(texts):
             cuts = np.searchsorted(lines.owner, np.arange(last - first + 1))
             at = np.searchsorted(h, lines.hash).clip(max=max(len(h) - 1, 0))
             known = h[at] == lines.hash if len(h) else np.zeros(len(lines.hash), bool)
+            own = ids[first:last][lines.owner]
+            holder = np.where(known, doc[at], own) if len(h) else own
+            place = meta[at] if len(h) else np.zeros(len(own), np.int64)
+            earlier = in_long_runs(lines.owner, lines.words, holder < own, most)
+            able = np.bincount(lines.owner[earlier], minlength=last - first) > 0
             for k in range(last - first):
-                some, text, doc_id = slice(cuts[k], cuts[k + 1]), texts[first + k], ids[first + k]
+                some, text = slice(cuts[k], cuts[k + 1]), texts[first + k]
                 words = lines.words[some]
                 gone = np.zeros(len(words), bool)
-                if doc_id is not None and known[some].any():
-                    holder = np.where(known[some], doc[at[some]] if len(h) else doc_id, doc_id)
-                    gone = doomed(doc_id, lines.hash[some], words, lines.opens[some], holder, meta[at[some]], most)
+                if able[k]:
+                    gone = doomed(lines.hash[some], words, lines.opens[some], holder[some], place[some], earlier[some], most)
                 left_over, cut_out = without(text, lines.start[some], lines.opens[some], gone) if gone.any() else (text, [])
                 new.append(left_over.decode("utf-8", "replace"))
                 n_words.append(int(words.sum()))
