@@ -210,3 +210,19 @@ def test_replay_window_fails_without_its_checkpoint(spark):
         sessions.replay_window(ev, from_sig="zz").collect()
     with pytest.raises(ValueError):
         sessions.replay_window(ev, seq_from=5, seq_to=2)
+
+
+def test_line_trimming_stays_linear(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from tracewell.functions import text as tx
+
+    blanks = "a" + " " * 100_000 + "b" + " " * 100_000
+    row = spark.createDataFrame([(blanks, " \n x \t\n ")], "long string, short string").cache()
+    row.count()
+    start = time.perf_counter()
+    got = row.select(tx.normalize_whitespace(F.col("long")).alias("n"), tx.strip(F.col("long")).alias("s"), tx.strip(F.col("short")).alias("t")).first()
+    assert time.perf_counter() - start < 5
+    assert got["n"] == got["s"] == "a" + " " * 100_000 + "b" and got["t"] == "x"

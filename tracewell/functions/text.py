@@ -9,7 +9,7 @@ from tracewell.functions.similarity import block_ratio
 
 # Box-drawing characters and their plain forms.
 BOX_CHARACTERS = "─━│┃┌┏┐┓└┗┘┛├┣┤┫┬┳┴┻┼╋═║╔╗╚╝╠╣╦╩╬"
-BOX_PLAIN = "--||" + "+" * 18 + "=|" + "+" * 9
+BOX_PLAIN = "--||++++++++++++++++++=|+++++++++"
 
 # Fields that change on every run, masked before screens are compared.
 VOLATILE_MASKS = (
@@ -20,16 +20,19 @@ VOLATILE_MASKS = (
     (r"(?i)(?:ibm aix \(common\)|linux x86) *", "##PLATAFORMA##"),
 )
 
+# blanks at the end of a line; a run is tried from its beginning only and never given back
+LINE_TAIL = r"(?U)(?<![^\S\n])[^\S\n]++(?=\n|\z)"
+
 LABEL = r"([A-Za-zÀ-ÿ][0-9A-Za-zÀ-ÿ _]{1,20}):"
 
 
 def strip(text: Column) -> Column:
     """Trim any Unicode white space on both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, r"(?U)\A\s++|(?<!\s)\s++\z", "")
 
 
 def rstrip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\s+$", "")
+    return F.regexp_replace(text, r"(?U)(?<!\s)\s++\z", "")
 
 
 def lines(text: Column) -> Column:
@@ -49,7 +52,7 @@ def normalize_whitespace(text: Column) -> Column:
 
     Works on the whole text with two replacements, so its cost stays linear.
     """
-    trimmed = F.regexp_replace(unify_newlines(text), r"(?U)[^\S\n]+(?=\n|\z)", "")
+    trimmed = F.regexp_replace(unify_newlines(text), LINE_TAIL, "")
     # a run of n line ends is n blank lines at either end of the text, n - 1 inside it
     inside = F.regexp_replace(trimmed, r"(?<=[^\n])\n{3,}(?=[^\n])", "\n\n")
     ends = F.regexp_replace(inside, r"\A\n{2,}|\n{2,}\z", "\n")
@@ -107,7 +110,7 @@ def mask_volatile(text: Column) -> Column:
 
 def comparable_screen(text: Column) -> Column:
     """Text of a screen as it is compared: right trim, no blank tail, masks, lower case."""
-    trimmed = F.regexp_replace(unify_newlines(text), r"(?U)[^\S\n]+(?=\n|\z)", "")
+    trimmed = F.regexp_replace(unify_newlines(text), LINE_TAIL, "")
     return F.lower(mask_volatile(F.regexp_replace(trimmed, r"\n+\z", "")))
 
 

@@ -116,12 +116,32 @@ def joined_tables(lines: DataFrame) -> DataFrame:
 
 # SQL types and their plain names.
 SQL_TYPES = {
-    "integer": "integer int bigint smallint tinyint serial",
-    "decimal": "numeric decimal float double real money",
-    "text": "varchar char character text clob memo blob time",
+    "integer": "integer",
+    "int": "integer",
+    "bigint": "integer",
+    "smallint": "integer",
+    "tinyint": "integer",
+    "serial": "integer",
+    "numeric": "decimal",
+    "decimal": "decimal",
+    "float": "decimal",
+    "double": "decimal",
+    "real": "decimal",
+    "money": "decimal",
+    "varchar": "text",
+    "char": "text",
+    "character": "text",
+    "text": "text",
+    "clob": "text",
+    "memo": "text",
+    "blob": "text",
     "date": "date",
-    "datetime": "datetime timestamp",
-    "boolean": "boolean bool bit",
+    "datetime": "datetime",
+    "timestamp": "datetime",
+    "time": "text",
+    "boolean": "boolean",
+    "bool": "boolean",
+    "bit": "boolean",
 }
 
 
@@ -146,8 +166,8 @@ def table_definitions(files: DataFrame) -> DataFrame:
     name = F.regexp_extract("line", r"^\s*(\w+)\s+(\w+)", 1)
     declared = F.lower(F.regexp_extract("line", r"^\s*(\w+)\s+(\w+)", 2))
     plain = F.lit("text")
-    for kind, given in SQL_TYPES.items():
-        plain = F.when(declared.isin(*given.split()), kind).otherwise(plain)
+    for given, kind in SQL_TYPES.items():
+        plain = F.when(declared == given, kind).otherwise(plain)
     return rows.where(
         (F.col("line") != "") & ~F.upper("line").rlike("^(PRIMARY|FOREIGN|CONSTRAINT|INDEX|UNIQUE|CHECK)") & (name != "")
     ).select(

@@ -11,26 +11,80 @@ from pyspark.sql import functions as F
 from tracewell.functions import naming
 from tracewell.plans import ordered
 
-# Meaning of the tokens of a field name (category, data type, weight, tokens).
-TOKEN_WEIGHTS = (
-    ("cpf", "text", 0.95, "cpf"), ("cnpj", "text", 0.95, "cnpj"), ("rg", "text", 0.90, "rg"), ("rg", "text", 0.85, "identidade"),
-    ("cep", "text", 0.90, "cep"), ("cep", "text", 0.85, "postal"), ("cep", "text", 0.80, "zip"),
-    ("email", "text", 0.90, "email"), ("email", "text", 0.85, "mail"),
-    ("phone", "text", 0.90, "telefone fone celular"), ("phone", "text", 0.85, "tel phone cel"),
-    ("name", "text", 0.85, "nome razao fantasia"), ("name", "text", 0.80, "name"),
-    ("address", "text", 0.85, "endereco"), ("address", "text", 0.80, "logradouro"), ("address", "text", 0.75, "end rua"),
-    ("neighborhood", "text", 0.80, "bairro"), ("city", "text", 0.80, "cidade municipio"), ("city", "text", 0.75, "city"),
-    ("state", "text", 0.85, "uf estado"), ("state", "text", 0.80, "state"),
-    ("date", "date", 0.85, "data dt"), ("date", "date", 0.80, "date dta dat"), ("time", "text", 0.80, "hora"),
-    ("code", "integer", 0.85, "codigo cod"), ("code", "integer", 0.80, "cd id chave"),
-    ("money", "decimal", 0.80, "valor vlr preco total saldo"),
-    ("quantity", "integer", 0.80, "quantidade qtd qtde estoque"),
-    ("measure", "decimal", 0.75, "peso"), ("measure", "decimal", 0.70, "altura volume"), ("measure", "decimal", 0.65, "metros kg"),
-    ("enum", "text", 0.70, "status situacao"), ("enum", "text", 0.65, "tipo"),
-    ("text", "text", 0.70, "obs observacao descricao"), ("text", "text", 0.65, "desc complemento"),
-    ("boolean", "boolean", 0.80, "flag flg ativo inativo"), ("boolean", "boolean", 0.75, "indicador"), ("boolean", "boolean", 0.70, "ind"),
-    ("code", "text", 0.60, "numero"), ("code", "text", 0.55, "num"),
-)
+# Meaning of the tokens of a field name (token: category, data type, weight).
+TOKEN_WEIGHTS = {
+    "cpf": ("cpf", "text", 0.95),
+    "cnpj": ("cnpj", "text", 0.95),
+    "rg": ("rg", "text", 0.90),
+    "identidade": ("rg", "text", 0.85),
+    "cep": ("cep", "text", 0.90),
+    "postal": ("cep", "text", 0.85),
+    "zip": ("cep", "text", 0.80),
+    "email": ("email", "text", 0.90),
+    "mail": ("email", "text", 0.85),
+    "telefone": ("phone", "text", 0.90),
+    "fone": ("phone", "text", 0.90),
+    "tel": ("phone", "text", 0.85),
+    "phone": ("phone", "text", 0.85),
+    "celular": ("phone", "text", 0.90),
+    "cel": ("phone", "text", 0.85),
+    "nome": ("name", "text", 0.85),
+    "name": ("name", "text", 0.80),
+    "razao": ("name", "text", 0.85),
+    "fantasia": ("name", "text", 0.85),
+    "endereco": ("address", "text", 0.85),
+    "end": ("address", "text", 0.75),
+    "logradouro": ("address", "text", 0.80),
+    "rua": ("address", "text", 0.75),
+    "bairro": ("neighborhood", "text", 0.80),
+    "cidade": ("city", "text", 0.80),
+    "city": ("city", "text", 0.75),
+    "municipio": ("city", "text", 0.80),
+    "uf": ("state", "text", 0.85),
+    "estado": ("state", "text", 0.85),
+    "state": ("state", "text", 0.80),
+    "data": ("date", "date", 0.85),
+    "dt": ("date", "date", 0.85),
+    "date": ("date", "date", 0.80),
+    "dta": ("date", "date", 0.80),
+    "dat": ("date", "date", 0.80),
+    "hora": ("time", "text", 0.80),
+    "codigo": ("code", "integer", 0.85),
+    "cod": ("code", "integer", 0.85),
+    "cd": ("code", "integer", 0.80),
+    "id": ("code", "integer", 0.80),
+    "chave": ("code", "integer", 0.80),
+    "valor": ("money", "decimal", 0.80),
+    "vlr": ("money", "decimal", 0.80),
+    "preco": ("money", "decimal", 0.80),
+    "total": ("money", "decimal", 0.80),
+    "saldo": ("money", "decimal", 0.80),
+    "quantidade": ("quantity", "integer", 0.80),
+    "qtd": ("quantity", "integer", 0.80),
+    "qtde": ("quantity", "integer", 0.80),
+    "estoque": ("quantity", "integer", 0.80),
+    "peso": ("measure", "decimal", 0.75),
+    "altura": ("measure", "decimal", 0.70),
+    "volume": ("measure", "decimal", 0.70),
+    "metros": ("measure", "decimal", 0.65),
+    "kg": ("measure", "decimal", 0.65),
+    "status": ("enum", "text", 0.70),
+    "situacao": ("enum", "text", 0.70),
+    "tipo": ("enum", "text", 0.65),
+    "obs": ("text", "text", 0.70),
+    "observacao": ("text", "text", 0.70),
+    "descricao": ("text", "text", 0.70),
+    "desc": ("text", "text", 0.65),
+    "complemento": ("text", "text", 0.65),
+    "flag": ("boolean", "boolean", 0.80),
+    "flg": ("boolean", "boolean", 0.80),
+    "indicador": ("boolean", "boolean", 0.75),
+    "ind": ("boolean", "boolean", 0.70),
+    "ativo": ("boolean", "boolean", 0.80),
+    "inativo": ("boolean", "boolean", 0.80),
+    "numero": ("code", "text", 0.60),
+    "num": ("code", "text", 0.55),
+}
 # Meaning inside an entity (part of its name, token, category, data type, weight).
 CONTEXT_WEIGHTS = (
     ("cliente", "documento", "cpf", "text", 0.85), ("cliente", "doc", "cpf", "text", 0.80), ("cliente", "numero", "cpf", "text", 0.70),
@@ -45,7 +99,7 @@ CONTEXT_BONUS = 1.2
 
 
 def token_dictionary() -> dict[str, tuple[str, str, float]]:
-    return {t: (cat, kind, w) for cat, kind, w, words in TOKEN_WEIGHTS for t in words.split()}
+    return dict(TOKEN_WEIGHTS)
 
 
 def name_tokens(name: Column) -> Column:
@@ -532,19 +586,27 @@ BUSINESS_FLOWS = (
 )
 # Beginnings of technical names by business name, in order.
 BUSINESS_NAMES = (
-    ("cliente", "cad cliente clientes ccadpes cadtra cadusu"), ("produto", "epp prod produto produtos ean audit_ean"),
-    ("pedido", "ped pedido pedidos"), ("nota", "fat nota nf faturamento notafiscal"),
-    ("duplicata", "cre dup duplicata contasreceber receber"), ("vendedor", "ven vendedor vendedores"),
-    ("fornecedor", "forn fornecedor fornecedores forn_sul"), ("compra", "cmp compra compras oc ordemcompra"),
-    ("estoque", "est estoque movest inventario"), ("empresa", "emp empresa empresas matriz"),
-    ("filial", "fil filial filiais loja uni"), ("funcionario", "fun funcionario funcionarios usuario cadusu confususis"),
-    ("contapagar", "cpa contapagar pagamento"), ("banco", "ban banco bancos"), ("tributacao", "trib fiscal imposto icms ipi"),
+    ("cliente", ("cad", "cliente", "clientes", "ccadpes", "cadtra", "cadusu")),
+    ("produto", ("epp", "prod", "produto", "produtos", "ean", "audit_ean")),
+    ("pedido", ("ped", "pedido", "pedidos")),
+    ("nota", ("fat", "nota", "nf", "faturamento", "notafiscal")),
+    ("duplicata", ("cre", "dup", "duplicata", "contasreceber", "receber")),
+    ("vendedor", ("ven", "vendedor", "vendedores")),
+    ("fornecedor", ("forn", "fornecedor", "fornecedores", "forn_sul")),
+    ("compra", ("cmp", "compra", "compras", "oc", "ordemcompra")),
+    ("estoque", ("est", "estoque", "movest", "inventario")),
+    ("empresa", ("emp", "empresa", "empresas", "matriz")),
+    ("filial", ("fil", "filial", "filiais", "loja", "uni")),
+    ("funcionario", ("fun", "funcionario", "funcionarios", "usuario", "cadusu", "confususis")),
+    ("contapagar", ("cpa", "contapagar", "pagamento")),
+    ("banco", ("ban", "banco", "bancos")),
+    ("tributacao", ("trib", "fiscal", "imposto", "icms", "ipi")),
 )
 
 
 def business_name(name: Column) -> Column:
     low = F.lower(F.trim(name))
-    return F.coalesce(*[F.when(low.rlike("^(?:" + "|".join(w.split()) + ")"), n) for n, w in BUSINESS_NAMES], low)
+    return F.coalesce(*[F.when(low.rlike("^(?:" + "|".join(w) + ")"), n) for n, w in BUSINESS_NAMES], low)
 
 
 def rule_coverage(systems: DataFrame) -> DataFrame:

@@ -229,8 +229,8 @@ def compare_runs(runs: DataFrame, failures: DataFrame, baselines: DataFrame) ->
 
 
 def newest_runs(runs: DataFrame, limit: int | None) -> DataFrame:
-    """The run cap of a report; it is applied before any filter."""
-    return runs if limit is None else runs.orderBy(F.desc("run_id")).limit(max(1, min(limit, 200)))
+    """The newest ``limit`` runs of a report, chosen before any filter; without it all."""
+    return runs if limit is None else runs.orderBy(F.desc("run_id")).limit(max(1, limit))
 
 
 def environment_trend(

@@ -558,17 +558,16 @@ def decoded_output(events: DataFrame, encoding: Column) -> DataFrame:
 
 CHECKPOINT_EVENTS = 250
 CHECKPOINT_MS = 3000
-CHECKPOINT_LIMIT = 2000
 
 
-def place_checkpoints(outputs: DataFrame) -> DataFrame:
+def place_checkpoints(outputs: DataFrame, limit: int | None = None) -> DataFrame:
     """Which output events of a session get a full checkpoint, with the reason.
 
     ``outputs`` has session_id, seq_global, ts_ms and the flags reset, resize and clear.
     The first event, every 250th and resets, resizes and clears are fixed picks.  The
     rule "three seconds after the last pick" only looks back to the latest fixed pick,
     so it folds over stretches of at most 250 events, all independent of each other.
-    At most 2 000 per session, as the player shows.
+    ``limit`` keeps so many per session, as a player may show; without it all are kept.
     """
     hot = ordered.hot_keys(outputs, ["session_id"], "seq_global")
     numbered = ordered.scan(outputs, ["session_id"], ["seq_global"], hot, out_no=ordered.row_number())
@@ -601,5 +600,7 @@ def place_checkpoints(outputs: DataFrame) -> DataFrame:
         .select("session_id", F.explode(F.aggregate("events", start, step)["picks"]).alias("p"))
         .select("session_id", "p.*")
     )
+    if limit is None:
+        return picks
     ranked = ordered.scan(picks, ["session_id"], ["seq_global"], hot, place=ordered.row_number())
-    return ranked.where(F.col("place") <= CHECKPOINT_LIMIT).drop("place")
+    return ranked.where(F.col("place") <= limit).drop("place")

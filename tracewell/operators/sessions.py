@@ -236,9 +236,9 @@ def search_sessions(
     text: str = "",
     started_from: int = 0,
     last_to: int = 0,
-    limit: int = 100,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Newest matching sessions (at most 500, as the listing shows)."""
+    """Matching sessions; the newest ``limit`` of them, or all."""
     found = sessions
     for name, wanted in (("actor", actor), ("session_id", session_id)):
         if wanted.strip():
@@ -251,7 +251,7 @@ def search_sessions(
         found = found.where(F.col("started_at_ms") >= started_from)
     if last_to > 0:
         found = found.where(F.col("last_ts_ms") <= last_to)
-    return found.orderBy(F.desc("last_ts_ms"), "session_id").limit(max(1, min(limit, 500)))
+    return found if limit is None else found.orderBy(F.desc("last_ts_ms"), "session_id").limit(max(1, limit))
 
 
 def attention(*fields: str) -> Column:
@@ -285,16 +285,16 @@ def top_types(events: DataFrame, k: int = 5) -> DataFrame:
 
 def timeline(
     events: DataFrame, session_id: str, seq_from: int = 0, seq_to: int = 0, ts_from: int = 0, ts_to: int = 0,
-    limit: int = 200,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Slice of one session in event order (at most 500 rows, as the page shows)."""
+    """Slice of one session: its first ``limit`` events in order, or all."""
     part = events.where(F.col("session_id") == session_id)
     for name, low, high in (("seq_global", seq_from, seq_to), ("ts_ms", ts_from, ts_to)):
         if low:
             part = part.where(F.col(name) >= low)
         if high:
             part = part.where(F.col(name) <= high)
-    return part.orderBy("seq_global", "seq_session", "ts_ms").limit(max(1, min(limit, 500)))
+    return part if limit is None else part.orderBy("seq_global", "seq_session", "ts_ms").limit(max(1, limit))
 
 
 def replay_window(
@@ -378,17 +378,15 @@ def session_index(events: DataFrame) -> DataFrame:
 
 
 def playback_page(
-    events: DataFrame, offset: int | None, limit: int | None, full_limit: int = 20_000, page: int = 1_000
+    events: DataFrame, offset: int | None = None, limit: int | None = None
 ) -> DataFrame:
     """Byte events of each session inside the page, with session totals and the last OUT before the page.
 
-    Without offset and limit the whole session is returned, unless it holds more
-    than ``full_limit`` byte events: then the first ``page`` and a truncated flag.
+    Without offset and limit whole sessions are returned; ``windowed`` tells that a page was asked for.
     """
     ordinals = session_index(events).where(F.col("byte_ordinal").isNotNull())
     explicit = offset is not None or limit is not None
     start = max(0, offset or 0) if explicit else 0
-    stop = start + max(1, limit or page) if explicit else page
     before = F.when((F.col("byte_ordinal") < start) & (F.col("direction") == "out"), F.col("byte_ordinal"))
     totals = ordinals.groupBy("session_id").agg(
         F.count(F.lit(1)).alias("total_byte_events"),
@@ -396,17 +394,16 @@ def playback_page(
         F.sum(F.when(F.col("direction") == "out", F.col("decoded_len")).otherwise(0)).alias("total_out"),
         F.max(before).alias("base_out_ordinal"),
     )
-    huge = F.col("total_byte_events") > full_limit
-    inside = (F.col("byte_ordinal") >= start) & (F.col("byte_ordinal") < stop)
-    if not explicit:
-        inside = ~huge | inside
+    inside = F.col("byte_ordinal") >= start
+    if limit is not None:
+        inside &= F.col("byte_ordinal") < start + max(1, limit)
     return (
         ordinals.join(totals, "session_id")
         .where(inside)
         .select(
             "session_id", "seq_global", "byte_ordinal", "direction", "decoded_len", "total_byte_events",
             "total_in", "total_out", F.coalesce("base_out_ordinal", F.lit(-1)).cast("long").alias("base_out_ordinal"),
-            (F.lit(explicit) | huge).alias("windowed"),
+            F.lit(explicit).alias("windowed"),
         )
     )
 

@@ -228,7 +228,7 @@ def _systems_sql() -> str:
 def _business_sql() -> str:
     from tracewell.operators.knowledge import BUSINESS_NAMES
 
-    cases = " ".join("WHEN regexp_matches(entity, '^(?:" + "|".join(w.split()) + f")') THEN '{n}'" for n, w in BUSINESS_NAMES)
+    cases = " ".join("WHEN regexp_matches(entity, '^(?:" + "|".join(w) + f")') THEN '{n}'" for n, w in BUSINESS_NAMES)
     return f"bn AS (SELECT DISTINCT system, CASE {cases} ELSE entity END AS entity FROM sy)"
 
 

@@ -502,13 +502,12 @@ def attention_flag(spark, sf):
     t.with_tables(t.AUDIT_SQL, _SUMMARY)
     + """SELECT session_id, actor, last_ts_ms, event_count FROM summary
          WHERE contains(actor, 'u') AND list_contains(string_split(event_types, ','), 'session_end')
-           AND contains(session_id, '1') AND started_at_ms >= 1704067200000
-         ORDER BY last_ts_ms DESC, session_id LIMIT 500""",
+           AND contains(session_id, '1') AND started_at_ms >= 1704067200000""",
 )
 def session_search(spark, sf):
     summary = sessions.summarize_sessions(t.audit_events(spark, sf))
     found = sessions.search_sessions(
-        summary, actor="U", session_id="1", event_type="session_end", started_from=1704067200000, limit=9999
+        summary, actor="U", session_id="1", event_type="session_end", started_from=1704067200000
     )
     return found.select("session_id", "actor", "last_ts_ms", "event_count")
 
@@ -516,8 +515,7 @@ def session_search(spark, sf):
 @query(
     "prj06_session_timeline",
     t.with_tables(t.AUDIT_SQL)
-    + """SELECT seq_global, seq_session, ts_ms, type FROM ae WHERE session_id = 's8' AND seq_global >= 100
-         ORDER BY seq_global LIMIT 200""",
+    + """SELECT seq_global, seq_session, ts_ms, type FROM ae WHERE session_id = 's8' AND seq_global >= 100""",
 )
 def session_timeline(spark, sf):
     one = t.audit_events(spark, sf, seq_session=True)
@@ -585,7 +583,7 @@ def playback_page(spark, sf):
         t.AUDIT_SQL,
         """f AS (SELECT 's' || (l_partkey % 150) AS session_id, l_orderkey % 10000 AS seq_global, count(*) AS n,
              min(CASE l_returnflag WHEN 'R' THEN 'timeout' WHEN 'A' THEN 'screen_divergence' ELSE 'checkpoint_mismatch' END) AS ft
-           FROM lineitem WHERE l_discount > 0.05 GROUP BY 1, 2)""",
+           FROM lineitem GROUP BY 1, 2)""",
     )
     + """SELECT ae.session_id, ae.seq_global, CASE WHEN f.n IS NOT NULL THEN 'failure' WHEN type = 'bytes' THEN 'io' ELSE type END AS event_kind,
          coalesce(f.n, 0) AS linked_failures, f.ft AS first_failure_type
