@@ -1,4 +1,5 @@
 import random
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
@@ -39,6 +40,45 @@ def test_split_keys_give_the_same_running_values(spark):
 _COLUMNS = ("k", "o", "no", "total", "high", "before", "after", "known", "coming")
 
 
+@pytest.mark.parametrize("case", ["outlier", "equal_beginnings", "ties", "nulls", "timestamps"])
+def test_ranges_of_a_huge_key_are_even(spark, case):
+    at = {
+        "outlier": lambda i: (float(i) if i else 1e12, i),
+        "equal_beginnings": lambda i: (f"session-{i:06d}", i),
+        "ties": lambda i: (7 if i % 10 else i, i),
+        "nulls": lambda i: (None if i % 3 else i, i),
+        "timestamps": lambda i: (datetime(2024, 10, 27) + timedelta(minutes=i), i),
+    }[case]
+    kind = {"outlier": "double", "equal_beginnings": "string", "timestamps": "timestamp"}.get(case, "bigint")
+    rows = [("hot", *at(i), i) for i in range(1001)] + [("small", at(1)[0], i, i) for i in range(30)]
+    df = spark.createDataFrame(rows, f"k string, o {kind}, p bigint, v bigint")
+    outputs = {"no": ordered.row_number(), "total": ordered.running_sum(F.col("v")), "before": ordered.lag(F.col("p")), "coming": ordered.next_known(F.col("v"))}
+    plain = {tuple(r) for r in ordered.scan(df, ["k"], ["o", "p"], **outputs).collect()}
+    spark.conf.set("spark.tracewell.hotRows", "100")
+    try:
+        cuts = ordered.hot_keys(df, ["k"], ["o", "p"])
+        split = {tuple(r) for r in ordered.scan(df, ["k"], ["o", "p"], **outputs).collect()}
+    finally:
+        spark.conf.unset("spark.tracewell.hotRows")
+    assert split == plain and len(split) == len(rows)
+    sizes = [r["count"] for r in ordered.with_range(df, ["k"], ["o", "p"], cuts).where("k = 'hot'").groupBy("__range").count().collect()]
+    assert len(sizes) >= 30 and max(sizes) <= 2 * 1001 / len(sizes)
+
+
+def test_bounds_from_a_sample(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "LOOKS", 8)
+    df = spark.range(40_000).select(F.lit(1).alias("k"), F.concat(F.lit("s"), F.lpad("id", 6, "0")).alias("o"))
+    spark.conf.set("spark.tracewell.hotRows", "4000")
+    try:
+        cuts = ordered.hot_keys(df, ["k"], ["o"])
+        out = ordered.scan(df, ["k"], ["o"], no=ordered.row_number())
+        assert out.where(F.col("no") != F.substring("o", 2, 6).cast("int") + 1).count() == 0
+    finally:
+        spark.conf.unset("spark.tracewell.hotRows")
+    sizes = [r["count"] for r in ordered.with_range(df, ["k"], ["o"], cuts).groupBy("__range").count().collect()]
+    assert sum(sizes) == 40_000 and 25 <= len(sizes) <= 60 and max(sizes) < 4000
+
+
 def test_neighbours_across_blocks(spark):
     df = spark.range(1, 51).select(F.lit("a").alias("k"), F.col("id").alias("pos"))
     out = ordered.neighbours(df, ["k"], "pos", 2, 3, block=8, near=F.collect_list("pos")).collect()

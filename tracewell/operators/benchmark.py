@@ -165,7 +165,7 @@ def downgrade_transients(samples: DataFrame, keys: list[str], order: list[str])
     then text divergences whose next checked step matched (late screen).
     """
     diverged = F.coalesce("functional_divergence", F.lit(False))
-    hot = ordered.hot_keys(samples, keys, order[0])
+    hot = ordered.hot_keys(samples, keys, order)
     ahead = ordered.scan(
         samples, keys, order, hot,
         __next_ok=ordered.lead(F.col("screen_sig_checked") & ~diverged),

@@ -516,8 +516,7 @@ def pacing_plan(inputs: DataFrame, speed: float, ramp_per_sec: float, users: int
     )
     timed = ordered.scan(gaps, ["session_id"], ["seq_global"], hot, offset_ms=ordered.running_sum(F.col("wait_ms")))
     starts = inputs.select("session_id").distinct().withColumn("plan", F.lit("plan"))
-    starts = starts.withColumn("place", ordered.text_place(F.col("session_id")))
-    ranked = ordered.scan(starts, ["plan"], ["place", "session_id"], session_rank=ordered.row_number())
+    ranked = ordered.scan(starts, ["plan"], ["session_id"], session_rank=ordered.row_number())
     digits = F.expr("transform(split(sha2(session_id, 256), ''), c -> conv(c, 16, 10))")
     modulo = F.aggregate(digits, F.lit(0).cast("long"), lambda acc, d: (acc * 16 + d.cast("long")) % users)
     ranked = ranked.select(

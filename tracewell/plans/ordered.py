@@ -1,14 +1,15 @@
 """Running values over an ordered group that stay distributed when one group is huge.
 
 ``Window.partitionBy(key)`` sends a whole key to one task.  So the size of the keys is
-checked first (a count over the key and order columns alone).  If no key exceeds the row
-limit, the plain window is used: one shuffle, shared by all scans of the same key.
-Keys above the limit are cut into ranges of the ordering column; the window runs per
-(key, range), and what earlier ranges contribute is added from a small per-range summary.
-
-Sizes are bounded by construction: at most ``MAX_HOT_KEYS`` keys are cut, each into at
-most ``RANGES_PER_LIMIT * rows / limit`` ranges.  Keys past that number are smaller than
-1/MAX_HOT_KEYS of the table and need no cut.
+checked first (a count over the key columns alone; one row comes back).  If no key exceeds
+the row limit, the plain window is used: one shuffle, shared by all scans of the same key.
+Keys above the limit are cut into ranges of the order columns, at quantiles of a sample of
+their rows; the window runs per (key, range), and what earlier ranges contribute is added
+from a small per-range summary.  Bounds decide only how rows are dealt, never a result.
+
+Sizes are bounded by construction: a key is cut if it holds more rows than the limit and
+more than one in ``SHARE`` of all rows, into ranges of a quarter of that.  So there are at
+most ``SHARE`` such keys and ``RANGES_PER_LIMIT * SHARE`` bounds at any size of the table.
 """
 
 from __future__ import annotations
@@ -17,12 +18,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewell.session import hot_rows
 
-MAX_HOT_KEYS = 20_000
-MAX_RANGES_PER_KEY = 20_000
+SHARE = 50_000
 RANGES_PER_LIMIT = 4
+#: Rows looked at for each range.
+LOOKS = 32
 
 _RANGE = "__range"
 
@@ -71,52 +74,67 @@ def next_known(value: Column, include_current: bool = False) -> Running:
     return Running("known", value, include_current, backward=True)
 
 
-def text_place(text: Column) -> Column:
-    """Number that sorts like the first seven bytes of a text, to range it by."""
-    head = F.rpad(F.substring(F.hex(text.cast("binary")), 1, 14), 14, "0")
-    return F.conv(head, 16, 10).cast("long")
-
-
 def _same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
-def hot_keys(df: DataFrame, keys: list[str], order: str) -> list[tuple]:
-    """Keys above the row limit: their values, bounds of the ordering column and number of ranges.
+@dataclass(frozen=True)
+class Cuts:
+    """Keys that are cut, one row each with the bounds of its ranges (no table: none), and the
+    largest number of bounds of a key."""
+
+    order: tuple[str, ...]
+    table: DataFrame | None = None
+    most: int = 0
 
-    Runs one aggregation; at most ``MAX_HOT_KEYS`` short rows come back.
-    """
-    limit = hot_rows(df.sparkSession)
-    counted = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__n"), F.min(order).alias("__lo"), F.max(order).alias("__hi"))
-        .where(F.col("__n") > limit)
-        .orderBy(F.desc("__n"))
-        .limit(MAX_HOT_KEYS)
-        .select(
-            *[F.col(k).alias(f"__hot_{k}") for k in keys],
-            F.col("__lo").cast("double").alias("__lo"),
-            (F.col("__hi").cast("double") - F.col("__lo").cast("double")).alias("__span"),
-            F.least(F.ceil(F.col("__n") * RANGES_PER_LIMIT / F.lit(limit)), F.lit(MAX_RANGES_PER_KEY))
-            .cast("long")
-            .alias("__k"),
-        )
-    )
-    return [counted.schema, *counted.collect()]
 
+def _position(order: list[str]) -> Column:
+    return F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
 
-def with_range(df: DataFrame, keys: list[str], order: str, hot: list[tuple]) -> DataFrame:
-    """Add the range number: 0 for ordinary keys, 1..k along the order for huge ones."""
-    schema, *rows = hot
-    table = df.sparkSession.createDataFrame(rows, schema)
-    on = None
+
+def _on_keys(left: DataFrame, right: DataFrame, keys: list[str], prefix: str) -> Column:
+    on = F.lit(True)
     for k in keys:
-        test = _same(df[k], table[f"__hot_{k}"])
-        on = test if on is None else on & test
-    place = F.floor((F.col(order).cast("double") - F.col("__lo")) / F.col("__span") * F.col("__k"))
-    inside = F.greatest(F.lit(0), F.least(place, F.col("__k") - 1)) + 1
-    ranged = F.when(F.col("__k").isNull(), F.lit(0)).when(F.col("__span") == 0, F.lit(1)).otherwise(inside)
-    joined = df.join(F.broadcast(table), on, "left")
+        on = on & _same(left[k], right[f"{prefix}{k}"])
+    return on
+
+
+def hot_keys(df: DataFrame, keys: list[str], order: str | list[str]) -> Cuts:
+    """Keys above the row limit and the bounds of their ranges.
+
+    One aggregation tells whether there are any.  Only then a sample of their rows is ranked
+    along ``order``, and every so many rows one becomes a bound.
+    """
+    order = [order] if isinstance(order, str) else list(order)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    total, largest = sizes.agg(F.sum("__n"), F.max("__n")).first()
+    least = max(hot_rows(df.sparkSession), (total or 0) // SHARE)
+    if (largest or 0) <= least:
+        return Cuts(tuple(order))
+    rows = max(1, least // RANGES_PER_LIMIT)
+    step = max(1, rows // LOOKS)
+    names = [f"__hot_{k}" for k in keys]
+    hot = sizes.where(F.col("__n") > least).select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)])
+    looked = df.where(F.rand(17) * step < 1) if step > 1 else df
+    looked = looked.join(F.broadcast(hot), _on_keys(looked, hot, keys, "__hot_")).select(*names, _position(order).alias("__at"))
+    place = F.row_number().over(Window.partitionBy(*names).orderBy("__at"))
+    chosen = looked.withColumn("__no", place).where(F.col("__no") % max(1, rows // step) == 0)
+    bounds = chosen.groupBy(*names).agg(F.collect_list("__at").alias("__bounds"))
+    found = bounds.collect()
+    table = df.sparkSession.createDataFrame(found, bounds.schema).withColumn("__bounds", F.sort_array("__bounds"))
+    return Cuts(tuple(order), table, max((len(r["__bounds"]) for r in found), default=0))
+
+
+def with_range(df: DataFrame, keys: list[str], order: list[str], cuts: Cuts) -> DataFrame:
+    """Add the range number: 0 for ordinary keys, from 1 along the order for those that are cut.
+
+    The range follows from the number of bounds up to a row's position, found by halving.
+    """
+    position = _position(order[: len(cuts.order)])
+    steps = F.array(*[F.lit(2**p) for p in reversed(range(max(1, cuts.most.bit_length())))])
+    upto = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get("__bounds", at + step - 1) <= position, at + step).otherwise(at))
+    joined = df.join(F.broadcast(cuts.table), _on_keys(df, cuts.table, keys, "__hot_"), "left")
+    ranged = F.when(F.col("__bounds").isNull(), F.lit(0)).otherwise(upto + 1)
     return joined.select(*df.columns, ranged.cast("long").alias(_RANGE))
 
 
@@ -138,24 +156,24 @@ def _plain(df: DataFrame, keys: list[str], order: list[str], outputs: dict[str,
 
 
 def scan(
-    df: DataFrame, keys: list[str], order: list[str], hot: list[tuple] | None = None, **outputs: Running
+    df: DataFrame, keys: list[str], order: list[str], hot: Cuts | None = None, **outputs: Running
 ) -> DataFrame:
     """``df`` plus running columns along ``order`` inside ``keys``.
 
-    ``order`` must identify a row inside its key, and its first column must be
-    numeric.  Pass ``hot`` (from ``hot_keys`` over the same rows or a superset) to
-    check the sizes once for several scans.
+    ``order`` must identify a row inside its key; its columns may have any type that
+    can be ordered.  Pass ``hot`` (from ``hot_keys`` over the same rows or a superset,
+    and the first or all order columns) to check the sizes once for several scans.
     """
     if hot is None:
-        hot = hot_keys(df, keys, order[0])
-    if len(hot) == 1:
+        hot = hot_keys(df, keys, order)
+    if hot.table is None:
         return _plain(df, keys, order, outputs)
     inputs, staged = [], {}
     for name, spec in outputs.items():
         if spec.value is not None:
             staged[name] = f"__in_{name}"
             inputs.append(spec.value.alias(staged[name]))
-    base = with_range(df.select("*", *inputs), keys, order[0], hot)
+    base = with_range(df.select("*", *inputs), keys, order, hot)
     along = [F.col(c).asc() for c in order]
     against = [F.col(c).desc() for c in order]
     parts = [*keys, _RANGE]
@@ -214,10 +232,10 @@ def scan(
             *carried,
         )
     )
-    on = windowed[_RANGE] == prefix["__pre_range"]
-    for k in keys:
-        on = on & _same(windowed[k], prefix[f"__pre_{k}"])
-    return windowed.join(F.broadcast(prefix), on, "left").select(*df.columns, *result)
+    on = (windowed[_RANGE] == prefix["__pre_range"]) & _on_keys(windowed, prefix, keys, "__pre_")
+    # the number of rows is bounded; values are small if they are numbers, others are left to AQE
+    numbers = all(isinstance(f.dataType, (T.NumericType, T.BooleanType)) for f in prefix.schema.fields[len(keys) :])
+    return windowed.join(F.broadcast(prefix) if numbers else prefix, on, "left").select(*df.columns, *result)
 
 
 def neighbours(

@@ -23,7 +23,7 @@ def exact_percentiles(
     known = df.where(F.col(value).isNotNull())
     hot = ordered.hot_keys(known, keys, value)
     more = [c.alias(n) for n, c in extra.items()]
-    if len(hot) == 1:
+    if hot.table is None:
         wanted = F.percentile(value, F.array(*[F.lit(float(p)) for p in points.values()]))
         grouped = df.groupBy(*keys).agg(wanted.alias("__p"), *more)
         picked = [F.get("__p", F.lit(i)).alias(n) for i, n in enumerate(points)]
@@ -44,14 +44,13 @@ def exact_percentiles(
         picks += [
             at(F.floor(place)).alias(f"__lo_{name}"),
             at(F.ceil(place)).alias(f"__hi_{name}"),
-            F.max(place - F.floor(place)).alias(f"__f_{name}"),
+            F.max(place).alias(f"__at_{name}"),
         ]
+    low, high, at_ = ({n: F.col(f"__{c}_{n}") for n in points} for c in ("lo", "hi", "at"))
+    # the same arithmetic as the built-in aggregate, so both ways agree to the last bit
+    between = {n: (F.ceil(at_[n]) - at_[n]) * low[n] + (at_[n] - F.floor(at_[n])) * high[n] for n in points}
     edges = joined.groupBy(*keys).agg(*picks).select(
-        *keys,
-        *[
-            (F.col(f"__lo_{n}") + (F.col(f"__hi_{n}") - F.col(f"__lo_{n}")) * F.col(f"__f_{n}")).alias(n)
-            for n in points
-        ],
+        *keys, *[F.when(low[n] == high[n], low[n].cast("double")).otherwise(between[n]).alias(n) for n in points]
     )
     return _join(totals, edges, keys, [*points, *extra])
 
