@@ -1,6 +1,7 @@
 import hashlib
 import hmac
 import json
+import random
 import re
 
 import pytest
@@ -226,3 +227,12 @@ def test_line_trimming_stays_linear(spark):
     got = row.select(tx.normalize_whitespace(F.col("long")).alias("n"), tx.strip(F.col("long")).alias("s"), tx.strip(F.col("short")).alias("t")).first()
     assert time.perf_counter() - start < 5
     assert got["n"] == got["s"] == "a" + " " * 100_000 + "b" and got["t"] == "x"
+
+
+def test_containing_against_every_pair(spark):
+    rng = random.Random(5)
+    texts = [(i, "".join(rng.choice("abc \n") for _ in range(rng.randint(0, 60)))) for i in range(80)] + [(900, None), (901, ""), (902, "abca"), (902, "abca")]
+    phrases = [(i, "".join(rng.choice("abc ") for _ in range(rng.randint(0, 6)))) for i in range(40)] + [(99, None)]
+    left, right = spark.createDataFrame(texts, "i int, text string"), spark.createDataFrame(phrases, "j int, phrase string")
+    got = sorted((r["i"], r["j"]) for r in knowledge.containing(left, right, "text", "phrase").collect())
+    assert got == sorted((i, j) for i, x in texts for j, y in phrases if x is not None and y and y in x)

@@ -451,7 +451,8 @@ def containing(texts: DataFrame, phrases: DataFrame, text: str, phrase: str) ->
     """Pairs of rows where the text contains the phrase, as an equi-join.
 
     The first (up to four) characters of a phrase are looked up among the pieces of that
-    length of each text; only those candidates are compared in full.
+    length of each text; only those candidates are compared in full.  Pieces carry a hash of
+    their text, so a text moves once, to its candidates.
     """
     reach = 4
     heads = phrases.where(F.length(phrase) > 0).withColumn("__piece", F.left(phrase, F.lit(reach)))
@@ -466,13 +467,10 @@ def containing(texts: DataFrame, phrases: DataFrame, text: str, phrase: str) ->
             ]
         )
     )
-    return (
-        texts.withColumn("__sizes", sizes)
-        .withColumn("__piece", F.explode(cut))
-        .join(heads, "__piece")
-        .where(F.contains(F.col(text), F.col(phrase)))
-        .drop("__piece", "__sizes")
-    )
+    mark = F.xxhash64(text).alias("__mark")
+    pieces = texts.withColumn("__sizes", sizes).select(mark, F.explode(cut).alias("__piece")).distinct()
+    found = pieces.join(heads, "__piece").drop("__piece")
+    return texts.select("*", mark).join(found, "__mark").where(F.contains(F.col(text), F.col(phrase))).drop("__mark")
 
 
 def bind_captures(screens: DataFrame, bindings: DataFrame, entities: DataFrame) -> DataFrame:
