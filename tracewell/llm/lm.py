@@ -24,6 +24,8 @@ ENTRIES = 2_000_000
 FREQUENT = 100_000
 #: Bytes of text that are turned into codes at once.
 CHUNK = 1_000_000
+#: Bytes of text whose codes are looked up together, in one block of contexts after the other.
+GROUP = 16_000_000
 #: A text is read as if it came after line ends; the last byte, which UTF-8 never uses, is its end.
 START, END = b"\n" * ORDER, b"\xff"
 TOKEN_ROWS, CODE_ROWS = 300_000, 2_000_000
@@ -174,55 +176,70 @@ class Trie:
         out[open_] -= np.log10(np.maximum(256 - known[open_], 1))
         return out
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """Summed log10 probabilities of the bytes of each text that are scored in this block."""
-        code, owner = codes_of(texts)
-        if self.blocks > 1:
-            mine = block_of(code.astype(np.int64), self.blocks) == self.number
-            code, owner = code[mine], owner[mine]
-        distinct, slot = np.unique(code, return_inverse=True)
-        return np.bincount(owner, self.log10(distinct)[slot], len(texts))
 
+def score_texts(texts: list[bytes], tries: list) -> Iterator[float]:
+    """The summed log10 probabilities of each text; ``tries`` are broadcast blocks.
 
-def _adder(shared):
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            score = np.asarray(batch.column("score")).copy()
-            for first, some in chunked(texts):
-                score[first : first + len(some)] += shared.value.score(some)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), pa.array(score)], names=["row", "text", "score"])
-
-    return add
+    The distinct codes of a group of texts are looked up in one block after the other, and a block is
+    let go before the next is read, so a task holds one block at a time however many there are.
+    """
+    parts, distinct = [], []
+    for _, some in chunked(texts):
+        code, owner = codes_of(some)
+        mine, slot = np.unique(code, return_inverse=True)
+        distinct.append(mine)
+        parts.append((slot.astype(np.int32), np.bincount(owner, minlength=len(some))))
+    codes = np.unique(np.concatenate(distinct))
+    value = np.empty(len(codes))
+    for shared in tries:
+        trie = shared.value
+        here = np.flatnonzero(block_of(codes.astype(np.int64), trie.blocks) == trie.number)
+        value[here] = trie.log10(codes[here])
+        if len(tries) > 1:
+            del trie
+            vars(shared).pop("_value", None)  # what a worker has read; read again from its disk when needed
+    for mine, (slot, lengths) in zip(distinct, parts, strict=True):
+        each = value[np.searchsorted(codes, mine)][slot]
+        yield from np.bincount(np.repeat(np.arange(len(lengths)), lengths), each, len(lengths)).tolist()
 
 
 RARE = pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())]))
 
 
-def _word_scorer(shared):
+def _word_scores(texts: list[bytes], known: dict[bytes, float]) -> list[tuple]:
+    """(n_tokens, n_known, base, rare) of each text; ``rare`` are the words that are not in ``known``."""
+    out = []
+    for text in texts:
+        words = Counter(tokens(text))
+        words[b""] += 1
+        found, value, rest = 0, 0.0, []
+        for word, n in words.items():
+            p = known.get(word)
+            if p is None:
+                rest.append({"token": word, "n": n})
+            else:
+                found += n
+                value += n * p
+        out.append((words.total(), found, value, rest))
+    return out
+
+
+def _scorer(tries: list, shared):
+    def rows(part: pa.RecordBatch) -> pa.RecordBatch:
+        texts = part.column("text").to_pylist()
+        n_tokens, n_known, base, rare = zip(*_word_scores(texts, shared.value), strict=True)
+        score = pa.array(score_texts(texts, tries), pa.float64())
+        out = [part.column("row"), score, pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(rare, RARE)]
+        return pa.RecordBatch.from_arrays(out, names=["row", "score", "n_tokens", "n_known", "base", "rare"])
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
         for batch in batches:
-            n_tokens, n_known, base, rare = [], [], [], []
-            for text in batch.column("text"):
-                words = Counter(tokens(text.as_py()))
-                words[b""] += 1
-                total = found = 0
-                value, rest = 0.0, []
-                for word, n in words.items():
-                    total += n
-                    p = known.get(word)
-                    if p is None:
-                        rest.append({"token": word, "n": n})
-                    else:
-                        found += n
-                        value += n * p
-                n_tokens.append(total)
-                n_known.append(found)
-                base.append(value)
-                rare.append(rest)
-            out = [batch.column("row"), batch.column("score"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(rare, RARE)]
-            yield pa.RecordBatch.from_arrays(out, names=["row", "score", "n_tokens", "n_known", "base", "rare"])
+            first = size = 0
+            for k, text in enumerate(batch.column("text")):
+                size += len(text.as_buffer())
+                if size >= GROUP or k == batch.num_rows - 1:
+                    yield rows(batch.slice(first, k + 1 - first))
+                    first, size = k + 1, 0
 
     return score
 
@@ -242,15 +259,15 @@ def score(docs: DataFrame, training: Column, entries: int = ENTRIES, frequent: i
     text as it stands and its end; ``base_score`` is that of an add-one word model over lower-cased
     words and one end.
 
-    The trie is held in blocks of at most about ``entries`` codes, each broadcast in turn over the
-    texts, beside the short contexts, whose number is bounded by the byte alphabet. Counts of the
+    The trie is held in blocks of at most about ``entries`` codes, which are broadcast; a task reads
+    them in turn for each group of texts and holds one at a time, beside the short contexts, whose number is bounded by the byte alphabet. Counts of the
     ``frequent`` most frequent words are broadcast, those of all other words are joined, so no key
     of that join is hot. A null text is an empty one; without training rows every byte costs
     log10(256). Repeated rows get equal scores; an empty table gives no rows.
     """
     spark = docs.sparkSession
     others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
-    texts = docs.select(others.alias("row"), utf8("text").alias("text"), F.lit(0.0).alias("score"))
+    texts = docs.select(others.alias("row"), utf8("text").alias("text"))
     train = docs.where(training).select(utf8("text").alias("text"))
     counted = settle(train.mapInArrow(_counter, "token binary, code long, n long").groupBy("token", "code").agg(F.sum("n").alias("n")))
     words, codes = counted.where(F.col("token").isNotNull()), counted.where(F.col("token").isNull())
@@ -260,11 +277,11 @@ def score(docs: DataFrame, training: Column, entries: int = ENTRIES, frequent: i
     whole = codes.groupBy((F.col("code") % 256 ** (WHOLE + 1)).alias("code")).agg(F.sum("n").alias("n"))
     short = _arrays(whole)
     blocks = max(1, math.ceil(codes.count() / entries))
-    scored = texts
+    tries = []
     for block in range(blocks):
         place = F.expr(f"((code div 256 % 16777216) * 40503 div 256) % {blocks}")
         trie = Trie(short, _arrays(codes.where(place == block)), block, blocks)
-        scored = scored.mapInArrow(_adder(spark.sparkContext.broadcast(trie)), with_row(texts, "text binary, score double"))
+        tries.append(spark.sparkContext.broadcast(trie))
 
     scale = F.floor(F.log2("n")).cast("int")
     left, least = frequent, 63
@@ -276,7 +293,7 @@ def score(docs: DataFrame, training: Column, entries: int = ENTRIES, frequent: i
     top = words.where(scale >= least).collect()  # at most ``frequent`` rows
     known = {bytes(r["token"]): math.log10((r["n"] + 1) / size) for r in top}
     fields = "score double, n_tokens long, n_known long, base double, rare array<struct<token:binary,n:long>>"
-    parts = settle(scored.mapInArrow(_word_scorer(spark.sparkContext.broadcast(known)), with_row(texts, fields)))
+    parts = settle(texts.mapInArrow(_scorer(tries, spark.sparkContext.broadcast(known)), with_row(texts, fields)))
     parts = parts.withColumn("key", F.monotonically_increasing_id())  # over stored rows, so the same each time
     rare = parts.select("key", F.inline("rare")).join(words.select("token", F.col("n").alias("count")), "token", "left")
     value = F.col("n") * F.log10((F.coalesce("count", F.lit(0)) + 1) / F.lit(float(size)))
