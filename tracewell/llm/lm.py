@@ -19,16 +19,16 @@ ORDER = 5
 #: Contexts of this order and below are held whole: at most 256**3 codes by construction.
 WHOLE = 2
 #: Codes of longer contexts that are held and broadcast at once.
-ENTRIES = 2_000_000
+ENTRIES = 1_000_000
 #: Words whose counts are broadcast: the most frequent ones, at most. All others are joined.
 FREQUENT = 100_000
 #: Bytes of text that are turned into codes at once.
 CHUNK = 1_000_000
 #: Bytes of text whose codes are looked up together, in one block of contexts after the other.
-GROUP = 16_000_000
+GROUP = 8_000_000
 #: A text is read as if it came after line ends; the last byte, which UTF-8 never uses, is its end.
 START, END = b"\n" * ORDER, b"\xff"
-TOKEN_ROWS, CODE_ROWS = 300_000, 2_000_000
+TOKEN_ROWS, CODE_ROWS = 150_000, 1_000_000
 
 
 def tokens(text: bytes) -> list[bytes]:
