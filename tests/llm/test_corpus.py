@@ -180,6 +180,20 @@ def test_line_dedup_with_lines_that_all_hold(spark):
     assert got.pop(0) == 0 and set(got.values()) == {70}
 
 
+def deleted(spark, texts):
+    """Words deleted from each of the texts, whose ids are 1, 2, ..."""
+    docs = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
+    return [r["n_deleted"] for r in sorted(lines.dedup(docs, chunk=2000).collect(), key=lambda r: r["row"]["doc_id"])]
+
+
+def test_line_dedup_of_passages_that_stand_twice(spark):
+    twice = passage(5, 30) + "\n" + passage(6, 30)
+    texts = [f"{passage(400 + k, 20)}\n{twice}\n{passage(500 + k, 20)}\n{twice}\n{passage(600 + k, 20)}" for k in (1, 2)]
+    once = f"{passage(403, 20)}\n{twice}\n{passage(503, 20)}"
+    assert deleted(spark, [texts[0], texts[1], once]) == [0, 120, 60]
+    assert deleted(spark, [once, texts[1]]) == [0, 120]
+
+
 def test_patience_alignment_follows_order():
     assert lines.increasing([3, 1, 2, 9, 4, 5]) == [1, 2, 4, 5]
     places, others = np.arange(6), np.array([10, 11, 12, 3, 14, 15])

@@ -1,4 +1,4 @@
-"""Line dedup by pairwise alignment: shared lines find the pairs, patience diff aligns them."""
+"""Line dedup: passages of words that an earlier document holds, found through hashes of all their windows."""
 
 from __future__ import annotations
 
@@ -9,22 +9,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.llm.common import packed, utf8
+from tracewell.llm.common import packed
 
-#: A long line is cut at words chosen by content, at least once in so many words.
-WINDOW = 8
 #: Passages of more words than this that an earlier document holds too are deleted.
 MOST_SHARED = 50
-#: Bytes of text that are cut into lines at once, and that a chunk of documents holds about.
+#: Words of the grams of which the smallest hash in a window stands for the window.
+GRAM = 8
+#: Bytes of text that are hashed at once, and that a chunk of documents holds about.
 RUN, CHUNK = 1_500_000, 8_000_000
-#: Documents looked at for lines that very many documents hold, and in how many of them such a line is found.
-SAMPLE, OFTEN = 5_000, 8
-#: Such lines, at most; they are broadcast.
-HOT = 50_000
 ODD, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
 BLANKS = np.zeros(256, bool)
 BLANKS[[9, 10, 11, 12, 13, 32]] = True
@@ -58,50 +55,31 @@ def _run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
 
 
 @dataclass
-class Lines:
-    """Lines of a run of texts, as arrays: text, first byte in its text, words, hash, and whether a line of the text starts here."""
+class Words:
+    """Words of a run of texts, as arrays: text, first byte in its text, hash, and whether a line of the text starts here."""
 
     owner: np.ndarray
     start: np.ndarray
-    words: np.ndarray
     hash: np.ndarray
     opens: np.ndarray
 
 
-def cut(texts: list[bytes]) -> Lines:
-    """Lines of all texts; a line of over ``WINDOW`` words is cut before each word whose hash is the
-    smallest of some ``WINDOW`` neighbouring words, so that a passage is cut alike wherever it stands."""
+def cut(texts: list[bytes]) -> Words:
+    """Words of all texts; ASCII letters are hashed in lower case, blanks and line ends are not told apart."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     begin = np.cumsum(lengths) - lengths
     blank = np.concatenate([[True], BLANKS[data]])
     starts = np.flatnonzero(blank[:-1] & ~blank[1:])
     ends = np.flatnonzero(~blank[:-1] & blank[1:])
-    if blank[-1] == 0:
-        ends = np.append(ends, len(data))
-    h = _run_hashes(FOLDED[data], starts, ends)
-    n = len(h)
     row = np.cumsum(np.concatenate([[0], data == 10]))[starts]  # number of line ends before the word
-    opens = np.ones(n, bool)
+    opens = np.ones(len(starts), bool)
     opens[1:] = row[1:] != row[:-1]
-    marks = opens.copy()
-    if n >= WINDOW:
-        low = (h & ~np.uint64(0xFFFFF)) | (np.arange(n, dtype=np.uint64) & np.uint64(0xFFFFF))
-        span = 1
-        while span < WINDOW:
-            low = np.minimum(low[:-span], low[span:])
-            span *= 2
-        first = np.arange(len(low))
-        inside = row[: len(low)] == row[WINDOW - 1 :]
-        at = first + (((low & np.uint64(0xFFFFF)).astype(np.int64) - first) % (1 << 20))
-        marks[at[inside]] = True
-    head = np.flatnonzero(marks)
-    tail = np.append(head[1:], n)
-    owner = np.searchsorted(begin, starts[head], "right") - 1
-    return Lines(owner, starts[head] - begin[owner], tail - head, _run_hashes(h, head, tail).astype(np.int64), opens[head])
-
-
-def runs(texts: list[bytes]) -> Iterator[tuple[int, int, Lines]]:
+    owner = np.searchsorted(begin, starts, "right") - 1
+    return Words(owner, starts - begin[owner], _run_hashes(FOLDED[data], starts, ends), opens)
+
+
+def runs(texts: list[bytes]) -> Iterator[tuple[int, int, Words]]:
     first, size = 0, 0
     for k, text in enumerate(texts):
         size += len(text) + 1
@@ -110,52 +88,93 @@ def runs(texts: list[bytes]) -> Iterator[tuple[int, int, Lines]]:
             first, size = k + 1, 0
 
 
-def _distinct(lines: Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, hash, 2 * place + 1 if it stands there only) of each distinct line of each text, and its index."""
-    first_of = np.searchsorted(lines.owner, lines.owner)
-    order = np.lexsort((lines.hash, lines.owner))
-    o, h = lines.owner[order], lines.hash[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (o[1:] != o[:-1]) | (h[1:] != h[:-1])
-    at = np.flatnonzero(new)
-    alone = np.diff(np.append(at, len(order))) == 1
-    index = order[at]  # the sort is stable, so this is the first place
-    return o[at], h[at], (index - first_of[index]) * 2 + alone, index
+def windows(words: Words, size: int) -> np.ndarray:
+    """First words of all windows of ``size`` words within one text."""
+    return np.flatnonzero(words.owner[: max(len(words.owner) - size + 1, 0)] == words.owner[size - 1 :])
+
+
+def signs(words: Words, at: np.ndarray, size: int) -> np.ndarray:
+    """The smallest hash of a gram in each window: equal windows have equal signs, and neighbours mostly share theirs."""
+    if not len(at):
+        return np.empty(0, np.int64)
+    gram = min(GRAM, size)
+    first = np.arange(len(words.hash) - gram + 1)
+    low, span, most = _run_hashes(words.hash, first, first + gram), 1, size - gram + 1
+    while span < most:
+        step = min(span, most - span)
+        low = np.minimum(low[:-step], low[step:])
+        span += step
+    return low[at].astype(np.int64)
+
+
+def bodies(words: Words, at: np.ndarray, size: int) -> np.ndarray:
+    """The hash of each whole window."""
+    return _run_hashes(words.hash, at, at + size).astype(np.int64)
+
+
+ROWS = "chunk long, hash long, low long, high long"
+
+
+def _bounds(chunk: int, hashes: list[np.ndarray], ids: list[np.ndarray]) -> pa.Table:
+    """Each hash of a chunk once, with the smallest and the largest id of its documents there."""
+    h, doc = (np.concatenate([np.empty(0, np.int64), *x]) for x in (hashes, ids))
+    order = np.argsort(h, kind="stable")
+    h, doc = h[order], doc[order]
+    new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])[: len(h)])
+    low, high = (f.reduceat(doc, new) if len(new) else doc for f in (np.minimum, np.maximum))
+    return pa.table({"chunk": np.full(len(new), chunk, np.int64), "hash": h[new], "low": low, "high": high})
+
 
+def _texts(docs: pa.Table) -> list[bytes]:
+    """The texts, which only ``row`` holds, so that they are not moved twice; empty for a null."""
+    return pa.compute.struct_field(docs["row"], "text").cast(pa.binary()).fill_null(b"").to_pylist()
 
-ROWS = "hash long, doc_id long, meta long"
 
+def _runs_with_id(docs: pa.Table) -> Iterator[tuple[np.ndarray, Words]]:
+    docs = docs.filter(docs["doc_id"].is_valid())
+    ids = docs["doc_id"].to_numpy()
+    for first, last, words in runs(_texts(docs)):
+        yield ids[first:last], words
 
-def _rows(shared, only: bool):
-    """The distinct lines of each document: those in the hot set, the first per task, or all others."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = shared.value
-        best: dict[int, tuple[int, int]] = {}
-        for batch in batches:
-            ids = np.asarray(batch.column("doc_id"))
-            for first, _, lines in runs(batch.column("text").to_pylist()):
-                owner, h, meta, _ = _distinct(lines)
-                is_hot = np.isin(h, hot)
-                if only:
-                    for k in np.flatnonzero(is_hot):
-                        mine = (int(ids[first + owner[k]]), int(meta[k]))
-                        best[int(h[k])] = min(best.get(int(h[k]), mine), mine)
-                else:
-                    keep = ~is_hot
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(h[keep]), pa.array(ids[first + owner[keep]]), pa.array(meta[keep].astype(np.int64))], names=["hash", "doc_id", "meta"]
-                    )
-        if best:
-            yield pa.RecordBatch.from_arrays([pa.array(list(best)), pa.array([d for d, _ in best.values()]), pa.array([m for _, m in best.values()])], names=["hash", "doc_id", "meta"])
+def _signs(size: int):
+    """Phase 1: the signs of all windows."""
 
-    return rows
+    def sign(docs: pa.Table) -> pa.Table:
+        hashes, ids = [], []
+        for own, words in _runs_with_id(docs):
+            at = windows(words, size)
+            h, doc = signs(words, at, size), own[words.owner[at]]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+            hashes.append(h[new])
+            ids.append(doc[new])
+        return _bounds(docs["chunk"][0].as_py(), hashes, ids)
 
+    return sign
 
-def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for _, _, lines in runs(batch.column("text").to_pylist()):
-            yield pa.RecordBatch.from_arrays([pa.array(_distinct(lines)[1])], names=["hash"])
+
+def _bodies(size: int):
+    """Phase 2: the windows whose sign several documents hold."""
+
+    def body(docs: pa.Table, shared: pa.Table) -> pa.Table:
+        marked = np.sort(shared["hash"].to_numpy())
+        hashes, ids = [], []
+        if len(marked):
+            for own, words in _runs_with_id(docs):
+                at = windows(words, size)
+                at = at[_found(marked, signs(words, at, size))[1]]
+                hashes.append(bodies(words, at, size))
+                ids.append(own[words.owner[at]])
+        return _bounds(docs["chunk"][0].as_py() if docs.num_rows else 0, hashes, ids)
+
+    return body
+
+
+def _found(ordered: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each value in a sorted array that is not empty, and whether it is there."""
+    place = np.searchsorted(ordered, values).clip(max=len(ordered) - 1)
+    return place, ordered[place] == values
 
 
 def increasing(values: list[int]) -> list[int]:
@@ -206,38 +225,6 @@ def aligned(places: np.ndarray, others: np.ndarray, alone: np.ndarray, earlier:
     return out
 
 
-def in_long_runs(owner: np.ndarray, words: np.ndarray, earlier: np.ndarray, most: int) -> np.ndarray:
-    """Lines in unbroken runs of lines that earlier documents hold, of a length that can hold a block to delete."""
-    if not len(words):
-        return earlier
-    change = np.ones(len(words), bool)
-    change[1:] = (owner[1:] != owner[:-1]) | (earlier[1:] != earlier[:-1])
-    run = np.cumsum(change) - 1
-    return earlier & (np.bincount(run, words)[run] + 2 * (WINDOW - 1) > most)
-
-
-def doomed(hashes: np.ndarray, words: np.ndarray, opens: np.ndarray, first_doc: np.ndarray, first_meta: np.ndarray, earlier: np.ndarray, most: int) -> np.ndarray:
-    """Mask of the lines of one document that are deleted. ``first_doc`` is each line's first holder,
-    ``first_meta`` its place there, ``earlier`` the lines ``in_long_runs``."""
-    out = np.zeros(len(hashes), bool)
-    _, slot, times = np.unique(hashes, return_inverse=True, return_counts=True)
-    once = times[slot] == 1
-    ends = np.append(opens[1:], True)
-    total = np.concatenate([[0], np.cumsum(words)])
-    others, of, lines_of = np.unique(first_doc[earlier], return_inverse=True, return_counts=True)
-    words_of = np.bincount(of, words[earlier], len(others))
-    # a single line makes a block by itself or none
-    for other in others[(lines_of > 1) | (words_of + 2 * (WINDOW - 1) > most)].tolist():
-        mine = np.flatnonzero((first_doc == other) & earlier)
-        alone = once[mine] & (first_meta[mine] % 2 == 1)
-        for a, b in aligned(mine, first_meta[mine] // 2, alone, earlier):
-            # a passage that starts or ends inside a line reaches up to WINDOW - 1 words further
-            reach = (0 if opens[a] else WINDOW - 1) + (0 if ends[b] else WINDOW - 1)
-            if total[b + 1] - total[a] + reach > most:
-                out[a : b + 1] = True
-    return out
-
-
 def without(text: bytes, starts: np.ndarray, opens: np.ndarray, gone: np.ndarray) -> tuple[bytes, list[tuple[int, int]]]:
     """The text without the marked lines, and the byte spans that were left out. A line end stays
     if the deletion begins inside a line."""
@@ -258,36 +245,31 @@ FIELDS = "text string, n_words long, n_deleted long, spans array<struct<start:in
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _edit(shared, most: int):
+def _edit(size: int):
+    """Phase 3: leave out the windows that an earlier document holds."""
+
     def edit(left: pa.Table, right: pa.Table) -> pa.Table:
-        hot_hash, hot_doc, hot_meta = shared.value
-        h = np.concatenate([right["hash"].to_numpy(), hot_hash])
+        h = right["hash"].to_numpy()
         order = np.argsort(h, kind="stable")
-        h = h[order]
-        doc = np.concatenate([right["first_doc"].to_numpy(), hot_doc])[order]
-        meta = np.concatenate([right["first_meta"].to_numpy(), hot_meta])[order]
-        texts = left["text"].to_pylist()
+        h, holder = h[order], right["first"].to_numpy()[order]
+        texts = _texts(left)
         ids = left["doc_id"].fill_null(np.iinfo(np.int64).min).to_numpy()  # before any other: nothing is earlier
         new, n_words, n_deleted, spans = [], [], [], []
-        for first, last, lines in runs(texts):
-            cuts = np.searchsorted(lines.owner, np.arange(last - first + 1))
-            at = np.searchsorted(h, lines.hash).clip(max=max(len(h) - 1, 0))
-            known = h[at] == lines.hash if len(h) else np.zeros(len(lines.hash), bool)
-            own = ids[first:last][lines.owner]
-            holder = np.where(known, doc[at], own) if len(h) else own
-            place = meta[at] if len(h) else np.zeros(len(own), np.int64)
-            earlier = in_long_runs(lines.owner, lines.words, holder < own, most)
-            able = np.bincount(lines.owner[earlier], minlength=last - first) > 0
+        for first, last, words in runs(texts):
+            gone = np.zeros(len(words.hash), bool)
+            if len(h):
+                at = windows(words, size)
+                place, known = _found(h, bodies(words, at, size))
+                at = at[known & (holder[place] < ids[first:last][words.owner[at]])]
+                covered = np.bincount(at, minlength=len(gone) + 1) - np.bincount(at + size, minlength=len(gone) + 1)
+                gone = np.cumsum(covered)[: len(gone)] > 0
+            cuts = np.searchsorted(words.owner, np.arange(last - first + 1))
             for k in range(last - first):
                 some, text = slice(cuts[k], cuts[k + 1]), texts[first + k]
-                words = lines.words[some]
-                gone = np.zeros(len(words), bool)
-                if able[k]:
-                    gone = doomed(lines.hash[some], words, lines.opens[some], holder[some], place[some], earlier[some], most)
-                left_over, cut_out = without(text, lines.start[some], lines.opens[some], gone) if gone.any() else (text, [])
+                left_over, cut_out = without(text, words.start[some], words.opens[some], gone[some]) if gone[some].any() else (text, [])
                 new.append(left_over.decode("utf-8", "replace"))
-                n_words.append(int(words.sum()))
-                n_deleted.append(int(words[gone].sum()))
+                n_words.append(int(cuts[k + 1] - cuts[k]))
+                n_deleted.append(int(gone[some].sum()))
                 spans.append([{"start": len(text[:a].decode("utf-8", "replace")), "end": len(text[:b].decode("utf-8", "replace"))} for a, b in cut_out])
         made = [pa.array(new, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_deleted, pa.int64()), pa.array(spans, SPANS)]
         return pa.Table.from_arrays([left["row"], *made], names=["row", "text", "n_words", "n_deleted", "spans"])
@@ -298,41 +280,32 @@ def _edit(shared, most: int):
 def dedup(docs: DataFrame, most: int = MOST_SHARED, chunk: int = CHUNK) -> DataFrame:
     """(row, text, n_words, n_deleted, spans) for every row of ``docs``.
 
-    A line of a document pairs it with the first document (smallest doc_id) that holds the line, so
-    a line in very many documents makes one pair per later document, and rare and frequent lines
-    need no different treatment. Each pair is aligned by patience diff, and aligned blocks of more
-    than ``most`` words are deleted from the later document; what the first document holds always
-    stays there. ``text`` is what is left and ``spans`` are the code-point offsets of what was
-    deleted. Physical lines are cut further at words chosen by content, so a passage inside a longer
-    line is found; up to ``WINDOW - 1`` words at an end of such a passage may stay.
+    A passage is deleted if it has more than ``most`` words and one document with a smaller doc_id
+    holds it whole, wherever and however often it stands in either, and whatever its place in a line.
+    Such a passage consists of windows of ``most + 1`` words that the earlier document holds too, so
+    the words to delete are those in windows whose first holder (smallest doc_id) is an earlier
+    document; no pairs need to be formed. The first holder of a window keeps it. ``text`` is what is
+    left and ``spans`` are the code-point offsets of what was deleted. Line ends count as blanks.
 
-    Null texts stay empty texts and hold no lines; a row without doc_id has no place in the order,
+    Windows that no other document holds are left out beforehand: every window has a sign, the
+    smallest hash of its grams, and windows whose sign stands in one document only are not compared.
+
+    Null texts stay empty texts and hold no words; a row without doc_id has no place in the order,
     takes no part and keeps its text; rows with one doc_id are not compared with each other. An
-    empty table gives no rows. Texts move once, to chunks of documents by a hash of the id; lines
-    that a bounded sample finds in very many documents are added up per task and broadcast.
+    empty table gives no rows. Texts move once, to chunks of documents by a hash of the id; a chunk
+    sends each hash once, so a window in very many documents makes one row per chunk.
     """
-    spark = docs.sparkSession
-    texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(1, math.ceil(size / chunk))
+    size = most + 1
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks = max(1, math.ceil(total / chunk))
     place = F.coalesce(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(chunks)), F.lit(0))
-
-    ids = texts.select("doc_id").orderBy(F.xxhash64(F.lit(9), "doc_id"), "doc_id").limit(SAMPLE)
-    seen = texts.join(F.broadcast(ids.distinct()), "doc_id").select("text").mapInArrow(_hash_rows, "hash long")
-    often = seen.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "hash").limit(HOT).collect()
-    hot = spark.sparkContext.broadcast(np.array([r["hash"] for r in often], np.int64))
-    first_hot = []
-    if often:
-        found = texts.mapInArrow(_rows(hot, True), ROWS).groupBy("hash").agg(F.min(F.struct("doc_id", "meta")).alias("first"))
-        first_hot = found.select("hash", "first.doc_id", "first.meta").collect()
-    known = tuple(np.array([r[k] for r in first_hot], np.int64) for k in range(3))
-
-    rows = texts.mapInArrow(_rows(hot, False), ROWS)
+    frame = packed(docs, F.col("doc_id").cast("long").alias("doc_id"), place.alias("chunk"))
+    grouped = frame.groupBy("chunk")
     holders = Window.partitionBy("hash")
-    first = F.min(F.struct("doc_id", "meta")).over(holders)
-    answers = rows.withColumn("first", first).where(F.col("doc_id") != F.col("first.doc_id"))
-    answers = answers.select(place.alias("chunk"), "hash", F.col("first.doc_id").alias("first_doc"), F.col("first.meta").alias("first_meta"))
-    frame = packed(docs, F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"), place.alias("chunk"))
+    first = F.min("low").over(holders)
+    found = grouped.applyInArrow(_signs(size), ROWS).select("chunk", "hash", first.alias("first"), F.max("high").over(holders).alias("last"))
+    marked = found.where(F.col("first") < F.col("last")).select("chunk", "hash")
+    held = grouped.cogroup(marked.groupBy("chunk")).applyInArrow(_bodies(size), ROWS)
+    answers = held.withColumn("first", first).where(F.col("first") < F.col("high")).select("chunk", "hash", "first")
     schema = T.StructType([frame.schema["row"], *T.StructType.fromDDL(FIELDS).fields])
-    edit = _edit(spark.sparkContext.broadcast(known), most)
-    return frame.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(edit, schema)
+    return grouped.cogroup(answers.groupBy("chunk")).applyInArrow(_edit(size), schema)
