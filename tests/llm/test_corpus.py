@@ -194,6 +194,14 @@ def test_line_dedup_of_passages_that_stand_twice(spark):
     assert deleted(spark, [once, texts[1]]) == [0, 120]
 
 
+def test_line_dedup_of_passages_first_held_in_pieces(spark):
+    halves = passage(7, 30), passage(8, 30)
+    whole = "\n".join(halves)
+    assert deleted(spark, [*halves, whole, f"{passage(701, 9)}\n{whole}"]) == [0, 0, 0, 60]
+    edges = " ".join(whole.split()[:5]), " ".join(whole.split()[-5:])
+    assert deleted(spark, [*edges, whole, whole]) == [0, 0, 0, 60]
+
+
 def test_patience_alignment_follows_order():
     assert lines.increasing([3, 1, 2, 9, 4, 5]) == [1, 2, 4, 5]
     places, others = np.arange(6), np.array([10, 11, 12, 3, 14, 15])
