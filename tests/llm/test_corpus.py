@@ -202,6 +202,16 @@ def test_line_dedup_of_passages_first_held_in_pieces(spark):
     assert deleted(spark, [*edges, whole, whole]) == [0, 0, 0, 60]
 
 
+def test_line_dedup_asks_one_document_for_the_whole_passage(spark):
+    head, foot = passage(9, 20), passage(10, 20)
+    lines_of = lambda first: [passage(first + k, 4) for k in range(5)]
+    middle = lines_of(810)
+    texts = ["\n".join([head, *lines_of(800), foot]), *(f"{line}\n{passage(820 + k, 9)}" for k, line in enumerate(middle)), "\n".join([head, *middle, foot])]
+    assert deleted(spark, texts) == [0] * 7
+    for n, gone in ((45, 0), (50, 0), (51, 51)):
+        assert deleted(spark, [f"{passage(k, 30)} {passage(11, n)} {passage(k + 1, 30)}" for k in (830, 840)]) == [0, gone]
+
+
 def test_patience_alignment_follows_order():
     assert lines.increasing([3, 1, 2, 9, 4, 5]) == [1, 2, 4, 5]
     places, others = np.arange(6), np.array([10, 11, 12, 3, 14, 15])
