@@ -212,6 +212,11 @@ def test_line_dedup_asks_one_document_for_the_whole_passage(spark):
         assert deleted(spark, [f"{passage(k, 30)} {passage(11, n)} {passage(k + 1, 30)}" for k in (830, 840)]) == [0, gone]
 
 
+def test_line_dedup_of_passages_in_another_order(spark):
+    first, second = passage(12, 60), passage(13, 80)
+    assert deleted(spark, [f"{first}\n{passage(850, 15)}\n{second}", f"{second}\n{passage(851, 15)}\n{first}"]) == [0, 140]
+
+
 def test_patience_alignment_follows_order():
     assert lines.increasing([3, 1, 2, 9, 4, 5]) == [1, 2, 4, 5]
     places, others = np.arange(6), np.array([10, 11, 12, 3, 14, 15])
