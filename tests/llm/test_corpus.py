@@ -281,6 +281,16 @@ def test_classifier_held_out(spark, odd, empty, module, apply, label, mod, rest,
     assert getattr(module, apply)(odd, untaught).count() == len(TEXTS)
 
 
+def test_toxicity_keeps_rare_ngrams_of_toxic_documents(spark):
+    draw = np.random.default_rng(8)
+    words = [passage(2000, 6000).split(), passage(2001, 6000).split()]
+    rows = [(" ".join(draw.choice(words[k % 2], 300)) + " жшжшж фщфщф" * (k % 2 and k < 10), k % 2) for k in range(400)]
+    sample = spark.createDataFrame([(t.encode(), y) for t, y in rows], "text binary, label int")
+    model = toxicity.fit(sample)
+    (_, _, _, rare), = toxicity.present(["жшжшж фщфщф".encode()], np.ones(1 << toxicity.BITS, bool))
+    assert (model.weights[rare] != 0).mean() > 0.9
+
+
 def test_factorisation_identity():
     draw = np.random.default_rng(0)
     model = quality.Model(0.3, draw.normal(size=quality.COLUMNS), draw.normal(size=(quality.COLUMNS, quality.RANK)))

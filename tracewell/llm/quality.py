@@ -19,7 +19,7 @@ WORD_COLUMNS = 1 << 14
 #: Length of the factors.
 RANK = 8
 #: Labelled rows that are read for training, at most.
-SAMPLE = 12_000
+SAMPLE = 16_000
 #: Edges that turn a statistic into one of several indicator columns.
 EDGES = {
     "words": (1, 5, 10, 20, 50, 100, 200, 500, 2000),

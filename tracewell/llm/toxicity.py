@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +17,9 @@ LENGTHS = (3, 4, 5, 6)
 #: N-grams are hashed into 2**BITS cells.
 BITS = 20
 #: Labelled rows that are read for training, at most.
-SAMPLE = 12_000
-#: Cells kept for the linear model, at most: those with the largest weighted log-count ratio.
-CELLS = 20_000
+SAMPLE = 16_000
+#: Documents of the sample that hold a cell of the linear model, at least.
+LEAST = 3
 #: Bytes of text that are turned into n-grams at once.
 CHUNK = 1_500_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -98,24 +97,110 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[0][part]), pa.array(counts[1][part])], names=["cell", "clean", "toxic"])
 
 
+def pressed(cell: np.ndarray) -> bytes:
+    """Ascending cells in two bytes each, after how many have each value of the bits above."""
+    return np.bincount(cell >> 16, minlength=1 << (BITS - 16)).astype(np.int32).tobytes() + (cell & 0xFFFF).astype(np.uint16).tobytes()
+
+
+def unpressed(held: bytes) -> np.ndarray:
+    tops = np.frombuffer(held, np.int32, 1 << (BITS - 16))
+    return np.frombuffer(held, np.uint16, offset=tops.nbytes) + np.repeat(np.arange(len(tops), dtype=np.int32) << 16, tops)
+
+
 def _rows(shared):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = np.zeros(1 << BITS, bool)
-        keep[shared.value] = True
         for batch in batches:
-            held: list[np.ndarray] = []
-            for _, n, owner, cell in present(batch.column("text").to_pylist(), keep):
-                held += np.split(cell.astype(np.int32), np.searchsorted(owner, np.arange(1, n)))
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(held, pa.list_(pa.int32()))], names=["label", "cells"])
+            held: list[bytes] = []
+            for _, n, owner, cell in present(batch.column("text").to_pylist(), shared.value != 0):
+                held += [pressed(part) for part in np.split(cell, np.searchsorted(owner, np.arange(1, n)))]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(held, pa.binary())], names=["label", "cells"])
 
     return rows
 
 
+@dataclass
+class Block:
+    """Slots of the cells of some rows of the sample, in the order of the rows and in that of the slots."""
+
+    label: np.ndarray
+    cells: np.ndarray
+    starts: np.ndarray
+    owners: np.ndarray
+    distinct: np.ndarray
+    firsts: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[tuple[int, bytes]], slot: np.ndarray) -> Block:
+        parts = [slot[unpressed(held)] for _, held in rows]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        cells = np.concatenate(parts)
+        order = np.argsort(cells, kind="stable")
+        sorted_cells = cells[order]
+        firsts = np.flatnonzero(np.concatenate([[True], sorted_cells[1:] != sorted_cells[:-1]])[: len(cells)]).astype(np.int32)
+        owners = np.repeat(np.arange(len(rows), dtype=np.uint16), sizes)[order]
+        return cls(np.array([label for label, _ in rows], float), cells, np.cumsum(sizes) - sizes, owners, sorted_cells[firsts], firsts)
+
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        """The sum of the weights of each row's cells."""
+        out = np.zeros(len(self.label))
+        some = np.diff(np.append(self.starts, len(self.cells))) > 0
+        if some.any():
+            out[some] = np.add.reduceat(weights[self.cells], self.starts[some])
+        return out
+
+    def add(self, error: np.ndarray, total: np.ndarray) -> None:
+        """Add each row's error to all its cells in ``total``."""
+        if len(self.cells):
+            total[self.distinct] += np.add.reduceat(error[self.owners], self.firsts)
+
+
+#: Rows of a block.
+BLOCK = 500
+
+
+def _fitter(shared, strength: float, rounds: int):
+    """(cell, weight) of all cells, and the intercept as cell -1. Runs in one task, which holds the sample's cells."""
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = np.flatnonzero(shared.value)
+        ratios, slot = shared.value[at], np.zeros(1 << BITS, np.int32)
+        slot[at] = np.arange(len(at))
+        rows: list[tuple[int, bytes]] = []
+        for batch in batches:
+            rows += zip(batch.column("label").to_pylist(), batch.column("cells").to_pylist(), strict=True)
+        rows.sort(reverse=True)  # the same order in every run; blocks take rows from the end and free them
+        n = len(rows)
+        n_toxic = sum(label for label, _ in rows)
+        n_clean = n - n_toxic
+        blocks = []
+        while rows:
+            blocks.append(Block.of(rows[-BLOCK:], slot))
+            del rows[-BLOCK:]
+        w, b = np.zeros(len(ratios)), float(np.log(n_toxic / n_clean))
+        m, v = np.zeros(len(ratios) + 1), np.zeros(len(ratios) + 1)
+        for step in range(1, rounds + 1):
+            weights, grad = (ratios * w).astype(np.float32), np.zeros(len(ratios) + 1)
+            for block in blocks:
+                p = 1 / (1 + np.exp(-np.clip(block.sums(weights) + b, -500, 500)))
+                each = np.where(block.label == 1, 0.5 / n_toxic, 0.5 / n_clean) * n * 0.5 + 0.5  # halfway to balanced classes
+                error = (p - block.label) * each / n
+                block.add(error.astype(np.float32), grad)
+                grad[-1] += error.sum()
+            grad[:-1] = grad[:-1] * ratios + strength * 1e-4 * w
+            m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
+            move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+            w, b = w - move[:-1], b - float(move[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(w * ratios, b))], names=["cell", "weight"])
+
+    return fitted
+
+
 def fit(sample: DataFrame, strength: float = 1.0, rounds: int = 300) -> Model:
-    """Train on (text, label); constant if either class is missing.
+    """Train on (text, label) over all cells that ``LEAST`` documents hold; constant if either class is missing.
 
-    Counting runs on the executors; the driver gets at most ``CELLS`` ratios and the kept cells of
-    the sample's documents, whose number is bounded by ``SAMPLE``.
+    Counting runs on the executors, and so does the fit, in one task that holds the cells of the
+    sample's documents, whose number is bounded by ``SAMPLE``. The driver gets one ratio and one
+    weight per cell.
     """
     spark = sample.sparkSession
     sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -125,38 +210,17 @@ def fit(sample: DataFrame, strength: float = 1.0, rounds: int = 300) -> Model:
         return Model(weights, 5.0 if n_toxic else -5.0)
     counted = sample.mapInArrow(_counter, "cell long, clean long, toxic long").groupBy("cell").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     ratio = F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (n_clean + 1.0))
-    kept = (
-        counted.where(F.col("clean") + F.col("toxic") >= 3)
-        .select("cell", ratio.alias("ratio"), (F.abs(ratio) * F.sqrt(F.col("clean") + F.col("toxic"))).alias("gain"))
-        .where(F.abs("ratio") >= 0.5)
-        .orderBy(F.desc("gain"), "cell")
-        .limit(CELLS)
-        .toArrow()
-    )
+    kept = counted.where(F.col("clean") + F.col("toxic") >= LEAST).select("cell", ratio.alias("ratio")).toArrow()
     if not kept.num_rows:
         return Model(weights, float(np.log(n_toxic / n_clean)))
-    at = kept["cell"].to_numpy()
-    ratios = np.zeros(1 << BITS, np.float32)
-    ratios[at] = kept["ratio"].to_numpy()
-    rows = sample.mapInArrow(_rows(spark.sparkContext.broadcast(at)), "label int, cells array<int>").toArrow().combine_chunks()
-    label = rows["label"].to_numpy().astype(float)
-    cell = np.concatenate([c.flatten().to_numpy() for c in rows["cells"].chunks])
-    owner = np.repeat(np.arange(len(label), dtype=np.int32), pa.compute.list_value_length(rows["cells"]).to_numpy())
-    slot = np.zeros(1 << BITS, np.int32)
-    slot[at] = np.arange(len(at))
-    column, value = slot[cell], ratios[cell]
-    w, b = np.zeros(len(at)), float(np.log(n_toxic / n_clean))
-    m, v = np.zeros(len(at) + 1), np.zeros(len(at) + 1)
-    each = np.where(label == 1, 0.5 / n_toxic, 0.5 / n_clean) * len(label) * 0.5 + 0.5  # halfway to balanced classes
-    for step in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(owner, value * w[column], len(label)) + b, -500, 500)))
-        error = (p - label) * each / len(label)
-        grad = np.append(np.bincount(column, value * error[owner], len(at)) + strength * 1e-4 * w, error.sum())
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-        w, b = w - move[:-1], b - float(move[-1])
-    weights[at] = w * ratios[at]
-    return Model(weights, b)
+    ratios = np.zeros(1 << BITS)
+    ratios[kept["cell"].to_numpy()] = kept["ratio"].to_numpy()
+    shared = spark.sparkContext.broadcast(ratios)
+    rows = sample.mapInArrow(_rows(shared), "label int, cells binary").repartition(1)
+    found = rows.mapInArrow(_fitter(shared, strength, rounds), "cell long, weight double").toArrow()
+    cell, weight = found["cell"].to_numpy(), found["weight"].to_numpy()
+    weights[cell[cell >= 0]] = weight[cell >= 0]
+    return Model(weights, float(weight[cell < 0][0]))
 
 
 def _scorer(shared):
