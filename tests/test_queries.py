@@ -29,3 +29,16 @@ def test_query_matches_sql(spark, name, hot):
 def test_every_sql_twin_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry is not None
+
+
+def test_screen_entities_read_all_line_items(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tracewell.queries import tables
+
+    read, discount = tables.read, F.lit(0)
+    monkeypatch.setattr(tables, "read", lambda s, sf, name: read(s, sf, name).withColumn("l_discount", discount) if name == "lineitem" else read(s, sf, name))
+    query = entry.queries()["jn12_screen_entities"]
+    none = sorted(map(repr, query(spark, SF).collect()))
+    discount = F.lit(0.1)
+    assert none == sorted(map(repr, query(spark, SF).collect()))

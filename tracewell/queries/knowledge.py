@@ -122,7 +122,7 @@ def screen_entities(spark, sf):
         F.concat(_pick(("Cadastro de ", "Consulta ", "Relatorio ", "Menu ", ""), F.col("o_orderkey")), F.lower(_pick(ENTITIES, F.col("o_custkey")))).alias("title"),
         F.concat(F.lower(_pick(ENTITIES, F.col("o_custkey") + F.col("o_orderkey") % 2)), F.lit("_110")).alias("program"),
     )
-    shown = li.where(F.col("l_discount") > 0.02).select(F.col("l_orderkey").alias("screen_id"), _pick(FIELDS, F.col("l_partkey")).alias("field"))
+    shown = li.select(F.col("l_orderkey").alias("screen_id"), _pick(FIELDS, F.col("l_partkey")).alias("field"))
     fields = _fields(spark, sf).select("entity", "field").distinct()
     entities = fields.select("entity").distinct().withColumn("storage_type", F.lit("isam"))
     return knowledge.link_screens(screens, shown, fields, entities)
