@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import decontaminate, jaccard, lines, lm, mixing, pii, quality, topk, toxicity, url_filter
+from tracewell.llm import clustering, decontaminate, jaccard, lines, lm, mixing, packing, pii, quality, resampling, topk, toxicity, url_filter
 from tracewell.llm.common import is_remainder, table
 from tracewell.llm.twins import SQL
 
@@ -83,6 +83,27 @@ def op10_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.join(table(spark, sf, "documents"))
 
 
+def op11_packing(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = packing.Vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, (("<|endoftext|>", 50256),))
+    packed = packing.pack(table(spark, sf, "documents"), vocabulary)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_clustering(spark: SparkSession, sf: str) -> DataFrame:
+    rows, centroids = clustering.cluster(table(spark, sf, "embeddings"))
+    sha = F.sha2(F.array_join("x", ",").cast("binary"), 256)
+    known = centroids.select("cluster", F.col("inertia").alias("cluster_inertia"), F.col("total").alias("inertia"), sha.alias("centroid_sha256"))
+    joined = rows.join(F.broadcast(known), "cluster")  # at most as many rows as clusters
+    return joined.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op13_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    drawn = resampling.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_pii": op2_pii,
@@ -94,4 +115,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_top_k": op9_top_k,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_packing": op11_packing,
+    "op12_clustering": op12_clustering,
+    "op13_resampling": op13_resampling,
 }

@@ -110,9 +110,83 @@ SELECT doc_id, size, source_size, target, CAST(t AS BIGINT) AS taken FROM (SELEC
     return ",".join(parts)
 
 
+def clustering(rounds: int = 5, clusters: int = 40) -> str:
+    """Every round measures all vectors against all centroids."""
+    parts = [
+        rf"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR)), x) - 1 AS INTEGER) AS cluster, x
+  FROM v WHERE vec_id IS NOT NULL QUALIFY cluster < {clusters})"""
+    ]
+    for k in range(rounds + 1):
+        parts.append(
+            f"""
+a{k} AS MATERIALIZED (
+  SELECT r, vec_id, v.x, cluster, CAST(list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i]))) AS BIGINT) AS distance
+  FROM v, c{k} c QUALIFY row_number() OVER (PARTITION BY r ORDER BY distance, cluster) = 1)"""
+        )
+        if k < rounds:
+            parts.append(
+                f"""
+m{k} AS (
+  SELECT cluster, j, CAST(sum(y) AS BIGINT) AS s, count(*) AS n
+  FROM (SELECT cluster, unnest(x) AS y, unnest(range(64)) AS j FROM a{k}) GROUP BY cluster, j),
+n{k} AS (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY j) AS x FROM m{k} GROUP BY cluster),
+c{k + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(n.x, c.x) AS x FROM c{k} c LEFT JOIN n{k} n USING (cluster))"""
+            )
+    parts.append(
+        f"""
+last AS (SELECT cluster, sha256(array_to_string(x, ',')) AS centroid_sha256 FROM c{rounds})
+SELECT vec_id, a.cluster, distance, CAST(sum(distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a{rounds} a JOIN last ON a.cluster = last.cluster
+"""
+    )
+    return ",".join(parts)
+
+
+RESAMPLING = rf"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all({FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+dw AS (SELECT r, w, count(*) AS n FROM (SELECT r, unnest(w) AS w FROM d) GROUP BY r, w),
+bw AS (SELECT w, count(*) AS n FROM (SELECT unnest(w) AS w FROM b) GROUP BY w),
+words AS (
+  SELECT w, xor(list_reduce(list_concat([4294967295], list_transform(range(len(h) // 2), lambda i: CAST('0x' || h[2 * i + 1:2 * i + 2] AS BIGINT))),
+    lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM dw UNION SELECT w FROM bw)), crc),
+s AS (SELECT bucket, sum(n) AS s FROM dw JOIN words USING (w) GROUP BY bucket),
+t AS (SELECT bucket, sum(n) AS t FROM bw JOIN words USING (w) GROUP BY bucket),
+total AS (
+  SELECT coalesce((SELECT sum(s) FROM s), 0)::DOUBLE AS sa, coalesce((SELECT sum(t) FROM t), 0)::DOUBLE AS ta),
+gain AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (sa + 10000) / ((s::DOUBLE + 1) * (ta + 10000)))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t USING (bucket), total),
+weight AS (SELECT r, CAST(sum(n * gain) AS BIGINT) AS weight FROM dw JOIN words USING (w) JOIN gain USING (bucket) GROUP BY r),
+scored AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) + 0.5::DOUBLE)
+      / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM d LEFT JOIN weight USING (r)),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 AND score IS NOT NULL ORDER BY score DESC, doc_id, n_features) AS place,
+    10 * count(*) OVER (PARTITION BY n_features >= 20 AND score IS NOT NULL) // 100 AS drawn FROM scored)
+SELECT doc_id, n_features, weight, score,
+  CASE WHEN n_features >= 20 AND score IS NOT NULL AND place <= drawn THEN CAST(place AS BIGINT) END AS rank FROM ranked
+"""
+
+
 SQL = {
     "op4_mixing": mixing(),
     "op6_decontaminate": DECONTAMINATE,
     "op9_top_k": TOP_K,
     "op10_jaccard_join": JACCARD,
+    "op12_clustering": clustering(),
+    "op13_resampling": RESAMPLING,
 }
