@@ -22,7 +22,9 @@ PART, WHOLE = 3, 4
 #: Shingles that a task holds while it sends them out, and that a range of hashes holds on arrival.
 CHUNK, RANGE = 2_000_000, 2_000_000
 CHUNK_DOCS = 30_000
-#: Members of a cluster, and sets compared with them, that one row of work holds.
+#: Sets of a list that all its others are compared with before parts are formed.
+PIVOTS = 3
+#: Members of a part, and sets compared with them, that one row of work holds.
 BLOCK, BATCH = 256, 64
 #: Ids that may be broadcast; more are joined by a shuffle.
 IDS = 1_000_000
@@ -243,7 +245,7 @@ def linked(common: Column, a: Column, b: Column) -> Column:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of a batch of sets with the members of a block of a cluster.
+    """Links of a batch of sets with the members of a block of a part.
 
     The common size with the pivot is counted once per set; that with a member follows from it:
     minus what the set shares with the pivot's shingles that the member lacks, plus what it shares
@@ -265,61 +267,71 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 hit = np.bincount(owner[np.isin(changes, own)], minlength=2 * len(members))
                 common = base - hit[: len(members)] + hit[len(members) :]
                 found = np.flatnonzero((common * WHOLE >= (len(own) + sizes - common) * PART) & (keys != one["key"]))
-                if len(found):  # one link to the block is enough, its members are linked to the pivot
+                if len(found):  # one link to the block is enough, its members are connected already
                     src.append(one["key"])
                     dst.append(int(keys[found].min()))
         yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
 
 
+def pivots(lists: DataFrame) -> DataFrame:
+    """(h, p): of every list with several entries the smallest ones in ``PIVOTS`` orders, each once."""
+    orders = [F.min(F.struct(F.xxhash64(F.lit(turn), "key").alias("order"), "key", "n", "rest")).alias(f"p{turn}") for turn in range(PIVOTS)]
+    head = lists.groupBy("h").agg(*orders, F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
+    every = F.array(*[F.col(f"p{turn}").dropFields("order") for turn in range(PIVOTS)])
+    return head.select("h", F.explode(F.array_distinct(every)).alias("p"))
+
+
+def list_blocks(entries: DataFrame) -> DataFrame:
+    """(h, q, q_members, low, high, q_rest): the lists cut into blocks by part and position, each with its bounds.
+
+    A block holds the entries of one part whose places from the end lie between two powers of two. An
+    entry skips a block as a whole where not even the block's best sizes and place could link.
+    """
+    block = F.floor(F.log2(F.col("rest").cast("double")))
+    return entries.groupBy("h", F.col("part").alias("q"), F.col("members").alias("q_members"), block.alias("position")).agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("q_rest")
+    )
+
+
 def links(sets: DataFrame) -> DataFrame:
     """(src, dst) links over (key, h), enough to connect all sets that links connect.
 
-    First every list compares its members with its smallest one, the pivot. A set linked to a pivot
-    joins that pivot's cluster, and pairs within a cluster are settled. Of what is left, a set is
-    compared with whole clusters that it meets in a list, the smaller cluster's sets with the larger
-    cluster, and the answers for the members are derived from that for the pivot and the members'
-    differences from it. So a group of g near copies costs about g comparisons, not g * g.
+    First every list compares its members with a few of them, the pivots. Sets that links connect by
+    now are a part, and pairs within a part are settled, so lists of one part are dropped. In the
+    others every set of a smaller part is compared with whole larger parts that it meets in a block
+    of a list: the answers for the members are derived from that for the part's smallest set and the
+    members' differences from it. So a group of g near copies costs about g comparisons, not g * g.
     """
     lists = settle(index_lists(sets))
-    head = lists.groupBy("h").agg(F.min(F.struct("key", "n", "rest")).alias("p"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
-    met = lists.join(head, "h").where(F.col("key") != F.col("p.key"))
-    pairs = met.where(can_link(F.col("n"), F.col("rest"), F.col("p.n"), F.col("p.rest"))).select("key", F.col("p.key").alias("pivot_key")).distinct()
-    one, two = sets.select("key", "h"), sets.select(F.col("key").alias("pivot_key"), F.col("h").alias("pivot"))
-    both = pairs.join(one, "key").join(two, "pivot_key")
-    common = F.size(F.array_intersect("h", "pivot"))
-    tried = both.withColumn("common", common).where(linked(F.col("common"), F.size("h"), F.size("pivot")))
-    close = settle(
-        tried.select("key", "pivot_key", F.size("h").alias("n"), F.array_except("pivot", "h").alias("lacks"), F.array_except("h", "pivot").alias("has"))
-    )
-    first = close.select(F.col("key").alias("src"), F.col("pivot_key").alias("dst"))
-    nodes = sets.select(F.col("key").alias("node"))
-    placed = components(nodes, first).withColumnRenamed("component", "part")
-    # a cluster is a pivot and the sets that have it as their smallest linked pivot; pivots stay at home
-    pivots = close.select(F.col("pivot_key").alias("key")).distinct().withColumn("is_pivot", F.lit(True))
-    joined = close.join(pivots, "key", "left").where(F.col("is_pivot").isNull()).groupBy("key").agg(F.min("pivot_key").alias("at"))
-    home = sets.select("key", F.size("h").alias("n")).join(joined, "key", "left").withColumn("home", F.coalesce("at", "key")).drop("at")
-    home = home.join(placed.withColumnRenamed("node", "key"), "key")
-    sizes = home.groupBy("home").agg(F.count(F.lit(1)).alias("members"))
-    home = settle(home.join(sizes, "home"))
-
-    entries = lists.join(home.select("key", "home", "part", "members"), "key")
+    met = lists.join(pivots(lists), "h").where(F.col("key") != F.col("p.key"))
+    able_ = met.where(can_link(F.col("n"), F.col("rest"), F.col("p.n"), F.col("p.rest")))
+    pairs = able_.select(F.least("key", "p.key").alias("src"), F.greatest("key", "p.key").alias("dst")).distinct()
+    one, two = (sets.select(F.col("key").alias(name), F.col("h").alias(f"{name}_h")) for name in ("src", "dst"))
+    common = F.size(F.array_intersect("src_h", "dst_h"))
+    tried = pairs.join(one, "src").join(two, "dst").select("src", "dst", common.alias("common"), F.size("src_h").alias("a"), F.size("dst_h").alias("b"))
+    first = settle(tried.where(linked(F.col("common"), F.col("a"), F.col("b"))).select("src", "dst"))
+    placed = components(sets.select(F.col("key").alias("node")), first).select(F.col("node").alias("key"), F.col("component").alias("part"))
+    home = sets.select("key", F.size("h").alias("n")).join(placed, "key")
+    sizes = home.groupBy("part").agg(F.count(F.lit(1)).alias("members"))
+    home = settle(home.join(sizes, "part").select("key", "n", "part", "members"))
+
+    entries = lists.join(home.select("key", "part", "members"), "key")
     mixed = entries.groupBy("h").agg(F.min("part").alias("a"), F.max("part").alias("b")).where(F.col("a") != F.col("b")).select("h")
     entries = settle(entries.join(mixed, "h"))
-    there = entries.groupBy("h", F.col("home").alias("q"), F.col("part").alias("q_part"), F.col("members").alias("q_members")).agg(
-        F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("q_rest")
-    )
     n, least = F.col("n"), F.greatest(F.col("low"), F.ceil(F.col("n") * PART / WHOLE))
     may = (F.col("high") * WHOLE >= n * PART) & (F.col("low") * PART <= n * WHOLE) & (F.least("rest", "q_rest") >= least_overlap(n, least))
-    order = F.struct("members", "home") < F.struct("q_members", "q")
-    todo = settle(entries.join(there, "h").where((F.col("part") != F.col("q_part")) & order & may).select("key", "q").distinct())
-
-    none = F.array().cast("array<bigint>")
-    away = close.join(joined, "key").where(F.col("pivot_key") == F.col("at")).select(F.col("at").alias("q"), "key", "n", "lacks", "has")
-    own = home.select(F.col("home").alias("q"), "key", "n").where(F.col("q") == F.col("key")).select("q", "key", "n", none.alias("lacks"), none.alias("has"))
-    wanted = todo.select("q").distinct().join(sizes.withColumnRenamed("home", "q"), "q")
-    members = own.unionByName(away).join(wanted, "q").withColumn("block", F.pmod(F.xxhash64("key"), F.ceil(F.col("members") / BLOCK)))
-    blocks = members.groupBy("q", "block").agg(F.collect_list(F.struct("key", "n", "lacks", "has")).alias("members"))
-    blocks = blocks.join(sets.select(F.col("key").alias("q"), F.col("h").alias("pivot")), "q")
+    order = F.struct("members", "part") < F.struct("q_members", "q")
+    todo = settle(entries.join(list_blocks(entries), "h").where(order & may).select("key", "q", "q_members").distinct())
+
+    # a part is read in blocks of members, each with their differences from the part's smallest set
+    blocks_of = F.ceil(F.col("q_members") / BLOCK)
+    wanted = todo.select("q", "q_members").distinct()
+    roots = wanted.join(sets.select(F.col("key").alias("q"), F.col("h").alias("pivot")), "q")
+    roots = roots.select("q", F.explode(F.sequence(F.lit(0).cast("long"), blocks_of - 1)).alias("block"), "pivot")
+    mine = home.select(F.col("part").alias("q"), "key", "n").join(wanted, "q").withColumn("block", F.pmod(F.xxhash64("key"), blocks_of))
+    mine = mine.join(sets.select("key", "h"), "key").join(roots, ["q", "block"])
+    member = F.struct("key", "n", F.array_except("pivot", "h").alias("lacks"), F.array_except("h", "pivot").alias("has"))
+    blocks = mine.groupBy("q", "block").agg(F.collect_list(member).alias("members")).join(roots, ["q", "block"])
     asked = todo.groupBy("q").agg(F.count(F.lit(1)).alias("asked"))
     batches = todo.join(asked, "q").withColumn("batch", F.pmod(F.xxhash64("key"), F.ceil(F.col("asked") / BATCH))).join(sets.select("key", "h"), "key")
     batches = batches.groupBy("q", "batch").agg(F.collect_list(F.struct("key", "h")).alias("some"))
