@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import FOLD, labelled_sample, packed, utf8, with_row
+from tracewell.plans.lineage import settle
 
 #: Lengths of the byte n-grams.
 LENGTHS = (3, 4, 5, 6)
@@ -22,6 +23,11 @@ SAMPLE = 16_000
 LEAST = 3
 #: Bytes of text that are turned into n-grams at once.
 CHUNK = 1_500_000
+#: Rows whose cells a task unpacks together.
+BLOCK = 256
+#: Passes of the fit over the sample, at most; steps that are remembered; and the gradient, relative
+#: to the first one, that ends the fit.
+PASSES, MEMORY, ENOUGH = 60, 8, 1e-4
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes that are not letters, and bytes of letters of other alphabets, told apart: the rest is a blank.
 LETTERS = bytes(x if x in b"abcdefghijklmnopqrstuvwxyz" or x >= 0x80 else 0x20 for x in FOLD)
@@ -46,27 +52,38 @@ def cells(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def chunks(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first text, bytes, owner of each byte) of runs of whole texts; a blank at each end parts them."""
+    """(first text, bytes, where each text begins and the last one ends) of runs of whole texts; a blank at each end parts them."""
     first, held, size = 0, [], 0
     for k, text in enumerate(texts):
         held.append(normal(text))
         size += len(held[-1])
         if size >= CHUNK or k == len(texts) - 1:
-            lengths = np.fromiter(map(len, held), np.int64, len(held))
-            yield first, np.frombuffer(b"".join(held), np.uint8), np.repeat(np.arange(len(held)), lengths)
+            edges = np.cumsum([0, *map(len, held)])
+            yield first, np.frombuffer(b"".join(held), np.uint8), edges
             first, held, size = k + 1, [], 0
 
 
-def present(texts: list[bytes], keep: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first text, texts, owners, cells): each kept cell once per text. ``keep`` is a mask of cells."""
-    for first, data, owner in chunks(texts):
-        pairs = []
-        for length, found in cells(data):
-            at = np.flatnonzero(keep[found])
-            at = at[owner[at] == owner[at + length - 1]]  # within one text
-            pairs.append((owner[at].astype(np.int64) << BITS) | found[at])
-        joined = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, np.int64)
-        yield first, int(owner[-1]) + 1, joined >> BITS, joined & ((1 << BITS) - 1)
+def distinct(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """The cells of each text, each once, in any order.
+
+    Every place writes its number into the stamp of its cell; of the places with one cell the last
+    one finds its own number there. A text above ``CHUNK`` marks its cells piece by piece instead.
+    """
+    stamp = np.zeros(1 << BITS, np.int32)
+    for _, data, edges in chunks(texts):
+        if len(data) > 2 * CHUNK and len(edges) == 2:
+            marked = np.zeros(1 << BITS, bool)
+            for at in range(0, len(data), CHUNK):
+                for _, found in cells(data[at : at + CHUNK + max(LENGTHS) - 1]):
+                    marked[found] = True
+            yield np.flatnonzero(marked).astype(np.int32)
+            continue
+        found = list(cells(data))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            every = np.concatenate([np.empty(0, np.int32), *(x[a : max(b - length + 1, a)] for length, x in found)])
+            places = np.arange(len(every), dtype=np.int32)
+            stamp[every] = places
+            yield every[stamp[every] == places]
 
 
 @dataclass
@@ -77,26 +94,10 @@ class Model:
     intercept: float
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        out = np.full(len(texts), self.intercept)
-        for first, n, owner, cell in present(texts, self.weights != 0):
-            out[first : first + n] += np.bincount(owner, self.weights[cell], n)
+        out = self.intercept + np.fromiter((self.weights[cell].sum() for cell in distinct(texts)), float, len(texts))
         return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
-def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of either class that hold a cell, per task."""
-    counts = np.zeros((2, 1 << BITS), np.int64)
-    for batch in batches:
-        label = np.asarray(batch.column("label"))
-        for first, n, owner, cell in present(batch.column("text").to_pylist(), np.ones(1 << BITS, bool)):
-            for side in (0, 1):
-                counts[side] += np.bincount(cell[label[first + owner] == side], minlength=1 << BITS)
-    at = np.flatnonzero(counts.sum(0))
-    for k in range(0, len(at), 200_000):
-        part = at[k : k + 200_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[0][part]), pa.array(counts[1][part])], names=["cell", "clean", "toxic"])
-
-
 def pressed(cell: np.ndarray) -> bytes:
     """Ascending cells in two bytes each, after how many have each value of the bits above."""
     return np.bincount(cell >> 16, minlength=1 << (BITS - 16)).astype(np.int32).tobytes() + (cell & 0xFFFF).astype(np.uint16).tobytes()
@@ -107,120 +108,130 @@ def unpressed(held: bytes) -> np.ndarray:
     return np.frombuffer(held, np.uint16, offset=tops.nbytes) + np.repeat(np.arange(len(tops), dtype=np.int32) << 16, tops)
 
 
-def _rows(shared):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held: list[bytes] = []
-            for _, n, owner, cell in present(batch.column("text").to_pylist(), shared.value != 0):
-                held += [pressed(part) for part in np.split(cell, np.searchsorted(owner, np.arange(1, n)))]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(held, pa.binary())], names=["label", "cells"])
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The n-grams of each text of the sample, made once and packed."""
+    for batch in batches:
+        held = [pressed(np.sort(cell)) for cell in distinct(batch.column("text").to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(held, pa.binary())], names=["label", "cells"])
+
 
-    return rows
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(labels, cells of one row after the other, cells per row) of at most ``BLOCK`` rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BLOCK):
+            part = batch.slice(at, BLOCK)
+            held = [unpressed(x) for x in part.column("cells").to_pylist()]
+            yield np.asarray(part.column("label"), float), np.concatenate(held), np.fromiter(map(len, held), np.int64, len(held))
+
+
+def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of either class that hold a cell, per task."""
+    counts = np.zeros((2, 1 << BITS), np.int64)
+    for label, cell, sizes in blocks(batches):
+        of = np.repeat(label, sizes)
+        for side in (0, 1):
+            counts[side] += np.bincount(cell[of == side], minlength=1 << BITS)
+    yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array([x.tobytes() for x in counts], pa.binary())], names=["label", "counts"])
+
+
+def _sums(frame: DataFrame, column: str, shape: tuple[int, ...]) -> np.ndarray:
+    """The sum of packed arrays, one row of a small table at a time."""
+    out = np.zeros(shape)
+    for row in frame.toLocalIterator(prefetchPartitions=True):
+        out[row[0]] += np.frombuffer(row[column], np.int64 if column == "counts" else float)
+    return out
 
 
 @dataclass
-class Block:
-    """Slots of the cells of some rows of the sample, in the order of the rows and in that of the slots."""
-
-    label: np.ndarray
-    cells: np.ndarray
-    starts: np.ndarray
-    owners: np.ndarray
-    distinct: np.ndarray
-    firsts: np.ndarray
-
-    @classmethod
-    def of(cls, rows: list[tuple[int, bytes]], slot: np.ndarray) -> Block:
-        parts = [slot[unpressed(held)] for _, held in rows]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        cells = np.concatenate(parts)
-        order = np.argsort(cells, kind="stable")
-        sorted_cells = cells[order]
-        firsts = np.flatnonzero(np.concatenate([[True], sorted_cells[1:] != sorted_cells[:-1]])[: len(cells)]).astype(np.int32)
-        owners = np.repeat(np.arange(len(rows), dtype=np.uint16), sizes)[order]
-        return cls(np.array([label for label, _ in rows], float), cells, np.cumsum(sizes) - sizes, owners, sorted_cells[firsts], firsts)
-
-    def sums(self, weights: np.ndarray) -> np.ndarray:
-        """The sum of the weights of each row's cells."""
-        out = np.zeros(len(self.label))
-        some = np.diff(np.append(self.starts, len(self.cells))) > 0
-        if some.any():
-            out[some] = np.add.reduceat(weights[self.cells], self.starts[some])
-        return out
-
-    def add(self, error: np.ndarray, total: np.ndarray) -> None:
-        """Add each row's error to all its cells in ``total``."""
-        if len(self.cells):
-            total[self.distinct] += np.add.reduceat(error[self.owners], self.firsts)
-
-
-#: Rows of a block.
-BLOCK = 500
-
-
-def _fitter(shared, strength: float, rounds: int):
-    """(cell, weight) of all cells, and the intercept as cell -1. Runs in one task, which holds the sample's cells."""
-
-    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = np.flatnonzero(shared.value)
-        ratios, slot = shared.value[at], np.zeros(1 << BITS, np.int32)
-        slot[at] = np.arange(len(at))
-        rows: list[tuple[int, bytes]] = []
-        for batch in batches:
-            rows += zip(batch.column("label").to_pylist(), batch.column("cells").to_pylist(), strict=True)
-        rows.sort(reverse=True)  # the same order in every run; blocks take rows from the end and free them
-        n = len(rows)
-        n_toxic = sum(label for label, _ in rows)
-        n_clean = n - n_toxic
-        blocks = []
-        while rows:
-            blocks.append(Block.of(rows[-BLOCK:], slot))
-            del rows[-BLOCK:]
-        w, b = np.zeros(len(ratios)), float(np.log(n_toxic / n_clean))
-        m, v = np.zeros(len(ratios) + 1), np.zeros(len(ratios) + 1)
-        for step in range(1, rounds + 1):
-            weights, grad = (ratios * w).astype(np.float32), np.zeros(len(ratios) + 1)
-            for block in blocks:
-                p = 1 / (1 + np.exp(-np.clip(block.sums(weights) + b, -500, 500)))
-                each = np.where(block.label == 1, 0.5 / n_toxic, 0.5 / n_clean) * n * 0.5 + 0.5  # halfway to balanced classes
-                error = (p - block.label) * each / n
-                block.add(error.astype(np.float32), grad)
-                grad[-1] += error.sum()
-            grad[:-1] = grad[:-1] * ratios + strength * 1e-4 * w
-            m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-            move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-            w, b = w - move[:-1], b - float(move[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(w * ratios, b))], names=["cell", "weight"])
-
-    return fitted
-
-
-def fit(sample: DataFrame, strength: float = 1.0, rounds: int = 300) -> Model:
+class Loss:
+    """Where a pass stands: the scaled weights of all cells, the intercept, and what a row of either class counts."""
+
+    weights: np.ndarray
+    intercept: float
+    each: tuple[float, float]
+
+
+def _pass(shared):
+    """The loss of a task's rows and its gradient: one number per cell, then that of the intercept and the loss."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = shared.value
+        total = np.zeros((1 << BITS) + 2)
+        for label, cell, sizes in blocks(batches):
+            raw = np.full(len(label), now.intercept)
+            some = np.flatnonzero(sizes)
+            if len(some):
+                raw[some] += np.add.reduceat(now.weights[cell], (np.cumsum(sizes) - sizes)[some])
+            count = np.where(label == 1, now.each[1], now.each[0])
+            error = (1 / (1 + np.exp(-np.clip(raw, -500, 500))) - label) * count
+            total[:-2] += np.bincount(cell, np.repeat(error, sizes), 1 << BITS)
+            total[-2] += error.sum()
+            total[-1] += (count * (np.logaddexp(0, raw) - label * raw)).sum()
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "total"])
+
+    return summed
+
+
+def descent(loss, start: np.ndarray, passes: int = PASSES) -> np.ndarray:
+    """Minimise ``loss(x) -> (value, gradient)`` by limited-memory BFGS with halved steps; each value is one pass."""
+    x, (value, gradient) = start, loss(start)
+    first, done, steps = float(np.abs(gradient).max()), 1, []
+    while done < passes and np.abs(gradient).max() > ENOUGH * first:
+        way, held = -gradient, []
+        for s, y, rho in reversed(steps):
+            held.append(rho * (s @ way))
+            way = way - held[-1] * y
+        if steps:
+            way = way * ((steps[-1][0] @ steps[-1][1]) / (steps[-1][1] @ steps[-1][1]))
+        for (s, y, rho), a in zip(steps, reversed(held), strict=True):
+            way = way + s * (a - rho * (y @ way))
+        length = 1.0 if steps else min(1.0, 1.0 / max(float(np.abs(gradient).sum()), 1e-12))
+        slope = float(gradient @ way)
+        while done < passes:
+            new = x + length * way
+            value_new, gradient_new = loss(new)
+            done += 1
+            if value_new <= value + 1e-4 * length * slope:
+                s, y = new - x, gradient_new - gradient
+                if s @ y > 1e-12:
+                    steps = [*steps, (s, y, 1.0 / (s @ y))][-MEMORY:]
+                x, value, gradient = new, value_new, gradient_new
+                break
+            length /= 2
+    return x
+
+
+def fit(sample: DataFrame, strength: float = 1.0, passes: int = PASSES) -> Model:
     """Train on (text, label) over all cells that ``LEAST`` documents hold; constant if either class is missing.
 
-    Counting runs on the executors, and so does the fit, in one task that holds the cells of the
-    sample's documents, whose number is bounded by ``SAMPLE``. The driver gets one ratio and one
-    weight per cell.
+    The n-grams of the sample are made once and stored; counting and the passes of the fit read
+    them where they lie, and each task sends one sum per cell. A task holds the cells of ``BLOCK``
+    rows, the driver and each task a few numbers per cell.
     """
     spark = sample.sparkSession
-    sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = settle(sample.mapInArrow(_rows, "label int, cells binary"))
+    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
-    weights = np.zeros(1 << BITS)
     if not n_toxic or not n_clean:
-        return Model(weights, 5.0 if n_toxic else -5.0)
-    counted = sample.mapInArrow(_counter, "cell long, clean long, toxic long").groupBy("cell").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    ratio = F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (n_clean + 1.0))
-    kept = counted.where(F.col("clean") + F.col("toxic") >= LEAST).select("cell", ratio.alias("ratio")).toArrow()
-    if not kept.num_rows:
-        return Model(weights, float(np.log(n_toxic / n_clean)))
-    ratios = np.zeros(1 << BITS)
-    ratios[kept["cell"].to_numpy()] = kept["ratio"].to_numpy()
-    shared = spark.sparkContext.broadcast(ratios)
-    rows = sample.mapInArrow(_rows(shared), "label int, cells binary").repartition(1)
-    found = rows.mapInArrow(_fitter(shared, strength, rounds), "cell long, weight double").toArrow()
-    cell, weight = found["cell"].to_numpy(), found["weight"].to_numpy()
-    weights[cell[cell >= 0]] = weight[cell >= 0]
-    return Model(weights, float(weight[cell < 0][0]))
+        return Model(np.zeros(1 << BITS), 5.0 if n_toxic else -5.0)
+    clean, toxic = _sums(rows.mapInArrow(_counter, "label int, counts binary"), "counts", (2, 1 << BITS))
+    ratios = np.log((toxic + 0.5) / (n_toxic + 1.0)) - np.log((clean + 0.5) / (n_clean + 1.0))
+    ratios[clean + toxic < LEAST] = 0.0
+    n, decay = n_toxic + n_clean, strength * 1e-4
+    each = tuple((0.5 + 0.5 * n / (2 * of)) / n for of in (n_clean, n_toxic))  # halfway to balanced classes
+
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+        shared = spark.sparkContext.broadcast(Loss(x[:-1] * ratios, float(x[-1]), each))
+        (total,) = _sums(rows.mapInArrow(_pass(shared), "part int, total binary"), "total", (1, (1 << BITS) + 2))
+        shared.unpersist()
+        gradient = total[:-1].copy()
+        gradient[:-1] = gradient[:-1] * ratios + decay * x[:-1]
+        return float(total[-1] + 0.5 * decay * (x[:-1] @ x[:-1])), gradient
+
+    start = np.zeros((1 << BITS) + 1)
+    start[-1] = np.log(n_toxic / n_clean)
+    found = descent(loss, start, passes)
+    return Model(found[:-1] * ratios, float(found[-1]))
 
 
 def _scorer(shared):
