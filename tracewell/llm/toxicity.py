@@ -126,7 +126,7 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of either class that hold a cell, per task."""
-    counts = np.zeros((2, 1 << BITS), np.int64)
+    counts = np.zeros((2, 1 << BITS), np.int32)
     for label, cell, sizes in blocks(batches):
         of = np.repeat(label, sizes)
         for side in (0, 1):
@@ -138,36 +138,37 @@ def _sums(frame: DataFrame, column: str, shape: tuple[int, ...]) -> np.ndarray:
     """The sum of packed arrays, one row of a small table at a time."""
     out = np.zeros(shape)
     for row in frame.toLocalIterator(prefetchPartitions=True):
-        out[row[0]] += np.frombuffer(row[column], np.int64 if column == "counts" else float)
+        out[row[0]] += np.frombuffer(row[column], np.int32 if column == "counts" else float)
     return out
 
 
 @dataclass
 class Loss:
-    """Where a pass stands: the scaled weights of all cells, the intercept, and what a row of either class counts."""
+    """Where a pass stands: the scaled weights of the kept cells, the intercept, and what a row of either class counts."""
 
     weights: np.ndarray
     intercept: float
     each: tuple[float, float]
 
 
-def _pass(shared):
-    """The loss of a task's rows and its gradient: one number per cell, then that of the intercept and the loss."""
+def _pass(kept, shared):
+    """The loss of a task's rows and its gradient: one number per kept cell, then that of the intercept and the loss."""
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = shared.value
-        total = np.zeros((1 << BITS) + 2)
+        now, weights = shared.value, np.zeros(1 << BITS)
+        weights[kept.value] = now.weights
+        total, rest = np.zeros(1 << BITS), np.zeros(2)
         for label, cell, sizes in blocks(batches):
             raw = np.full(len(label), now.intercept)
             some = np.flatnonzero(sizes)
             if len(some):
-                raw[some] += np.add.reduceat(now.weights[cell], (np.cumsum(sizes) - sizes)[some])
+                raw[some] += np.add.reduceat(weights[cell], (np.cumsum(sizes) - sizes)[some])
             count = np.where(label == 1, now.each[1], now.each[0])
             error = (1 / (1 + np.exp(-np.clip(raw, -500, 500))) - label) * count
-            total[:-2] += np.bincount(cell, np.repeat(error, sizes), 1 << BITS)
-            total[-2] += error.sum()
-            total[-1] += (count * (np.logaddexp(0, raw) - label * raw)).sum()
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "total"])
+            total += np.bincount(cell, np.repeat(error, sizes), 1 << BITS)
+            rest += error.sum(), (count * (np.logaddexp(0, raw) - label * raw)).sum()
+        held = np.concatenate([total[kept.value], rest]).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([held], pa.binary())], names=["part", "total"])
 
     return summed
 
@@ -216,22 +217,26 @@ def fit(sample: DataFrame, strength: float = 1.0, passes: int = PASSES) -> Model
         return Model(np.zeros(1 << BITS), 5.0 if n_toxic else -5.0)
     clean, toxic = _sums(rows.mapInArrow(_counter, "label int, counts binary"), "counts", (2, 1 << BITS))
     ratios = np.log((toxic + 0.5) / (n_toxic + 1.0)) - np.log((clean + 0.5) / (n_clean + 1.0))
-    ratios[clean + toxic < LEAST] = 0.0
+    cell = np.flatnonzero((clean + toxic >= LEAST) & (ratios != 0))
+    kept, ratios = spark.sparkContext.broadcast(cell), ratios[cell]
     n, decay = n_toxic + n_clean, strength * 1e-4
     each = tuple((0.5 + 0.5 * n / (2 * of)) / n for of in (n_clean, n_toxic))  # halfway to balanced classes
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
         shared = spark.sparkContext.broadcast(Loss(x[:-1] * ratios, float(x[-1]), each))
-        (total,) = _sums(rows.mapInArrow(_pass(shared), "part int, total binary"), "total", (1, (1 << BITS) + 2))
-        shared.unpersist()
+        (total,) = _sums(rows.mapInArrow(_pass(kept, shared), "part int, total binary"), "total", (1, len(cell) + 2))
+        shared.destroy()
         gradient = total[:-1].copy()
         gradient[:-1] = gradient[:-1] * ratios + decay * x[:-1]
         return float(total[-1] + 0.5 * decay * (x[:-1] @ x[:-1])), gradient
 
-    start = np.zeros((1 << BITS) + 1)
+    start = np.zeros(len(cell) + 1)
     start[-1] = np.log(n_toxic / n_clean)
     found = descent(loss, start, passes)
-    return Model(found[:-1] * ratios, float(found[-1]))
+    kept.destroy()
+    weights = np.zeros(1 << BITS)
+    weights[cell] = found[:-1] * ratios
+    return Model(weights, float(found[-1]))
 
 
 def _scorer(shared):
