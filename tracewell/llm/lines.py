@@ -1,4 +1,8 @@
-"""Line dedup: passages of words that an earlier document holds, found through hashes of all their windows."""
+"""Line dedup: documents paired through shared lines, aligned by patience diff, common blocks deleted from the later one.
+
+A line is a run of ``GRAM`` words wherever it stands, so that line ends do not matter. The lines of a
+document are sampled: of the lines in a stretch of words the one with the smallest hash stands for it.
+"""
 
 from __future__ import annotations
 
@@ -18,7 +22,7 @@ from tracewell.llm.common import packed
 
 #: Passages of more words than this that an earlier document holds too are deleted.
 MOST_SHARED = 50
-#: Words of the grams of which the smallest hash in a window stands for the window.
+#: Words of a line.
 GRAM = 8
 #: Bytes of text that are hashed at once, and that a chunk of documents holds about.
 RUN, CHUNK = 1_500_000, 8_000_000
@@ -112,17 +116,29 @@ def bodies(words: Words, at: np.ndarray, size: int) -> np.ndarray:
     return _run_hashes(words.hash, at, at + size).astype(np.int64)
 
 
-ROWS = "chunk long, hash long, low long, high long"
+LINES = "chunk long, hash long, low long, high long"
+STRETCHES = "chunk long, hash long, low long, at long"
+
 
+def _bounds(chunk: int, hashes: list[np.ndarray], ids: list[np.ndarray], places: list[np.ndarray] | None = None) -> pa.Table:
+    """Each hash of a chunk once, with the smallest and the largest id of its documents there.
 
-def _bounds(chunk: int, hashes: list[np.ndarray], ids: list[np.ndarray]) -> pa.Table:
-    """Each hash of a chunk once, with the smallest and the largest id of its documents there."""
+    With ``places``, ``at`` is given in place of the largest id: four times the first place in the
+    smallest document, plus 2 if that document holds it once, plus 1 if several documents hold it.
+    """
     h, doc = (np.concatenate([np.empty(0, np.int64), *x]) for x in (hashes, ids))
     order = np.argsort(h, kind="stable")
     h, doc = h[order], doc[order]
     new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])[: len(h)])
     low, high = (f.reduceat(doc, new) if len(new) else doc for f in (np.minimum, np.maximum))
-    return pa.table({"chunk": np.full(len(new), chunk, np.int64), "hash": h[new], "low": low, "high": high})
+    out = {"chunk": np.full(len(new), chunk, np.int64), "hash": h[new], "low": low}
+    if places is None:
+        return pa.table({**out, "high": high})
+    if len(new):
+        held = doc == np.repeat(low, np.diff(np.append(new, len(h))))
+        first = np.minimum.reduceat(np.where(held, np.concatenate(places)[order], np.iinfo(np.int64).max), new)
+        low = 4 * first + 2 * (np.add.reduceat(held.astype(np.int64), new) == 1) + (high > low)
+    return pa.table({**out, "at": low})
 
 
 def _texts(docs: pa.Table) -> list[bytes]:
@@ -138,7 +154,7 @@ def _runs_with_id(docs: pa.Table) -> Iterator[tuple[np.ndarray, Words]]:
 
 
 def _signs(size: int):
-    """Phase 1: the signs of all windows."""
+    """Phase 1: the lines that stand for the stretches of ``size`` words."""
 
     def sign(docs: pa.Table) -> pa.Table:
         hashes, ids = [], []
@@ -155,18 +171,19 @@ def _signs(size: int):
 
 
 def _bodies(size: int):
-    """Phase 2: the windows whose sign several documents hold."""
+    """Phase 2: the stretches whose line several documents hold, and where their first holder has them."""
 
     def body(docs: pa.Table, shared: pa.Table) -> pa.Table:
         marked = np.sort(shared["hash"].to_numpy())
-        hashes, ids = [], []
+        hashes, ids, places = [], [], []
         if len(marked):
             for own, words in _runs_with_id(docs):
                 at = windows(words, size)
                 at = at[_found(marked, signs(words, at, size))[1]]
                 hashes.append(bodies(words, at, size))
                 ids.append(own[words.owner[at]])
-        return _bounds(docs["chunk"][0].as_py() if docs.num_rows else 0, hashes, ids)
+                places.append(at - np.searchsorted(words.owner, words.owner[at]))
+        return _bounds(docs["chunk"][0].as_py() if docs.num_rows else 0, hashes, ids, places)
 
     return body
 
@@ -193,38 +210,77 @@ def increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def aligned(places: np.ndarray, others: np.ndarray, alone: np.ndarray, earlier: np.ndarray) -> list[tuple[int, int]]:
-    """Blocks (first, last line) that stand in the other document in the same order.
+def patience(runs: list[tuple[int, int, int, bool]]) -> list[int]:
+    """The round in which each run is aligned; ``runs`` are (first, length, place in the other document, anchored).
 
-    ``places`` are this document's lines whose first holder is the other document, ``others`` where
-    they stand there, ``alone`` whether they stand once in both; ``earlier`` marks all lines of this
-    document that any earlier document holds. Lines that stand once in both, in a longest common
-    order, are the anchors of patience diff. Blocks grow from them over equal distances: between two
-    anchors over lines that earlier documents hold too, at the ends over lines of the other document.
+    Runs with a stretch that stands once in both documents are the anchors of patience diff; a
+    longest chain of them in the order of both documents is aligned, and so are the runs without
+    anchor that fit between two links of the chain. Where no anchor is left, equal stretches are told
+    apart by their order: the first run of each place stands for it. What is out of order, that is
+    moved or repeated, is aligned again in the next round, until nothing is left.
     """
-    d, e = places[alone], others[alone]
-    keep = increasing(e.tolist())
-    d, e = d[keep], e[keep]
-    if not len(d):
-        return []
-    gone = np.concatenate([[0], np.cumsum(~earlier)])
-    joined = (np.diff(d) == np.diff(e)) & (gone[d[1:]] == gone[d[:-1]])
-    heads = np.flatnonzero(np.concatenate([[True], ~joined]))
-    tails = np.append(heads[1:] - 1, len(d) - 1)
-    loose = {int(p) for p, a in zip(places, alone, strict=True) if not a}
-    out: list[tuple[int, int]] = []
-    for a, b in zip(d[heads].tolist(), d[tails].tolist(), strict=True):
-        while a - 1 in loose:
-            a -= 1
-        while b + 1 in loose:
-            b += 1
-        if out and a <= out[-1][1] + 1 and out[-1][1] >= a:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
+    out = [-1] * len(runs)
+    left, number = list(range(len(runs))), 0
+    while left:
+        anchors = [k for k in left if runs[k][3]]
+        if not anchors:
+            anchors = list({runs[k][2]: k for k in reversed(left)}.values())[::-1]
+        chain = [anchors[k] for k in increasing([runs[k][2] for k in anchors])]
+        edges = [-1, *chain, len(runs)]
+        taken = set(chain)
+        for a, b in zip(edges, edges[1:]):  # again between the links
+            low = runs[a][2] if a >= 0 else -1
+            high = runs[b][2] if b < len(runs) else math.inf
+            inner = [k for k in left if a < k < b and low < runs[k][2] < high]
+            taken.update(inner[k] for k in increasing([runs[k][2] for k in inner]))
+        for k in taken:
+            out[k] = number
+        left, number = [k for k in left if k not in taken], number + 1
     return out
 
 
+@dataclass
+class Blocks:
+    """Aligned blocks: first stretch, stretches, holder, and the round in which they were aligned."""
+
+    first: np.ndarray
+    length: np.ndarray
+    holder: np.ndarray
+    round: np.ndarray
+
+
+def aligned(doc: np.ndarray, holder: np.ndarray, here: np.ndarray, there: np.ndarray, once: np.ndarray) -> Blocks:
+    """Align each document with each of its holders.
+
+    A row says that the stretch at ``here`` of ``doc`` stands at ``there`` in ``holder``, and whether
+    only once there. Rows that go on by one in both documents are a run; pairs of one run are aligned
+    as they stand, the others by patience diff over their runs.
+    """
+    order = np.lexsort((here, holder, doc))
+    doc, holder, here, there, once = (x[order] for x in (doc, holder, here, there, once))
+    if not len(doc):
+        return Blocks(here, here, holder, here)
+    pair = np.concatenate([[True], (doc[1:] != doc[:-1]) | (holder[1:] != holder[:-1])])
+    new = pair | np.concatenate([[True], (np.diff(here) != 1) | (np.diff(there) != 1)])
+    first = np.flatnonzero(new)
+    length = np.diff(np.append(first, len(doc)))
+    # a stretch that stands once in the holder is an anchor if the document holds it once as well
+    number = np.cumsum(pair) - 1
+    by = np.lexsort((there, number))
+    twice = np.concatenate([[False], (number[by][1:] == number[by][:-1]) & (there[by][1:] == there[by][:-1])])
+    twice[:-1] |= twice[1:]
+    alone = np.empty(len(doc), bool)
+    alone[by] = ~twice
+    anchored = np.logical_or.reduceat(alone & once, first)
+    rounds = np.zeros(len(first), np.int64)
+    cuts = np.append(np.flatnonzero(pair[first]), len(first))
+    for k in np.flatnonzero(np.diff(cuts) > 1).tolist():
+        some = slice(cuts[k], cuts[k + 1])
+        at = first[some]
+        rounds[some] = patience(list(zip(here[at].tolist(), length[some].tolist(), there[at].tolist(), anchored[some].tolist(), strict=True)))
+    return Blocks(here[first], length, holder[first], rounds)
+
+
 def without(text: bytes, starts: np.ndarray, opens: np.ndarray, gone: np.ndarray) -> tuple[bytes, list[tuple[int, int]]]:
     """The text without the marked lines, and the byte spans that were left out. A line end stays
     if the deletion begins inside a line."""
@@ -241,29 +297,40 @@ def without(text: bytes, starts: np.ndarray, opens: np.ndarray, gone: np.ndarray
     return b"".join(parts) + text[at:], spans
 
 
-FIELDS = "text string, n_words long, n_deleted long, spans array<struct<start:int,end:int>>"
+FIELDS = (
+    "text string, n_words long, n_deleted long, spans array<struct<start:int,end:int>>, "
+    "blocks array<struct<first_word:int,n_words:int,holder:bigint,round:int>>"
+)
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+BLOCKS = pa.list_(pa.struct([("first_word", pa.int32()), ("n_words", pa.int32()), ("holder", pa.int64()), ("round", pa.int32())]))
 
 
 def _edit(size: int):
-    """Phase 3: leave out the windows that an earlier document holds."""
+    """Phase 3: align each document with the first holders of its stretches and leave out the aligned blocks."""
 
     def edit(left: pa.Table, right: pa.Table) -> pa.Table:
         h = right["hash"].to_numpy()
         order = np.argsort(h, kind="stable")
-        h, holder = h[order], right["first"].to_numpy()[order]
+        h, holder, spot = h[order], right["first"].to_numpy()[order], right["at"].to_numpy()[order]
         texts = _texts(left)
         ids = left["doc_id"].fill_null(np.iinfo(np.int64).min).to_numpy()  # before any other: nothing is earlier
-        new, n_words, n_deleted, spans = [], [], [], []
+        new, n_words, n_deleted, spans, blocks = [], [], [], [], []
         for first, last, words in runs(texts):
             gone = np.zeros(len(words.hash), bool)
+            cuts = np.searchsorted(words.owner, np.arange(last - first + 1))
+            found: list[list[dict]] = [[] for _ in range(first, last)]
             if len(h):
                 at = windows(words, size)
                 place, known = _found(h, bodies(words, at, size))
-                at = at[known & (holder[place] < ids[first:last][words.owner[at]])]
-                covered = np.bincount(at, minlength=len(gone) + 1) - np.bincount(at + size, minlength=len(gone) + 1)
+                known &= holder[place] < ids[first:last][words.owner[at]]
+                at, place = at[known], place[known]
+                cut_out = aligned(words.owner[at], holder[place], at, spot[place] >> 2, (spot[place] & 2) > 0)
+                ends = cut_out.first + cut_out.length + size - 1
+                covered = np.bincount(cut_out.first, minlength=len(gone) + 1) - np.bincount(ends, minlength=len(gone) + 1)
                 gone = np.cumsum(covered)[: len(gone)] > 0
-            cuts = np.searchsorted(words.owner, np.arange(last - first + 1))
+                for a, b, of, number in zip(cut_out.first.tolist(), ends.tolist(), cut_out.holder.tolist(), cut_out.round.tolist(), strict=True):
+                    k = int(words.owner[a])
+                    found[k].append({"first_word": a - int(cuts[k]), "n_words": b - a, "holder": of, "round": number})
             for k in range(last - first):
                 some, text = slice(cuts[k], cuts[k + 1]), texts[first + k]
                 left_over, cut_out = without(text, words.start[some], words.opens[some], gone[some]) if gone[some].any() else (text, [])
@@ -271,41 +338,48 @@ def _edit(size: int):
                 n_words.append(int(cuts[k + 1] - cuts[k]))
                 n_deleted.append(int(gone[some].sum()))
                 spans.append([{"start": len(text[:a].decode("utf-8", "replace")), "end": len(text[:b].decode("utf-8", "replace"))} for a, b in cut_out])
-        made = [pa.array(new, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_deleted, pa.int64()), pa.array(spans, SPANS)]
-        return pa.Table.from_arrays([left["row"], *made], names=["row", "text", "n_words", "n_deleted", "spans"])
+                blocks.append(sorted(found[k], key=lambda b: b["first_word"]))
+        made = [pa.array(new, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_deleted, pa.int64()), pa.array(spans, SPANS), pa.array(blocks, BLOCKS)]
+        return pa.Table.from_arrays([left["row"], *made], names=["row", "text", "n_words", "n_deleted", "spans", "blocks"])
 
     return edit
 
 
 def dedup(docs: DataFrame, most: int = MOST_SHARED, chunk: int = CHUNK) -> DataFrame:
-    """(row, text, n_words, n_deleted, spans) for every row of ``docs``.
+    """(row, text, n_words, n_deleted, spans, blocks) for every row of ``docs``.
 
     A passage is deleted if it has more than ``most`` words and one document with a smaller doc_id
     holds it whole, wherever and however often it stands in either, and whatever its place in a line.
-    Such a passage consists of windows of ``most + 1`` words that the earlier document holds too, so
-    the words to delete are those in windows whose first holder (smallest doc_id) is an earlier
-    document; no pairs need to be formed. The first holder of a window keeps it. ``text`` is what is
-    left and ``spans`` are the code-point offsets of what was deleted. Line ends count as blanks.
-
-    Windows that no other document holds are left out beforehand: every window has a sign, the
-    smallest hash of its grams, and windows whose sign stands in one document only are not compared.
-
-    Null texts stay empty texts and hold no words; a row without doc_id has no place in the order,
-    takes no part and keeps its text; rows with one doc_id are not compared with each other. An
-    empty table gives no rows. Texts move once, to chunks of documents by a hash of the id; a chunk
-    sends each hash once, so a window in very many documents makes one row per chunk.
+
+    Documents are paired through shared lines: every stretch of ``most + 1`` words has a line that
+    stands for it, the one with the smallest hash, and stretches whose line only one document holds
+    are left out. Of the documents that hold a stretch the one with the smallest doc_id represents
+    them, so a document is paired with few others however many hold its lines. Each pair is aligned
+    by patience diff, again over what is left for passages that moved or stand twice, and the words
+    of the aligned blocks are deleted from the later document. ``blocks`` are those blocks with their
+    holder and the round of the alignment (0: in the order of both), ``text`` is what is left and
+    ``spans`` are the code-point offsets of what was deleted. Line ends count as blanks.
+
+    Null texts stay empty texts and hold no words; a row without doc_id, or with one that is no whole
+    number, has no place in the order, takes no part and keeps its text; rows with one doc_id are not
+    compared with each other. An empty table gives no rows. Texts move once, to chunks of documents
+    by a hash of the id; a chunk sends each hash once, so a stretch in very many documents makes one
+    row per chunk. Stretches are told apart by 64 bits.
     """
     size = most + 1
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, math.ceil(total / chunk))
-    place = F.coalesce(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(chunks)), F.lit(0))
-    frame = packed(docs, F.col("doc_id").cast("long").alias("doc_id"), place.alias("chunk"))
+    doc_id = F.col("doc_id").try_cast("long")
+    place = F.coalesce(F.pmod(F.xxhash64(doc_id), F.lit(chunks)), F.lit(0))
+    frame = packed(docs, doc_id.alias("doc_id"), place.alias("chunk"))
     grouped = frame.groupBy("chunk")
     holders = Window.partitionBy("hash")
-    first = F.min("low").over(holders)
-    found = grouped.applyInArrow(_signs(size), ROWS).select("chunk", "hash", first.alias("first"), F.max("high").over(holders).alias("last"))
-    marked = found.where(F.col("first") < F.col("last")).select("chunk", "hash")
-    held = grouped.cogroup(marked.groupBy("chunk")).applyInArrow(_bodies(size), ROWS)
-    answers = held.withColumn("first", first).where(F.col("first") < F.col("high")).select("chunk", "hash", "first")
+    lines = grouped.applyInArrow(_signs(size), LINES)
+    lines = lines.select("chunk", "hash", F.min("low").over(holders).alias("first"), F.max("high").over(holders).alias("last"))
+    shared = lines.where(F.col("first") < F.col("last")).select("chunk", "hash")
+    held = grouped.cogroup(shared.groupBy("chunk")).applyInArrow(_bodies(size), STRETCHES)
+    first = held.withColumn("first", F.min(F.struct("low", "at")).over(holders))
+    later = (F.col("first.low") < F.col("low")) | (F.col("at") % 2 == 1)
+    answers = first.where(later).select("chunk", "hash", F.col("first.low").alias("first"), F.col("first.at").alias("at"))
     schema = T.StructType([frame.schema["row"], *T.StructType.fromDDL(FIELDS).fields])
     return grouped.cogroup(answers.groupBy("chunk")).applyInArrow(_edit(size), schema)
