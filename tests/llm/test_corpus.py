@@ -279,9 +279,57 @@ def test_line_dedup_of_passages_in_another_order(spark):
 
 def test_patience_alignment_follows_order():
     assert lines.increasing([3, 1, 2, 9, 4, 5]) == [1, 2, 4, 5]
-    places, others = np.arange(6), np.array([10, 11, 12, 3, 14, 15])
-    assert lines.aligned(places, others, np.ones(6, bool), np.ones(6, bool)) == [(0, 5)]
-    assert lines.aligned(places, others, np.ones(6, bool), np.array([1, 1, 1, 0, 1, 1], bool)) == [(0, 2), (4, 5)]
+    assert lines.patience([(0, 9, 100, True), (20, 9, 50, True), (40, 9, 150, True)]) == [1, 0, 0]
+    assert lines.patience([(0, 9, 50, True), (20, 9, 70, False), (40, 9, 70, False), (60, 9, 90, True)]) == [0, 1, 0, 0]
+    assert sorted(lines.patience([(0, 9, 5, False), (20, 9, 5, False)])) == [0, 1]
+
+
+def test_blocks_tell_moved_passages(spark):
+    first, second, third = passage(14, 60), passage(15, 80), passage(16, 70)
+    docs = [(1, f"{first}\n{second}\n{third}"), (2, f"{second} {passage(860, 9)} {first} {passage(861, 9)} {third}"), ("x", first)]
+    got = lines.dedup(spark.createDataFrame([(str(k), t) for k, t in docs], "doc_id string, text string")).collect()
+    blocks = {r["row"]["doc_id"]: [tuple(b) for b in r["blocks"]] for r in got}
+    assert blocks["1"] == blocks["x"] == []
+    assert blocks["2"] in ([(0, 80, 1, 0), (89, 60, 1, 1), (158, 70, 1, 0)], [(0, 80, 1, 1), (89, 60, 1, 0), (158, 70, 1, 0)])
+
+
+def brute_deleted(texts, most):
+    """All pairs of documents, all stretches of both; words that go, by document."""
+    split = [[w.translate(FOLD) for w in re.split("[\\x20\\x09-\\x0D]+", t) if w] for _, t in texts]
+    out = []
+    for (d, _), mine in zip(texts, split, strict=True):
+        gone = set()
+        for (e, _), theirs in zip(texts, split, strict=True):
+            if e < d:
+                for i in range(len(mine) - most):
+                    if any(mine[i : i + most + 1] == theirs[j : j + most + 1] for j in range(len(theirs) - most)):
+                        gone |= set(range(i, i + most + 1))
+        out.append(gone)
+    return split, out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_line_dedup_deletes_what_all_pairs_delete(spark, seed):
+    draw = np.random.default_rng(seed)
+    pool = [" ".join(draw.choice(list("abcdefgh"), draw.integers(3, 14))) for _ in range(12)]
+    texts = [(k // 2 if k < 6 else k, draw.choice([" ", "\n"]).join(draw.choice(pool, draw.integers(1, 9)))) for k in range(40)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("row", F.lit(1))
+    split, want = brute_deleted(texts, 11)
+    got = lines.dedup(docs, most=11, chunk=500).collect()
+    key = lambda d, t: (d, t)
+    by_text = {key(r["row"]["doc_id"], r["row"]["text"]): r for r in got}
+    assert len(got) == len(texts)
+    for (d, t), mine, gone in zip(texts, split, want, strict=True):
+        r = by_text[key(d, t)]
+        assert (r["n_words"], r["n_deleted"]) == (len(mine), len(gone))
+        assert r["text"].translate(FOLD).split() == [w for k, w in enumerate(mine) if k not in gone]
+        covered = set()
+        for b in r["blocks"]:
+            block = mine[b["first_word"] : b["first_word"] + b["n_words"]]
+            held = [w for (e, _), w in zip(texts, split, strict=True) if e == b["holder"]]
+            assert b["n_words"] > 11 and b["holder"] < d and any(block == w[j : j + len(block)] for w in held for j in range(len(w)))
+            covered |= set(range(b["first_word"], b["first_word"] + b["n_words"]))
+        assert covered == gone
 
 
 # 4 -------------------------------------------------------------------------------------------
