@@ -64,12 +64,15 @@ def payload_violations(events: DataFrame, payload: Column, key: bytes) -> DataFr
     ).where("hash_mismatch OR hmac_mismatch")
 
 
-def session_sequence_breaks(events: DataFrame) -> DataFrame:
-    """Per-session numbering: each break is reported once, the expectation follows the event."""
+def session_sequence_breaks(events: DataFrame, order: tuple[str, ...] = ("seq_global",)) -> DataFrame:
+    """Per-session numbering: each break is reported once, the expectation follows the event.
+
+    ``order`` names the columns that put the events of a session in order.
+    """
     walked = ordered.scan(
         events.where(F.coalesce("session_id", F.lit("")) != ""),
         ["session_id"],
-        ["seq_global"],
+        list(order),
         before=ordered.lag(F.col("seq_session")),
     )
     expected = F.coalesce(F.col("before") + 1, F.lit(1))

@@ -578,9 +578,9 @@ BUSINESS_RULES = (
     ("BR-010", "produto", "estoque", True), ("BR-011", "pedido", "estoque", False),
 )
 BUSINESS_FLOWS = (
-    ("FLOW-VENDA", "cliente produto pedido nota duplicata"),
-    ("FLOW-COMPRA", "fornecedor compra estoque"),
-    ("FLOW-CADASTRO", "empresa filial funcionario"),
+    ("FLOW-VENDA", ("cliente", "produto", "pedido", "nota", "duplicata")),
+    ("FLOW-COMPRA", ("fornecedor", "compra", "estoque")),
+    ("FLOW-CADASTRO", ("empresa", "filial", "funcionario")),
 )
 # Beginnings of technical names by business name, in order.
 BUSINESS_NAMES = (
@@ -633,7 +633,7 @@ def rule_coverage(systems: DataFrame) -> DataFrame:
 def flow_coverage(systems: DataFrame) -> DataFrame:
     """Share of the entities of each business flow that a system has."""
     have = systems.select("system", business_name(F.col("entity")).alias("entity")).distinct()
-    flows = [(f, sorted(set(steps.split()))) for f, steps in BUSINESS_FLOWS]
+    flows = [(f, sorted(set(steps))) for f, steps in BUSINESS_FLOWS]
     counted = have.groupBy("system").agg(*[F.count_if(F.col("entity").isin(*names)).alias(f) for f, names in flows])
     rows = F.array(
         *[F.struct(F.lit(f).alias("flow_id"), F.bround(F.col(f"`{f}`") / len(names) * 100, 1).alias("coverage_pct")) for f, names in flows]
@@ -647,10 +647,10 @@ def without_partner(rows: DataFrame, partners: DataFrame, key: str, limit: int |
     return alone if limit is None else alone.orderBy(key).limit(limit)
 
 
-def journey_errors(results: DataFrame, errors: DataFrame) -> DataFrame:
+def journey_errors(results: DataFrame, errors: DataFrame, top: int | None = None) -> DataFrame:
     """Errors by type, severity and failing step, and the overall pass rate, as one long table.
 
-    ``results``: session_id, step_order, status (ok, warning, failed); ``errors``: error_type, severity.
+    With ``top`` only the steps that fail most often are listed.  ``results``: session_id, step_order, status (ok, warning, failed); ``errors``: error_type, severity.
     """
     by_type = errors.groupBy(F.col("error_type").alias("name")).agg(F.count(F.lit(1)).cast("double").alias("value")).withColumn("dimension", F.lit("type"))
     by_severity = errors.groupBy(F.col("severity").alias("name")).agg(F.count(F.lit(1)).cast("double").alias("value")).withColumn("dimension", F.lit("severity"))
@@ -658,10 +658,10 @@ def journey_errors(results: DataFrame, errors: DataFrame) -> DataFrame:
         results.where(F.col("status") == "failed")
         .groupBy(F.col("step_order").cast("string").alias("name"))
         .agg(F.count(F.lit(1)).cast("double").alias("value"))
-        .orderBy(F.desc("value"), "name")
-        .limit(10)
         .withColumn("dimension", F.lit("step"))
     )
+    if top is not None:
+        by_step = by_step.orderBy(F.desc("value"), "name").limit(top)
     overall = results.agg(
         F.bround(F.count_if(F.col("status") == "ok") / F.greatest(F.count(F.lit(1)), F.lit(1)) * 100, 2).alias("value")
     ).select(F.lit("overall_pass_rate_pct").alias("name"), "value", F.lit("total").alias("dimension"))
@@ -676,15 +676,20 @@ def schedule_totals(runs: DataFrame) -> DataFrame:
     )
 
 
+def last_runs(runs: DataFrame, count: int) -> DataFrame:
+    """The newest runs, by falling run_id."""
+    return runs.orderBy(F.desc("run_id")).limit(count)
+
+
 # Penalty of a finding, by kind.
 GARBAGE_PENALTY = {"high": 8, "medium": 4, "low": 1}
 RISK_PENALTY = {"high": 10, "medium": 5, "low": 2}
 
 
 def assessment_findings(
-    entities: DataFrame, operations: DataFrame, fields: DataFrame, failures: DataFrame, metrics: DataFrame
+    entities: DataFrame, operations: DataFrame, fields: DataFrame, failures: DataFrame, metrics: DataFrame, top: int | None = None
 ) -> DataFrame:
-    """Findings of a code base as rows: unused items, slow metrics and risky flows.
+    """Findings of a code base as rows: unused items, slow metrics and risky flows (with ``top`` the riskiest).
 
     ``entities``: entity, storage_type; ``operations`` and ``fields``: entity; ``failures``:
     flow_name; ``metrics``: target, metric (tps, avg_latency_ms), delta_pct.
@@ -705,15 +710,12 @@ def assessment_findings(
         F.when(tps, "performance_degradation").otherwise("latency_increase").alias("reason"),
         F.when(F.when(tps, F.col("delta_pct") < -30).otherwise(F.col("delta_pct") > 50), "high").otherwise("medium").alias("severity"),
     )
-    risky = (
-        failures.groupBy("flow_name")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), "flow_name")
-        .limit(5)
-        .select(
-            F.lit("risk").alias("kind"), F.col("flow_name").alias("name"), F.lit("failing flow").alias("reason"),
-            F.when(F.col("n") > 10, "high").otherwise("medium").alias("severity"),
-        )
+    risky = failures.groupBy("flow_name").agg(F.count(F.lit(1)).alias("n"))
+    if top is not None:
+        risky = risky.orderBy(F.desc("n"), "flow_name").limit(top)
+    risky = risky.select(
+        F.lit("risk").alias("kind"), F.col("flow_name").alias("name"), F.lit("failing flow").alias("reason"),
+        F.when(F.col("n") > 10, "high").otherwise("medium").alias("severity"),
     )
     return idle.unionByName(hollow).unionByName(slow).unionByName(risky)
 

@@ -49,14 +49,11 @@ def grouped_metrics(spark, sf):
 @query(
     "set01_pooled_samples",
     t.with_tables(t.SAMPLES_SQL)
-    + "SELECT environment_id, count(*) AS n, round(quantile_cont(latency_ms, 0.95), 4) AS p95 FROM samples WHERE iteration IN (1, 2, 3) GROUP BY 1",
+    + "SELECT environment_id, count(*) AS n, round(quantile_cont(latency_ms, 0.95), 4) AS p95 FROM samples GROUP BY 1",
 )
 def pooled_samples(spark, sf):
-    every = t.samples(spark, sf).select("environment_id", "iteration", "latency_ms")
-    first, *others = [every.where(F.col("iteration") == i) for i in (1, 2, 3)]
-    pooled = first
-    for part in others:
-        pooled = pooled.unionByName(part)
+    """Samples of all iterations, pooled per environment."""
+    pooled = t.samples(spark, sf).select("environment_id", "latency_ms")
     stats = benchmark.latency_statistics(pooled, ["environment_id"]).select("environment_id", "n", "p95")
     return _rounded(stats, "p95")
 

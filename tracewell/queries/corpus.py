@@ -355,11 +355,14 @@ def connection_changes(spark, sf):
 
 @query(
     "set05_route_coverage",
-    """WITH h AS (SELECT DISTINCT conv_id, lower(trim(substr(text, 1, 4))) AS t FROM conversations WHERE role = 'assistant'), r AS (SELECT conv_id, lower(trim(substr(text, 1, 4))) AS t FROM conversations WHERE role <> 'assistant')
+    r"""WITH c AS (SELECT conv_id, role, lower(trim(unnest(string_split_regex(text, '[\t\n\f\r ]+')))) AS t FROM conversations),
+       h AS (SELECT DISTINCT conv_id, t FROM c WHERE role = 'assistant'), r AS (SELECT conv_id, t FROM c WHERE role <> 'assistant')
        SELECT conv_id AS journey_id, count(*) AS steps, count(h.t) AS matched, round_even(count(h.t) / count(*) * 100, 1) AS coverage_pct FROM r LEFT JOIN h USING (conv_id, t) GROUP BY 1""",
 )
 def route_coverage(spark, sf):
-    c = t.read(spark, sf, "conversations").select(F.col("conv_id").alias("journey_id"), "role", F.substring("text", 1, 4).alias("title"))
+    """Every word of the whole texts as a step: those of the user, found among those of the assistant."""
+    words = F.explode(F.split("text", r"[\t\n\f\r ]+"))
+    c = t.read(spark, sf, "conversations").select(F.col("conv_id").alias("journey_id"), "role", words.alias("title"))
     return corpus.route_coverage(c.where(F.col("role") == "assistant"), c.where(F.col("role") != "assistant"))
 
 

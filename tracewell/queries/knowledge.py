@@ -222,7 +222,7 @@ _NAMES = ("cad110", "epp_itens", "pedidos", "fat210", "cre", "forn_sul", "cmp1",
 
 
 def _systems_sql() -> str:
-    return f"sy AS (SELECT l_suppkey AS system, {_sql_list(_NAMES)}[l_partkey % 97 % {len(_NAMES)} + 1] AS entity FROM lineitem WHERE l_linestatus = 'F' AND l_returnflag = 'R' AND l_discount > 0.09)"
+    return f"sy AS (SELECT l_orderkey AS system, {_sql_list(_NAMES)}[l_partkey % 97 % {len(_NAMES)} + 1] AS entity FROM lineitem)"
 
 
 def _business_sql() -> str:
@@ -233,12 +233,13 @@ def _business_sql() -> str:
 
 
 def _systems(spark, sf):
-    li = t.read(spark, sf, "lineitem").where("l_linestatus = 'F' AND l_returnflag = 'R' AND l_discount > 0.09")
-    return li.select(F.col("l_suppkey").alias("system"), _pick(_NAMES, F.col("l_partkey") % 97).alias("entity"))
+    """The parts of an order as the entities of a system."""
+    li = t.read(spark, sf, "lineitem")
+    return li.select(F.col("l_orderkey").alias("system"), _pick(_NAMES, F.col("l_partkey") % 97).alias("entity"))
 
 
 _RULE_ROWS = ", ".join(f"('{r}', '{a}', '{b}', '{'critical' if c else 'high'}')" for r, a, b, c in knowledge.BUSINESS_RULES)
-_FLOW_ROWS = ", ".join(f"('{f}', '{e}')" for f, s in knowledge.BUSINESS_FLOWS for e in s.split())
+_FLOW_ROWS = ", ".join(f"('{f}', '{e}')" for f, s in knowledge.BUSINESS_FLOWS for e in s)
 
 
 @query(
@@ -276,7 +277,7 @@ def journey_errors(spark, sf):
         F.col("l_orderkey").alias("session_id"), F.col("l_suppkey").alias("step_order"), F.expr(_STATUS).alias("status")
     )
     errors = t.failures(spark, sf).select(F.col("failure_type").alias("error_type"), "severity")
-    return knowledge.journey_errors(results, errors)
+    return knowledge.journey_errors(results, errors, top=10)
 
 
 @query(
@@ -296,9 +297,10 @@ def schedule_totals(spark, sf):
     "SELECT o_orderkey AS run_id, o_custkey AS schedule_id, o_orderstatus AS status FROM orders ORDER BY o_orderkey DESC LIMIT 10",
 )
 def last_runs(spark, sf):
-    return t.read(spark, sf, "orders").select(
+    runs = t.read(spark, sf, "orders").select(
         F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("schedule_id"), F.col("o_orderstatus").alias("status")
-    ).orderBy(F.desc("run_id")).limit(10)
+    )
+    return knowledge.last_runs(runs, 10)
 
 
 _SCRIPTS = """
@@ -330,7 +332,7 @@ def session_scripts(spark, sf):
     return knowledge.session_script_summary(inputs, expected)
 
 
-def _findings(spark, sf):
+def _findings(spark, sf, top=None):
     c = t.read(spark, sf, "customer").select(
         F.col("c_custkey").alias("entity"), F.when(F.col("c_custkey") % 2 == 0, "sql").otherwise("isam").alias("storage_type")
     )
@@ -342,7 +344,7 @@ def _findings(spark, sf):
     )
     text = c.withColumn("entity", F.col("entity").cast("string"))
     return knowledge.assessment_findings(
-        text, operations.select(F.col("entity").cast("string")), fields.select(F.col("entity").cast("string")), t.failures(spark, sf), metrics
+        text, operations.select(F.col("entity").cast("string")), fields.select(F.col("entity").cast("string")), t.failures(spark, sf), metrics, top
     )
 
 
@@ -352,17 +354,17 @@ fd AS (SELECT 'unused' AS kind, CAST(c_custkey AS VARCHAR) AS name, 'no operatio
   UNION ALL SELECT 'bottleneck', CAST(s_suppkey AS VARCHAR), CASE WHEN s_suppkey % 2 = 0 THEN 'performance_degradation' ELSE 'latency_increase' END,
     CASE WHEN s_suppkey % 2 = 0 THEN CASE WHEN s_acctbal / 100 - 30 < -30 THEN 'high' ELSE 'medium' END ELSE CASE WHEN s_acctbal / 100 - 30 > 50 THEN 'high' ELSE 'medium' END END
     FROM supplier WHERE (s_suppkey % 2 = 0 AND s_acctbal / 100 - 30 < -15) OR (s_suppkey % 2 = 1 AND s_acctbal / 100 - 30 > 20)
-  UNION ALL SELECT * FROM (SELECT 'risk', flow_name, 'failing flow', CASE WHEN count(*) > 10 THEN 'high' ELSE 'medium' END FROM failures GROUP BY 2 ORDER BY count(*) DESC, flow_name LIMIT 5))"""
+  UNION ALL SELECT * FROM (SELECT 'risk', flow_name, 'failing flow', CASE WHEN count(*) > 10 THEN 'high' ELSE 'medium' END FROM failures GROUP BY 2 ORDER BY count(*) DESC, flow_name LIMIT {top}))"""
 
 
-@query("agg25_assessment_findings", t.with_tables(t.FAILURES_SQL, _FINDINGS) + "SELECT * FROM fd")
+@query("agg25_assessment_findings", t.with_tables(t.FAILURES_SQL, _FINDINGS.replace("{top}", "5")) + "SELECT * FROM fd")
 def assessment_findings(spark, sf):
-    return _findings(spark, sf)
+    return _findings(spark, sf, top=5)
 
 
 @query(
     "agg25_health_score",
-    t.with_tables(t.FAILURES_SQL, _FINDINGS)
+    t.with_tables(t.FAILURES_SQL, _FINDINGS.replace(" LIMIT {top}", ""))
     + """SELECT count(*) AS findings, greatest(0.0, least(100.0, round_even(100.0 - sum(CASE WHEN kind = 'unused' THEN CASE severity WHEN 'high' THEN 8 WHEN 'medium' THEN 4 ELSE 1 END
           WHEN reason = 'performance_degradation' THEN 10 WHEN reason = 'latency_increase' THEN 8 ELSE CASE severity WHEN 'high' THEN 15 WHEN 'medium' THEN 7.5 ELSE 3 END END)
           - greatest(count(*) - 20, 0) * 1.5, 1)))::DOUBLE AS health_score FROM fd""",

@@ -593,7 +593,7 @@ def file_inventory(spark, sf):
 def evidence_manifest(spark, sf):
     docs = t.read(spark, sf, "documents")
     path = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
-    return docs.select(path.alias("path"), F.sha2("text", 256).alias("sha256")).orderBy("path")
+    return store.evidence_manifest(docs.select(path.alias("path"), F.col("text").alias("content")))
 
 
 @query(

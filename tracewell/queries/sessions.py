@@ -248,11 +248,7 @@ def payload_hash(spark, sf):
 )
 def session_sequence(spark, sf):
     log = _broken(spark, sf).select("session_id", "seq_global", "seq_session", "copy")
-    walked = ordered.scan(log, ["session_id"], ["seq_global", "copy"], before=ordered.lag(F.col("seq_session")))
-    expected = F.coalesce(F.col("before") + 1, F.lit(1))
-    return walked.where(F.col("seq_session") != expected).select(
-        "session_id", "seq_global", "seq_session", expected.alias("expected_seq_session")
-    )
+    return integrity.session_sequence_breaks(log, order=("seq_global", "copy"))
 
 
 @query(

@@ -73,3 +73,8 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+def evidence_manifest(files: DataFrame) -> DataFrame:
+    """(path, sha256) of the contents of ``files`` (path, content), by path; a null content has no hash."""
+    return files.select("path", F.sha2(F.col("content"), 256).alias("sha256")).orderBy("path")
