@@ -14,19 +14,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tracewell.plans import ordered
+from tracewell.plans.lineage import settle
 from tracewell.schemas import AUDIT_EVENT
 from tracewell.session import ensure_checkpoint_dir
 from tracewell.sources.audit_log import PART_GLOB
 
 
-def follow_log(spark: SparkSession, log_dir: str, files_per_batch: int = 100) -> DataFrame:
+def follow_log(spark: SparkSession, log_dir: str, files_per_batch: int = 100, pattern: str = PART_GLOB) -> DataFrame:
     """Events of a capture folder as its part files appear; damaged lines are dropped."""
     schema = T.StructType([*AUDIT_EVENT.fields, T.StructField("_bad", T.StringType())])
     return (
         spark.readStream.schema(schema)
-        .option("pathGlobFilter", PART_GLOB)
+        .option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", "true")
         .option("columnNameOfCorruptRecord", "_bad")
         .option("maxFilesPerTrigger", files_per_batch)
@@ -38,36 +40,109 @@ def follow_log(spark: SparkSession, log_dir: str, files_per_batch: int = 100) ->
 
 
 def event_buckets(events: DataFrame, width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
-    """Counters of the log per time bucket; distinct sessions are estimated."""
-    return (
+    """Counters of the log per time bucket.
+
+    Sessions are counted first, each with its own counters, so their number is exact and a bucket
+    is summed from one row per session.
+    """
+    flags = {"checkpoints": F.col("type") == "checkpoint", "inputs": F.col("type") == "deterministic_input", "attention": F.col("attention")}
+    of_session = (
         events.withWatermark("ts", delay)
-        .groupBy(F.window("ts", width).alias("w"))
-        .agg(
-            F.count(F.lit(1)).alias("events"),
-            F.approx_count_distinct("session_id").alias("sessions"),
-            F.count_if(F.col("type") == "checkpoint").alias("checkpoints"),
-            F.count_if(F.col("type") == "deterministic_input").alias("inputs"),
-            F.count_if("attention").alias("attention"),
-        )
-        .select(F.unix_millis("w.start").alias("from_ms"), "events", "sessions", "checkpoints", "inputs", "attention")
+        .groupBy(F.window("ts", width).alias("w"), "session_id")
+        .agg(F.count(F.lit(1)).alias("events"), *[F.count_if(flag).alias(name) for name, flag in flags.items()])
+    )
+    return (
+        of_session.groupBy(F.window(F.window_time("w"), width).alias("w"))
+        .agg(F.count("session_id").alias("sessions"), *[F.sum(name).alias(name) for name in ("events", *flags)])
+        .select(F.unix_millis("w.start").alias("from_ms"), "events", "sessions", *flags)
     )
 
 
-def session_states(events: DataFrame, stale: str = "12 hours", delay: str = "10 minutes") -> DataFrame:
-    """Sessions as they finish: closed by an end event, or interrupted after a silence."""
-    return (
-        events.withWatermark("ts", delay)
-        .groupBy("session_id", F.session_window("ts", stale).alias("w"))
-        .agg(
-            F.count(F.lit(1)).alias("events"),
-            F.max("ts_ms").alias("last_ts_ms"),
-            F.max(F.when(F.col("type") == "session_end", 1).otherwise(0)).alias("ended"),
-        )
-        .select(
-            "session_id", F.unix_millis("w.start").alias("started_at_ms"), "last_ts_ms", "events",
-            F.when(F.col("ended") == 1, "closed").otherwise("interrupted").alias("status"),
+SESSION_SCHEMA = "session_id string, started_at_ms bigint, last_ts_ms bigint, events bigint, status string, version bigint"
+
+
+class _Sessions(StatefulProcessor):
+    """The runs of a session id: stretches of events without a silence of ``stale_ms``.
+
+    A run is kept under its first time while the watermark may still bring events to it; an event
+    between two runs joins them. Each change comes out as a row with a rising version.
+    """
+
+    def __init__(self, stale_ms: int):
+        self.stale_ms = stale_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.runs = handle.getMapState("runs", "start bigint", "last bigint, events bigint, ended boolean")
+        self.version = handle.getValueState("version", "version bigint")
+
+    def _rows(self, key: tuple, changed: list[tuple]) -> pd.DataFrame:
+        """(start, last, events, status) as rows of the result."""
+        version = self.version.get()[0] if self.version.exists() else 0
+        self.version.update((version + len(changed),))
+        return pd.DataFrame(
+            [(key[0], *row, version + no) for no, row in enumerate(changed, 1)],
+            columns=["session_id", "started_at_ms", "last_ts_ms", "events", "status", "version"],
         )
-    )
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if key[0] is None:  # the end mark
+            return
+        before = {start[0]: tuple(value) for start, value in self.runs.iterator()}
+        runs = sorted((start, *value) for start, value in before.items())
+        for batch in rows:
+            arrived = [(int(ts), int(ts), 1, kind == "session_end") for ts, kind in zip(batch["ts_ms"], batch["type"])]
+            runs = self._joined(runs + arrived)
+        after = {start: tuple(value) for start, *value in runs}
+        changed = []
+        for start in before.keys() - after.keys():
+            self.runs.removeKey((start,))
+            self.handle.deleteTimer(before[start][0] + self.stale_ms)
+            changed.append((start, before[start][0], 0, "merged"))
+        for start, (last, events, ended) in after.items():
+            if before.get(start) != (last, events, ended):
+                if start in before and before[start][0] != last:
+                    self.handle.deleteTimer(before[start][0] + self.stale_ms)
+                self.runs.updateValue((start,), (last, events, ended))
+                changed.append((start, last, events, "closed" if ended else "open"))
+        for last, _, _ in after.values():
+            self.handle.registerTimer(last + self.stale_ms)
+        yield self._rows(key, changed)
+
+    def _joined(self, runs: list[tuple]) -> list[tuple]:
+        out: list[tuple] = []
+        for start, last, events, ended in sorted(runs):
+            if out and start - out[-1][1] < self.stale_ms:
+                held = out[-1]
+                out[-1] = (held[0], max(held[1], last), held[2] + events, held[3] or ended)
+            else:
+                out.append((start, last, events, ended))
+        return out
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        over = timerValues.getCurrentWatermarkInMs() - self.stale_ms
+        silent = [(start[0], *value) for start, value in self.runs.iterator() if value[0] <= over]
+        for start, *_ in silent:
+            self.runs.removeKey((start,))
+        gone = [(start, last, events, "interrupted") for start, last, events, ended in silent if not ended]
+        if gone:
+            yield self._rows(key, gone)
+
+
+def session_changes(events: DataFrame, stale_ms: int = 43_200_000, delay: str = "10 minutes") -> DataFrame:
+    """Sessions as they change: open with the first event, closed by an end event, interrupted by a
+    timer after a silence of ``stale_ms``; ``merged`` takes back a run that turned out to be part of
+    an earlier one.  Events up to ``delay`` late find their run.  Sessions that are open when the
+    input ends have come out as such."""
+    timed = events.select("session_id", "ts_ms", "type", F.timestamp_millis("ts_ms").alias("ts")).withWatermark("ts", delay)
+    return timed.groupBy("session_id").transformWithStateInPandas(_Sessions(stale_ms), SESSION_SCHEMA, "Append", "EventTime")
+
+
+def latest_sessions(changes: DataFrame) -> DataFrame:
+    """The last state of every session from its changes."""
+    last = F.max_by(F.struct("last_ts_ms", "events", "status"), "version").alias("s")
+    found = changes.groupBy("session_id", "started_at_ms").agg(last)
+    return found.select("session_id", "started_at_ms", "s.*").where(F.col("status") != "merged")
 
 
 def host_buckets(samples: DataFrame, gauges: list[str], width: str = "5 seconds", delay: str = "1 minute") -> DataFrame:
@@ -88,89 +163,164 @@ def retained(samples: DataFrame, now_ms, days: int = 7) -> DataFrame:
 LIMIT_SCHEMA = "key string, ts_ms bigint, id bigint, allowed boolean, retry_after bigint"
 
 
-def _admit(hits: Iterator[tuple], start, count: int, limit: int, window_ms: int):
-    """Fixed window from its first hit: verdicts of hits in time order, then the state."""
-    verdicts = []
-    for ts in hits:
-        if start is None or ts - start >= window_ms:
-            start, count = ts, 1
-            verdicts.append((True, 0))
-        elif count >= limit:
-            verdicts.append((False, max(1, (window_ms - (ts - start)) // 1000 + 1)))
+class _InOrder(StatefulProcessor):
+    """Rows of a key in their order, however they arrive.
+
+    Rows wait in a list until the watermark has passed them; a timer then hands over all that are
+    due, sorted by ``order``, to ``judge`` with what it remembers of the rows before. Input is taken
+    one batch at a time; a key holds the rows of the delay.
+    """
+
+    #: Columns that wait, their order, what is remembered and from what it starts, and the result.
+    columns: list[str]
+    order: list[str]
+    kinds: str
+    memory: str
+    start: tuple
+    result: list[str]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.kinds)
+        self.remembered = handle.getValueState("remembered", self.memory)
+        self.due = handle.getValueState("due", "due bigint")
+
+    def judge(self, key: tuple, rows: list[tuple], memory: tuple) -> tuple[list[tuple], tuple]:
+        raise NotImplementedError
+
+    def _wait(self, until: int) -> None:
+        if self.due.exists():
+            if self.due.get()[0] <= until:
+                return
+            self.handle.deleteTimer(self.due.get()[0])
+        self.handle.registerTimer(until)
+        self.due.update((until,))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for batch in rows:
+            if key[0] is None or batch.empty:  # the end mark
+                continue
+            self.waiting.appendList(list(batch[self.columns].itertuples(index=False, name=None)))
+            least = int(batch["ts_ms"].min())
+            first = least if first is None else min(first, least)
+        if first is not None:
+            self._wait(first)
+        yield from ()
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        at, places = self.columns.index("ts_ms"), [self.columns.index(c) for c in self.order]
+        due, rest = [], []
+        for row in self.waiting.get():
+            (due if row[at] <= passed else rest).append(tuple(row))
+        self.due.clear()
+        if rest:
+            self.waiting.put(rest)
+            self._wait(min(row[at] for row in rest))
         else:
-            count += 1
-            verdicts.append((True, 0))
-    return verdicts, start, count
+            self.waiting.clear()
+        due.sort(key=lambda row: [row[p] for p in places])
+        found, memory = self.judge(key, due, tuple(self.remembered.get()) if self.remembered.exists() else self.start)
+        self.remembered.update(memory)
+        if found:
+            yield pd.DataFrame(found, columns=self.result)
 
 
-def rate_limit_stream(hits: DataFrame, limit: int, window_ms: int, delay: str = "1 minute") -> DataFrame:
-    """Verdict per hit (key, ts_ms, id); the window of a key starts at its first hit.
+class _Limiter(_InOrder):
+    """Verdicts in time order; the window of a key starts at its first hit."""
 
-    A key whose window has passed the watermark is forgotten.
-    """
+    columns, order, kinds = ["ts_ms", "id"], ["ts_ms", "id"], "ts_ms bigint, id bigint"
+    memory, start = "start bigint, count bigint", (None, 0)
+    result = ["key", "ts_ms", "id", "allowed", "retry_after"]
 
-    def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        start, count = state.get if state.exists else (None, 0)
-        # one micro-batch of one key: its size is bounded by the trigger
-        pdf = pd.concat(list(batches)).sort_values(["ts_ms", "id"])
-        verdicts, start, count = _admit(pdf["ts_ms"], start, count, limit, window_ms)
-        state.update((int(start), int(count)))
-        state.setTimeoutTimestamp(max(int(start) + window_ms, state.getCurrentWatermarkMs() + 1))
-        yield pdf.assign(allowed=[v[0] for v in verdicts], retry_after=[v[1] for v in verdicts])[
-            ["key", "ts_ms", "id", "allowed", "retry_after"]
-        ]
+    def __init__(self, limit: int, window_ms: int):
+        self.limit, self.window_ms = limit, window_ms
 
+    def judge(self, key: tuple, rows: list[tuple], memory: tuple) -> tuple[list[tuple], tuple]:
+        start, count = memory
+        out = []
+        for ts, no in rows:
+            if start is None or ts - start >= self.window_ms:
+                start, count = ts, 0
+            wait = 0 if count < self.limit else max(1, (self.window_ms - (ts - start)) // 1000 + 1)
+            count += wait == 0
+            out.append((key[0], ts, no, wait == 0, wait))
+        return out, (start, count)
+
+
+def rate_limit_stream(hits: DataFrame, limit: int, window_ms: int, delay: str = "1 minute") -> DataFrame:
+    """Verdict per hit (key, ts_ms, id), once the watermark has passed it, in the order of time."""
     timed = hits.withColumn("ts", F.timestamp_millis("ts_ms")).withWatermark("ts", delay)
-    return timed.groupBy("key").applyInPandasWithState(
-        judge, LIMIT_SCHEMA, "start bigint, count bigint", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    return timed.groupBy("key").transformWithStateInPandas(_Limiter(limit, window_ms), LIMIT_SCHEMA, "Append", "EventTime")
 
 
-def rate_limit_batch(hits: DataFrame, limit: int, window_ms: int) -> DataFrame:
-    """The same verdicts over a table: hits of a key stream in time order, two numbers are kept."""
+def _starts(times: DataFrame, window_ms: int) -> DataFrame:
+    """(key, ts_ms) at which windows start: the first time of a key, then always the first one a
+    window later.
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, start, count = None, None, 0
-        for pdf in batches:
-            allowed, retry = [], []
-            for k, ts in zip(pdf["key"], pdf["ts_ms"]):
-                if k != key:
-                    key, start, count = k, None, 0
-                ((ok, wait),), start, count = _admit([ts], start, count, limit, window_ms)
-                allowed.append(ok)
-                retry.append(wait)
-            yield pdf.assign(allowed=allowed, retry_after=retry)
+    Each time knows its successor by one backward scan; starts are marked by doubling: a round marks
+    what the marked ones reach and squares the reach, so n windows take log2(n) rounds.
+    """
+    here = times.select("key", F.col("ts_ms").alias("at"), F.lit(1).alias("hit"), "ts_ms")
+    probe = times.select("key", (F.col("ts_ms") + window_ms).alias("at"), F.lit(0).alias("hit"), "ts_ms")
+    known = ordered.next_known(F.when(F.col("hit") == 1, F.col("at")))
+    found = ordered.scan(here.unionByName(probe), ["key"], ["at", "hit"], next=known)
+    jump = settle(found.where((F.col("hit") == 0) & F.col("next").isNotNull()).select("key", "ts_ms", "next"))
+    spans = times.groupBy("key").agg(F.min("ts_ms").alias("first"), F.max("ts_ms").alias("last"))
+    most = spans.agg(F.max((F.col("last") - F.col("first")) / window_ms)).first()[0]
+    marked = spans.select("key", F.col("first").alias("ts_ms"))
+    for _ in range(int(most or 0).bit_length()):
+        marked = settle(marked.unionByName(marked.join(jump, ["key", "ts_ms"]).select("key", F.col("next").alias("ts_ms"))))
+        further = jump.select("key", F.col("ts_ms").alias("next"), F.col("next").alias("after"))
+        jump = settle(jump.join(further, ["key", "next"]).select("key", "ts_ms", F.col("after").alias("next")))
+    return marked
 
-    ordered_hits = hits.select("key", "ts_ms", "id").repartition("key").sortWithinPartitions("key", "ts_ms", "id")
-    return ordered_hits.mapInPandas(judge, LIMIT_SCHEMA)
+
+def rate_limit_batch(hits: DataFrame, limit: int, window_ms: int) -> DataFrame:
+    """The same verdicts over a table; a key of any size spreads over tasks."""
+    hits = hits.select("key", "ts_ms", "id")
+    starts = _starts(hits.select("key", "ts_ms").distinct(), window_ms).withColumn("start", F.col("ts_ms"))
+    begun = hits.join(starts, ["key", "ts_ms"], "left")
+    placed = ordered.scan(begun, ["key"], ["ts_ms", "id"], begin=ordered.last_known(F.col("start")))
+    counted = ordered.scan(placed, ["key", "begin"], ["ts_ms", "id"], no=ordered.row_number())
+    allowed = F.col("no") <= limit
+    wait = F.greatest(F.lit(1).cast("long"), F.floor((window_ms - (F.col("ts_ms") - F.col("begin"))) / 1000) + 1)
+    return counted.select("key", "ts_ms", "id", allowed.alias("allowed"), F.when(allowed, F.lit(0).cast("long")).otherwise(wait).alias("retry_after"))
 
 
 ALARM_SCHEMA = "capture string, seq_global bigint, alarm string, expected string, found string"
 
 
-def chain_alarms(events: DataFrame) -> DataFrame:
-    """Gap and link alarms per capture as events (capture, seq_global, hash, prev_hash) arrive."""
+class _Chain(_InOrder):
+    """Gaps and broken links of a capture in the order of its numbers."""
+
+    columns, order = ["ts_ms", "seq_global", "hash", "prev_hash"], ["seq_global"]
+    kinds = "ts_ms bigint, seq_global bigint, hash string, prev_hash string"
+    memory, start = "seq bigint, hash string", (0, "")
+    result = ["capture", "seq_global", "alarm", "expected", "found"]
 
-    def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seq, last = state.get if state.exists else (0, "")
-        found = []
-        # one micro-batch of one capture: its size is bounded by the trigger
-        pdf = pd.concat(list(batches)).sort_values("seq_global")
-        for no, digest, prev in zip(pdf["seq_global"], pdf["hash"], pdf["prev_hash"]):
+    def judge(self, key: tuple, rows: list[tuple], memory: tuple) -> tuple[list[tuple], tuple]:
+        seq, last = memory
+        out = []
+        for _, no, digest, prev in rows:
             if no != seq + 1:
-                found.append((key[0], int(no), "gap", str(seq + 1), str(int(no))))
+                out.append((key[0], no, "gap", str(seq + 1), str(no)))
             if prev != last:
-                found.append((key[0], int(no), "link", last, prev))
-            seq, last = int(no), digest
-        state.update((seq, last))
-        yield pd.DataFrame(found, columns=["capture", "seq_global", "alarm", "expected", "found"])
+                out.append((key[0], no, "link", last, prev))
+            seq, last = no, digest
+        return out, (seq, last)
 
-    return events.groupBy("capture").applyInPandasWithState(
-        watch, ALARM_SCHEMA, "seq bigint, hash string", "append", GroupStateTimeout.NoTimeout
-    )
+
+def chain_alarms(events: DataFrame, delay: str = "1 minute") -> DataFrame:
+    """Gap and link alarms per capture (capture, ts_ms, seq_global, hash, prev_hash), as the checks of
+    the stored log give them, though events may arrive in another order within ``delay``."""
+    timed = events.withColumn("ts", F.timestamp_millis("ts_ms")).withWatermark("ts", delay)
+    return timed.groupBy("capture").transformWithStateInPandas(_Chain(), ALARM_SCHEMA, "Append", "EventTime")
+
+
+STORES = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def run_available(stream: DataFrame, name: str) -> DataFrame:
@@ -178,6 +328,7 @@ def run_available(stream: DataFrame, name: str) -> DataFrame:
     spark = stream.sparkSession
     ensure_checkpoint_dir(spark)
     base = os.path.join(spark.sparkContext.getCheckpointDir(), f"{name}-{uuid.uuid4().hex}")
+    spark.conf.set(STORES, ROCKS)  # timers and lists of a key need this store
     query = (
         stream.writeStream.format("parquet")
         .option("path", f"{base}/out")
