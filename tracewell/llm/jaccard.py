@@ -23,7 +23,7 @@ PART, WHOLE = 3, 4
 CHUNK, RANGE = 2_000_000, 2_000_000
 CHUNK_DOCS = 30_000
 #: Sets of a list that all its others are compared with before parts are formed.
-PIVOTS = 3
+PIVOTS = 2
 #: Members of a part, and sets compared with them, that one row of work holds.
 BLOCK, BATCH = 256, 64
 #: Ids that may be broadcast; more are joined by a shuffle.
