@@ -150,9 +150,12 @@ def test_only_sustained_load_counts(spark, values, hits):
     assert hosts.sustained_runs(df, ["host"], ["ts_ms"], "cpu_pct", 90.0, 3).count() == hits
 
 
-def test_window_statistics_against_a_plain_filter(spark):
+@pytest.mark.parametrize("chunk", [hosts.CHUNK, 8])
+def test_window_statistics_against_a_plain_filter(spark, monkeypatch, chunk):
     import random
 
+    monkeypatch.setattr(hosts, "CHUNK", chunk)
+
     rng = random.Random(9)
     samples = [(rng.randint(0, 40_000_000), float(rng.randint(0, 99)) if rng.random() < 0.9 else None) for _ in range(3000)]
     windows = [(i, a, a + rng.choice([0, 10, 59_999, 60_000, 130_000, 4_000_000, 39_000_000])) for i, a in enumerate(rng.randint(0, 30_000_000) for _ in range(40))]
