@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tracewell.functions import naming
 from tracewell.functions import text as tx
 from tracewell.operators import hosts, integrity, knowledge, screens, sessions, synth
 from tracewell.schemas import AUDIT_EVENT
@@ -239,3 +240,53 @@ def test_containing_against_every_pair(spark):
     left, right = spark.createDataFrame(texts, "i int, text string"), spark.createDataFrame(phrases, "j int, phrase string")
     got = sorted((r["i"], r["j"]) for r in knowledge.containing(left, right, "text", "phrase").collect())
     assert got == sorted((i, j) for i, x in texts for j, y in phrases if x is not None and y and y in x)
+
+
+def _field_of(kind, place, fields, meanings, bound, used):
+    """The field of one input, given those that earlier inputs have taken."""
+    if not fields or kind in knowledge.IDLE_TYPES:
+        return None, "unmapped"
+    if kind in knowledge.SPECIFIC_TYPES and kind in meanings:
+        return fields[meanings.index(kind)], "by_semantic_type"
+    written = kind in ("text", "text_long")
+    text = [m in knowledge.WRITTEN_TYPES and f.upper() not in knowledge.TECHNICAL_FIELDS for f, m in zip(fields, meanings, strict=True)]
+    if place < len(bound) and bound[place].upper() not in used:
+        return bound[place], "by_matched_fields"
+    if place < len(fields) and fields[place].upper() not in used and (text[place] if written else kind == meanings[place]):
+        return fields[place], "by_screen_order"
+    free = [f for f, ok in zip(fields, text, strict=True) if written and ok and f.upper() not in used]
+    return (free[0], "by_field_name") if free else (None, "unmapped")
+
+
+def test_inputs_take_fields_as_if_one_by_one(spark):
+    import random
+
+    rng = random.Random(20)
+    names = ["CPF_CLIENTE", "nome", "NOME", "obs", "VALOR", "email", "dt_nasc", "STATUS", "telefone", "cidade", "x1", "descricao"]
+    values = ["12345678901", "Ana Maria", "Rua das Flores", "12,50", "a@b.com", "2020-01-02", "F3", "s", "7", "{KEY:ENTER}", "w" * 40, "(11) 98888-1234", ""]
+    rows = []
+    for screen in range(60):
+        fields = rng.sample(names, rng.randint(0, 8)) if screen else None
+        bound = rng.sample(names, rng.randint(0, 4)) if screen != 1 else None
+        rows += [(f"s{screen % 7}", screen, k, rng.choice(values), fields, bound) for k in range(rng.randint(1, 25))]
+    rows += [("hot", 99, k, rng.choice(values), names, names[2:5]) for k in range(400)]
+    schema = "session_id string, screen_no bigint, seq bigint, value string, fields array<string>, matched array<string>"
+    df = spark.createDataFrame(rows, schema)
+    meaning = {r["n"]: r["m"] for r in spark.createDataFrame([(n,) for n in names], "n string").select("n", naming.field_meaning(F.col("n")).alias("m")).collect()}
+    kinds = {r["v"]: (r["k"], r["c"]) for r in spark.createDataFrame([(v,) for v in values], "v string").select(
+        "v", naming.value_type(F.col("v")).alias("k"), naming.is_key_command(F.col("v")).alias("c")).collect()}
+    want, used, place = {}, {}, {}
+    for session, screen, seq, value, fields, bound in rows:
+        key = (session, screen)
+        kind, command = kinds[value]
+        if command:
+            want[session, screen, seq] = (None, "command")
+            continue
+        taken = used.setdefault(key, set())
+        field, method = _field_of(kind, place.get(key, 0), fields or [], [meaning[f] for f in fields or []], bound or [], taken)
+        taken |= {field.upper()} if field else set()
+        place[key] = place.get(key, 0) + 1
+        want[session, screen, seq] = (field, method)
+    got = {(r["session_id"], r["screen_no"], r["seq"]): (r["field"], r["method"]) for r in knowledge.map_inputs(df).collect()}
+    assert got == want
+    assert knowledge.map_inputs(df.limit(0)).count() == 0

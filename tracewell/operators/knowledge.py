@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import naming
 from tracewell.plans import ordered
+from tracewell.plans.lineage import settle
 
 # Meaning of the tokens of a field name (token: category, data type, weight).
 TOKEN_WEIGHTS = {
@@ -503,71 +501,87 @@ SPECIFIC_TYPES = ("cpf", "cnpj", "email", "phone", "cep", "date")
 WRITTEN_TYPES = ("person_name", "address", "text")
 
 
+#: Kinds of input that are no data.
+IDLE_TYPES = ("confirm", "menu_option", "key_function", "key_sequence", "key_marker", "key_esc")
+SCREEN = ["session_id", "screen_no"]
+
+
+def _choices(placed: DataFrame) -> DataFrame:
+    """(screen, no, rank, key, field, method, confidence, fixed): the fields an input may take, best first.
+
+    The field of a specific type is fixed: it is taken whatever stands in it already.
+    """
+    place, kind = F.col("place"), F.col("kind")
+    written = kind.isin("text", "text_long")
+
+    def choice(rank, field: Column, method: str, sure: float, fixed: bool = False) -> Column:
+        return F.struct(
+            F.lit(rank).cast("int").alias("rank") if isinstance(rank, int) else rank.alias("rank"), F.upper(field).alias("key"), field.alias("field"),
+            F.lit(method).alias("method"), F.lit(sure).alias("confidence"), F.lit(fixed).alias("fixed"),
+        )
+
+    semantic = kind.isin(*SPECIFIC_TYPES) & F.array_contains("meanings", kind)
+    of_type = choice(0, F.get("fields", F.array_position("meanings", kind).cast("int") - 1), "by_semantic_type", 0.95, True)
+    bound = F.when(place < F.size("matched"), choice(1, F.get("matched", place), "by_matched_fields", 0.85))
+    here, meaning = F.get("fields", place), F.get("meanings", place)
+    fits = ((kind == meaning) & ~(written & F.upper(here).isin(*TECHNICAL_FIELDS))) | (
+        written & meaning.isin(*WRITTEN_TYPES) & ~F.upper(here).isin(*TECHNICAL_FIELDS)
+    )
+    ordered_one = F.when((place < F.size("fields")) & fits, choice(2, here, "by_screen_order", 0.75))
+    numbered = F.transform("fields", lambda f, i: F.when(
+        ~F.upper(f).isin(*TECHNICAL_FIELDS) & F.get("meanings", i).isin(*WRITTEN_TYPES), choice(i + 3, f, "by_field_name", 0.65)
+    ))
+    none = F.array().cast("array<struct<rank:int,key:string,field:string,method:string,confidence:double,fixed:boolean>>")
+    every = F.when(semantic, F.array(of_type)).otherwise(F.array_compact(F.concat(F.array(bound, ordered_one), F.when(written, numbered).otherwise(none))))
+    usable = ~F.col("command") & (F.size("fields") > 0) & ~kind.isin(*IDLE_TYPES)
+    return placed.where(usable).select(*SCREEN, "no", F.explode(every).alias("c")).select(*SCREEN, "no", "c.*")
+
+
 def map_inputs(inputs: DataFrame) -> DataFrame:
     """Field of each input of a screen, in order of evidence.
 
     ``inputs``: session_id, screen_no, seq, value, entity, fields (names in screen order) and
     matched (names bound to the screen).  An input takes the field of its specific type, else
     the bound field at its position, else the entity field at its position, else the first
-    free text field.  Which fields are taken depends on the inputs before, so the inputs of a
-    screen stream through one task in order; only the set of taken fields is kept.
+    text field, of those that no earlier input of the screen has taken.
+
+    All screens are matched together, in rounds: each input proposes its best field, the earliest
+    one keeps it, and later inputs lose that choice.  A field once kept only passes to an earlier
+    input, so what is lost stays lost, and the result is that of going through the inputs one by
+    one.  There are at most as many rounds as a screen has fields, whatever the number of inputs.
     """
     ready = inputs.select(
-        "session_id", "screen_no", "seq", "value", "entity", "fields", "matched",
-        naming.value_type(F.col("value")).alias("kind"), naming.is_key_command(F.col("value")).alias("command"),
-        F.transform("fields", lambda f: naming.field_meaning(f)).alias("meanings"),
-    )
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        screen, used, place = None, set(), 0
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                if (row.session_id, row.screen_no) != screen:
-                    screen, used, place = (row.session_id, row.screen_no), set(), 0
-                if row.command:
-                    out.append((None, "command", 1.0))
-                    continue
-                field, method, sure = _choose(row, used, place)
-                if field is not None and sure >= 0.5:
-                    used.add(field.upper())
-                out.append((field, method, sure))
-                place += 1
-            found = pd.DataFrame(out, columns=["field", "method", "confidence"], index=pdf.index)
-            yield pd.concat([pdf[["session_id", "screen_no", "seq", "kind"]], found], axis=1)
-
-    return (
-        ready.repartition("session_id", "screen_no")
-        .sortWithinPartitions("session_id", "screen_no", "seq")
-        .mapInPandas(
-            assign,
-            "session_id string, screen_no bigint, seq bigint, kind string, field string, method string, confidence double",
-        )
+        *SCREEN, "seq", "value", F.coalesce("fields", F.array().cast("array<string>")).alias("fields"),
+        F.coalesce("matched", F.array().cast("array<string>")).alias("matched"),
+        naming.value_type(F.col("value")).alias("kind"), F.coalesce(naming.is_key_command(F.col("value")), F.lit(False)).alias("command"),
+    ).withColumn("meanings", F.transform("fields", lambda f: naming.field_meaning(f)))
+    data = F.when(F.col("command"), 0).otherwise(1)
+    walked = ordered.scan(ready, SCREEN, ["seq", "value"], no=ordered.row_number(), upto=ordered.running_sum(data))
+    placed = settle(walked.withColumn("place", (F.col("upto") - 1).cast("int")).drop("upto"))
+
+    choices = _choices(placed)
+    fixed = settle(choices.where("fixed"))
+    first = fixed.groupBy(*SCREEN, "key").agg(F.min("no").alias("since"))
+    open_ = choices.where(~F.col("fixed")).join(first, [*SCREEN, "key"], "left")
+    open_ = settle(open_.where(F.col("since").isNull() | (F.col("since") > F.col("no"))).drop("since"))
+    while True:
+        best = open_.groupBy(*SCREEN, "no").agg(F.min_by("key", "rank").alias("key"))
+        kept = best.groupBy(*SCREEN, "key").agg(F.min("no").alias("keeper"))
+        judged = settle(open_.join(kept, [*SCREEN, "key"], "left").withColumn("lost", F.coalesce(F.col("keeper") < F.col("no"), F.lit(False))))
+        lost = judged.where("lost").limit(1).count()
+        open_ = judged.where(~F.col("lost")).drop("keeper", "lost")
+        if not lost:
+            break
+    taken = open_.groupBy(*SCREEN, "no").agg(F.min_by(F.struct("field", "method", "confidence"), "rank").alias("t"))
+    every = fixed.select(*SCREEN, "no", F.struct("field", "method", "confidence").alias("t")).unionByName(taken)
+    joined = placed.join(every, [*SCREEN, "no"], "left")
+    command = F.col("command")
+    return joined.select(
+        *SCREEN, "seq", "kind", "t.field", F.coalesce("t.method", F.when(command, "command").otherwise("unmapped")).alias("method"),
+        F.coalesce("t.confidence", F.when(command, 1.0).otherwise(0.0)).alias("confidence"),
     )
 
 
-def _choose(row, used: set, place: int):
-    fields = list(row.fields) if row.fields is not None else []
-    if not fields or row.kind in ("confirm", "menu_option", "key_function", "key_sequence", "key_marker", "key_esc"):
-        return None, "unmapped", 0.0
-    meanings = list(row.meanings)
-    if row.kind in SPECIFIC_TYPES and row.kind in meanings:
-        return fields[meanings.index(row.kind)], "by_semantic_type", 0.95
-    bound = list(row.matched) if row.matched is not None else []
-    if place < len(bound) and bound[place].upper() not in used:
-        return bound[place], "by_matched_fields", 0.85
-    written = row.kind in ("text", "text_long")
-    if place < len(fields) and fields[place].upper() not in used:
-        fits = row.kind == meanings[place] or (written and meanings[place] in WRITTEN_TYPES)
-        if fits and not (written and fields[place].upper() in TECHNICAL_FIELDS):
-            return fields[place], "by_screen_order", 0.75
-    if written:
-        for name, meaning in zip(fields, meanings):
-            if name.upper() not in used and name.upper() not in TECHNICAL_FIELDS and meaning in WRITTEN_TYPES:
-                return name, "by_field_name", 0.65
-    return None, "unmapped", 0.0
-
-
 # ---------------------------------------------------------------- rules and coverage
 
 # Business rules (rule, needed, enabled, critical) and flows (flow, steps).

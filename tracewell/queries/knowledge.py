@@ -153,7 +153,41 @@ def capture_bindings(spark, sf):
     return knowledge.bind_captures(screens, bindings, entities)
 
 
-@query("jn20_input_fields")
+def _input_fields_sql() -> str:
+    """The inputs of a screen one by one, with the fields taken so far."""
+    from tracewell.queries import screens
+
+    technical, written, specific, idle = (
+        ", ".join(f"'{n}'" for n in names) for names in (knowledge.TECHNICAL_FIELDS, knowledge.WRITTEN_TYPES, knowledge.SPECIFIC_TYPES, knowledge.IDLE_TYPES)
+    )
+    choice = "{{'key': upper({0}), 'field': {0}, 'method': '{1}', 'confidence': {2}::DOUBLE, 'fixed': {3}}}".format
+    return (
+        t.with_tables(screens._VALUES, _FIELDS)
+        + f""", cat AS (SELECT entity, list_sort(list(DISTINCT field)) AS fields FROM fl GROUP BY 1),
+        inp AS (SELECT 's' || (o_custkey % 97) AS session_id, o_custkey AS screen_no, o_orderkey AS seq, v, trim(v) AS s, fields, fields[1:2] AS matched
+          FROM vals JOIN orders USING (o_orderkey) JOIN cat ON cat.entity = {_sql_list(ENTITIES)}[o_custkey % {len(ENTITIES)} + 1]),
+        kinds AS (SELECT *, {screens.VALUE_TYPE_SQL} AS kind, ({screens.COMMAND_SQL}) AS command, list_transform(fields, lambda name: {screens._meaning_sql()}) AS meanings FROM inp),
+        put AS (SELECT *, row_number() OVER w AS no, CAST(sum(CASE WHEN command THEN 0 ELSE 1 END) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS p, kind IN ('text', 'text_long') AS written
+          FROM kinds WINDOW w AS (PARTITION BY session_id, screen_no ORDER BY seq, v)),
+        opt AS (SELECT *, CASE WHEN command OR len(fields) = 0 OR kind IN ({idle}) THEN []
+            WHEN kind IN ({specific}) AND list_contains(meanings, kind) THEN [{choice("fields[list_position(meanings, kind)]", "by_semantic_type", 0.95, "TRUE")}]
+            ELSE list_concat(CASE WHEN p <= len(matched) THEN [{choice("matched[p]", "by_matched_fields", 0.85, "FALSE")}] ELSE [] END,
+              CASE WHEN p <= len(fields) AND (kind = meanings[p] OR (written AND meanings[p] IN ({written}))) AND NOT (written AND upper(fields[p]) IN ({technical}))
+                THEN [{choice("fields[p]", "by_screen_order", 0.75, "FALSE")}] ELSE [] END,
+              CASE WHEN written THEN list_transform(list_filter(range(1, len(fields) + 1), lambda i: upper(fields[i]) NOT IN ({technical}) AND meanings[i] IN ({written})),
+                lambda i: {choice("fields[i]", "by_field_name", 0.65, "FALSE")}) ELSE [] END) END AS options FROM put),
+        walk AS (
+          SELECT session_id, screen_no, no, options[1] AS c, CASE WHEN len(options) > 0 THEN [options[1].key] ELSE []::VARCHAR[] END AS used FROM opt WHERE no = 1
+          UNION ALL SELECT session_id, screen_no, no, c, CASE WHEN c IS NULL THEN used ELSE list_append(used, c.key) END FROM (
+            SELECT o.session_id, o.screen_no, o.no, used, list_filter(o.options, lambda x: x.fixed OR NOT list_contains(used, x.key))[1] AS c
+            FROM walk w JOIN opt o ON o.session_id = w.session_id AND o.screen_no = w.screen_no AND o.no = w.no + 1))
+      SELECT session_id, screen_no, seq, kind, c.field AS field, coalesce(c.method, CASE WHEN command THEN 'command' ELSE 'unmapped' END) AS method,
+        coalesce(c.confidence, CASE WHEN command THEN 1.0 ELSE 0.0 END)::DOUBLE AS confidence
+      FROM walk JOIN opt USING (session_id, screen_no, no)"""
+    )
+
+
+@query("jn20_input_fields", _input_fields_sql())
 def input_fields(spark, sf):
     """Order values typed on the screens of a customer, mapped to the fields of an entity."""
     from tracewell.queries.screens import _values

@@ -289,18 +289,23 @@ _SHAPES = {
 }
 
 
+#: Type of the value s, and whether it is a command, as SQL.
+VALUE_TYPE_SQL = r"""CASE WHEN starts_with(s, '{{KEY:') THEN 'key_marker' WHEN s = chr(27) THEN 'key_esc' WHEN regexp_matches(s, '(?i)^F\d{{1,2}}$') THEN 'key_function' WHEN starts_with(s, chr(27) || '[') THEN 'key_sequence'
+           WHEN regexp_matches(s, '^[SsNn]$') THEN 'confirm' WHEN regexp_matches(s, '^\d{{1,2}}$') THEN 'menu_option' WHEN regexp_matches(s, '{CPF}') THEN 'cpf' WHEN regexp_matches(s, '{CNPJ}') THEN 'cnpj'
+           WHEN regexp_matches(s, '{PHONE}') THEN 'phone' WHEN regexp_matches(s, '{POST}') THEN 'cep' WHEN regexp_matches(s, '{ISO}') OR regexp_matches(s, '^\d{{2}}/\d{{2}}/\d{{4}}$') THEN 'date'
+           WHEN contains(s, '@') AND contains(string_split(s, '@')[-1], '.') THEN 'email' WHEN regexp_matches(s, '{NUM}') THEN 'number' WHEN length(s) > 30 THEN 'text_long' ELSE 'text' END""".format(**_SHAPES)
+COMMAND_SQL = r"""starts_with(s, '{KEY:') OR regexp_matches(s, '(?i)^F\d{1,2}$') OR starts_with(s, chr(27))"""
+
+
 @query(
     "fn13_value_types",
     t.with_tables(_VALUES)
     + r"""SELECT o_orderkey, CASE WHEN regexp_matches(s, '{CPF}') THEN '{{{{cliente.cpf}}}}' WHEN regexp_matches(s, '{CNPJ}') THEN '{{{{cliente.cnpj}}}}' WHEN regexp_matches(s, '{PHONE}') THEN '{{{{cliente.telefone}}}}'
            WHEN regexp_matches(s, '{POST}') THEN '{{{{cliente.cep}}}}' WHEN regexp_matches(s, '{ISO}') THEN '{{{{data}}}}' WHEN regexp_matches(s, '{NUM}') THEN '{{{{valor}}}}'
            WHEN contains(s, '@') AND contains(s, '.') THEN '{{{{cliente.email}}}}' ELSE '{{{{texto}}}}' END AS placeholder,
-         CASE WHEN starts_with(s, '{{KEY:') THEN 'key_marker' WHEN s = chr(27) THEN 'key_esc' WHEN regexp_matches(s, '(?i)^F\d{{1,2}}$') THEN 'key_function' WHEN starts_with(s, chr(27) || '[') THEN 'key_sequence'
-           WHEN regexp_matches(s, '^[SsNn]$') THEN 'confirm' WHEN regexp_matches(s, '^\d{{1,2}}$') THEN 'menu_option' WHEN regexp_matches(s, '{CPF}') THEN 'cpf' WHEN regexp_matches(s, '{CNPJ}') THEN 'cnpj'
-           WHEN regexp_matches(s, '{PHONE}') THEN 'phone' WHEN regexp_matches(s, '{POST}') THEN 'cep' WHEN regexp_matches(s, '{ISO}') OR regexp_matches(s, '^\d{{2}}/\d{{2}}/\d{{4}}$') THEN 'date'
-           WHEN contains(s, '@') AND contains(string_split(s, '@')[-1], '.') THEN 'email' WHEN regexp_matches(s, '{NUM}') THEN 'number' WHEN length(s) > 30 THEN 'text_long' ELSE 'text' END AS value_type,
-         starts_with(s, '{{KEY:') OR regexp_matches(s, '(?i)^F\d{{1,2}}$') OR starts_with(s, chr(27)) AS is_command
-       FROM (SELECT *, trim(v) AS s FROM vals)""".format(**_SHAPES),
+         {VALUE_TYPE} AS value_type,
+         {COMMAND} AS is_command
+       FROM (SELECT *, trim(v) AS s FROM vals)""".format(VALUE_TYPE=VALUE_TYPE_SQL, COMMAND=COMMAND_SQL, **_SHAPES),
 )
 def value_types(spark, sf):
     v = F.col("v")
