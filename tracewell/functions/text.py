@@ -22,10 +22,23 @@ VOLATILE_MASKS = (
 
 # blanks at the end of a line; a run is tried from its beginning only and never given back
 LINE_TAIL = r"(?U)(?<![^\S\n])[^\S\n]++(?=\n|\z)"
+# white space besides the blank and the line end
+OTHER_BLANK = "[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 LABEL = r"([A-Za-zÀ-ÿ][0-9A-Za-zÀ-ÿ _]{1,20}):"
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def only_if(value: Column, test, change) -> Column:
+    """``change(value)`` where ``test(value)`` holds, else the value: a search for a plain string is far
+    cheaper than a replacement that finds nothing."""
+    return once(value, lambda x: F.when(test(x), change(x)).otherwise(x))
+
+
 def strip(text: Column) -> Column:
     """Trim any Unicode white space on both ends."""
     return F.regexp_replace(text, r"(?U)\A\s++|(?<!\s)\s++\z", "")
@@ -44,7 +57,16 @@ def unify_newlines(text: Column) -> Column:
 
 
 def strip_ansi(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"\x1B\[[0-9;?]*[A-Za-z]", ""), r"\x1B.", "")
+    return only_if(
+        text, lambda x: F.contains(x, F.lit("\x1b")), lambda x: F.regexp_replace(F.regexp_replace(x, r"\x1B\[[0-9;?]*[A-Za-z]", ""), r"\x1B.", "")
+    )
+
+
+def trim_lines(text: Column) -> Column:
+    """Lines without white space at their ends; texts without any are not searched for it."""
+    return only_if(
+        text, lambda x: F.contains(x, F.lit(" \n")) | F.endswith(x, F.lit(" ")) | x.rlike(OTHER_BLANK), lambda x: F.regexp_replace(x, LINE_TAIL, "")
+    )
 
 
 def normalize_whitespace(text: Column) -> Column:
@@ -52,17 +74,17 @@ def normalize_whitespace(text: Column) -> Column:
 
     Works on the whole text with two replacements, so its cost stays linear.
     """
-    trimmed = F.regexp_replace(unify_newlines(text), LINE_TAIL, "")
+    trimmed = trim_lines(unify_newlines(text))
     # a run of n line ends is n blank lines at either end of the text, n - 1 inside it
-    inside = F.regexp_replace(trimmed, r"(?<=[^\n])\n{3,}(?=[^\n])", "\n\n")
-    ends = F.regexp_replace(inside, r"\A\n{2,}|\n{2,}\z", "\n")
-    return F.when(ends.rlike(r"\A\n*\z"), "").otherwise(ends)
+    inside = only_if(trimmed, lambda x: F.contains(x, F.lit("\n\n\n")), lambda x: F.regexp_replace(x, r"(?<=[^\n])\n{3,}(?=[^\n])", "\n\n"))
+    double = F.lit("\n\n")
+    ends = only_if(inside, lambda x: F.startswith(x, double) | F.endswith(x, double), lambda x: F.regexp_replace(x, r"\A\n{2,}|\n{2,}\z", "\n"))
+    return only_if(ends, lambda x: F.btrim(x, F.lit("\n")) == "", lambda x: F.lit(""))
 
 
 def normalize_screen(text: Column) -> Column:
-    bare = strip_ansi(text)
     # translating walks the text character by character, so only screens with boxes pay for it
-    plain = F.when(bare.rlike(f"[{BOX_CHARACTERS}]"), F.translate(bare, BOX_CHARACTERS, BOX_PLAIN)).otherwise(bare)
+    plain = only_if(strip_ansi(text), lambda x: x.rlike(f"[{BOX_CHARACTERS}]"), lambda x: F.translate(x, BOX_CHARACTERS, BOX_PLAIN))
     return normalize_whitespace(plain)
 
 
@@ -110,7 +132,7 @@ def mask_volatile(text: Column) -> Column:
 
 def comparable_screen(text: Column) -> Column:
     """Text of a screen as it is compared: right trim, no blank tail, masks, lower case."""
-    trimmed = F.regexp_replace(unify_newlines(text), LINE_TAIL, "")
+    trimmed = trim_lines(unify_newlines(text))
     return F.lower(mask_volatile(F.regexp_replace(trimmed, r"\n+\z", "")))
 
 

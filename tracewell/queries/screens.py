@@ -23,7 +23,7 @@ scr AS (SELECT doc_id, CASE doc_id % 4
 def _screens(spark, sf):
     """Documents dressed as menus, as raw terminal output, with error lines, or plain."""
     nl = "\n"
-    return t.read(spark, sf, "documents").select(
+    return t.spread(t.read(spark, sf, "documents"), "doc_id").select(
         "doc_id",
         F.when(
             F.col("doc_id") % 4 == 1,
