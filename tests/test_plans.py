@@ -156,3 +156,43 @@ def test_levels_and_roots_with_a_cycle(spark):
     forest = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 3), (8, 9), (9, 8), (10, 9)], "id bigint, parent bigint")
     found = {r["id"]: (r["root"], r["depth"]) for r in graph.roots(forest).collect()}
     assert found == {1: (1, 0), 2: (1, 1), 3: (1, 2), 4: (1, 3), 8: (None, None), 9: (None, None), 10: (None, None)}
+
+
+def _brute_order(nodes, edges):
+    needs = {n: {b for a, b in edges if a == n and a != b and b in nodes} for n in nodes}
+    reach = {n: set(needs[n]) for n in nodes}
+    for _ in nodes:
+        for n in nodes:
+            reach[n] |= set().union(*(reach[m] for m in reach[n])) if reach[n] else set()
+    cycle = {n for n in nodes if n in reach[n]}
+    level = {}
+
+    def of(n):
+        if n not in level:
+            level[n] = None if n in cycle or reach[n] & cycle else max((of(m) + 1 for m in needs[n]), default=0)
+        return level[n]
+
+    return {n: (of(n), n in cycle) for n in nodes}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_dependency_order_against_plain_reach(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    nodes = list(range(70))
+    edges = [(i, i + 1) for i in range(0, 12)] + [(20, 21), (21, 22), (22, 20), (30, 31), (31, 30), (32, 30), (33, 32), (31, 34), (34, 35), (40, 40), (99, 1)]
+    edges += [(50, 51), (51, 52), (52, 50), (52, 53), (53, 54), (54, 55), (55, 53)]
+    edges += [(rng.randint(10, 69), rng.randint(10, 69)) for _ in range(8 * seed)]
+    got = graph.dependency_order(spark.createDataFrame([(n,) for n in nodes], "node bigint"), spark.createDataFrame(edges, "src bigint, dst bigint"))
+    assert {r["node"]: (r["level"], r["in_cycle"]) for r in got.collect()} == _brute_order(nodes, edges)
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(graph, "settle", lambda df, real=graph.settle: rounds.append(1) or real(df))
+    nodes = spark.range(10_000).withColumnRenamed("id", "node")
+    edges = nodes.where("node < 9999").select(F.col("node").alias("src"), (F.col("node") + 1).alias("dst"))
+    got = graph.dependency_order(nodes, edges)
+    assert got.where(F.col("level") != 9999 - F.col("node")).count() == 0 and got.count() == 10_000
+    assert len(rounds) < 60  # two doublings of 14 rounds, and what does not grow with the chain

@@ -56,36 +56,166 @@ def families(runs: DataFrame) -> DataFrame:
     )
 
 
-def dependency_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Level of every node: 0 without dependencies, else one above its highest dependency.
+def _none(rows: DataFrame) -> bool:
+    return rows.limit(1).count() == 0
+
+
+def _through(links: DataFrame) -> DataFrame:
+    """(node, to, dist, inner): where the chain that begins at each node leads, and how far that is.
 
-    ``edges`` are (src, dst): src needs dst.  One round per level; what is left when no
-    node can be placed any more lies on a cycle or needs one (level null).
+    ``links``: node, next, inner (whether next is a node of a chain itself).  Pointer doubling, so a
+    chain of n nodes takes log2(n) rounds; ``inner`` stays true on rings, which lead nowhere else.
     """
-    edges = edges.where(F.col("src") != F.col("dst")).distinct()
-    remaining = settle(nodes.select("node").distinct())
-    links = settle(
-        edges.join(remaining.select(F.col("node").alias("src")), "src", "left_semi").join(
-            remaining.select(F.col("node").alias("dst")), "dst", "left_semi"
+    state = settle(links.select("node", F.col("next").alias("to"), F.lit(1).cast("long").alias("dist"), "inner"))
+    total = state.count()
+    while True:
+        nearest = state.where("inner").agg(F.min("dist")).first()[0]
+        # only nodes of a ring can still move once they have come further than there are nodes
+        if nearest is None or nearest > total:
+            return state
+        ahead = state.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("dist").alias("dist2"), F.col("inner").alias("inner2"))
+        state = settle(
+            state.join(ahead, "to", "left").select(
+                "node", F.coalesce("to2", "to").alias("to"), (F.col("dist") + F.coalesce("dist2", F.lit(0))).alias("dist"),
+                F.coalesce("inner2", F.lit(False)).alias("inner"),
+            )
         )
-    )
-    placed, level = [], 0
+
+
+def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component): strongly connected components, named by their largest node.
+
+    Colours are pushed forward until every node has the largest one that reaches it; the nodes of a
+    colour that reach its first node are a component.  They are taken out and the rest goes on.
+    """
+    left = settle(nodes.select("node").distinct())
+    links = settle(edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct())
+    out = None
+    while not _none(left):
+        colour = settle(left.select("node", F.col("node").alias("colour")))
+        while True:
+            pushed = links.join(colour, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("got"))
+            new = settle(
+                colour.join(pushed, "node", "left").select(
+                    "node", F.greatest("colour", "got").alias("colour"), F.coalesce(F.col("got") > F.col("colour"), F.lit(False)).alias("moved")
+                )
+            )
+            colour = new.drop("moved")
+            if _none(new.where("moved")):
+                break
+        ends = [colour.select(F.col("node").alias(end), F.col("colour").alias(f"{end}_colour")) for end in ("src", "dst")]
+        inner = settle(links.join(ends[0], "src").join(ends[1], "dst").where(F.col("src_colour") == F.col("dst_colour")).select("src", "dst"))
+        found = settle(colour.where(F.col("node") == F.col("colour")))
+        fresh = found
+        while not _none(fresh):
+            back = inner.join(fresh.select(F.col("node").alias("dst"), "colour"), "dst").select(F.col("src").alias("node"), "colour").distinct()
+            fresh = settle(back.join(found, "node", "left_anti"))
+            found = settle(found.unionByName(fresh))
+        part = found.select("node", F.col("colour").alias("component"))
+        out = part if out is None else out.unionByName(part)
+        left = settle(left.join(found, "node", "left_anti"))
+        gone = found.select(F.col("node").alias("gone"))
+        links = links.join(gone, F.col("src") == F.col("gone"), "left_anti")
+        links = settle(links.join(gone, F.col("dst") == F.col("gone"), "left_anti"))
+    return out if out is not None else left.withColumn("component", F.col("node"))
+
+
+def _peeled(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Longest distances of the nodes that need no cycle, then the nodes and edges that are left.
+
+    ``edges``: src, dst, len.  One round per level of the nodes.
+    """
+    left = settle(nodes.select("node", F.lit(0).cast("long").alias("level")))
+    links, placed = settle(edges), []
     while True:
-        ready = settle(remaining.join(links.select(F.col("src").alias("node")), "node", "left_anti"))
-        if ready.limit(1).count() == 0:
+        ready = settle(left.join(links.select(F.col("src").alias("node")), "node", "left_anti"))
+        if _none(ready):
             break
-        placed.append(ready.withColumn("level", F.lit(level).cast("long")))
-        remaining = settle(remaining.join(ready, "node", "left_anti"))
-        links = settle(links.join(ready.select(F.col("node").alias("dst")), "dst", "left_anti"))
-        level += 1
-    out = remaining.withColumn("level", F.lit(None).cast("long"))
+        placed.append(ready)
+        far = links.join(ready.select(F.col("node").alias("dst"), F.col("level").alias("at")), "dst").groupBy(F.col("src").alias("node"))
+        far = far.agg(F.max(F.col("at") + F.col("len")).alias("far"))
+        left = left.join(ready, "node", "left_anti").join(far, "node", "left")
+        left = settle(left.select("node", F.greatest("level", "far").alias("level")))
+        links = settle(links.join(ready.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst", "len"))
+    levels = left.limit(0)
     for part in placed:
-        out = out.unionByName(part)
-    return out
+        levels = levels.unionByName(part)
+    return levels, left.select("node"), links
+
+
+def dependency_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, level, in_cycle): level 0 without dependencies, else one above the highest dependency.
+
+    ``edges`` are (src, dst): src needs dst.  A node on a cycle or that needs one has no level;
+    ``in_cycle`` tells the members of a cycle from those that only need one.  A node that needs
+    itself is not counted as a cycle.
+
+    Chains (nodes with one dependency and one dependent) are drawn together to one edge by pointer
+    doubling first, so rounds grow with the branching depth and the logarithm of the chains.  Of
+    what has no level, nodes that nothing left needs are taken off, and strongly connected
+    components are sought in the rest.
+    """
+    nodes = settle(nodes.select("node").distinct())
+    clean = edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct()
+    for end in ("src", "dst"):
+        clean = clean.join(nodes.select(F.col("node").alias(end)), end, "left_semi")
+    clean = settle(clean)
+    one_out = clean.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("node")
+    one_in = clean.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("node")
+    simple = settle(one_out.join(one_in, "node"))
+
+    def led(here: str, there: str) -> DataFrame:
+        marked = simple.select(F.col("node").alias(there), F.lit(True).alias("inner"))
+        own = clean.join(simple.select(F.col("node").alias(here)), here).join(marked, there, "left")
+        return _through(own.select(F.col(here).alias("node"), F.col(there).alias("next"), F.coalesce("inner", F.lit(False)).alias("inner")))
+
+    ahead, behind = led("src", "dst"), led("dst", "src")
+    rings = ahead.where("inner").select("node")
+    hubs = settle(nodes.join(simple, "node", "left_anti"))
+    ends = ahead.where(~F.col("inner")).select(F.col("node").alias("dst"), "to", "dist")
+    drawn = clean.join(hubs.select(F.col("node").alias("src")), "src").join(ends, "dst", "left")
+    drawn = drawn.select("src", F.coalesce("to", "dst").alias("dst"), (F.lit(1) + F.coalesce("dist", F.lit(0))).alias("len"))
+    drawn = settle(drawn.groupBy("src", "dst").agg(F.max("len").alias("len")))
+
+    levels, left, links = _peeled(hubs, drawn)
+    while True:  # nodes that nothing left needs are on no cycle
+        kept = settle(left.join(links.select(F.col("dst").alias("node")), "node", "left_semi"))
+        fewer = settle(links.join(kept.select(F.col("node").alias("src")), "src", "left_semi"))
+        stable = _none(left.join(kept, "node", "left_anti"))
+        left, links = kept, fewer
+        if stable:
+            break
+    strong = settle(strong_components(left, links))
+    loops = links.where(F.col("src") == F.col("dst")).select(F.col("src").alias("node"))
+    several = strong.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
+    cyclic = settle(strong.join(several, "component", "left_semi").select("node", "component").unionByName(
+        strong.join(loops, "node", "left_semi").join(several, "component", "left_anti").select("node", "component")
+    ))
+
+    yes, no = F.lit(True), F.lit(False)
+    of_hubs = hubs.join(levels, "node", "left").join(cyclic.select("node", yes.alias("c")), "node", "left")
+    of_hubs = of_hubs.select("node", "level", F.coalesce("c", no).alias("in_cycle"))
+    chained = ahead.where(~F.col("inner")).select("node", F.col("to").alias("end"), "dist")
+    chained = chained.join(behind.select("node", F.col("to").alias("start")), "node")
+    chained = chained.join(levels.select(F.col("node").alias("end"), "level"), "end", "left")
+    for end in ("start", "end"):
+        chained = chained.join(cyclic.select(F.col("node").alias(end), F.col("component").alias(f"{end}_part")), end, "left")
+    on_cycle = F.coalesce(F.col("start_part") == F.col("end_part"), no)
+    of_chains = chained.select("node", (F.col("level") + F.col("dist")).alias("level"), on_cycle.alias("in_cycle"))
+    of_rings = rings.select("node", F.lit(None).cast("long").alias("level"), yes.alias("in_cycle"))
+    return of_hubs.unionByName(of_chains).unionByName(of_rings)
+
+
+def dependency_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Level of every node: 0 without dependencies, else one above its highest dependency, null on a
+    cycle or above one.  ``edges`` are (src, dst): src needs dst."""
+    return dependency_order(nodes, edges).select("node", "level")
 
 
 def generation_plan(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Level, root / leaf marks, cycle mark and suggested rows per entity.
+    """Level, root / leaf marks, cycle marks and suggested rows per entity.
+
+    ``in_cycle`` marks members of a cycle, ``blocked`` these and what needs one.
 
     ``nodes``: node, storage_type.  Masters get 200 rows, dependent entities 100, file
     based ones 150.
@@ -93,14 +223,14 @@ def generation_plan(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     clean = edges.where(F.col("src") != F.col("dst"))
     needs = clean.select(F.col("src").alias("node")).distinct().withColumn("needs", F.lit(True))
     needed = clean.select(F.col("dst").alias("node")).distinct().withColumn("needed", F.lit(True))
-    levels = dependency_levels(nodes, edges)
+    levels = dependency_order(nodes, edges)
     root = F.col("needs").isNull()
     return (
         nodes.join(levels, "node")
         .join(needs, "node", "left")
         .join(needed, "node", "left")
         .select(
-            "node", "level", F.col("level").isNull().alias("in_cycle"), root.alias("is_root"),
+            "node", "level", "in_cycle", F.col("level").isNull().alias("blocked"), root.alias("is_root"),
             F.col("needed").isNull().alias("is_leaf"),
             F.when(root, 200).when(F.col("storage_type").isin("isam", "recital"), 150).otherwise(100).alias("suggested_rows"),
         )

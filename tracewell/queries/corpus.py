@@ -428,11 +428,11 @@ def _dependencies(spark, sf):
              UNION ALL SELECT r.run_id, l.level + 1 FROM runs r JOIN lv l ON r.parent_run_id = l.run_id WHERE r.scenario_id % 200 NOT IN (0, 1))""",
         "needed AS (SELECT DISTINCT parent_run_id AS run_id FROM runs WHERE parent_run_id IS NOT NULL)",
     )
-    + """SELECT 'o' || r.run_id AS node, CAST(lv.level AS BIGINT) AS level, lv.level IS NULL AS in_cycle, FALSE AS is_root, n.run_id IS NULL AS is_leaf, CASE WHEN r.run_id % 2 = 0 THEN 100 ELSE 150 END AS suggested_rows
+    + """SELECT 'o' || r.run_id AS node, CAST(lv.level AS BIGINT) AS level, FALSE AS in_cycle, lv.level IS NULL AS blocked, FALSE AS is_root, n.run_id IS NULL AS is_leaf, CASE WHEN r.run_id % 2 = 0 THEN 100 ELSE 150 END AS suggested_rows
          FROM runs r LEFT JOIN lv ON lv.run_id = r.run_id LEFT JOIN needed n ON n.run_id = r.run_id
-       UNION ALL SELECT 'c' || c_custkey, CASE WHEN c_custkey % 200 NOT IN (0, 1) THEN 1 END, c_custkey % 200 IN (0, 1), FALSE,
+       UNION ALL SELECT 'c' || c_custkey, CASE WHEN c_custkey % 200 NOT IN (0, 1) THEN 1 END, c_custkey % 200 IN (0, 1), c_custkey % 200 IN (0, 1), FALSE,
          c_custkey % 200 NOT IN (0, 1) AND c_custkey NOT IN (SELECT scenario_id FROM runs), 100 FROM customer
-       UNION ALL SELECT 'n' || n_nationkey, 0, FALSE, TRUE, n_nationkey NOT IN (SELECT c_nationkey FROM customer), 200 FROM nation""",
+       UNION ALL SELECT 'n' || n_nationkey, 0, FALSE, FALSE, TRUE, n_nationkey NOT IN (SELECT c_nationkey FROM customer), 200 FROM nation""",
 )
 def generation_order(spark, sf):
     return graph.generation_plan(*_dependencies(spark, sf))
