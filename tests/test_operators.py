@@ -11,7 +11,7 @@ from tracewell.functions import naming
 from tracewell.functions import text as tx
 from tracewell.operators import hosts, integrity, knowledge, screens, sessions, synth
 from tracewell.schemas import AUDIT_EVENT
-from tracewell.sources import audit_log
+from tracewell.sources import audit_log, exports
 from tracewell.streaming import live
 
 KEY = b"k" * 70
@@ -290,3 +290,35 @@ def test_inputs_take_fields_as_if_one_by_one(spark):
     got = {(r["session_id"], r["screen_no"], r["seq"]): (r["field"], r["method"]) for r in knowledge.map_inputs(df).collect()}
     assert got == want
     assert knowledge.map_inputs(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("form", ["csv", "jsonl"])
+def test_exports_come_back_whole_and_appear_at_once(spark, tmp_path, form):
+    texts = ["a,b", 'say "x"', "two\nlines", "", None, "é ü", "null", " "]
+    rows = spark.createDataFrame([(k, texts[k % 8], k / 4 if k % 5 else None) for k in range(200)], "id bigint, text string, x double").repartition(5)
+    path = str(tmp_path / "out")
+    exports.export(rows, path, form)
+    back = exports.exported(spark, path, rows.schema, form)
+    assert sorted(map(tuple, back.collect()), key=repr) == sorted(map(tuple, rows.collect()), key=repr)
+
+    def listed():
+        held = json.loads((tmp_path / "out" / "manifest.json").read_text())
+        for f in held["files"]:
+            data = (tmp_path / "out" / f["file"]).read_bytes()
+            assert (len(data), hashlib.sha256(data).hexdigest()) == (f["bytes"], f["sha256"])
+        visible = {p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith("_")}
+        assert visible == {f["file"] for f in held["files"]} | {"manifest.json"}
+        return held["rows"], visible
+
+    assert listed()[0] == 200
+    broken = rows.withColumn("x", F.when(F.col("id") == 150, F.raise_error(F.lit("broken"))).otherwise(F.col("x")))
+    before = listed()
+    with pytest.raises(Exception, match="broken"):
+        exports.export(broken, path, form)
+    assert listed() == before
+    exports.export(rows.limit(10), path, form)
+    assert listed()[0] == 210
+    exports.export(rows.limit(7), path, form, mode="overwrite")
+    assert listed()[0] == exports.exported(spark, path, rows.schema, form).count() == 7
+    exports.export(rows.limit(0), str(tmp_path / "none"), form)
+    assert json.loads((tmp_path / "none" / "manifest.json").read_text())["files"] == []

@@ -565,3 +565,20 @@ def capture_page(
             found = found.where(F.col("status") == status.strip())
     total = found.agg(F.count(F.lit(1)).alias("total"))
     return total, found.orderBy(F.desc("started_at_ms"), F.desc("id")).offset(offset).limit(limit)
+
+
+def report_rows(runs: DataFrame, failures: DataFrame) -> DataFrame:
+    """The report of every run in long form: run_id, section (run, summary, flow), name, value.
+
+    ``runs``: run_id, environment; ``failures``: run_id, severity, flow_name.
+    """
+    about = F.array(
+        F.struct(F.lit("id").alias("name"), F.col("run_id").cast("string").alias("value")),
+        F.struct(F.lit("environment").alias("name"), F.col("environment").alias("value")),
+    )
+    rows = runs.select("run_id", F.lit("run").alias("section"), F.explode(about).alias("v")).select("run_id", "section", "v.*")
+    kinds = {"summary": F.concat(F.lit("severity."), F.col("severity")), "flow": F.coalesce("flow_name", F.lit("sem_fluxo"))}
+    for section, name in kinds.items():
+        counted = failures.groupBy("run_id", name.alias("name")).agg(F.count(F.lit(1)).cast("string").alias("value"))
+        rows = rows.unionByName(counted.withColumn("section", F.lit(section)))
+    return rows

@@ -8,6 +8,7 @@ from tracewell.operators import hosts, reports
 from tracewell.plans import ordered
 from tracewell.queries import tables as t
 from tracewell.queries.registry import query
+from tracewell.sources import exports
 from tracewell.sources import tables as store
 
 _SIG = "concat_ws('|', failure_type, severity, expected_value, observed_value)"
@@ -387,13 +388,7 @@ win AS (SELECT run_id, 1704067200000 + (run_id * 7919 % 2592000) * 1000 AS from_
      ELSE 1704067200000 + (run_id * 7919 % 2592000) * 1000 + (run_id % 500 + 1) * 60000 END AS to_ms FROM runs)"""
 
 
-@query(
-    "jn08_host_samples_per_run",
-    t.with_tables(t.RUNS_SQL, t.HOST_SQL, _WINDOWS)
-    + """SELECT run_id, from_ms, to_ms, count(ts_ms) AS samples, avg(cpu_pct) AS cpu_pct_avg, max(cpu_pct) AS cpu_pct_max
-         FROM win LEFT JOIN host_metrics ON ts_ms BETWEEN from_ms AND to_ms GROUP BY 1, 2, 3""",
-)
-def host_samples_per_run(spark, sf):
+def _samples_and_windows(spark, sf):
     samples = t.host_metrics(spark, sf).select("ts_ms", "cpu_pct")
     newest = samples.agg(F.max("ts_ms")).scalar()
     runs = t.runs(spark, sf)
@@ -405,9 +400,36 @@ def host_samples_per_run(spark, sf):
         ),
         newest,
     )
+    return samples, windows
+
+
+@query(
+    "jn08_host_samples_per_run",
+    t.with_tables(t.RUNS_SQL, t.HOST_SQL, _WINDOWS)
+    + """SELECT run_id, from_ms, to_ms, count(ts_ms) AS samples, avg(cpu_pct) AS cpu_pct_avg, max(cpu_pct) AS cpu_pct_max
+         FROM win LEFT JOIN host_metrics ON ts_ms BETWEEN from_ms AND to_ms GROUP BY 1, 2, 3""",
+)
+def host_samples_per_run(spark, sf):
+    samples, windows = _samples_and_windows(spark, sf)
     return hosts.window_statistics(samples, windows, ["cpu_pct"])
 
 
+@query(
+    "src10_host_window_export",
+    t.with_tables(t.RUNS_SQL, t.HOST_SQL, _WINDOWS)
+    + """SELECT run_id, status, from_ms, to_ms, ts_ms, cpu_pct FROM win JOIN runs USING (run_id) JOIN host_metrics ON ts_ms BETWEEN from_ms AND to_ms WHERE status <> 'running'""",
+)
+def host_window_export(spark, sf):
+    """The samples of every finished run, exported and read back."""
+    samples, windows = _samples_and_windows(spark, sf)
+    finished = t.runs(spark, sf).where(F.col("status") != "running").select("run_id", "status")
+    windows = windows.join(finished.select("run_id"), "run_id")
+    rows = exports.host_window_rows(samples, windows, finished).select("run_id", "status", "from_ms", "to_ms", "ts_ms", "cpu_pct")
+    path = _folder(spark, "hosts")
+    exports.export(rows, path, "csv")
+    return exports.exported(spark, path, rows.schema, "csv")
+
+
 @query(
     "agg09_overview_counters",
     t.with_tables(t.RUNS_SQL, t.FAILURES_SQL)
@@ -568,6 +590,44 @@ def report_long_form(spark, sf):
     return store.long_form("summary", wide)
 
 
+#: Each run as report rows: what it is, counts by severity, and failures by flow.
+_REPORT = """
+rep AS (SELECT run_id, 'run' AS section, 'id' AS name, CAST(run_id AS VARCHAR) AS value FROM runs UNION ALL SELECT run_id, 'run', 'environment', coalesce(environment, '') FROM runs
+  UNION ALL SELECT run_id, 'summary', 'severity.' || severity, CAST(count(*) AS VARCHAR) FROM failures GROUP BY run_id, severity
+  UNION ALL SELECT run_id, 'flow', coalesce(flow_name, 'sem_fluxo'), CAST(count(*) AS VARCHAR) FROM failures GROUP BY run_id, flow_name)"""
+
+
+def _report_rows(spark, sf):
+    runs = t.runs(spark, sf).select("run_id", F.coalesce("environment", F.lit("")).alias("environment"))
+    return reports.report_rows(runs, t.failures(spark, sf))
+
+
+def _folder(spark, name):
+    import os
+    import uuid
+
+    from tracewell.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    return os.path.join(spark.sparkContext.getCheckpointDir(), f"{name}-{uuid.uuid4().hex}")
+
+
+@query("src10_report_csv", t.with_tables(t.RUNS_SQL, t.FAILURES_SQL, _REPORT) + "SELECT * FROM rep")
+def report_csv(spark, sf):
+    """The report of every run written as CSV and read back."""
+    rows, path = _report_rows(spark, sf), _folder(spark, "report")
+    exports.export(rows, path, "csv")
+    return exports.exported(spark, path, rows.schema, "csv")
+
+
+@query("src10_documents_json_lines", "SELECT doc_id, text, lang, source, CAST(n_chars AS BIGINT) AS n_chars FROM documents")
+def documents_json_lines(spark, sf):
+    """Whole texts, line ends and nulls included, written as JSON lines and read back."""
+    rows, path = t.read(spark, sf, "documents"), _folder(spark, "documents")
+    exports.export(rows, path, "jsonl")
+    return exports.exported(spark, path, rows.schema, "jsonl").withColumn("n_chars", F.col("n_chars").cast("long"))
+
+
 _PATHS = r"""
 paths AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1) || CASE page_id % 4 WHEN 0 THEN '.prg' WHEN 1 THEN '.DBF'
     WHEN 2 THEN '' ELSE '.tar.gz' END AS path FROM pages)"""
