@@ -65,8 +65,13 @@ def _filled(name: str) -> Column:
     return F.when(F.col(name) != "", F.col(name))
 
 
+#: Columns that say who is at the terminal.
+WHO = ("logname", "uid", "gid")
+
+
 def summarize_sessions(events: DataFrame, keys: tuple[str, ...] = ("session_id",)) -> DataFrame:
-    """One row per session: times, counters, entry facts, first screen, login evidence.
+    """One row per session: times, counters, entry facts, first screen, login evidence, and the first
+    known logname, uid and gid where the events carry them.
 
     Every aggregate combines on the map side, so a huge session costs no more than
     its share of the scan.
@@ -107,6 +112,7 @@ def summarize_sessions(events: DataFrame, keys: tuple[str, ...] = ("session_id",
             latest_start("source_command").alias("__command"),
             first(sig).alias("__sig"),
             first(out_text).alias("__out"),
+            *[first(F.col(who)).alias(who) for who in WHO if who in events.columns],
         )
     )
     via = F.coalesce("__via", F.col("session_start_observed"))
@@ -232,19 +238,30 @@ def search_sessions(
     sessions: DataFrame,
     actor: str = "",
     session_id: str = "",
-    event_type: str = "",
+    event_type: str | tuple[str, ...] = "",
     text: str = "",
     started_from: int = 0,
     last_to: int = 0,
     limit: int | None = None,
+    logname: str = "",
+    uid: str = "",
+    gid: str = "",
 ) -> DataFrame:
-    """Matching sessions; the newest ``limit`` of them, or all."""
+    """Matching sessions; the newest ``limit`` of them, or all.
+
+    Names match anywhere and in any case, ids as a whole; of several event types a session has at
+    least one.  A session without a value that is asked for does not match.
+    """
     found = sessions
-    for name, wanted in (("actor", actor), ("session_id", session_id)):
+    for name, wanted in (("actor", actor), ("logname", logname), ("session_id", session_id)):
         if wanted.strip():
             found = found.where(F.contains(F.lower(name), F.lit(wanted.strip().lower())))
-    if event_type.strip():
-        found = found.where(F.array_contains(F.split("event_types", ","), event_type.strip().lower()))
+    for name, wanted in (("uid", uid), ("gid", gid)):
+        if wanted.strip():
+            found = found.where(F.col(name).cast("string") == wanted.strip())
+    kinds = [k.strip().lower() for k in ((event_type,) if isinstance(event_type, str) else event_type) if k.strip()]
+    if kinds:
+        found = found.where(F.arrays_overlap(F.split(F.lower("event_types"), ","), F.array(*[F.lit(k) for k in kinds])))
     if text.strip():
         found = found.where(F.contains(F.lower(F.to_json(F.struct("*"))), F.lit(text.strip().lower())))
     if started_from > 0:
@@ -508,11 +525,17 @@ def recorded_journey(events: DataFrame) -> DataFrame:
     return screens.join(inputs, ["session_id", "step_order"], "left")
 
 
-def pacing_plan(inputs: DataFrame, speed: float, ramp_per_sec: float, users: int) -> DataFrame:
-    """Send offsets of a replay: gap divided by speed, started along a ramp, user by hash."""
+def pacing_plan(inputs: DataFrame, speed: float, ramp_per_sec: float, users: int, jitter_ms: int = 0, seed: str = "") -> DataFrame:
+    """Send offsets of a replay: gap divided by speed, started along a ramp, user by hash.
+
+    Every gap is drawn out by up to ``jitter_ms``, by a hash of seed, session and number, so that a
+    plan can be made again.
+    """
+    drawn = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), "session_id", F.col("seq_global").cast("string")), 256), 1, 8), 16, 10)
+    jitter = F.when(F.col("prev_ts").isNotNull(), drawn.cast("long") % (jitter_ms + 1)).otherwise(0)
     hot = ordered.hot_keys(inputs, ["session_id"], "seq_global")
     gaps = ordered.scan(inputs, ["session_id"], ["seq_global"], hot, prev_ts=ordered.lag(F.col("ts_ms"))).withColumn(
-        "wait_ms", F.coalesce(F.floor(F.greatest(F.col("ts_ms") - F.col("prev_ts"), F.lit(0)) / speed), F.lit(0))
+        "wait_ms", F.coalesce(F.floor(F.greatest(F.col("ts_ms") - F.col("prev_ts"), F.lit(0)) / speed), F.lit(0)) + jitter
     )
     timed = ordered.scan(gaps, ["session_id"], ["seq_global"], hot, offset_ms=ordered.running_sum(F.col("wait_ms")))
     starts = inputs.select("session_id").distinct().withColumn("plan", F.lit("plan"))

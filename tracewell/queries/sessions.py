@@ -496,16 +496,23 @@ def attention_flag(spark, sf):
 @query(
     "prj05_session_search",
     t.with_tables(t.AUDIT_SQL, _SUMMARY)
-    + """SELECT session_id, actor, last_ts_ms, event_count FROM summary
-         WHERE contains(actor, 'u') AND list_contains(string_split(event_types, ','), 'session_end')
-           AND contains(session_id, '1') AND started_at_ms >= 1704067200000""",
+    + """SELECT session_id, actor, last_ts_ms, event_count, logname, uid, gid FROM (
+           SELECT *, 'log' || (u % 12) AS logname, CAST(1000 + u % 4 AS INTEGER) AS uid, CAST(100 + u % 2 AS INTEGER) AS gid
+           FROM (SELECT *, CAST(substr(session_id, 2) AS BIGINT) AS u FROM summary))
+         WHERE contains(actor, 'u') AND len(list_intersect(string_split(event_types, ','), ['session_end', 'session_start'])) > 0
+           AND contains(session_id, '1') AND started_at_ms >= 1704067200000 AND contains(logname, 'g1') AND uid = 1001 AND gid = 101""",
 )
 def session_search(spark, sf):
-    summary = sessions.summarize_sessions(t.audit_events(spark, sf))
+    """Sessions by part of actor, name and id, by user and group id and by either of two event types."""
+    user = F.col("user_id")
+    events = t.audit_events(spark, sf).withColumns({
+        "logname": F.concat(F.lit("log"), (user % 12).cast("string")), "uid": (1000 + user % 4).cast("int"), "gid": (100 + user % 2).cast("int")
+    })
     found = sessions.search_sessions(
-        summary, actor="U", session_id="1", event_type="session_end", started_from=1704067200000
+        sessions.summarize_sessions(events), actor="U", session_id="1", event_type=("session_end", "Session_Start "), started_from=1704067200000,
+        logname="G1", uid="1001", gid=" 101",
     )
-    return found.select("session_id", "actor", "last_ts_ms", "event_count")
+    return found.select("session_id", "actor", "last_ts_ms", "event_count", "logname", "uid", "gid")
 
 
 @query(
@@ -656,7 +663,8 @@ def recorded_journey(spark, sf):
     "win12_pacing_plan",
     t.with_tables(
         t.AUDIT_SQL,
-        """w AS (SELECT session_id, seq_global, coalesce(greatest(ts_ms - lag(ts_ms) OVER s, 0) // 4, 0) AS wait_ms
+        """w AS (SELECT session_id, seq_global, coalesce(greatest(ts_ms - lag(ts_ms) OVER s, 0) // 4
+                 + CASE WHEN lag(ts_ms) OVER s IS NULL THEN 0 ELSE CAST('0x' || substr(sha256('seven|' || session_id || '|' || seq_global), 1, 8) AS BIGINT) % 251 END, 0) AS wait_ms
              FROM ae WHERE type = 'deterministic_input' WINDOW s AS (PARTITION BY session_id ORDER BY seq_global))""",
         """st AS (SELECT session_id, (row_number() OVER (ORDER BY session_id) - 1) / 2.0 * 1000 AS start_ms,
              CAST(list_reduce(list_transform(string_split(sha256(session_id), ''),
@@ -668,4 +676,4 @@ def recorded_journey(spark, sf):
 )
 def pacing_plan(spark, sf):
     inputs = sessions.replay_inputs(t.audit_events(spark, sf), "deterministic")
-    return sessions.pacing_plan(inputs.select("session_id", "seq_global", "ts_ms"), speed=4, ramp_per_sec=2.0, users=7)
+    return sessions.pacing_plan(inputs.select("session_id", "seq_global", "ts_ms"), speed=4, ramp_per_sec=2.0, users=7, jitter_ms=250, seed="seven")
