@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.plans import ordered
+from tracewell.plans.lineage import settle
 
 # Rank of a suffix when files share a stem; a readable form wins.
 SUFFIX_RANK = {".prg": 0, ".src": 0, ".sql": 0, ".dbo": 1}
@@ -439,6 +440,80 @@ def call_edges(files: DataFrame, shape: str = r"(?i)\bDO\s+(\w+(?:/\w+)*)") -> D
     )
 
 
+PROGRAM_CALL = r"(?i)\bDO\s+(\w+(?:/\w+)*)"
+
+
+def programs(files: DataFrame) -> DataFrame:
+    """(program, title, options, text) of source files: name from the file, title from ``*PROG:`` or
+    ``TITLE "…"``, and how many numbered options are painted."""
+    stem = F.upper(F.regexp_replace(F.regexp_extract("file", r"([^/]+)$", 1), r"\.[^.]+$", ""))
+    marked, quoted = (F.trim(F.regexp_extract("text", shape, 1)) for shape in (r"\*PROG:\s*(.+)", r"(?i)(?:TITLE|TITULO|HEADER)\s+['\"]([^'\"]+)['\"]"))
+    options = F.regexp_count("text", F.lit(r"(?i)@\s+\d+\s*,\s*\d+\s+SAY\s+['\"]\s*\d+\s*[\.\-\)]|\b(?:PROMPT|OPTION)\s+['\"][^'\"]+['\"]"))
+    title = F.when(marked != "", marked).otherwise(quoted)
+    return files.select(stem.alias("program"), title.alias("title"), options.cast("long").alias("options"), "text")
+
+
+def program_calls(found: DataFrame) -> DataFrame:
+    """(src, dst): which program calls which, once each; a call of itself says nothing."""
+    called = F.transform(F.regexp_extract_all("text", F.lit(PROGRAM_CALL), F.lit(1)), lambda c: F.upper(F.regexp_extract(c, r"([^/]+)$", 1)))
+    pairs = found.select(F.col("program").alias("src"), F.explode(F.array_distinct(called)).alias("dst"))
+    return pairs.where((F.col("src") != F.col("dst")) & (F.col("dst") != "CASE") & (F.col("dst") != "WHILE")).distinct()
+
+
+def reached(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, node) for every node that calls lead to from a start, itself not counted unless a cycle leads back.
+
+    Each round follows the calls of the pairs found last only, and pairs seen before are dropped, so a
+    cycle of calls ends; there are as many rounds as the longest shortest way.
+    """
+    edges = settle(edges.select("src", "dst").distinct())
+    fresh = settle(starts.select(F.col("node").alias("src")).distinct().join(edges, "src").select(F.col("src").alias("start"), F.col("dst").alias("node")))
+    seen = fresh
+    while fresh.limit(1).count():
+        further = fresh.join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
+        fresh = settle(further.join(seen, ["start", "node"], "left_anti"))
+        seen = settle(seen.unionByName(fresh))
+    return seen
+
+
+def program_index(files: DataFrame, mentions: DataFrame) -> DataFrame:
+    """Every program with its title, options, direct calls, programs reached and entities it touches
+    itself or through them.  ``files``: file, text; ``mentions``: program, entity."""
+    found = settle(programs(files))
+    calls = settle(program_calls(found))
+    ways = reached(calls, found.select(F.col("program").alias("node")))
+    direct = calls.groupBy(F.col("src").alias("program")).agg(F.count(F.lit(1)).alias("calls"))
+    far = ways.groupBy(F.col("start").alias("program")).agg(F.count(F.lit(1)).alias("reached"))
+    own = found.select(F.col("program").alias("start"), F.col("program").alias("node"))
+    touched = own.unionByName(ways).distinct().join(mentions.select(F.col("program").alias("node"), "entity").distinct(), "node")
+    entities = touched.groupBy(F.col("start").alias("program")).agg(F.count_distinct("entity").alias("entities"))
+    joined = found.drop("text")
+    for part in (direct, far, entities):
+        joined = joined.join(part, "program", "left")
+    return joined.fillna(0, ["calls", "reached", "entities"])
+
+
+def module_journeys(files: DataFrame, most: int | None = None) -> DataFrame:
+    """One journey per module (first three letters) with two or more programs that call others: the
+    menu, then each program opened and filled in.  ``most`` bounds the programs of a journey."""
+    found = settle(programs(files))
+    calling = found.join(program_calls(found).select(F.col("src").alias("program")).distinct(), "program", "left_semi")
+    named = calling.groupBy("program").agg(F.max("title").alias("title")).withColumn("module", F.lower(F.substring("program", 1, 3)))
+    large = named.groupBy("module").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("module")
+    placed = ordered.scan(named.join(large, "module"), ["module"], ["program"], no=ordered.row_number())
+    if most is not None:
+        placed = placed.where(F.col("no") <= most)
+    shown = F.when(F.col("title") != "", F.col("title")).otherwise(F.col("program"))
+    steps = F.array(*[F.struct((F.col("no") * 2 - 1 + k).alias("step_order"), F.lit(action).alias("action")) for k, action in enumerate(("navigate", "input"))])
+    opened = placed.select("module", F.col("program").alias("screen_id"), shown.alias("screen_title"), F.explode(steps).alias("s"))
+    menus = large.select(
+        "module", F.concat(F.lit("menu_"), F.col("module")).alias("screen_id"), F.concat(F.lit("Menu "), F.upper("module")).alias("screen_title"),
+        F.lit(0).cast("long").alias("step_order"), F.lit("navigate").alias("action"),
+    )
+    rows = opened.select("module", "screen_id", "screen_title", "s.step_order", "s.action").unionByName(menus)
+    return rows.select(F.concat(F.lit("modulo_"), F.col("module")).alias("journey_id"), "step_order", "screen_id", "screen_title", "action")
+
+
 # Commands by kind of access.
 ACCESS_PATTERNS = {
     "create": r"(?i)\b(?:APPEND\s+BLANK|INSERT\s+INTO|CREATE)\b",

@@ -218,6 +218,56 @@ def page_links(spark, sf):
     return corpus.call_edges(files, r'(?i)<a href="/([^"]+)"').withColumnRenamed("file", "page_id")
 
 
+#: A source file per customer that opens two others (and some call back), paints options and uses tables.
+_PROGRAMS = """
+pr AS (SELECT c_custkey AS k, ['CAD', 'COP', 'FIN', 'EST', 'VEN', 'X'][c_custkey % 97 % 6 + 1] || c_custkey AS program, CASE WHEN c_custkey % 3 < 2 THEN c_name ELSE '' END AS title, c_custkey % 4 AS options FROM customer),
+nm AS (SELECT k, program FROM pr),
+ca AS (SELECT DISTINCT a.program AS src, b.program AS dst FROM (SELECT k, program, unnest([2 * k + 1, 2 * k + 2, CASE WHEN k % 97 = 0 THEN k // 2 END]) AS t FROM pr) a
+  JOIN (SELECT k, program FROM nm UNION ALL SELECT x, ['CAD', 'COP', 'FIN', 'EST', 'VEN', 'X'][x % 97 % 6 + 1] || x FROM (SELECT unnest(range((SELECT max(k) + 1 FROM pr), (SELECT max(k) * 2 + 3 FROM pr))) AS x)) b ON a.t = b.k WHERE a.program <> b.program)"""
+
+
+def _program_files(spark, sf):
+    key = F.col("c_custkey")
+    name = lambda k: F.concat(F.get(F.array(*[F.lit(m) for m in ("CAD", "COP", "FIN", "EST", "VEN", "X")]), (k % 97 % 6).cast("int")), k.cast("string"))
+    title = F.when(key % 3 == 0, F.concat(F.lit("*PROG: "), "c_name", F.lit("\n"))).when(key % 3 == 1, F.concat(F.lit('SET TITLE "'), "c_name", F.lit('"\n'))).otherwise("")
+    back = F.when(key % 97 == 0, F.concat(F.lit("\n  do "), name(F.floor(key / 2)))).otherwise("")
+    paint = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.when(i < key % 4, F.concat(F.lit('\n@ 5, 1 SAY "'), i.cast("string"), F.lit('. opcao"'))).otherwise("")), "")
+    text = F.concat(title, F.lit("IF x\n DO m/"), name(key * 2 + 1), F.lit("\nDO "), name(key * 2 + 2), back, paint, F.lit("\nDO CASE\nDO WHILE .T."))
+    customers = t.read(spark, sf, "customer")
+    files = customers.select(F.concat(F.lit("src/"), F.lower(name(key)), F.lit(".prg")).alias("file"), text.alias("text"))
+    mentions = customers.join(t.read(spark, sf, "orders"), F.col("o_custkey") == key).select(name(key).alias("program"), F.concat(F.lit("T"), (F.col("o_orderkey") % 40).cast("string")).alias("entity"))
+    return files, mentions
+
+
+@query(
+    "ext06_program_index",
+    t.with_tables(
+        _PROGRAMS,
+        "way AS (SELECT src AS start, dst AS node FROM ca UNION SELECT w.start, c.dst FROM way w JOIN ca c ON c.src = w.node)",
+        "me AS (SELECT DISTINCT program, 'T' || (o_orderkey % 40) AS entity FROM pr JOIN orders ON o_custkey = k)",
+    )
+    + """SELECT p.program, p.title, CAST(p.options AS BIGINT) AS options, (SELECT count(*) FROM ca WHERE src = p.program) AS calls, coalesce(r.n, 0) AS reached, coalesce(e.n, 0) AS entities
+         FROM pr p LEFT JOIN (SELECT start, count(*) AS n FROM way GROUP BY 1) r ON r.start = p.program
+         LEFT JOIN (SELECT start, count(DISTINCT entity) AS n FROM (SELECT * FROM way UNION SELECT program, program FROM pr) JOIN me ON me.program = node GROUP BY 1) e ON e.start = p.program""",
+)
+def program_index(spark, sf):
+    return corpus.program_index(*_program_files(spark, sf))
+
+
+@query(
+    "ext06_module_journeys",
+    t.with_tables(
+        _PROGRAMS,
+        "cg AS (SELECT *, lower(program[1:3]) AS module FROM pr WHERE program IN (SELECT src FROM ca))",
+        "pl AS (SELECT *, row_number() OVER (PARTITION BY module ORDER BY program) AS no FROM cg WHERE module IN (SELECT module FROM cg GROUP BY 1 HAVING count(*) > 1))",
+    )
+    + """SELECT 'modulo_' || module AS journey_id, CAST(0 AS BIGINT) AS step_order, 'menu_' || module AS screen_id, 'Menu ' || upper(module) AS screen_title, 'navigate' AS action FROM pl GROUP BY module
+         UNION ALL SELECT 'modulo_' || module, no * 2 - 1 + s, program, CASE WHEN title <> '' THEN title ELSE program END, ['navigate', 'input'][s + 1] FROM pl, (SELECT unnest([0, 1]) AS s)""",
+)
+def module_journeys(spark, sf):
+    return corpus.module_journeys(_program_files(spark, sf)[0])
+
+
 _FILES = """
 fl AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1) || ['.prg', '.dbo', '.sql', '.txt'][page_id % 4 + 1] AS file, length(html) AS size FROM pages),
 rk AS (SELECT *, regexp_replace(file, '\\.[^./]+$', '') AS stem, CASE WHEN file LIKE '%.dbo' THEN 1 ELSE 0 END AS r FROM fl WHERE file NOT LIKE '%.txt')"""
