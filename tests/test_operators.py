@@ -322,3 +322,27 @@ def test_exports_come_back_whole_and_appear_at_once(spark, tmp_path, form):
     assert listed()[0] == exports.exported(spark, path, rows.schema, form).count() == 7
     exports.export(rows.limit(0), str(tmp_path / "none"), form)
     assert json.loads((tmp_path / "none" / "manifest.json").read_text())["files"] == []
+
+
+def test_programs_stand_for_entities(spark):
+    programs = ["cadcli", "ALTPROD.prg", "pedido", "grupo_lista", "xyz", "", "codven", "fatura_nfe", "est_ven"]
+    entities = ["CLIENTES", "PRODUTOS", "PEDIDOS", "grupo_itens", "VENDEDORES", "NOTAS", "estoque", "vendas"]
+    got = knowledge.program_entities(
+        spark.createDataFrame([(x,) for x in programs], "program string"), spark.createDataFrame([(x,) for x in entities], "entity string")
+    )
+    assert {r["program"]: r["entity"] for r in got.collect()} == {
+        "cadcli": "CLIENTES", "ALTPROD.prg": "PRODUTOS", "pedido": "PEDIDOS", "grupo_lista": "grupo_itens", "codven": "vendas", "fatura_nfe": "NOTAS", "est_ven": "vendas",
+    }
+
+
+def test_similar_sets_are_those_of_all_pairs(spark):
+    import random
+
+    rng = random.Random(4)
+    words = ["id", "id", "id", "cod", "cod", "cliente", "pedido", "nota", "item", "grupo", "x1", "vlr"]
+    sides = [{f"{side}{k}": sorted(set(rng.choices(words, k=rng.randint(1, 6)))) for k in range(80)} for side in "lr"]
+    frames = [spark.createDataFrame(list(side.items()), "name string, tokens array<string>") for side in sides]
+    for above in (0.3, 0.4, 0.75):
+        want = {(a, b): len(set(x) & set(y)) / len(set(x) | set(y)) for a, x in sides[0].items() for b, y in sides[1].items()}
+        got = {(r["left"], r["right"]): r["sim"] for r in knowledge.similar_sets(*frames, above).collect()}
+        assert got == {k: pytest.approx(v) for k, v in want.items() if v > above}

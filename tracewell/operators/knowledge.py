@@ -230,13 +230,31 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
 
 
+def similar_sets(left: DataFrame, right: DataFrame, above: float) -> DataFrame:
+    """(left, right, sim): names of both sides (name, tokens) whose token sets have a Jaccard similarity above a limit.
+
+    Tokens are put in order of rarity over both sides.  Two sets that are so similar share one of the
+    first n - ceil(above * n) + 1 tokens of either, so only these are joined: a token that most names
+    carry is joined for names that consist of little else.
+    """
+    sides = left.select(F.lit("l").alias("side"), "name", "tokens").unionByName(right.select(F.lit("r").alias("side"), "name", "tokens"))
+    single = sides.distinct().withColumn("token", F.explode("tokens"))
+    common = single.groupBy("token").agg(F.count(F.lit(1)).alias("held"))
+    placed = single.join(common, "token").groupBy("side", "name", "tokens").agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("order"))
+    n = F.size("order")
+    first = placed.withColumn("token", F.explode(F.slice("order", F.lit(1), (n - F.ceil(n * above) + 1).cast("int")))).withColumn("token", F.col("token.token"))
+    mine, other = (first.where(F.col("side") == s).select(F.col("name").alias(a), F.col("tokens").alias(f"{a}_tokens"), "token") for s, a in (("l", "left"), ("r", "right")))
+    met = mine.join(other, "token").select("left", "right", jaccard(F.col("left_tokens"), F.col("right_tokens")).alias("sim")).distinct()
+    return met.where(F.col("sim") > above)
+
+
 def foreign_keys(fields: DataFrame, entities: DataFrame) -> DataFrame:
     """Relationships fields imply, first hit wins: lookup, alias, prefix with alias; else
     prefix with similar tokens, equal names and similar names.
 
-    ``fields``: entity, field, lookup; ``entities``: name.  Names are compared through equal
-    tokens or equal beginnings, never pair by pair; hints are matched once however many
-    fields share them, and only the two best entities of a hint are kept.
+    ``fields``: entity, field, lookup; ``entities``: name.  Names are compared through their rarest
+    tokens, never pair by pair; hints and field names are matched once however many fields
+    share them, and only the two best entities of a hint are kept.
     """
     names = entities.select(F.col("name").alias("target")).distinct().withColumn("__T", F.upper("target"))
     low = name_tokens(F.col("field"))
@@ -269,17 +287,10 @@ def foreign_keys(fields: DataFrame, entities: DataFrame) -> DataFrame:
     direct = judged.where(F.col("__r").isNotNull()).select("entity", "field", "__r.*")
     open_fields = judged.where(F.col("__r").isNull()).select("entity", "field", "__E", "__F", "__hint")
 
-    tokens = names.select("target", "__T", key_tokens(F.col("target")).alias("t_tokens"))
-    exploded = tokens.select("target", "__T", "t_tokens", F.explode("t_tokens").alias("token"))
-    hints = open_fields.where(F.col("__hint") != "").select("__hint").distinct().withColumn("h_tokens", key_tokens(F.col("__hint")))
-    pairs = (
-        hints.select("__hint", "h_tokens", F.explode("h_tokens").alias("token"))
-        .join(exploded, "token")
-        .select("__hint", "target", "__T", jaccard(F.col("h_tokens"), F.col("t_tokens")).alias("sim"))
-        .where(F.col("sim") > 0.3)
-        .distinct()
-        .withColumn("minus_sim", -F.col("sim"))
-    )
+    tokens = names.select("target", key_tokens(F.col("target")).alias("tokens"))
+    hints = open_fields.where(F.col("__hint") != "").select("__hint").distinct()
+    pairs = similar_sets(hints.select(F.col("__hint").alias("name"), key_tokens(F.col("__hint")).alias("tokens")), tokens.withColumnRenamed("target", "name"), 0.3)
+    pairs = pairs.select(F.col("left").alias("__hint"), F.col("right").alias("target"), F.upper("right").alias("__T"), "sim", (-F.col("sim")).alias("minus_sim"))
     top = ordered.scan(pairs, ["__hint"], ["minus_sim", "target"], place=ordered.row_number()).where(F.col("place") <= 2)
     similar = (
         open_fields.where(F.col("__hint") != "")
@@ -292,17 +303,23 @@ def foreign_keys(fields: DataFrame, entities: DataFrame) -> DataFrame:
             F.round(F.least(F.lit(0.95), F.col("b.sim") * 0.4 + 0.60), 3).alias("confidence"), F.lit("prefix_tokens").alias("evidence"),
         )
     )
-    starts = tokens.where(F.length("target") >= 3).select("target", "__T", "t_tokens", F.left("__T", F.lit(4)).alias("start"))
+    long_names = names.where(F.length("target") >= 3)
+    spelled = open_fields.select("field").distinct()
+    alike = similar_sets(spelled.select(F.col("field").alias("name"), key_tokens(F.col("field")).alias("tokens")),
+                         tokens.join(long_names.select("target"), "target").withColumnRenamed("target", "name"), 0.4)
+    alike = alike.select(F.col("left").alias("field"), F.col("right").alias("target"), "sim")
+    equal = spelled.withColumn("__T", F.upper("field")).join(long_names, "__T").select("field", "target", F.lit(1.0).alias("sim"))
+    both = alike.unionByName(equal).groupBy("field", "target").agg(F.max("sim").alias("sim"))
+    begins = F.left(F.upper("target"), F.lit(4))
+    same = F.upper("target") == F.col("__F")
     named = (
-        open_fields.select("entity", "field", "__E", "__F", F.explode(F.array_distinct(F.array(F.left("__F", F.lit(4)), F.left("__F", F.lit(3))))).alias("start"))
-        .join(starts, "start")
-        .where(F.col("__T") != F.col("__E"))
-        .withColumn("sim", jaccard(key_tokens(F.col("field")), F.col("t_tokens")))
-        .where((F.col("__T") == F.col("__F")) | (F.col("sim") > 0.4))
+        open_fields.select("entity", "field", "__E", "__F")
+        .join(both, "field")
+        .where((F.upper("target") != F.col("__E")) & ((F.left("__F", F.lit(4)) == begins) | (F.left("__F", F.lit(3)) == begins)))
         .select(
             "entity", "field", "target", F.lit("foreign_key").alias("type"),
-            F.when(F.col("__T") == F.col("__F"), 0.75).otherwise(F.round(F.col("sim") * 0.35 + 0.55, 3)).alias("confidence"),
-            F.when(F.col("__T") == F.col("__F"), "exact_name").otherwise("similar_name").alias("evidence"),
+            F.when(same, 0.75).otherwise(F.round(F.col("sim") * 0.35 + 0.55, 3)).alias("confidence"),
+            F.when(same, "exact_name").otherwise("similar_name").alias("evidence"),
         )
         .distinct()
     )
@@ -361,6 +378,43 @@ TITLE_WORDS = (
 )
 
 
+# Parts of program names by entity, in order of priority.
+PROGRAM_ALIASES = (
+    ("CLIENTES", ("cli", "clie", "client", "cadcli", "altcli", "concli", "exccli")),
+    ("PRODUTOS", ("prod", "produ", "product", "cadprod", "altprod", "conprod")),
+    ("FORNECEDORES", ("forn", "fornec", "forne", "cadfor", "altfor", "confor")),
+    ("PEDIDOS", ("ped", "pedi", "order", "cadped", "altped")),
+    ("VENDAS", ("ven", "vend", "venda", "sale", "cadven")),
+    ("VENDEDORES", ("vendedor", "codven", "cdven")),
+    ("FINANCEIRO", ("fin", "finan", "titulo", "tit", "cadfin", "dupl", "dup")),
+    ("ESTOQUE", ("est", "estoq", "stock")),
+    ("NOTAS", ("nfe", "nf", "nota", "fiscal", "nfs", "notafiscal")),
+    ("ITENS_PEDIDO", ("itens", "item", "itped")),
+    ("CONTAS", ("cta", "contas", "contab")),
+)
+
+
+def program_entities(programs: DataFrame, entities: DataFrame) -> DataFrame:
+    """(program, entity): the entity a program name stands for.
+
+    The first known entity one of whose aliases is part of the name (``cadcli`` is CLIENTES), else
+    the smallest entity name that shares a token with it; programs without either have no row.
+    """
+    names = programs.select("program").where(F.col("program") != "").distinct()
+    clean = F.replace(F.lower("program"), F.lit(".prg"), F.lit(""))
+    hits = F.array_compact(F.array(*[
+        F.when(clean.rlike("|".join(parts)), F.struct(F.lit(k).alias("rank"), F.lit(name).alias("upper"))) for k, (name, parts) in enumerate(PROGRAM_ALIASES)
+    ]))
+    known = entities.select("entity", F.upper("entity").alias("upper")).groupBy("upper").agg(F.min("entity").alias("entity"))
+    by_alias = names.select("program", F.explode(hits).alias("h")).select("program", "h.*").join(known, "upper")
+    by_alias = by_alias.groupBy("program").agg(F.min_by("entity", "rank").alias("aliased"))
+    tokens = lambda name: F.explode(key_tokens(F.lower(name)))
+    by_token = names.select("program", tokens(clean).alias("token")).join(entities.select("entity", tokens(F.col("entity")).alias("token")).distinct(), "token")
+    by_token = by_token.groupBy("program").agg(F.min("entity").alias("shared"))
+    both = by_alias.join(by_token, "program", "full").select("program", F.coalesce("aliased", "shared").alias("entity"))
+    return both
+
+
 def match_keys(name: Column) -> Column:
     """Forms under which two field names are the same: whole, parts, without type letter, spelled out."""
     low = F.lower(F.trim(name))
@@ -378,8 +432,8 @@ def link_screens(screens: DataFrame, screen_fields: DataFrame, entity_fields: Da
 
     ``screens``: screen_id, title, program; ``screen_fields``: screen_id, field;
     ``entity_fields``: entity, field; ``entities``: entity, storage_type.  Fields meet through
-    equal keys; a screen and an entity meet only if they share one or the program or title
-    names the entity.
+    equal keys; a screen and an entity meet only if they share one, the title names the entity
+    or the program stands for it.
     """
     left = screen_fields.distinct().select("screen_id", F.col("field").alias("screen_field"), F.explode(match_keys(F.col("field"))).alias("key"))
     right = entity_fields.distinct().select("entity", F.col("field").alias("entity_field"), F.explode(match_keys(F.col("field"))).alias("key"))
@@ -396,21 +450,22 @@ def link_screens(screens: DataFrame, screen_fields: DataFrame, entity_fields: Da
     totals = screen_fields.distinct().groupBy("screen_id").agg(F.count(F.lit(1)).alias("fields"))
     words = screens.select(
         "screen_id",
-        F.explode(F.array_union(name_tokens(F.col("program")), name_tokens(F.col("title")))).alias("word"),
-    )
-    named = (
-        words.join(entities.select("entity", F.lower("entity").alias("word")), "word").select("screen_id", "entity").distinct()
+        F.explode(name_tokens(F.col("title"))).alias("word"),
     )
+    meant = program_entities(screens, entities).withColumnRenamed("entity", "meant")
+    named = words.join(entities.select("entity", F.lower("entity").alias("word")), "word").select("screen_id", "entity")
+    named = named.unionByName(screens.join(meant, "program").select("screen_id", F.col("meant").alias("entity"))).distinct()
     candidates = matched.select("screen_id", "entity").unionByName(named).distinct()
     scored = (
         candidates.join(matched, ["screen_id", "entity"], "left")
         .join(totals, "screen_id", "left")
         .join(screens, "screen_id")
         .join(entities, "entity")
+        .join(meant, "program", "left")
         .fillna(0, ["matched", "strong", "fields"])
     )
     low = F.lower("entity")
-    by_program = F.array_contains(name_tokens(F.col("program")), low)
+    by_program = F.coalesce(F.upper("entity") == F.upper("meant"), F.lit(False))
     by_title = F.contains(F.lower("title"), low)
     share = F.when(F.col("fields") > 0, F.col("matched") / F.col("fields")).otherwise(0.0)
     score = F.least(
