@@ -24,8 +24,8 @@ from tracewell.llm.common import packed
 MOST_SHARED = 50
 #: Words of a line.
 GRAM = 8
-#: Bytes of text that are hashed at once, and that a chunk of documents holds about.
-RUN, CHUNK = 1_500_000, 8_000_000
+#: Bytes of text that are hashed at once, that a chunk of documents holds about, and whose stretches a range of hashes holds at most.
+RUN, CHUNK, RANGE = 1_500_000, 8_000_000, 16_000_000
 ODD, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
 BLANKS = np.zeros(256, bool)
 BLANKS[[9, 10, 11, 12, 13, 32]] = True
@@ -117,7 +117,23 @@ def bodies(words: Words, at: np.ndarray, size: int) -> np.ndarray:
 
 
 LINES = "chunk long, hash long, low long, high long"
-STRETCHES = "chunk long, hash long, low long, at long"
+STRETCHES = "range long, chunk long, hash binary, low_base long, low binary, at_base long, at binary"
+ANSWERS = "chunk long, hash binary, first_base long, first binary, at_base long, at binary"
+
+
+def _narrow(values: np.ndarray) -> tuple[int, bytes]:
+    """Whole numbers as their smallest one and differences from it, in as few bytes as hold all."""
+    base = int(values.min())
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or int(values.max()) - base < 1 << 8 * w)
+    return base, (values.view(np.uint64) - np.uint64(base % 2**64)).astype(f"<u{width}").tobytes()
+
+
+def _wide(bases, held, sizes: list[int]) -> np.ndarray:
+    """The numbers of several rows, one row after the other."""
+    out = [np.empty(0, np.int64)]
+    for base, x, n in zip(bases.to_pylist(), held.to_pylist(), sizes, strict=True):
+        out.append((np.frombuffer(x, f"<u{len(x) // n}").astype(np.uint64) + np.uint64(base % 2**64)).view(np.int64))
+    return np.concatenate(out)
 
 
 def _bounds(chunk: int, hashes: list[np.ndarray], ids: list[np.ndarray], places: list[np.ndarray] | None = None) -> pa.Table:
@@ -170,8 +186,8 @@ def _signs(size: int):
     return sign
 
 
-def _bodies(size: int):
-    """Phase 2: the stretches whose line several documents hold, and where their first holder has them."""
+def _bodies(size: int, ranges: int):
+    """Phase 2: the stretches whose line several documents hold, packed by range of their hash."""
 
     def body(docs: pa.Table, shared: pa.Table) -> pa.Table:
         marked = np.sort(shared["hash"].to_numpy())
@@ -183,11 +199,47 @@ def _bodies(size: int):
                 hashes.append(bodies(words, at, size))
                 ids.append(own[words.owner[at]])
                 places.append(at - np.searchsorted(words.owner, words.owner[at]))
-        return _bounds(docs["chunk"][0].as_py() if docs.num_rows else 0, hashes, ids, places)
+        chunk = docs["chunk"][0].as_py() if docs.num_rows else 0
+        found = _bounds(chunk, hashes, ids, places)
+        h, low, at = (found[c].to_numpy() for c in ("hash", "low", "at"))
+        place = ((h.view(np.uint64) >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+        by = np.argsort(place, kind="stable")
+        cuts = np.searchsorted(place[by], np.arange(ranges + 1, dtype=np.uint64))
+        rows = []
+        for r in np.flatnonzero(np.diff(cuts)).tolist():
+            some = by[cuts[r] : cuts[r + 1]]
+            rows.append((r, chunk, h[some].tobytes(), *_narrow(low[some]), *_narrow(at[some])))
+        return _table(rows, STRETCHES)
 
     return body
 
 
+def _table(rows: list[tuple], fields: str) -> pa.Table:
+    kinds = [(f.split()[0], pa.int64() if f.split()[1] == "long" else pa.binary()) for f in fields.split(", ")]
+    return pa.table({name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(kinds)})
+
+
+def _firsts(stretches: pa.Table) -> pa.Table:
+    """For a range of hashes: tells each chunk the first holder of its stretches, if it holds them later."""
+    sizes = [len(x) // 8 for x in stretches["hash"].to_pylist()]
+    h = np.concatenate([np.frombuffer(x, np.int64) for x in stretches["hash"].to_pylist()])
+    low, at = (_wide(stretches[f"{c}_base"], stretches[c], sizes) for c in ("low", "at"))
+    order = np.lexsort((low, h))
+    new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
+    group = np.empty(len(h), np.int64)
+    group[order] = np.cumsum(new) - 1
+    heads = order[new]  # the row of the smallest document of each hash
+    first, spot = low[heads][group], at[heads][group]
+    wanted = (first < low) | (at % 2 == 1)
+    cuts = np.cumsum([0, *sizes])
+    rows = []
+    for chunk, a, b in zip(stretches["chunk"].to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        some = a + np.flatnonzero(wanted[a:b])
+        if len(some):
+            rows.append((chunk, h[some].tobytes(), *_narrow(first[some]), *_narrow(spot[some])))
+    return _table(rows, ANSWERS)
+
+
 def _found(ordered: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Place of each value in a sorted array that is not empty, and whether it is there."""
     place = np.searchsorted(ordered, values).clip(max=len(ordered) - 1)
@@ -309,9 +361,10 @@ def _edit(size: int):
     """Phase 3: align each document with the first holders of its stretches and leave out the aligned blocks."""
 
     def edit(left: pa.Table, right: pa.Table) -> pa.Table:
-        h = right["hash"].to_numpy()
+        sizes = [len(x) // 8 for x in right["hash"].to_pylist()]
+        h = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(x, np.int64) for x in right["hash"].to_pylist())])
         order = np.argsort(h, kind="stable")
-        h, holder, spot = h[order], right["first"].to_numpy()[order], right["at"].to_numpy()[order]
+        h, holder, spot = h[order], *(_wide(right[f"{c}_base"], right[c], sizes)[order] for c in ("first", "at"))
         texts = _texts(left)
         ids = left["doc_id"].fill_null(np.iinfo(np.int64).min).to_numpy()  # before any other: nothing is earlier
         new, n_words, n_deleted, spans, blocks = [], [], [], [], []
@@ -363,8 +416,8 @@ def dedup(docs: DataFrame, most: int = MOST_SHARED, chunk: int = CHUNK) -> DataF
     Null texts stay empty texts and hold no words; a row without doc_id, or with one that is no whole
     number, has no place in the order, takes no part and keeps its text; rows with one doc_id are not
     compared with each other. An empty table gives no rows. Texts move once, to chunks of documents
-    by a hash of the id; a chunk sends each hash once, so a stretch in very many documents makes one
-    row per chunk. Stretches are told apart by 64 bits.
+    by a hash of the id; a chunk sends each hash once, so a stretch in very many documents is sent
+    once per chunk. Stretches are packed by chunk and range of hashes and told apart by 64 bits.
     """
     size = most + 1
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -377,9 +430,8 @@ def dedup(docs: DataFrame, most: int = MOST_SHARED, chunk: int = CHUNK) -> DataF
     lines = grouped.applyInArrow(_signs(size), LINES)
     lines = lines.select("chunk", "hash", F.min("low").over(holders).alias("first"), F.max("high").over(holders).alias("last"))
     shared = lines.where(F.col("first") < F.col("last")).select("chunk", "hash")
-    held = grouped.cogroup(shared.groupBy("chunk")).applyInArrow(_bodies(size), STRETCHES)
-    first = held.withColumn("first", F.min(F.struct("low", "at")).over(holders))
-    later = (F.col("first.low") < F.col("low")) | (F.col("at") % 2 == 1)
-    answers = first.where(later).select("chunk", "hash", F.col("first.low").alias("first"), F.col("first.at").alias("at"))
+    ranges = max(1, math.ceil(total / RANGE))
+    held = grouped.cogroup(shared.groupBy("chunk")).applyInArrow(_bodies(size, ranges), STRETCHES)
+    answers = held.groupBy("range").applyInArrow(_firsts, ANSWERS)
     schema = T.StructType([frame.schema["row"], *T.StructType.fromDDL(FIELDS).fields])
     return grouped.cogroup(answers.groupBy("chunk")).applyInArrow(_edit(size), schema)
