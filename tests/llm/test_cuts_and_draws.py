@@ -122,7 +122,7 @@ def test_cuts_cost_least():
 
 
 def test_cuts_prefer_document_and_sentence_ends(spark):
-    docs = spark.createDataFrame([(k, "Short words stand here. " * 40 + "The end.") for k in range(60)], "doc_id long, text string").coalesce(1)
+    docs = spark.createDataFrame([(k, "Short words stand here. " * (200 + k) + "The end.") for k in range(60)], "doc_id long, text string").coalesce(1)
     rows = packing.pack(docs, VOCABULARY).collect()
     ends, begins = packing.sentence_marks(VOCABULARY)
     inside = 0
