@@ -504,7 +504,14 @@ def run_components(spark, sf):
     return graph.flows(runs.select(F.col("run_id").alias("node")), edges)
 
 
-@query("grf03_customer_part_flows")
+@query(
+    "grf03_customer_part_flows",
+    """WITH RECURSIVE p AS (SELECT DISTINCT 'c' || o_custkey AS c, 'p' || l_partkey AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+       e AS MATERIALIZED (SELECT c AS src, q AS dst FROM p UNION ALL SELECT q, c FROM p),
+       r AS (SELECT min(src) AS node FROM e UNION SELECT e.dst FROM r JOIN e ON e.src = r.node)
+       SELECT (SELECT min(node) FROM r) AS component, count(*) AS size FROM r
+       UNION ALL SELECT node, 1 FROM (SELECT 'c' || c_custkey AS node FROM customer UNION ALL SELECT 'p' || p_partkey FROM part) WHERE node NOT IN (SELECT src FROM e)""",
+)
 def customer_part_flows(spark, sf):
     edges = (
         t.read(spark, sf, "lineitem")

@@ -102,7 +102,38 @@ def foreign_keys(spark, sf):
     )
 
 
-@query("jn13_similar_keys")
+def _key_tokens_sql(name: str) -> str:
+    """Distinct tokens of two and more characters, else the whole name."""
+    tokens = f"list_distinct(list_filter(regexp_extract_all(lower({name}), '([a-z]+|[0-9]+)'), lambda x: length(x) >= 2))"
+    return f"CASE WHEN len({tokens}) > 0 THEN {tokens} ELSE [lower({name})] END"
+
+
+def _similar_keys_sql() -> str:
+    words = ", ".join(f"'{w}'" for w in knowledge.KEY_WORDS)
+    tokens = "regexp_extract_all(lower(field), '([a-z]+|[0-9]+)')"
+    sim = "len(list_intersect(a.toks, b.toks)) / len(list_distinct(list_concat(a.toks, b.toks)))"
+    return (
+        t.with_tables(_FIELDS, _KEYS)
+        + f""", us AS (SELECT entity, field, count(*) AS uses FROM fl GROUP BY 1, 2),
+        dr AS (SELECT us.entity, us.field, target, confidence, evidence FROM us JOIN kx USING (field) WHERE target <> upper(us.entity)),
+        op AS (SELECT entity, field, CASE WHEN len(list_filter({tokens}, lambda x: x IN ({words}))) > 0
+            THEN array_to_string(list_filter({tokens}, lambda x: length(x) >= 2 AND x NOT IN ({words})), '_') ELSE '' END AS hint FROM us ANTI JOIN dr USING (entity, field)),
+        na AS (SELECT DISTINCT entity AS target, {_key_tokens_sql("entity")} AS toks FROM fl),
+        hi AS (SELECT hint, {_key_tokens_sql("hint")} AS toks FROM (SELECT DISTINCT hint FROM op WHERE hint <> '')),
+        tp AS (SELECT hint, target, {sim} AS sim FROM hi a, na b WHERE {sim} > 0.3 QUALIFY row_number() OVER (PARTITION BY hint ORDER BY sim DESC, target) <= 2),
+        si AS (SELECT entity, field, arg_max(target, (sim, -rank)) AS target, max(sim) AS sim FROM (
+            SELECT op.entity, op.field, tp.target, tp.sim, row_number() OVER (PARTITION BY entity, field ORDER BY tp.sim DESC, tp.target) AS rank FROM op JOIN tp USING (hint) WHERE upper(tp.target) <> upper(entity)) WHERE rank = 1 GROUP BY 1, 2),
+        fd AS (SELECT DISTINCT field, {_key_tokens_sql("field")} AS toks FROM op),
+        nm AS (SELECT op.entity, op.field, b.target, upper(b.target) = upper(op.field) AS same, {sim} AS sim FROM op JOIN fd a USING (field), na b
+            WHERE length(b.target) >= 3 AND upper(b.target) <> upper(op.entity) AND (left(upper(op.field), 4) = left(upper(b.target), 4) OR left(upper(op.field), 3) = left(upper(b.target), 4)))
+      SELECT entity, field, target, 'foreign_key' AS type, CAST(confidence AS DOUBLE) AS confidence, evidence, uses FROM (
+        SELECT * FROM dr UNION ALL SELECT entity, field, target, round(least(0.95, sim * 0.4 + 0.60), 3), 'prefix_tokens' FROM si
+        UNION ALL SELECT entity, field, target, CASE WHEN same THEN 0.75 ELSE round(sim * 0.35 + 0.55, 3) END, CASE WHEN same THEN 'exact_name' ELSE 'similar_name' END FROM nm WHERE same OR sim > 0.4)
+      JOIN us USING (entity, field)"""
+    )
+
+
+@query("jn13_similar_keys", _similar_keys_sql())
 def similar_keys(spark, sf):
     fields = _fields(spark, sf)
     found = knowledge.foreign_keys(
@@ -201,7 +232,14 @@ def input_fields(spark, sf):
     return knowledge.map_inputs(inputs.withColumn("matched", F.slice("fields", 1, 2)))
 
 
-@query("jn21_step_dependencies")
+@query(
+    "jn21_step_dependencies",
+    """WITH h AS (SELECT DISTINCT CASE WHEN l_linenumber % 2 = 0 THEN '' ELSE 'TELA' || (l_suppkey % 30) END AS source,
+         CASE WHEN l_linenumber % 2 = 0 THEN 'F' || (l_partkey % 40) ELSE 'CAMPO' || (l_partkey % 20) END AS field,
+         CASE WHEN l_linenumber % 2 = 0 THEN 'TELA' || (l_suppkey % 30) ELSE '' END AS target FROM lineitem),
+       d AS (SELECT source AS screen, source || '.' || field AS needs FROM h WHERE source <> '' UNION SELECT target, source || '.' || field FROM h WHERE target <> '')
+       SELECT o_custkey AS journey_id, o_orderkey AS step_order, count(DISTINCT needs) AS dependencies FROM orders JOIN d ON screen = 'TELA' || (o_orderkey % 60) GROUP BY 1, 2""",
+)
 def step_dependencies(spark, sf):
     li = t.read(spark, sf, "lineitem")
     lines = li.select(
