@@ -346,3 +346,35 @@ def test_similar_sets_are_those_of_all_pairs(spark):
         want = {(a, b): len(set(x) & set(y)) / len(set(x) | set(y)) for a, x in sides[0].items() for b, y in sides[1].items()}
         got = {(r["left"], r["right"]): r["sim"] for r in knowledge.similar_sets(*frames, above).collect()}
         assert got == {k: pytest.approx(v) for k, v in want.items() if v > above}
+
+
+def test_screens_are_rebuilt_after_shrinking_moving_and_growing(spark):
+    """Sizes change both ways, the cursor moves alone, and a forged signature is rejected."""
+    flags = {f: False for f in screens.FLAGS}
+    shown = {1: (2, 3, 0, 0, "abcdef"), 2: (1, 2, 0, 1, "ab"), 3: (1, 2, 0, 0, "ab"), 5: (2, 3, 1, 2, "abXdYf"), 9: (2, 2, 1, 2, "abdY")}
+    turns = [("s", seq, r, c, cr, cc) for seq, (r, c, cr, cc, _) in shown.items()]
+    cells = [
+        {"session_id": "s", "seq": seq, "rows": r, "cols": c, "row": k // c, "col": k % c, "ch": ch, "fg": "default", "bg": "default", **flags}
+        for seq, (r, c, _, _, text) in shown.items() for k, ch in enumerate(text)
+    ]
+    kinds = "session_id string, seq bigint, rows int, cols int, row int, col int, ch string, fg string, bg string, " + ", ".join(f"{f} boolean" for f in screens.FLAGS)
+    all_cells = spark.createDataFrame(cells, kinds)
+    all_turns = spark.createDataFrame(turns, "session_id string, seq bigint, rows int, cols int, cursor_row int, cursor_col int")
+    changes = screens.screen_changes(all_turns, all_cells)
+    seen = {(r["seq"], r["change"]): r["count"] for r in changes.groupBy("seq", "change").count().collect()}
+    assert seen == {
+        (2, "geometry"): 1, (2, "cursor"): 1, (2, "removed"): 4, (3, "cursor"): 1, (5, "geometry"): 1, (5, "cursor"): 1, (5, "added"): 4,
+        (9, "geometry"): 1, (9, "removed"): 2,
+    }
+    first = all_turns.where("seq = 1"), all_cells.where("seq = 1")
+    rebuilt = screens.rebuild_screens(*first, changes, all_turns)
+    got = {}
+    for r in rebuilt.collect():
+        got.setdefault((r["seq"], r["rows"], r["cols"], r["cursor_row"], r["cursor_col"]), {})[r["row"], r["col"]] = r["ch"]
+    assert got == {(seq, r, c, cr, cc): {(k // c, k % c): ch for k, ch in enumerate(text)} for seq, (r, c, cr, cc, text) in shown.items()}
+    between = screens.rebuild_screens(*first, changes, spark.createDataFrame([("s", 4), ("s", 7), ("s", 0)], "session_id string, seq bigint"))
+    assert {(r["seq"], r["rows"], r["cols"], r["n"]) for r in between.groupBy("seq", "rows", "cols").agg(F.count("ch").alias("n")).collect()} == {(4, 1, 2, 2), (7, 2, 3, 6)}
+    recorded = screens.screen_signatures(all_cells, ["session_id", "seq"])
+    forged = recorded.withColumn("visual_sig", F.when(F.col("seq") == 5, "sha256:x").otherwise(F.col("visual_sig")))
+    forged = forged.unionByName(forged.where("seq = 9").withColumn("seq", F.lit(11).cast("bigint")))
+    assert {r["seq"]: r["rejected"] for r in screens.verify_screens(rebuilt, forged).collect()} == {1: None, 2: None, 3: None, 5: "visual", 9: None, 11: "missing"}

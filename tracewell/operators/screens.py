@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import text as tx
 from tracewell.plans import ordered
+from tracewell.plans.lineage import settle
 
 # Error texts of the recorded systems (pattern, type, severity, description).
 ERROR_RULES = (
@@ -459,42 +460,108 @@ def screen_signatures(
     )
 
 
-def cell_changes(cells: DataFrame) -> DataFrame:
-    """Cells that changed or were added against the previous screen of the session."""
-    screens = cells.select("session_id", "seq").distinct()
-    steps = ordered.scan(screens, ["session_id"], ["seq"], base_seq=ordered.lag(F.col("seq"))).where(
-        F.col("base_seq").isNotNull()
-    )
-    look = F.struct("ch", "fg", "bg", *FLAGS)
-    now = cells.select("session_id", "seq", "row", "col", look.alias("cell")).join(steps, ["session_id", "seq"])
-    before = cells.select("session_id", F.col("seq").alias("base_seq"), "row", "col", look.alias("old"))
-    return (
-        now.join(before, ["session_id", "base_seq", "row", "col"], "left")
-        .where(~F.col("cell").eqNullSafe(F.col("old")))
-        .select(
-            "session_id", "base_seq", "seq", "row", "col", "cell",
-            F.when(F.col("old").isNull(), "added").otherwise("changed").alias("change"),
-        )
-    )
+SCREEN_STATE = ("rows", "cols", "cursor_row", "cursor_col")
 
 
-def rebuild_screens(first: DataFrame, changes: DataFrame, targets: DataFrame) -> DataFrame:
-    """Cells of each session at its target sequence: the newest state of every cell up to it.
+def screen_changes(screens: DataFrame, cells: DataFrame) -> DataFrame:
+    """The patch from each screen of a session to the next, one row per change.
 
-    ``first`` has the cells of the first screen; ``targets`` the session, seq and size to rebuild.
+    ``screens``: session_id, seq, rows, cols, cursor_row, cursor_col; ``cells``: session_id, seq, row,
+    col, ch, fg, bg and the flags.  A change is ``geometry`` (rows and cols are the new ones),
+    ``cursor`` (row and col are its place), or a cell that was ``added``, ``changed`` or ``removed``;
+    a screen that shrinks removes the cells it loses, so that they do not come back when it grows.
+    """
+    hot = ordered.hot_keys(screens, ["session_id"], "seq")
+    frame = F.struct(*SCREEN_STATE)
+    steps = ordered.scan(screens, ["session_id"], ["seq"], hot, base_seq=ordered.lag(F.col("seq")), was=ordered.lag(frame))
+    steps = settle(steps.where(F.col("base_seq").isNotNull()))
+    look = F.struct("ch", "fg", "bg", *FLAGS)
+    order = steps.select("session_id", "base_seq", "seq")
+    now = cells.select("session_id", "seq", "row", "col", look.alias("cell")).join(order, ["session_id", "seq"])
+    before = cells.select("session_id", F.col("seq").alias("base_seq"), "row", "col", look.alias("old")).join(order, ["session_id", "base_seq"])
+    both = now.join(before, ["session_id", "base_seq", "seq", "row", "col"], "full").where(~F.col("cell").eqNullSafe(F.col("old")))
+    none = F.lit(None).cast("int")
+    kind = F.when(F.col("old").isNull(), "added").when(F.col("cell").isNull(), "removed").otherwise("changed")
+    of_cells = both.select("session_id", "base_seq", "seq", kind.alias("change"), "row", "col", "cell", none.alias("rows"), none.alias("cols"))
+    no_cell = F.lit(None).cast(of_cells.schema["cell"].dataType).alias("cell")
+    resized = steps.where((F.col("rows") != F.col("was.rows")) | (F.col("cols") != F.col("was.cols"))).select(
+        "session_id", "base_seq", "seq", F.lit("geometry").alias("change"), none.alias("row"), none.alias("col"), no_cell, "rows", "cols"
+    )
+    moved = steps.where((F.col("cursor_row") != F.col("was.cursor_row")) | (F.col("cursor_col") != F.col("was.cursor_col"))).select(
+        "session_id", "base_seq", "seq", F.lit("cursor").alias("change"), F.col("cursor_row").alias("row"), F.col("cursor_col").alias("col"),
+        no_cell, none.alias("rows"), none.alias("cols"),
+    )
+    return of_cells.unionByName(resized).unionByName(moved)
+
+
+def _frames(first: DataFrame, changes: DataFrame, targets: DataFrame) -> DataFrame:
+    """Geometry and cursor of each session at its targets: the last ones set up to there."""
+    size, place = F.struct("rows", "cols"), F.struct(F.col("row").alias("cursor_row"), F.col("col").alias("cursor_col"))
+    none = F.lit(None)
+    of_first = first.select("session_id", "seq", F.lit(0).alias("kind"), size.alias("size"), F.struct("cursor_row", "cursor_col").alias("cursor"))
+    kinds = {"size": "struct<rows:int,cols:int>", "cursor": "struct<cursor_row:int,cursor_col:int>"}
+    of_first = of_first.withColumns({name: F.col(name).cast(kind) for name, kind in kinds.items()})
+    of_changes = changes.where(F.col("change").isin("geometry", "cursor")).groupBy("session_id", "seq").agg(
+        F.max(F.when(F.col("change") == "geometry", size)).cast(kinds["size"]).alias("size"),
+        F.max(F.when(F.col("change") == "cursor", place)).cast(kinds["cursor"]).alias("cursor"),
+    )
+    of_targets = targets.select("session_id", "seq", F.lit(1).alias("kind"), none.cast(kinds["size"]).alias("size"), none.cast(kinds["cursor"]).alias("cursor"))
+    every = of_first.unionByName(of_changes.withColumn("kind", F.lit(0))).unionByName(of_targets)
+    known = ordered.scan(every, ["session_id"], ["seq", "kind"], at_size=ordered.last_known(F.col("size")), at_cursor=ordered.last_known(F.col("cursor")))
+    return known.where("kind = 1").select("session_id", "seq", "at_size.*", "at_cursor.*")
+
+
+def rebuild_screens(first: DataFrame, first_cells: DataFrame, changes: DataFrame, targets: DataFrame) -> DataFrame:
+    """Cells, geometry and cursor of each session at all of its targets, in one pass over the patches.
+
+    ``first`` and ``first_cells`` are the first screen of each session, ``targets`` the (session_id,
+    seq) to rebuild.  A cell keeps its state until its next change; the targets in that time follow
+    each other in the order of the session, so a state is joined with those targets only.
     """
+    wanted = targets.select("session_id", "seq").distinct()
     look = F.struct("ch", "fg", "bg", *FLAGS)
-    states = first.select("session_id", "seq", "row", "col", look.alias("cell")).unionByName(
-        changes.select("session_id", "seq", "row", "col", "cell")
+    states = first_cells.select("session_id", "seq", "row", "col", look.alias("cell")).unionByName(
+        changes.where(F.col("change").isin("added", "changed", "removed")).select("session_id", "seq", "row", "col", "cell")
     )
-    goals = targets.select("session_id", F.col("seq").alias("target_seq"), "rows", "cols")
-    return (
-        states.join(goals, "session_id")
-        .where((F.col("seq") <= F.col("target_seq")) & (F.col("row") * F.col("cols") + F.col("col") < F.col("rows") * F.col("cols")))
-        .groupBy("session_id", "target_seq", "rows", "cols", "row", "col")
-        .agg(F.max_by("cell", "seq").alias("cell"))
-        .select("session_id", F.col("target_seq").alias("seq"), "rows", "cols", "row", "col", "cell.*")
+    lasting = settle(ordered.scan(states, ["session_id", "row", "col"], ["seq"], until=ordered.lead(F.col("seq"))))
+    ends = F.array(F.struct(F.lit("low").alias("end"), F.col("seq").alias("at")), F.struct(F.lit("high").alias("end"), F.col("until").alias("at")))
+    probes = lasting.where(F.col("cell").isNotNull()).select("session_id", "row", "col", "seq", F.explode(ends).alias("e")).select(
+        "session_id", "row", "col", "seq", "e.*"
     )
+    probes = probes.where(F.col("at").isNotNull()).withColumn("is_target", F.lit(0))
+    none = F.lit(-1)
+    marks = wanted.select("session_id", none.alias("row"), none.alias("col"), "seq", F.lit("").alias("end"), F.col("seq").alias("at"), F.lit(1).alias("is_target"))
+    # how many targets stand before each end; targets at the same number come after it
+    counted = ordered.scan(
+        probes.unionByName(marks), ["session_id"], ["at", "is_target", "row", "col", "seq", "end"], before=ordered.running_sum(F.col("is_target"))
+    )
+    numbered = counted.where("is_target = 1").select("session_id", F.col("seq").alias("target"), F.col("before").alias("no"))
+    spans = counted.where("is_target = 0").groupBy("session_id", "row", "col", "seq").agg(
+        F.max(F.when(F.col("end") == "low", F.col("before"))).alias("low"), F.max(F.when(F.col("end") == "high", F.col("before"))).alias("high")
+    )
+    totals = wanted.groupBy("session_id").agg(F.count(F.lit(1)).alias("targets"))
+    placed = spans.join(totals, "session_id").withColumn("high", F.coalesce("high", "targets")).where("low < high")
+    at_targets = placed.withColumn("no", F.explode(F.sequence(F.col("low") + 1, F.col("high")))).join(numbered, ["session_id", "no"])
+    cells = at_targets.join(lasting.select("session_id", "row", "col", "seq", "cell"), ["session_id", "row", "col", "seq"])
+    cells = cells.select("session_id", F.col("target").alias("seq"), "row", "col", "cell.*")
+    return cells.join(_frames(first, changes, wanted), ["session_id", "seq"])
+
+
+SIGNATURES = ("text", "visual", "semantic")
+
+
+def verify_screens(rebuilt: DataFrame, expected: DataFrame) -> DataFrame:
+    """Verdict per expected screen: whether it is what was recorded, else the first signature that differs.
+
+    ``rebuilt`` comes from ``rebuild_screens``; ``expected``: session_id, seq and the signatures
+    recorded for it.  A screen that could not be rebuilt is ``missing``.
+    """
+    found = screen_signatures(rebuilt, ["session_id", "seq"])
+    found = found.select("session_id", "seq", F.lit(True).alias("here"), *[F.col(f"{s}_sig").alias(f"now_{s}") for s in SIGNATURES])
+    joined = expected.join(found, ["session_id", "seq"], "left")
+    differs = [F.when(~F.col(f"{s}_sig").eqNullSafe(F.col(f"now_{s}")), s) for s in SIGNATURES]
+    rejected = F.when(F.col("here").isNull(), "missing").otherwise(F.coalesce(*differs))
+    return joined.select("session_id", "seq", rejected.isNull().alias("verified"), rejected.alias("rejected"))
 
 
 def terminal_geometry(events: DataFrame) -> DataFrame:

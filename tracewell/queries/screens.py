@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tracewell.functions import naming, text as tx
 from tracewell.operators import screens
 from tracewell.plans import ordered
+from tracewell.plans.lineage import settle
 from tracewell.queries import tables as t
 from tracewell.queries.registry import query
 
@@ -620,14 +621,20 @@ cells AS (SELECT session_id, seq, rows, i, i // {WIDTH} AS r, i % {WIDTH} AS c,
  FROM (SELECT *, unnest(range(0, rows * {WIDTH})) AS i FROM sz))"""
 
 
-def _cells(spark, sf):
-    """Every turn of a conversation as a screen of 40 columns."""
+def _turns(spark, sf):
+    """Every turn of a conversation as a screen of 40 columns, the cursor behind its text."""
     c = t.read(spark, sf, "conversations").where(F.col("text") != "")
-    sized = c.select(
+    rows = F.ceil(F.length("text") / WIDTH).cast("int")
+    behind = F.length("text") % (rows * WIDTH)
+    return c.select(
         F.col("conv_id").cast("long").alias("session_id"), F.col("turn").alias("seq"),
-        F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"),
-        F.ceil(F.length("text") / WIDTH).cast("int").alias("rows"), F.lit(WIDTH).alias("cols"),
+        F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"), rows.alias("rows"), F.lit(WIDTH).alias("cols"),
+        F.floor(behind / WIDTH).cast("int").alias("cursor_row"), (behind % WIDTH).cast("int").alias("cursor_col"),
     )
+
+
+def _cells(spark, sf):
+    sized = _turns(spark, sf)
     padded = F.split(F.rpad("text", F.col("rows") * WIDTH, F.lit(" ")), "")
     flat = sized.select("session_id", "seq", "rows", "cols", F.posexplode(padded).alias("i", "ch"))
     off = F.lit(False)
@@ -653,43 +660,50 @@ def screen_signatures(spark, sf):
     return screens.screen_signatures(_cells(spark, sf), ["session_id", "seq"]).drop("semantic_sig")
 
 
+_FRAMES = f"""
+fr AS (SELECT conv_id AS session_id, turn AS seq, CAST(ceil(length(text) / {WIDTH}.0) AS BIGINT) AS rows, length(text) % (CAST(ceil(length(text) / {WIDTH}.0) AS BIGINT) * {WIDTH}) AS p FROM conversations WHERE text <> ''),
+fs AS (SELECT *, p // {WIDTH} AS cr, p % {WIDTH} AS cc FROM fr)"""
 _DIFF = """
-sq AS (SELECT session_id, seq, lag(seq) OVER (PARTITION BY session_id ORDER BY seq) AS base_seq FROM sz),
-diff AS (SELECT n.session_id, sq.base_seq, n.seq, n.r, n.c, CASE WHEN o.i IS NULL THEN 'added' ELSE 'changed' END AS change
-   FROM cells n JOIN sq ON sq.session_id = n.session_id AND sq.seq = n.seq AND sq.base_seq IS NOT NULL
-   LEFT JOIN cells o ON o.session_id = n.session_id AND o.seq = sq.base_seq AND o.i = n.i
-   WHERE o.i IS NULL OR o.ch <> n.ch OR o.fg <> n.fg OR o.bold <> n.bold OR o.reverse <> n.reverse)"""
+sq AS (SELECT session_id, seq, rows, cr, cc, lag(seq) OVER w AS base_seq, lag(rows) OVER w AS was_rows, lag(cr) OVER w AS was_cr, lag(cc) OVER w AS was_cc FROM fs WINDOW w AS (PARTITION BY session_id ORDER BY seq)),
+new AS (SELECT n.*, sq.base_seq FROM cells n JOIN sq ON sq.session_id = n.session_id AND sq.seq = n.seq AND sq.base_seq IS NOT NULL),
+old AS (SELECT o.*, sq.seq AS new_seq FROM cells o JOIN sq ON sq.session_id = o.session_id AND sq.base_seq = o.seq),
+diff AS (SELECT coalesce(n.session_id, o.session_id) AS session_id, coalesce(n.base_seq, o.seq) AS base_seq, coalesce(n.seq, o.new_seq) AS seq, coalesce(n.r, o.r) * 1000 + coalesce(n.c, o.c) AS place,
+     CASE WHEN o.i IS NULL THEN 'added' WHEN n.i IS NULL THEN 'removed' ELSE 'changed' END AS change
+   FROM new n FULL JOIN old o ON o.session_id = n.session_id AND o.seq = n.base_seq AND o.new_seq = n.seq AND o.i = n.i
+   WHERE o.i IS NULL OR n.i IS NULL OR o.ch <> n.ch OR o.fg <> n.fg OR o.bold <> n.bold OR o.reverse <> n.reverse
+   UNION ALL SELECT session_id, base_seq, seq, rows * 1000 + 40, 'geometry' FROM sq WHERE rows <> was_rows
+   UNION ALL SELECT session_id, base_seq, seq, cr * 1000 + cc, 'cursor' FROM sq WHERE cr <> was_cr OR cc <> was_cc)"""
 
 
 @query(
     "win14_cell_changes",
-    t.with_tables(_CELLS, _DIFF)
-    + "SELECT session_id, base_seq, seq, change, count(*) AS cells, CAST(sum(r * 1000 + c) AS BIGINT) AS places FROM diff GROUP BY 1, 2, 3, 4",
+    t.with_tables(_CELLS, _FRAMES, _DIFF)
+    + "SELECT session_id, base_seq, seq, change, count(*) AS cells, CAST(sum(place) AS BIGINT) AS places FROM diff GROUP BY 1, 2, 3, 4",
 )
 def cell_changes(spark, sf):
-    found = screens.cell_changes(_cells(spark, sf))
-    return found.groupBy("session_id", "base_seq", "seq", "change").agg(
-        F.count(F.lit(1)).alias("cells"), F.sum(F.col("row") * 1000 + F.col("col")).alias("places")
-    )
+    """Changes of geometry, cursor and cells between screens that grow and shrink."""
+    found = screens.screen_changes(_turns(spark, sf).drop("text"), _cells(spark, sf))
+    place = F.when(F.col("change") == "geometry", F.col("rows") * 1000 + F.col("cols")).otherwise(F.col("row") * 1000 + F.col("col"))
+    return found.groupBy("session_id", "base_seq", "seq", "change").agg(F.count(F.lit(1)).alias("cells"), F.sum(place).alias("places"))
 
 
 @query(
     "win15_rebuilt_screens",
-    "SELECT conv_id AS session_id, max(turn) AS seq, TRUE AS verified FROM conversations WHERE text <> '' GROUP BY 1",
+    t.with_tables(_FRAMES)
+    + """SELECT session_id, seq, rows, cr AS cursor_row, cc AS cursor_col, (session_id + seq) % 6 <> 0 AS verified, CASE (session_id + seq) % 12 WHEN 0 THEN 'text' WHEN 6 THEN 'visual' END AS rejected FROM fs""",
 )
 def rebuilt_screens(spark, sf):
-    cells = _cells(spark, sf)
-    bounds = cells.groupBy("session_id").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
-    joined = cells.join(bounds, "session_id")
-    first = joined.where(F.col("seq") == F.col("first_seq"))
-    goals = joined.where(F.col("seq") == F.col("last_seq")).select("session_id", "seq", "rows", "cols").distinct()
-    rebuilt = screens.rebuild_screens(first, screens.cell_changes(cells), goals)
-    wanted = screens.screen_signatures(cells, ["session_id", "seq"]).select(
-        "session_id", "seq", F.col("text_sig").alias("t"), F.col("visual_sig").alias("v"), F.col("semantic_sig").alias("s")
-    )
-    signed = screens.screen_signatures(rebuilt, ["session_id", "seq"]).join(wanted, ["session_id", "seq"])
-    same = (F.col("text_sig") == F.col("t")) & (F.col("visual_sig") == F.col("v")) & (F.col("semantic_sig") == F.col("s"))
-    return signed.select("session_id", "seq", same.alias("verified"))
+    """Every screen rebuilt from the first one and the patches; forged signatures are rejected."""
+    turns, cells = _turns(spark, sf).drop("text"), _cells(spark, sf)
+    starts = turns.groupBy("session_id").agg(F.min("seq").alias("seq"))
+    first, first_cells = turns.join(starts, ["session_id", "seq"]), cells.join(starts, ["session_id", "seq"])
+    rebuilt = settle(screens.rebuild_screens(first, first_cells, screens.screen_changes(turns, cells), turns))
+    forged = (F.col("session_id") + F.col("seq")) % 12
+    recorded = screens.screen_signatures(cells, ["session_id", "seq"]).withColumns({
+        "text_sig": F.when(forged == 0, "sha256:forged").otherwise(F.col("text_sig")), "visual_sig": F.when(forged == 6, "sha256:forged").otherwise(F.col("visual_sig"))
+    })
+    frames = rebuilt.select("session_id", "seq", "rows", "cursor_row", "cursor_col").distinct()
+    return screens.verify_screens(rebuilt, recorded).join(frames, ["session_id", "seq"])
 
 
 # ------------------------------------------------------------ terminal sessions
