@@ -15,10 +15,8 @@ from tracewell.plans.lineage import settle
 
 #: Labelled URLs that are read for training, at most.
 SAMPLE = 20_000
-#: Host suffixes that get a rate of their own, at most; they are broadcast.
-SUFFIXES = 2_000
-#: Pseudo-observations of the overall rate in the rate of a suffix.
-PRIOR = 10.0
+#: Pseudo-observations of the overall rate in the rate of a suffix, and folds of the labelled URLs.
+PRIOR, FOLDS = 10.0, 5
 
 FEATURES = (
     "length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "parameters", "query_length",
@@ -73,34 +71,58 @@ def lexical(frame: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    """Trees (none if one class only was seen), the overall rate and the rates of suffixes."""
+    """Trees (none if one class only was seen), the overall rate and the counts of suffixes."""
 
     trees: GBTClassificationModel | None
     rate: float
     suffixes: DataFrame
 
 
-def _with_rates(frame: DataFrame, suffixes: DataFrame, rate: float) -> DataFrame:
+def suffix_counts(rows: DataFrame) -> DataFrame:
+    """(kind, suffix, bad, n, folds) over all of ``rows`` (url, label): per suffix the labels and their
+    number, in all and by fold of the URL."""
+    host, _ = url_parts(F.col("url"))
+    ends = F.array(*[F.struct(F.lit(k).alias("kind"), F.substring_index(host, ".", -k).alias("suffix")) for k in (1, 2)])
+    single = rows.select("label", _fold().alias("fold"), F.explode(ends).alias("e")).select("label", "fold", "e.*")
+    here = [F.col("fold") == k for k in range(FOLDS)]
+    folds = F.array(*[F.struct(F.sum(F.when(f, F.col("label")).otherwise(0.0)).alias("bad"), F.count_if(f).alias("n")) for f in here])
+    return single.groupBy("kind", "suffix").agg(F.sum("label").alias("bad"), F.count(F.lit(1)).alias("n"), folds.alias("folds"))
+
+
+def _fold() -> Column:
+    return F.pmod(F.xxhash64(F.lit(13), "url"), F.lit(FOLDS)).cast("int")
+
+
+def _with_rates(frame: DataFrame, suffixes: DataFrame, rate: float, unseen: bool = False) -> DataFrame:
+    """``frame`` with the smoothed rate of each of its suffixes; with ``unseen`` URLs of a row's own
+    fold do not count, so that trees do not read labels off the rates."""
     for k in (1, 2):
-        rates = suffixes.where(F.col("kind") == k).select(F.col("suffix").alias(f"suffix_{k}"), F.col("rate").alias(f"rate_{k}"))
-        frame = frame.join(F.broadcast(rates), f"suffix_{k}", "left").fillna({f"rate_{k}": rate})
+        known = suffixes.where(F.col("kind") == k).select(F.col("suffix").alias(f"suffix_{k}"), "bad", "n", "folds")
+        joined = frame.join(known, f"suffix_{k}", "left")
+        bad, n = F.coalesce("bad", F.lit(0.0)), F.coalesce("n", F.lit(0))
+        if unseen:
+            own = F.get("folds", _fold())
+            bad, n = bad - F.coalesce(own["bad"], F.lit(0.0)), n - F.coalesce(own["n"], F.lit(0))
+        frame = joined.withColumn(f"rate_{k}", (bad + PRIOR * rate) / (n + PRIOR)).drop("bad", "n", "folds")
     return frame
 
 
 def train(labelled: DataFrame, limit: int = SAMPLE, rounds: int = 20, depth: int = 4) -> Model:
-    """Fit on (url, label), label 1 for a URL to block; at most ``limit`` rows, chosen by a hash of the URL."""
+    """Fit on (url, label), label 1 for a URL to block.
+
+    Copies of a URL count once, with the largest label. Trees learn from at most ``limit`` URLs,
+    chosen by a hash; the suffix rates that are among their features come from all labelled URLs,
+    those of a training URL from the other folds.
+    """
     rows = labelled.where(F.col("label").isNotNull()).select(F.coalesce("url", F.lit("")).alias("url"), F.col("label").cast("double").alias("label"))
-    sample = settle(lexical(rows.orderBy(F.xxhash64(F.lit(7), "url"), "url", "label").limit(limit)))
-    n, rate = sample.agg(F.count(F.lit(1)), F.avg("label")).first()
-    rate = rate or 0.0
-    seen = [sample.select(F.lit(k).alias("kind"), F.col(f"suffix_{k}").alias("suffix"), "label") for k in (1, 2)]
-    smooth = (F.sum("label") + PRIOR * rate) / (F.count(F.lit(1)) + PRIOR)
-    suffixes = seen[0].unionAll(seen[1]).groupBy("kind", "suffix").agg(smooth.alias("rate"), F.count(F.lit(1)).alias("n"))
-    suffixes = settle(suffixes.orderBy(F.desc("n"), "kind", "suffix").limit(SUFFIXES).select("kind", "suffix", "rate"))
-    if not n or rate in (0.0, 1.0):
+    rows = settle(rows.groupBy("url").agg(F.max("label").alias("label")))
+    rate = rows.agg(F.avg("label")).first()[0] or 0.0
+    suffixes = settle(suffix_counts(rows))
+    if rate in (0.0, 1.0):
         return Model(None, rate, suffixes)
-    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(_with_rates(sample, suffixes, rate)).select("features", "label")
-    trees = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.2, maxBins=32, seed=3, cacheNodeIds=False).fit(settle(ready))
+    sample = lexical(rows.orderBy(F.xxhash64(F.lit(7), "url"), "url").limit(limit))
+    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(_with_rates(sample, suffixes, rate, unseen=True))
+    trees = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.2, maxBins=32, seed=3, cacheNodeIds=False).fit(settle(ready.select("features", "label")))
     return Model(trees, rate, suffixes)
 
 
@@ -109,7 +131,8 @@ def score(pages: DataFrame, model: Model) -> DataFrame:
 
     ``score`` is the probability of a URL to block; it is the rate of the labels if they were all
     alike. Null and empty URLs get features of an empty text. Repeated rows get equal scores; an
-    empty table gives no rows. Suffix rates are a broadcast of at most ``SUFFIXES`` rows.
+    empty table gives no rows. The rates of all suffixes are joined, broadcast only where Spark finds
+    them small.
     """
     url = F.coalesce(F.col("url"), F.lit(""))
     host, path = url_parts(url)
