@@ -74,6 +74,43 @@ def test_url_rules(spark):
     assert url_filter.judge(pages.limit(0), RULES).count() == 0
 
 
+def test_url_suffix_rates_are_out_of_fold(spark):
+    draw = np.random.default_rng(3)
+    urls = [(f"http://h{draw.integers(40)}.{draw.choice(['a', 'b', 'c'])}{draw.integers(4)}.org/p{k % 50}", float(draw.random() < 0.4)) for k in range(500)]
+    labelled = spark.createDataFrame(urls + urls[:100] * 3 + [("", 1.0)], "url string, label double")
+    rows = labelled.groupBy("url").agg(F.max("label").alias("label"))
+    counts, rate = url_filter.suffix_counts(rows), rows.agg(F.avg("label")).first()[0]
+    found = url_filter._with_rates(url_filter.lexical(rows.withColumn("fold", url_filter._fold())), counts, rate, unseen=True).collect()
+    assert len(found) == len({u for u, _ in urls}) + 1
+    for r in found:
+        for k in (1, 2):
+            others = [x["label"] for x in found if x["fold"] != r["fold"] and x[f"suffix_{k}"] == r[f"suffix_{k}"]]
+            assert r[f"rate_{k}"] == pytest.approx((sum(others) + url_filter.PRIOR * rate) / (len(others) + url_filter.PRIOR))
+
+
+def test_url_copies_do_not_change_the_filter(spark):
+    rows = [(k, f"http://h{k}.{'net/es' if k % 3 else 'com'}/{k % 7}/x{k}?a={k % 5}") for k in range(240)]
+    once = spark.createDataFrame(rows, "page_id long, url string")
+    often = once.unionAll(once.where("page_id % 6 = 1").crossJoin(spark.range(30)).drop("id"))
+    score = lambda df: {r["row"]["page_id"]: r["score"] for r in url_filter.judge(df, RULES).collect()}
+    assert score(once) == score(often)
+
+
+def test_url_filter_on_held_out_labels(spark):
+    """Suffixes decide, with some noise; the trees are measured on hosts that they have not seen."""
+    draw = np.random.default_rng(6)
+
+    def url(k):
+        bad = draw.random() < 0.5
+        tail = f"{'xyz' if bad else 'org'}/{'/'.join(str(draw.integers(10_000)) for _ in range(4 if bad else 1))}"
+        return f"http://host{k}.{tail}", float(bad if draw.random() > 0.05 else not bad)
+
+    rows = [url(k) for k in range(1500)]
+    model = url_filter.train(spark.createDataFrame(rows[:1000], "url string, label double"))
+    test = url_filter.score(spark.createDataFrame(rows[1000:], "url string, label double"), model).select("row.label", "score").collect()
+    assert sum((r["score"] >= 0.5) == (r["label"] == 1) for r in test) / len(test) > 0.9
+
+
 def test_url_trees_learn_suffixes(spark):
     rows = [(f"http://h{k}.{'bad' if k % 2 else 'good'}.org/p{k % 7}", float(k % 2)) for k in range(400)]
     model = url_filter.train(spark.createDataFrame(rows, "url string, label double"))
