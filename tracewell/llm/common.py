@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,3 +71,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     found = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     chosen = found.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
     return settle(chosen.select(F.col("text").cast("binary").alias("text"), "label"))
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows``, so that what is made of them stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import FOLD, utf8
+from tracewell.llm.common import FOLD, slices, utf8
 from tracewell.operators.graph import components
 from tracewell.plans.lineage import settle
 
@@ -53,7 +53,7 @@ def set_key(hashes: np.ndarray) -> int:
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         sets = [shingles(t.as_py()) for t in batch.column("text")]
         n = pa.array([len(s) for s in sets], pa.int64())
         key = pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())
@@ -61,7 +61,7 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         sets = [shingles(t.as_py()) for t in batch.column("text")]
         same = [k for k, (s, key) in enumerate(zip(sets, batch.column("key").to_pylist(), strict=True)) if len(s) and set_key(s) == key]
         yield pa.RecordBatch.from_arrays(

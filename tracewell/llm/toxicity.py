@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import FOLD, labelled_sample, packed, utf8, with_row
+from tracewell.llm.common import FOLD, labelled_sample, packed, slices, utf8, with_row
 from tracewell.plans.lineage import settle
 
 #: Lengths of the byte n-grams.
@@ -110,7 +110,7 @@ def unpressed(held: bytes) -> np.ndarray:
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The n-grams of each text of the sample, made once and packed."""
-    for batch in batches:
+    for batch in slices(batches):
         held = [pressed(np.sort(cell)) for cell in distinct(batch.column("text").to_pylist())]
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(held, pa.binary())], names=["label", "cells"])
 
