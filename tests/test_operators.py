@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import naming
 from tracewell.functions import text as tx
-from tracewell.operators import hosts, integrity, knowledge, screens, sessions, synth
+from tracewell.operators import corpus, hosts, integrity, knowledge, screens, sessions, synth
 from tracewell.schemas import AUDIT_EVENT
 from tracewell.sources import audit_log, exports
 from tracewell.streaming import live
@@ -378,3 +378,17 @@ def test_screens_are_rebuilt_after_shrinking_moving_and_growing(spark):
     forged = recorded.withColumn("visual_sig", F.when(F.col("seq") == 5, "sha256:x").otherwise(F.col("visual_sig")))
     forged = forged.unionByName(forged.where("seq = 9").withColumn("seq", F.lit(11).cast("bigint")))
     assert {r["seq"]: r["rejected"] for r in screens.verify_screens(rebuilt, forged).collect()} == {1: None, 2: None, 3: None, 5: "visual", 9: None, 11: "missing"}
+
+
+def test_branches_of_blocks(spark):
+    text = [
+        "IF a > 1", " DO m/one", "else", " do two", "ELSE", " DO three", "ENDIF", "DO out",  # 1-8
+        "DO CASE", "DO early", "CASE x", "DO four", "CASE y", "ENDCASE",  # 9-14
+        "DO WHILE .T.", "DO five", "IF b", "DO six", "ENDDO",  # 15-19, the IF is never closed
+        "FOR i = 1 TO 3", "DO lost",
+    ]
+    lines = spark.createDataFrame([("f", k, x) for k, x in enumerate(text, 1)], "file string, line_no bigint, line string")
+    found = lambda kind: sorted((r["start_line"], r["end_line"], r["branch"], r["screen"]) for r in corpus.flow_calls(lines, kind).collect())
+    assert found("if") == [(1, 7, 0, "M_ONE"), (1, 7, 1, "THREE"), (1, 7, 1, "TWO")]
+    assert found("do_case") == [(9, 14, 0, "EARLY"), (9, 14, 1, "FOUR")]
+    assert found("loop") == [(15, 19, 0, "FIVE"), (15, 19, 0, "SIX")]

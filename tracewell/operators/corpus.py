@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.functions import naming
 from tracewell.plans import ordered
 from tracewell.plans.lineage import settle
 
@@ -427,6 +428,44 @@ BLOCKS = {
 }
 
 
+#: Opening, dividing and closing lines of blocks that choose or repeat screens.
+FLOWS = {
+    "if": (r"(?i)IF\s+.+", r"(?i)\bELSE\b", r"(?i)\bENDIF\b|ENDI\b"),
+    "do_case": (r"(?i)DO\s+CASE", r"(?i)CASE\s+.+$", r"(?i)\bENDCASE\b|ENDC\b"),
+    "loop": (r"(?i)DO\s+WHILE\s+.+|(?:FOR|SCAN)\s+.+", r"(?!)", r"(?i)\bENDDO\b|ENDD\b"),
+}
+
+
+def flow_calls(lines: DataFrame, kind: str) -> DataFrame:
+    """(file, start_line, end_line, branch, line_no, screen): the screens called in the branches of blocks.
+
+    ``lines``: file, line_no, line; ``kind`` is a key of ``FLOWS``.  An opening line restarts the block,
+    the first closing line ends it, and a block without one says nothing.  ELSE opens branch 1 of an
+    IF, each CASE the next branch; a loop has branch 0.
+    """
+    opens, divides, closes = FLOWS[kind]
+    line = F.col("line")
+    is_open = line.rlike(opens) & (~line.rlike(closes) if kind == "if" else F.lit(True))
+    is_divide, is_close = ~is_open & line.rlike(divides), ~is_open & ~line.rlike(divides) & line.rlike(closes)
+    hot = ordered.hot_keys(lines, ["file"], "line_no")
+    marked = lines.select("file", "line_no", "line", is_open.alias("opens"), is_divide.alias("divides"), is_close.alias("closes"))
+    number = F.col("line_no")
+    walked = ordered.scan(
+        marked, ["file"], ["line_no"], hot, start_line=ordered.last_known(F.when(F.col("opens"), number)),
+        shut=ordered.last_known(F.when(F.col("closes"), number), include_current=False), parts=ordered.running_sum(F.col("divides").cast("int")),
+    )
+    walked = ordered.scan(walked, ["file"], ["line_no"], hot, before=ordered.last_known(F.when(F.col("opens"), F.col("parts"))))
+    inside = walked.where(F.col("start_line").isNotNull() & (F.coalesce("shut", F.lit(-1)) < F.col("start_line")))
+    ended = inside.groupBy("file", "start_line").agg(F.min(F.when(F.col("closes"), number)).alias("end_line")).where(F.col("end_line").isNotNull())
+    called = F.regexp_extract("line", PROGRAM_CALL, 1)
+    branch = F.col("parts") - F.col("before")
+    calls = inside.where(~F.col("opens") & ~F.col("divides") & ~F.col("closes") & (called != "")).select(
+        "file", "start_line", (F.least(branch, F.lit(1)) if kind == "if" else branch).cast("long").alias("branch"), "line_no",
+        F.upper(F.replace(called, F.lit("/"), F.lit("_"))).alias("screen"),
+    )
+    return calls.join(ended, ["file", "start_line"]).select("file", "start_line", "end_line", "branch", "line_no", "screen")
+
+
 # ---------------------------------------------------------------- calls and coverage
 
 
@@ -601,6 +640,36 @@ def merge_entities(fields: DataFrame) -> DataFrame:
     return first.join(storage, "entity").select("entity", "f.field", "f.datatype", "storage_type", "mentions")
 
 
+def program_catalog(bindings: DataFrame) -> DataFrame:
+    """Every bound program with its module and how many entities, operations and bindings it has.
+
+    ``bindings``: source_file, entity, operation.  Programs are named by their file without folder and
+    ending, in capitals; of files with one name the last one counts.
+    """
+    stem = F.regexp_replace(F.regexp_extract("source_file", r"([^/]+)$", 1), r"\.[^.]+$", "")
+    named = bindings.where(F.coalesce("source_file", F.lit("")) != "").withColumn("program", F.upper(stem))
+    kept = named.groupBy("program").agg(F.max("source_file").alias("source_file"))
+    filled = lambda c: F.when(F.coalesce(c, F.lit("")) != "", F.col(c))
+    counted = named.join(kept, ["program", "source_file"]).groupBy("program", "source_file").agg(
+        F.count_distinct(F.upper(filled("entity"))).alias("entities"), F.count_distinct(filled("operation")).alias("operations"), F.count(F.lit(1)).alias("bindings")
+    )
+    return counted.withColumn("module", naming.module_prefix(F.col("program")))
+
+
+def catalog_by_module(entries: DataFrame) -> DataFrame:
+    """Programs and bindings of each module of a catalog."""
+    return entries.groupBy("module").agg(F.count(F.lit(1)).alias("programs"), F.sum("bindings").alias("bindings"))
+
+
+def catalog_by_entity(bindings: DataFrame, entries: DataFrame) -> DataFrame:
+    """Programs, modules and operations of each entity of a catalog, by its name in capitals."""
+    used = bindings.where(F.coalesce("entity", F.lit("")) != "").join(entries.select("source_file", "program", "module"), "source_file")
+    return used.groupBy(F.upper("entity").alias("entity")).agg(
+        F.count_distinct("program").alias("programs"), F.count_distinct("module").alias("modules"),
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col("operation") != "", F.col("operation")))), ",").alias("operations"),
+    )
+
+
 def binding_bands(bindings: DataFrame) -> DataFrame:
     """Bindings per entity and confidence band."""
     band = F.when(F.col("confidence") >= 0.75, "high").when(F.col("confidence") >= 0.40, "medium").otherwise("low")

@@ -209,6 +209,31 @@ def block_spans(spark, sf):
     return spans.select(F.lit("transaction").alias("block"), "*")
 
 
+_FLOW_FORMS = {
+    "if": (("IF x > 1", None), ("DO m/tela_", "tab"), ("ELSE", None), ("do outra_", "fld"), ("? 'x'", None), ("ENDIF", None), ("DO fora", None)),
+    "do_case": (("DO CASE", None), ("CASE x = 1", None), ("DO a_", "tab"), ("CASE .T.", None), ("DO b_", "oth"), ("ENDCASE", None), ("* note", None)),
+    "loop": (("DO WHILE .T.", None), ("DO a_", "fld"), ("x = 1", None), ("DO m/b_", "tab"), ("ENDDO", None), ("FOR i = 1 TO 9", None), ("DO c", None)),
+}
+
+
+@query(
+    "win16_flow_calls",
+    t.with_tables(_BASE)
+    + """SELECT block, b.file, CAST(1 AS BIGINT) AS start_line, CAST(stop AS BIGINT) AS end_line, CAST(branch AS BIGINT) AS branch, CAST(b.line_no AS BIGINT) AS line_no, head || upper(CASE col WHEN 't' THEN b.tab WHEN 'f' THEN b.fld ELSE b.oth END) AS screen
+         FROM base b JOIN (VALUES ('if', 2, 0, 6, 'M_TELA_', 't'), ('if', 4, 1, 6, 'OUTRA_', 'f'), ('do_case', 3, 1, 6, 'A_', 't'), ('do_case', 5, 2, 6, 'B_', 'o'), ('loop', 2, 0, 5, 'A_', 'f'), ('loop', 4, 0, 5, 'M_B_', 't')) v(block, here, branch, stop, head, col)
+           ON b.ln = v.here JOIN base e ON e.file = b.file AND e.ln = v.stop""",
+)
+def flow_calls(spark, sf):
+    """Screens called in the branches of IF, CASE and loops."""
+    every = None
+    for kind, forms in _FLOW_FORMS.items():
+        texts = [F.lit(head) if column is None else F.concat(F.lit(head), F.col(column)) for head, column in forms]
+        lines = _base(spark, sf).withColumn("line", _by_line(*texts)).select("file", "line_no", "line")
+        found = corpus.flow_calls(lines, kind).select(F.lit(kind).alias("block"), "*")
+        every = found if every is None else every.unionByName(found)
+    return every
+
+
 @query(
     "ext06_page_links",
     """SELECT page_id, called, count(*) AS calls FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a href="/([^"]+)"', 1)) AS called FROM pages) GROUP BY 1, 2""",
@@ -379,6 +404,52 @@ def binding_bands(spark, sf):
     return corpus.binding_bands(bindings)
 
 
+#: Line items as bindings of programs: two folders may hold a program of the same name.
+_BINDINGS = """
+bd AS (SELECT ['src/', 'old/'][l_linenumber % 5 // 4 + 1] || ['cad', 'COP', 'finx', 'e1'][l_orderkey % 4 + 1] || (l_orderkey % 500) || '.prg' AS source_file,
+   CASE WHEN l_suppkey % 17 = 0 THEN '' ELSE 'Ent' || (l_suppkey % 50) END AS entity, ['create', 'read', 'update', '']
+   [l_partkey % 4 + 1] AS operation FROM lineitem),
+pn AS (SELECT *, upper(regexp_replace(regexp_replace(source_file, '^.*/', ''), '[.]prg$', '')) AS program FROM bd),
+en AS (SELECT p.* FROM pn p JOIN (SELECT program, max(source_file) AS source_file FROM pn GROUP BY 1) USING (program, source_file)),
+md AS (SELECT *, CASE WHEN regexp_extract(lower(program), '^([a-z]{2,4})', 1) <> '' THEN regexp_extract(lower(program), '^([a-z]{2,4})', 1) ELSE lower(program)[1:3] END AS module FROM en)"""
+
+
+def _bindings(spark, sf):
+    pick = lambda values, k: F.get(F.array(*[F.lit(v) for v in values]), k.cast("int"))
+    order = F.col("l_orderkey")
+    name = F.concat(pick(("src/", "old/"), F.floor(F.col("l_linenumber") % 5 / 4)), pick(("cad", "COP", "finx", "e1"), order % 4), (order % 500).cast("string"), F.lit(".prg"))
+    return t.read(spark, sf, "lineitem").select(
+        name.alias("source_file"), F.when(F.col("l_suppkey") % 17 == 0, "").otherwise(F.concat(F.lit("Ent"), (F.col("l_suppkey") % 50).cast("string"))).alias("entity"),
+        pick(("create", "read", "update", ""), F.col("l_partkey") % 4).alias("operation"),
+    )
+
+
+@query(
+    "agg21_program_catalog",
+    t.with_tables(_BINDINGS)
+    + """SELECT program, any_value(source_file) AS source_file, count(DISTINCT CASE WHEN entity <> '' THEN upper(entity) END) AS entities, count(DISTINCT CASE WHEN operation <> '' THEN operation END) AS operations,
+         count(*) AS bindings, any_value(module) AS module FROM md GROUP BY program""",
+)
+def program_catalog(spark, sf):
+    return corpus.program_catalog(_bindings(spark, sf))
+
+
+@query("agg21_catalog_by_module", t.with_tables(_BINDINGS) + "SELECT module, count(DISTINCT program) AS programs, count(*) AS bindings FROM md GROUP BY 1")
+def catalog_by_module(spark, sf):
+    return corpus.catalog_by_module(corpus.program_catalog(_bindings(spark, sf)))
+
+
+@query(
+    "agg21_catalog_by_entity",
+    t.with_tables(_BINDINGS)
+    + """SELECT upper(entity) AS entity, count(DISTINCT program) AS programs, count(DISTINCT module) AS modules, string_agg(DISTINCT operation, ',' ORDER BY operation) FILTER (operation <> '') AS operations
+         FROM md WHERE entity <> '' GROUP BY 1""",
+)
+def catalog_by_entity(spark, sf):
+    bindings = _bindings(spark, sf)
+    return corpus.catalog_by_entity(bindings, corpus.program_catalog(bindings))
+
+
 @query(
     "set02_catalog_differences",
     """WITH o AS (SELECT DISTINCT l_suppkey AS module, l_partkey AS name FROM lineitem WHERE l_linestatus = 'O'), f AS (SELECT DISTINCT l_suppkey AS module, l_partkey AS name FROM lineitem WHERE l_linestatus = 'F')
