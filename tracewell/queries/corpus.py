@@ -218,10 +218,21 @@ _FLOW_FORMS = {
 
 @query(
     "win16_flow_calls",
-    t.with_tables(_BASE)
-    + """SELECT block, b.file, CAST(1 AS BIGINT) AS start_line, CAST(stop AS BIGINT) AS end_line, CAST(branch AS BIGINT) AS branch, CAST(b.line_no AS BIGINT) AS line_no, head || upper(CASE col WHEN 't' THEN b.tab WHEN 'f' THEN b.fld ELSE b.oth END) AS screen
-         FROM base b JOIN (VALUES ('if', 2, 0, 6, 'M_TELA_', 't'), ('if', 4, 1, 6, 'OUTRA_', 'f'), ('do_case', 3, 1, 6, 'A_', 't'), ('do_case', 5, 2, 6, 'B_', 'o'), ('loop', 2, 0, 5, 'A_', 'f'), ('loop', 4, 0, 5, 'M_B_', 't')) v(block, here, branch, stop, head, col)
-           ON b.ln = v.here JOIN base e ON e.file = b.file AND e.ln = v.stop""",
+    t.with_tables(
+        _BASE,
+        """v(block, ln, role, head, col) AS (VALUES ('if', 1, 'open', '', ''), ('if', 2, 'call', 'M_TELA_', 't'), ('if', 3, 'part', '', ''), ('if', 4, 'call', 'OUTRA_', 'f'), ('if', 5, '', '', ''), ('if', 6, 'close', '', ''), ('if', 7, 'call', 'FORA', ''),
+            ('do_case', 1, 'open', '', ''), ('do_case', 2, 'part', '', ''), ('do_case', 3, 'call', 'A_', 't'), ('do_case', 4, 'part', '', ''), ('do_case', 5, 'call', 'B_', 'o'), ('do_case', 6, 'close', '', ''), ('do_case', 7, '', '', ''),
+            ('loop', 1, 'open', '', ''), ('loop', 2, 'call', 'A_', 'f'), ('loop', 3, '', '', ''), ('loop', 4, 'call', 'M_B_', 't'), ('loop', 5, 'close', '', ''), ('loop', 6, 'open', '', ''), ('loop', 7, 'call', 'C', ''))""",
+        "li AS (SELECT block, file, line_no, role, head || upper(CASE col WHEN 't' THEN tab WHEN 'f' THEN fld WHEN 'o' THEN oth ELSE '' END) AS screen FROM base JOIN v USING (ln))",
+        """wk AS (SELECT *, last_value(CASE WHEN role = 'open' THEN line_no END IGNORE NULLS) OVER w AS start_line, sum(CASE WHEN role = 'part' THEN 1 ELSE 0 END) OVER w AS parts,
+            last_value(CASE WHEN role = 'close' THEN line_no END IGNORE NULLS) OVER (PARTITION BY block, file ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS shut
+            FROM li WINDOW w AS (PARTITION BY block, file ORDER BY line_no ROWS UNBOUNDED PRECEDING))""",
+        "bf AS (SELECT *, last_value(CASE WHEN role = 'open' THEN parts END IGNORE NULLS) OVER (PARTITION BY block, file ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS before FROM wk)",
+        "lv AS (SELECT * FROM bf WHERE start_line IS NOT NULL AND coalesce(shut, -1) < start_line)",
+        "nd AS (SELECT block, file, start_line, min(line_no) AS end_line FROM lv WHERE role = 'close' GROUP BY ALL)",
+    )
+    + """SELECT block, file, start_line, end_line, CAST(CASE WHEN block = 'if' THEN least(parts - before, 1) ELSE parts - before END AS BIGINT) AS branch, line_no, screen
+         FROM lv JOIN nd USING (block, file, start_line) WHERE role = 'call'""",
 )
 def flow_calls(spark, sf):
     """Screens called in the branches of IF, CASE and loops."""
