@@ -27,7 +27,7 @@ CHUNK = 1_500_000
 BLOCK = 256
 #: Passes of the fit over the sample, at most; steps that are remembered; and the gradient, relative
 #: to the first one, that ends the fit.
-PASSES, MEMORY, ENOUGH = 60, 8, 1e-4
+PASSES, MEMORY, ENOUGH = 60, 5, 1e-4
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes that are not letters, and bytes of letters of other alphabets, told apart: the rest is a blank.
 LETTERS = bytes(x if x in b"abcdefghijklmnopqrstuvwxyz" or x >= 0x80 else 0x20 for x in FOLD)
@@ -134,11 +134,11 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array([x.tobytes() for x in counts], pa.binary())], names=["label", "counts"])
 
 
-def _sums(frame: DataFrame, column: str, shape: tuple[int, ...]) -> np.ndarray:
-    """The sum of packed arrays, one row of a small table at a time."""
+def _sums(frame: DataFrame, shape: tuple[int, ...], kind) -> np.ndarray:
+    """The sum of packed arrays (place, packed), one of them for each task."""
     out = np.zeros(shape)
-    for row in frame.toLocalIterator(prefetchPartitions=True):
-        out[row[0]] += np.frombuffer(row[column], np.int32 if column == "counts" else float)
+    for place, packed_ in frame.collect():
+        out[place] += np.frombuffer(packed_, kind)
     return out
 
 
@@ -167,7 +167,7 @@ def _pass(kept, shared):
             error = (1 / (1 + np.exp(-np.clip(raw, -500, 500))) - label) * count
             total += np.bincount(cell, np.repeat(error, sizes), 1 << BITS)
             rest += error.sum(), (count * (np.logaddexp(0, raw) - label * raw)).sum()
-        held = np.concatenate([total[kept.value], rest]).tobytes()
+        held = np.concatenate([total[kept.value], rest]).astype(np.float32).tobytes()
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([held], pa.binary())], names=["part", "total"])
 
     return summed
@@ -195,10 +195,12 @@ def descent(loss, start: np.ndarray, passes: int = PASSES) -> np.ndarray:
             if value_new <= value + 1e-4 * length * slope:
                 s, y = new - x, gradient_new - gradient
                 if s @ y > 1e-12:
-                    steps = [*steps, (s, y, 1.0 / (s @ y))][-MEMORY:]
+                    steps = [*steps, (s.astype(np.float32), y.astype(np.float32), 1.0 / (s @ y))][-MEMORY:]
                 x, value, gradient = new, value_new, gradient_new
                 break
             length /= 2
+            if length < 1e-9:  # nothing better within the precision of the sums
+                return x
     return x
 
 
@@ -215,16 +217,17 @@ def fit(sample: DataFrame, strength: float = 1.0, passes: int = PASSES) -> Model
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
         return Model(np.zeros(1 << BITS), 5.0 if n_toxic else -5.0)
-    clean, toxic = _sums(rows.mapInArrow(_counter, "label int, counts binary"), "counts", (2, 1 << BITS))
+    clean, toxic = _sums(rows.mapInArrow(_counter, "label int, counts binary"), (2, 1 << BITS), np.int32)
     ratios = np.log((toxic + 0.5) / (n_toxic + 1.0)) - np.log((clean + 0.5) / (n_clean + 1.0))
     cell = np.flatnonzero((clean + toxic >= LEAST) & (ratios != 0))
+    cell = cell.astype(np.int32)
     kept, ratios = spark.sparkContext.broadcast(cell), ratios[cell]
     n, decay = n_toxic + n_clean, strength * 1e-4
     each = tuple((0.5 + 0.5 * n / (2 * of)) / n for of in (n_clean, n_toxic))  # halfway to balanced classes
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
-        shared = spark.sparkContext.broadcast(Loss(x[:-1] * ratios, float(x[-1]), each))
-        (total,) = _sums(rows.mapInArrow(_pass(kept, shared), "part int, total binary"), "total", (1, len(cell) + 2))
+        shared = spark.sparkContext.broadcast(Loss((x[:-1] * ratios).astype(np.float32), float(x[-1]), each))
+        (total,) = _sums(rows.mapInArrow(_pass(kept, shared), "part int, total binary"), (1, len(cell) + 2), np.float32)
         shared.destroy()
         gradient = total[:-1].copy()
         gradient[:-1] = gradient[:-1] * ratios + decay * x[:-1]
@@ -234,7 +237,7 @@ def fit(sample: DataFrame, strength: float = 1.0, passes: int = PASSES) -> Model
     start[-1] = np.log(n_toxic / n_clean)
     found = descent(loss, start, passes)
     kept.destroy()
-    weights = np.zeros(1 << BITS)
+    weights = np.zeros(1 << BITS, np.float32)
     weights[cell] = found[:-1] * ratios
     return Model(weights, float(found[-1]))
 
