@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from tracewell.llm.common import fold, packed
 from tracewell.plans.lineage import settle
 
-#: Labelled URLs that are read for training, at most.
-SAMPLE = 20_000
+#: Labelled URLs that are read for training, at most, and the partitions that hold them.
+SAMPLE, PARTS = 20_000, 8
 #: Pseudo-observations of the overall rate in the rate of a suffix, and folds of the labelled URLs.
 PRIOR, FOLDS = 10.0, 5
 
@@ -122,7 +122,8 @@ def train(labelled: DataFrame, limit: int = SAMPLE, rounds: int = 20, depth: int
         return Model(None, rate, suffixes)
     sample = lexical(rows.orderBy(F.xxhash64(F.lit(7), "url"), "url").limit(limit))
     ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(_with_rates(sample, suffixes, rate, unseen=True))
-    trees = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.2, maxBins=32, seed=3, cacheNodeIds=False).fit(settle(ready.select("features", "label")))
+    ready = settle(ready.select("features", "label").coalesce(PARTS))  # the sample is bounded, and every level of a tree reads it
+    trees = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.2, maxBins=32, seed=3, cacheNodeIds=False).fit(ready)
     return Model(trees, rate, suffixes)
 
 
