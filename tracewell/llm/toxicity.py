@@ -23,6 +23,8 @@ SAMPLE = 16_000
 LEAST = 3
 #: Bytes of text that are turned into n-grams at once.
 CHUNK = 1_500_000
+#: Parts of the sample, whose size is bounded.
+PARTS = 16
 #: Rows whose cells a task unpacks together.
 BLOCK = 256
 #: Passes of the fit over the sample, at most; steps that are remembered; and the gradient, relative
@@ -212,7 +214,7 @@ def fit(sample: DataFrame, strength: float = 1.0, passes: int = PASSES) -> Model
     rows, the driver and each task a few numbers per cell.
     """
     spark = sample.sparkSession
-    rows = settle(sample.mapInArrow(_rows, "label int, cells binary"))
+    rows = settle(sample.coalesce(PARTS).mapInArrow(_rows, "label int, cells binary"))  # a sum per cell comes from each part
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
