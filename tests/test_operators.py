@@ -392,3 +392,49 @@ def test_branches_of_blocks(spark):
     assert found("if") == [(1, 7, 0, "M_ONE"), (1, 7, 1, "THREE"), (1, 7, 1, "TWO")]
     assert found("do_case") == [(9, 14, 0, "EARLY"), (9, 14, 1, "FOUR")]
     assert found("loop") == [(15, 19, 0, "FIVE"), (15, 19, 0, "SIX")]
+
+
+def _script_tables(spark):
+    sessions = spark.createDataFrame([(j, s) for j in (0, 1) for s in range(j, 12, 2)], "journey_id long, session_no long")
+    templates = ["fixed", "{{c.nome}} {{uf}}", None, "{{nada}}"]
+    steps = [(j, k, templates[(j + k) % 4]) for j in (0, 1, 2) for k in range(9)] + [(0, 3, templates[3]), (None, 1, "fixed")]
+    data = [(j, r, {"C.NOME": f"n{j}{r}", "UF": f"u{r}"}) for j in (0, 1) for r in range(2)]
+    return (
+        sessions,
+        spark.createDataFrame(steps, "journey_id long, step_order long, input_template string"),
+        spark.createDataFrame(data, "journey_id long, row long, values map<string,string>"),
+    )
+
+
+def _script_rows(sessions, steps, data):
+    values = {(r["journey_id"], r["row"]): r["values"] for r in data.collect()}
+    out = []
+    for s in sessions.collect():
+        of = values[s["journey_id"], s["session_no"] % 2]
+        for p in steps.collect():
+            if p["journey_id"] == s["journey_id"]:
+                made = {"fixed": "fixed", None: None, "{{nada}}": "{{nada}}"}.get(p["input_template"], f"{of['C.NOME']} {of['UF']}")
+                out.append((s["journey_id"], s["session_no"], p["step_order"], p["input_template"], made))
+    return out
+
+
+def test_scripts_spread_over_tasks_whatever_the_journeys(spark, monkeypatch):
+    tables = _script_tables(spark)
+    monkeypatch.setattr(synth, "STEPS_TOGETHER", 2)
+    got = synth.session_scripts(*tables)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(_script_rows(*tables), key=str)
+    # two journeys are no two tasks
+    assert got.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_input_changes_need_no_row_per_step(spark):
+    tables = _script_tables(spark)
+    counted = synth.session_scripts(*tables, counted=True)
+    assert counted.count() == 12 * 4
+    want = sorted(map(tuple, synth.input_changes(synth.session_scripts(*tables)).collect()))
+    assert sorted(map(tuple, synth.input_changes(counted).collect())) == want
+    rows = _script_rows(*tables)
+    assert [r[2:5] for r in want] == [
+        (len(mine), sum(v is not None and v != t for *_, t, v in mine), sum(v is not None and v == t for *_, t, v in mine))
+        for mine in ([r for r in rows if r[:2] == key] for key in sorted({r[:2] for r in rows}))
+    ]
