@@ -438,3 +438,27 @@ def test_input_changes_need_no_row_per_step(spark):
         (len(mine), sum(v is not None and v != t for *_, t, v in mine), sum(v is not None and v == t for *_, t, v in mine))
         for mine in ([r for r in rows if r[:2] == key] for key in sorted({r[:2] for r in rows}))
     ]
+
+
+def test_containing_compares_few_phrases_of_one_start(spark, monkeypatch):
+    """Phrases that begin alike are sought by their rarest pieces."""
+    texts = spark.createDataFrame([(i, f"a young one, OUNG{i} too") for i in range(20)], "i int, text string")
+    phrases = spark.createDataFrame([(j, f"OUNG{j}") for j in range(100, 400)] + [(7, "OUNG7")], "j int, phrase string")
+    got = [(r["i"], r["j"]) for r in knowledge.containing(texts, phrases, "text", "phrase").collect()]
+    assert got == [(7, 7)]
+    monkeypatch.setattr(knowledge.F, "contains", lambda text, phrase: F.lit(True))
+    assert knowledge.containing(texts, phrases, "text", "phrase").count() <= 40
+
+
+def test_pieces_of_a_text_are_cut_once(spark, capsys):
+    """No filter on the number of pieces, which would cut every text again ahead of an exchange."""
+    texts = spark.createDataFrame([(1, "one text")], "i int, text string").repartition("i")
+    found = []
+    keep = knowledge.settle
+    try:
+        knowledge.settle = lambda df: (found.append(df), keep(df))[1]
+        assert knowledge.containing(texts, spark.createDataFrame([("text",)], "phrase string"), "text", "phrase").count() == 1
+    finally:
+        knowledge.settle = keep
+    plan = found[-1]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(text") <= 1 and "size(" not in plan

@@ -500,30 +500,51 @@ def link_screens(screens: DataFrame, screen_fields: DataFrame, entity_fields: Da
     )
 
 
+#: Length of the pieces looked up, and how many distinct ones are broadcast at most.
+REACH, FEW_PIECES = 4, 1_000_000
+
+
 def containing(texts: DataFrame, phrases: DataFrame, text: str, phrase: str) -> DataFrame:
     """Pairs of rows where the text contains the phrase, as an equi-join.
 
-    The first (up to four) characters of a phrase are looked up among the pieces of that
-    length of each text; only those candidates are compared in full.  Pieces carry a hash of
-    their text, so a text moves once, to its candidates.
+    Pieces of (up to four) characters that occur in phrases are looked up among the pieces of that
+    length of each text, and a phrase is sought where its rarest piece is found; only those
+    candidates are compared in full.  Pieces carry a hash of their text, so a text moves once,
+    to its candidates.
     """
-    reach = 4
-    heads = phrases.where(F.length(phrase) > 0).withColumn("__piece", F.left(phrase, F.lit(reach)))
-    sizes = heads.agg(F.collect_set(F.length("__piece"))).scalar()  # at most four numbers
-    # a look-ahead yields every overlapping piece in one pass over the text
-    cut = F.array_distinct(
-        F.concat(
-            *[
-                F.when(F.array_contains("__sizes", n), F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
-                .otherwise(F.array().cast("array<string>"))
-                for n in range(1, reach + 1)
-            ]
+
+    def cut(of: str, sizes: Column) -> Column:
+        # a look-ahead yields every overlapping piece in one pass over the text
+        return F.array_distinct(
+            F.concat(
+                *[
+                    F.when(F.array_contains(sizes, n), F.regexp_extract_all(F.col(of), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+                    .otherwise(F.array().cast("array<string>"))
+                    for n in range(1, REACH + 1)
+                ]
+            )
         )
-    )
-    mark = F.xxhash64(text).alias("__mark")
-    pieces = texts.withColumn("__sizes", sizes).select(mark, F.explode(cut).alias("__piece")).distinct()
-    found = pieces.join(heads, "__piece").drop("__piece")
-    return texts.select("*", mark).join(found, "__mark").where(F.contains(F.col(text), F.col(phrase))).drop("__mark")
+
+    sought = phrases.select(F.col(phrase).alias("__phrase")).where(F.length("__phrase") > 0).distinct()
+    own = settle(sought.select("__phrase", F.explode(cut("__phrase", F.array(F.least(F.length("__phrase"), F.lit(REACH))))).alias("__piece")))
+    known = own.select("__piece").distinct()
+    sizes = [r[0] for r in known.select(F.length("__piece")).distinct().collect()]  # at most four numbers
+    if known.count() <= FEW_PIECES:
+        known = F.broadcast(known)
+    # the hash is taken once for a text, before its pieces are made; a plain explode would have them made
+    # a second time, to filter by their number, ahead of any exchange
+    cuts = texts.select(F.xxhash64(text).alias("__mark"), cut(text, F.array(*[F.lit(n) for n in sizes]).cast("array<int>")).alias("__cuts"))
+    pieces = cuts.select("__mark", F.explode_outer("__cuts").alias("__piece")).join(known, "__piece", "left_semi")
+    pieces = settle(pieces.distinct())
+    seen = pieces.groupBy("__piece").agg(F.count(F.lit(1)).alias("__n"))
+    rarest = own.join(seen, "__piece", "left").groupBy("__phrase").agg(
+        F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__piece").alias("piece"))).alias("__r")
+    )
+    chosen = rarest.where("__r.n > 0").select("__phrase", F.col("__r.piece").alias("__piece"))
+    found = pieces.join(chosen, "__piece").select("__mark", "__phrase")
+    marked = texts.select("*", F.xxhash64(text).alias("__mark"))
+    pairs = marked.join(found, "__mark").where(F.contains(F.col(text), F.col("__phrase")))
+    return pairs.join(phrases.withColumn("__phrase", F.col(phrase)), "__phrase").drop("__mark", "__phrase")
 
 
 def bind_captures(screens: DataFrame, bindings: DataFrame, entities: DataFrame) -> DataFrame:
@@ -541,11 +562,14 @@ def bind_captures(screens: DataFrame, bindings: DataFrame, entities: DataFrame)
     def ranked(pairs: DataFrame, rank: int, by: str) -> DataFrame:
         return pairs.select("screen_id", "entity", F.lit(rank).alias("rank"), F.col(by).alias("by"))
 
+    # titles and names are sought in one pass over the samples
+    of_samples = first.select("entity", F.col("title").alias("by"), F.lit(1).alias("rank")).unionByName(
+        names.select("entity", F.col("name").alias("by"), F.lit(3).alias("rank"))
+    )
     hits = (
-        ranked(containing(samples, first, "sample", "title"), 1, "title")
+        containing(samples, of_samples, "sample", "by").select("screen_id", "entity", "rank", "by")
         .unionByName(ranked(containing(signatures, first, "signature", "title"), 2, "title"))
         .unionByName(ranked(containing(first, signatures, "title", "signature"), 2, "title"))
-        .unionByName(ranked(containing(samples, names, "sample", "name"), 3, "name"))
     )
     best = hits.groupBy("screen_id").agg(F.min_by(F.struct("entity", "rank"), F.struct("rank", "by")).alias("b"))
     return screens.select("screen_id").join(best, "screen_id", "left").select("screen_id", "b.entity", F.col("b.rank").alias("rule"))

@@ -173,7 +173,7 @@ _WORDS = "bolt ring widget gear panel".split()
       SELECT screen_id, entity, rule FROM s LEFT JOIN best USING (screen_id)""",
 )
 def capture_bindings(spark, sf):
-    screens = t.read(spark, sf, "documents").select(F.col("doc_id").alias("screen_id"), F.col("text").alias("sample"), F.col("source").alias("signature"))
+    screens = t.spread(t.read(spark, sf, "documents"), "doc_id").select(F.col("doc_id").alias("screen_id"), F.col("text").alias("sample"), F.col("source").alias("signature"))
     k = F.col("s_suppkey")
     title = (
         F.when(k % 4 == 0, "the").when(k % 4 == 1, F.concat(F.lit("src"), (k % 8).cast("string")))
