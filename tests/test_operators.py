@@ -462,3 +462,15 @@ def test_pieces_of_a_text_are_cut_once(spark, capsys):
         knowledge.settle = keep
     plan = found[-1]._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(text") <= 1 and "size(" not in plan
+
+
+def test_step_dependencies_move_only_steps_of_several_screens(spark):
+    steps = spark.createDataFrame([(1, 1, "a"), (1, 1, "b"), (1, 2, "a"), (1, 2, "A"), (2, 1, None), (None, 1, "b"), (2, 2, "z"), (2, 3, "")], "journey_id long, step_order long, screen_id string")
+    hints = spark.createDataFrame([("A", "X", ""), ("A", "Y", "B"), ("B", "Y", "A"), ("A", "X", ""), ("", "W", "B")], "source_screen string, source_field string, target_screen string")
+    found = knowledge.step_dependencies(steps, hints)
+    a, b = {"A.X", "A.Y", "B.Y"}, {"A.Y", "B.Y", ".W"}
+    want = [(1, 1, d) for d in a | b] + [(1, 2, d) for d in a] + [(None, 1, d) for d in b]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+    top = found._jdf.queryExecution().optimizedPlan()
+    # the rows of steps with one screen pass no aggregation after the join
+    assert top.children().apply(0).nodeName() != "Aggregate" and top.nodeName() == "Union"

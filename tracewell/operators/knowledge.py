@@ -347,13 +347,18 @@ def relation_hints(lines: DataFrame) -> DataFrame:
 
 
 def step_dependencies(steps: DataFrame, hints: DataFrame) -> DataFrame:
-    """Journey steps with the fields they depend on, by source or target screen (two equi-joins)."""
+    """Journey steps with the fields they depend on, by source or target screen (one equi-join)."""
     reference = F.concat("source_screen", F.lit("."), "source_field")
-    keyed = steps.select("journey_id", "step_order", F.upper("screen_id").alias("screen"))
+    keyed = steps.select("journey_id", "step_order", F.upper("screen_id").alias("screen")).where("screen <> ''")
     distinct = hints.select("source_screen", "target_screen", reference.alias("depends_on")).distinct()
-    by_source = keyed.join(distinct.select(F.col("source_screen").alias("screen"), "depends_on").where("screen <> ''").distinct(), "screen")
-    by_target = keyed.join(distinct.select(F.col("target_screen").alias("screen"), "depends_on").where("screen <> ''").distinct(), "screen")
-    return by_source.unionByName(by_target).select("journey_id", "step_order", "depends_on").distinct()
+    needs = distinct.select(F.explode(F.array("source_screen", "target_screen")).alias("screen"), "depends_on").where("screen <> ''").distinct()
+    # a step with one screen meets each field once, so its rows need not be brought together again
+    step = ["journey_id", "step_order"]
+    seen = keyed.groupBy(*step).agg(F.min("screen").alias("screen"), F.max("screen").alias("last"))
+    alone = seen.where(F.col("screen") == F.col("last")).select(*step, "screen")
+    several = seen.where(F.col("screen") != F.col("last")).select(*[F.col(c).alias(f"__{c}") for c in step])
+    of_several = keyed.join(several, F.col("journey_id").eqNullSafe(F.col("__journey_id")) & F.col("step_order").eqNullSafe(F.col("__step_order")), "left_semi")
+    return alone.join(needs, "screen").select(*step, "depends_on").unionByName(of_several.join(needs, "screen").select(*step, "depends_on").distinct())
 
 
 # ---------------------------------------------------------------- screens and entities
