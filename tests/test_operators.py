@@ -474,3 +474,18 @@ def test_step_dependencies_move_only_steps_of_several_screens(spark):
     top = found._jdf.queryExecution().optimizedPlan()
     # the rows of steps with one screen pass no aggregation after the join
     assert top.children().apply(0).nodeName() != "Aggregate" and top.nodeName() == "Union"
+
+
+def test_error_rules_have_literals_that_stand_in_every_match(spark):
+    """Texts without them are not searched with all patterns."""
+    for shape, *_ in screens.ERROR_RULES:
+        found = screens._literals(shape)
+        assert found and all(x and x == x.lower() for x in found), shape
+    assert screens._literals(r"(?:a|b)?x") == [] and screens._literals("a?b|c") == [] and screens._literals(r"ab\s+(.+)") == ["ab"]
+    said = ["ERROR  [12] x", "tem de: deve ser  1", "Valor Inválido", "picture a ERROR", "nao  existe", "NÃO EXISTE", "violaçao", "chave   duplicada", "ok", None, "invaLIDo", "já existe", "ſubscript out of range"]
+    rows = spark.createDataFrame(list(enumerate(said)), "i int, text string")
+    got = {(r["i"], r["rule_no"]) for r in screens.detect_errors(rows).collect()}
+    want = {(i, no) for i, x in enumerate(said) if x for no, (shape, *_) in enumerate(screens.ERROR_RULES) if re.search("(?i)" + shape, re.sub(" {2,}", " ", x))}
+    assert got == want
+    plan = screens.detect_errors(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Contains(") + plan.count("contains(") + plan.count("Contains") >= 40 and "size(regexp_extract_all" not in plan

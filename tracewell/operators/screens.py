@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -80,8 +82,32 @@ def _folded(text: Column) -> Column:
     return F.replace(F.lower(text), F.lit("ſ"), F.lit("s"))
 
 
+def _literals(shape: str) -> list[str]:
+    """For each way a pattern can match a text that stands in any such match; none where that is not plain to see."""
+    low = shape.lower()
+    group = re.match(r"\(\?:([^()]*)\)(?![?*{])", low)
+    if not group and "|" in re.sub(r"\([^()]*\)", "", low):
+        return []
+    found = []
+    for way in group[1].split("|") if group else [low]:
+        parts = re.split(r"\(\?:[^()]*\)|\[[^\]]*\]|\\s\+|\.\*", way)
+        if any(re.search(r"[\\^$.?*+{}()|\[\]]", p) for p in parts):
+            start = re.match(r"[^\\^$.?*+{}()|\[\]]+(?=\\s)", way)
+            parts = [start[0] if start else ""]
+        if not any(parts):
+            return []
+        found.append(max(parts, key=len))
+    return found
+
+
 def _mentions(folded: Column, *shapes: str) -> Column:
-    return folded.rlike("(?d)" + "|".join(f"(?:{s.lower()})" for s in shapes))
+    """Whether a pattern matches; a text without any of their literals is not searched."""
+    whole = folded.rlike("(?d)" + "|".join(f"(?:{s.lower()})" for s in shapes))
+    literals = [_literals(s) for s in shapes]
+    if not all(literals):
+        return whole
+    some = [F.contains(folded, F.lit(x)) for x in dict.fromkeys(x for of in literals for x in of)]
+    return functools.reduce(lambda a, b: a | b, some) & whole
 
 
 def detect_errors(screens: DataFrame, text: str = "text") -> DataFrame:
@@ -90,15 +116,19 @@ def detect_errors(screens: DataFrame, text: str = "text") -> DataFrame:
     A screen without any match is dropped by one combined pattern before the single
     rules are tried; patterns in these tests are literals, so each compiles once.
     Positions and lines are only worked out for the rules that hit.
+    A plain explode would have all patterns tried once more, to filter by the number of hits.
     """
     kept = [c for c in screens.columns if c != text]
     shapes = [r[0] for r in ERROR_RULES]
     suspects = (
         screens.select(*kept, clean_screen(F.col(text)).alias("__t"))
-        .withColumn("__f", _folded(F.col("__t")))
-        .where(_mentions(F.col("__f"), *shapes))
+        .where(F.exists(F.array(_folded(F.col("__t"))), lambda folded: _mentions(folded, *shapes)))
     )
-    numbers = F.array_compact(F.array(*[F.when(_mentions(F.col("__f"), s), no) for no, s in enumerate(shapes)]))
+    # inside a lambda the folded text is made once, not for each pattern
+    numbers = F.transform(
+        F.array(_folded(F.col("__t"))),
+        lambda folded: F.array_compact(F.array(*[F.when(_mentions(folded, s), no) for no, s in enumerate(shapes)])),
+    )[0]
 
     def of_rule(values: list) -> Column:
         return F.get(F.array(*[F.lit(v) for v in values]), F.col("rule_no"))
@@ -106,7 +136,8 @@ def detect_errors(screens: DataFrame, text: str = "text") -> DataFrame:
     shape = of_rule([_FLAGS + s for s in shapes])
     group = of_rule([1 if "\\1" in r[3] else 0 for r in ERROR_RULES])
     hits = (
-        suspects.select(*kept, "__t", F.explode(numbers).alias("rule_no"))
+        suspects.select(*kept, "__t", F.explode_outer(numbers).alias("rule_no"))
+        .where(F.col("rule_no").isNotNull())
         .select(
             *kept, "__t", "rule_no",
             of_rule([r[1] for r in ERROR_RULES]).alias("error_type"),
@@ -118,8 +149,9 @@ def detect_errors(screens: DataFrame, text: str = "text") -> DataFrame:
         )
         .select(
             *kept, "__t", "rule_no", "error_type", "severity", "description", "details", "hits", "gaps",
-            F.posexplode("hits").alias("match_no", "hit"),
+            F.posexplode_outer("hits").alias("match_no", "hit"),
         )
+        .where(F.col("match_no").isNotNull())
     )
     upto = F.col("match_no") + 1
     before = F.aggregate(F.slice("gaps", F.lit(1), upto), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(
