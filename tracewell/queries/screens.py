@@ -141,7 +141,8 @@ def error_lines(spark, sf):
           arg_min(error_type, (CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, rule_no)) AS error_type FROM hits GROUP BY 1""",
 )
 def worst_severity(spark, sf):
-    found = _screens(spark, sf).select("doc_id", screens.screen_errors(F.col("text")).alias("e"))
+    # as a row of its own the error is worked out once, not again for the filter and for each of its parts
+    found = _screens(spark, sf).select("doc_id", F.explode_outer(F.array(screens.screen_errors(F.col("text")))).alias("e"))
     return found.where(F.col("e").isNotNull()).select("doc_id", "e.severity", "e.error_type")
 
 
