@@ -699,3 +699,12 @@ def test_pipeline_keeps_odd_rows(spark):
 def test_digest_of_items(spark):
     got = entry.queries()["op6_decontaminate"](spark, SF).where("n_items = 0").first()
     assert got["items_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_toxicity_sums_are_added_before_the_driver(spark, monkeypatch):
+    collected, kind = [], type(spark.range(1))
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda frame: collected.append(collect(frame)) or collected[-1])
+    rows = [(passage(k, 12).encode(), k % 2) for k in range(64)]
+    toxicity.fit(spark.createDataFrame(rows, "text binary, label int").repartition(8), passes=3)
+    assert len(collected) > 2 and max(map(len, collected)) <= 4  # not one for each of the eight tasks

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ LEAST = 3
 CHUNK = 1_500_000
 #: Parts of the sample, whose size is bounded.
 PARTS = 16
+#: Stretches of the cells whose sums are added up by a task each.
+STRETCHES = 4
 #: Rows whose cells a task unpacks together.
 BLOCK = 256
 #: Passes of the fit over the sample, at most; steps that are remembered; and the gradient, relative
@@ -96,7 +99,7 @@ class Model:
     intercept: float
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        out = self.intercept + np.fromiter((self.weights[cell].sum() for cell in distinct(texts)), float, len(texts))
+        out = self.intercept + np.fromiter((self.weights[cell].sum(dtype=float) for cell in distinct(texts)), float, len(texts))
         return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
@@ -126,6 +129,27 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
             yield np.asarray(part.column("label"), float), np.concatenate(held), np.fromiter(map(len, held), np.int64, len(held))
 
 
+def _pieces(part: int, total: np.ndarray) -> pa.RecordBatch:
+    """The sums of a task in ``STRETCHES`` pieces, each a row of its own."""
+    held = np.array_split(total, STRETCHES, axis=-1)
+    columns = [pa.array(range(STRETCHES), pa.int32()), pa.array([part] * STRETCHES, pa.int32()), pa.array([x.tobytes() for x in held], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["piece", "part", "total"])
+
+
+PIECES = "piece int, part int, total binary"
+
+
+def _added(kind):
+    """One stretch of the sums of all tasks, in the order of the tasks so that reruns agree."""
+
+    def add(table: pa.Table) -> pa.Table:
+        rows = table.sort_by("part")
+        out = sum(np.frombuffer(x.as_py(), kind) for x in rows.column("total"))
+        return pa.table({"piece": rows.column("piece")[:1].cast(pa.int32()), "total": pa.array([out.tobytes()], pa.binary())})
+
+    return add
+
+
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of either class that hold a cell, per task."""
     counts = np.zeros((2, 1 << BITS), np.int32)
@@ -133,15 +157,14 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = np.repeat(label, sizes)
         for side in (0, 1):
             counts[side] += np.bincount(cell[of == side], minlength=1 << BITS)
-    yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array([x.tobytes() for x in counts], pa.binary())], names=["label", "counts"])
+    yield _pieces(TaskContext.get().partitionId(), counts)
 
 
 def _sums(frame: DataFrame, shape: tuple[int, ...], kind) -> np.ndarray:
-    """The sum of packed arrays (place, packed), one of them for each task."""
-    out = np.zeros(shape)
-    for place, packed_ in frame.collect():
-        out[place] += np.frombuffer(packed_, kind)
-    return out
+    """The sum of the tasks' arrays (piece, part, total); added up by tasks, so the driver gets it once."""
+    found = frame.repartition(STRETCHES, "piece").groupBy("piece").applyInArrow(_added(kind), "piece int, total binary").collect()
+    held = [np.frombuffer(x, kind).reshape(*shape[:-1], -1) for _, x in sorted(map(tuple, found))]
+    return np.concatenate(held, axis=-1)
 
 
 @dataclass
@@ -169,8 +192,7 @@ def _pass(kept, shared):
             error = (1 / (1 + np.exp(-np.clip(raw, -500, 500))) - label) * count
             total += np.bincount(cell, np.repeat(error, sizes), 1 << BITS)
             rest += error.sum(), (count * (np.logaddexp(0, raw) - label * raw)).sum()
-        held = np.concatenate([total[kept.value], rest]).astype(np.float32).tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([held], pa.binary())], names=["part", "total"])
+        yield _pieces(TaskContext.get().partitionId(), np.concatenate([total[kept.value], rest]))
 
     return summed
 
@@ -210,16 +232,16 @@ def fit(sample: DataFrame, strength: float = 1.0, passes: int = PASSES) -> Model
     """Train on (text, label) over all cells that ``LEAST`` documents hold; constant if either class is missing.
 
     The n-grams of the sample are made once and stored; counting and the passes of the fit read
-    them where they lie, and each task sends one sum per cell. A task holds the cells of ``BLOCK``
+    them where they lie, and the tasks' sums are added up by tasks. A task holds the cells of ``BLOCK``
     rows, the driver and each task a few numbers per cell.
     """
     spark = sample.sparkSession
-    rows = settle(sample.coalesce(PARTS).mapInArrow(_rows, "label int, cells binary"))  # a sum per cell comes from each part
+    rows = settle(sample.coalesce(PARTS).mapInArrow(_rows, "label int, cells binary"))  # each part makes a sum per cell
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
         return Model(np.zeros(1 << BITS), 5.0 if n_toxic else -5.0)
-    clean, toxic = _sums(rows.mapInArrow(_counter, "label int, counts binary"), (2, 1 << BITS), np.int32)
+    clean, toxic = _sums(rows.mapInArrow(_counter, PIECES), (2, 1 << BITS), np.int32)
     ratios = np.log((toxic + 0.5) / (n_toxic + 1.0)) - np.log((clean + 0.5) / (n_clean + 1.0))
     cell = np.flatnonzero((clean + toxic >= LEAST) & (ratios != 0))
     cell = cell.astype(np.int32)
@@ -228,8 +250,8 @@ def fit(sample: DataFrame, strength: float = 1.0, passes: int = PASSES) -> Model
     each = tuple((0.5 + 0.5 * n / (2 * of)) / n for of in (n_clean, n_toxic))  # halfway to balanced classes
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
-        shared = spark.sparkContext.broadcast(Loss((x[:-1] * ratios).astype(np.float32), float(x[-1]), each))
-        (total,) = _sums(rows.mapInArrow(_pass(kept, shared), "part int, total binary"), (1, len(cell) + 2), np.float32)
+        shared = spark.sparkContext.broadcast(Loss(x[:-1] * ratios, float(x[-1]), each))
+        total = _sums(rows.mapInArrow(_pass(kept, shared), PIECES), (len(cell) + 2,), np.float64)
         shared.destroy()
         gradient = total[:-1].copy()
         gradient[:-1] = gradient[:-1] * ratios + decay * x[:-1]
