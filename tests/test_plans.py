@@ -196,3 +196,16 @@ def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
     got = graph.dependency_order(nodes, edges)
     assert got.where(F.col("level") != 9999 - F.col("node")).count() == 0 and got.count() == 10_000
     assert len(rounds) < 60  # two doublings of 14 rounds, and what does not grow with the chain
+
+
+def test_deliveries_are_files_whatever_the_partitions_are(spark):
+    from tracewell.queries import live as jobs
+
+    rows = spark.range(4000).select((F.col("id") * 1000).alias("ts_ms"), "id")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        path = jobs._arriving(spark, rows, "deliveries")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    kept = spark.read.parquet(path)
+    assert len(kept.inputFiles()) == jobs.FILES + 1 and kept.count() == 4001
