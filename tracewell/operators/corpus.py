@@ -679,10 +679,12 @@ def binding_bands(bindings: DataFrame) -> DataFrame:
 
 
 def catalog_differences(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows only in one of two catalogs, marked added or removed."""
-    added = new.select(*keys).distinct().join(old.select(*keys), keys, "left_anti").withColumn("change", F.lit("added"))
-    removed = old.select(*keys).distinct().join(new.select(*keys), keys, "left_anti").withColumn("change", F.lit("removed"))
-    return added.unionByName(removed)
+    """Rows only in one of two catalogs, marked added or removed; a key without value is in no other catalog."""
+    sides = old.select(*keys, F.lit(True).alias("__old")).unionByName(new.select(*keys, F.lit(False).alias("__old")))
+    found = sides.groupBy(*keys).agg(F.bool_or("__old").alias("__was"), F.bool_or(~F.col("__old")).alias("__is"))
+    apart = F.exists(F.array(*[F.col(k).isNull() for k in keys]), lambda x: x) | (F.col("__was") != F.col("__is"))
+    changes = F.filter(F.array(F.when(F.col("__is"), "added"), F.when(F.col("__was"), "removed")), lambda x: x.isNotNull())
+    return found.where(apart).select(*keys, F.explode(changes).alias("change"))
 
 
 def route_coverage(route: DataFrame, reference: DataFrame) -> DataFrame:
