@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import naming
 from tracewell.functions import text as tx
-from tracewell.operators import corpus, hosts, integrity, knowledge, screens, sessions, synth
+from tracewell.operators import corpus, hosts, integrity, knowledge, reports, screens, sessions, synth
 from tracewell.schemas import AUDIT_EVENT
 from tracewell.sources import audit_log, exports
 from tracewell.streaming import live
@@ -489,3 +489,24 @@ def test_error_rules_have_literals_that_stand_in_every_match(spark):
     assert got == want
     plan = screens.detect_errors(rows)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Contains(") + plan.count("contains(") + plan.count("Contains") >= 40 and "size(regexp_extract_all" not in plan
+
+
+def test_catalog_differences_need_one_shuffle(spark):
+    rows = lambda *x: spark.createDataFrame(x, "module long, name string")
+    found = corpus.catalog_differences(rows((1, "a"), (1, "b"), (1, "b"), (2, None)), rows((1, "b"), (3, "c"), (2, None)), ["module", "name"])
+    want = [("added", 2, None), ("added", 3, "c"), ("removed", 1, "a"), ("removed", 2, None)]
+    assert sorted(((r["change"], r["module"], r["name"]) for r in found.collect()), key=repr) == sorted(want, key=repr)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan
+
+
+def test_failure_breakdown_moves_no_expanded_rows(spark):
+    rows = [(1, "t", "low", "f", "s", 1), (1, "t", "high", " ", "s", 2), (1, "t", "high", " ", "s", 5), (2, None, "low", "f", "", 3)]
+    failures = spark.createDataFrame(rows, "run_id long, failure_type string, severity string, flow_name string, session_id string, seq_global long")
+    out = reports.failure_breakdown(failures)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    got = {(r["run_id"], r["dimension"], r["failure_type"], r["severity"], r["flow_name"], r["session_id"]): (r["failures"], r["last_seq_global"]) for r in out.collect()}
+    assert len(got) == out.count() == 15
+    assert got[1, "total", None, None, None, None] == (3, 5) and got[1, "flow_severity", None, "high", "sem_fluxo", None] == (2, 5)
+    assert got[2, "type", None, None, None, None] == (1, 3) and got[2, "session", None, None, None, "sem_sessao"] == (1, 3)
+    assert "Expand" not in plan and plan.count("Exchange hashpartitioning") == 2

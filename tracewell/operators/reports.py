@@ -64,35 +64,27 @@ def normalize_tags(csv: Column) -> Column:
 
 
 def failure_breakdown(failures: DataFrame) -> DataFrame:
-    """Failures of every run by type, severity, flow, session and flow × severity in one pass."""
+    """Failures of every run by type, severity, flow, session and flow × severity.
+
+    Equal failures are counted first, which also keeps a run of any size small; the counts then meet
+    by run, and the groupings are made there without moving rows again.
+    """
     session = F.coalesce(F.nullif(F.trim("session_id"), F.lit("")), F.lit("sem_sessao"))
     flow = F.coalesce(F.nullif(F.trim("flow_name"), F.lit("")), F.lit("sem_fluxo"))
+    names = ("failure_type", "severity", "flow_name", "session_id")
+    dimensions = {
+        "type": ("failure_type",), "severity": ("severity",), "flow": ("flow_name",), "session": ("session_id",),
+        "flow_severity": ("flow_name", "severity"), "total": (),
+    }
     clean = failures.select("run_id", "failure_type", "severity", flow.alias("flow_name"), session.alias("session_id"), "seq_global")
-    run, kind, sev, flow, session = (
-        F.col(c) for c in ("run_id", "failure_type", "severity", "flow_name", "session_id")
-    )
-    counted = clean.groupingSets(
-        [[run, kind], [run, sev], [run, flow], [run, session], [run, flow, sev], [run]], run, kind, sev, flow, session
-    ).agg(
-        F.count(F.lit(1)).alias("failures"),
-        F.max("seq_global").alias("last_seq_global"),
-        F.grouping("failure_type").alias("g_type"),
-        F.grouping("severity").alias("g_sev"),
-        F.grouping("flow_name").alias("g_flow"),
-        F.grouping("session_id").alias("g_session"),
-    )
-    label = (
-        F.when(F.col("g_type") == 0, "type")
-        .when((F.col("g_flow") == 0) & (F.col("g_sev") == 0), "flow_severity")
-        .when(F.col("g_flow") == 0, "flow")
-        .when(F.col("g_sev") == 0, "severity")
-        .when(F.col("g_session") == 0, "session")
-        .otherwise("total")
-    )
-    return counted.select(
-        "run_id", label.alias("dimension"), "failure_type", "severity", "flow_name", "session_id", "failures",
-        "last_seq_global",
-    )
+    counted = clean.groupBy("run_id", *names).agg(F.count(F.lit(1)).alias("n"), F.max("seq_global").alias("last"))
+    none = {c: F.lit(None).cast(clean.schema[c].dataType) for c in names}
+    sets = F.array(*[
+        F.struct(F.lit(name).alias("dimension"), *[(F.col(c) if c in of else none[c]).alias(c) for c in names])
+        for name, of in dimensions.items()
+    ])
+    flat = counted.repartition("run_id").select("run_id", F.explode(sets).alias("g"), "n", "last").select("run_id", "g.*", "n", "last")
+    return flat.groupBy("run_id", "dimension", *names).agg(F.sum("n").alias("failures"), F.max("last").alias("last_seq_global"))
 
 
 def failure_groups(failures: DataFrame, *scope: str) -> DataFrame:
