@@ -708,3 +708,15 @@ def test_toxicity_sums_are_added_before_the_driver(spark, monkeypatch):
     rows = [(passage(k, 12).encode(), k % 2) for k in range(64)]
     toxicity.fit(spark.createDataFrame(rows, "text binary, label int").repartition(8), passes=3)
     assert len(collected) > 2 and max(map(len, collected)) <= 4  # not one for each of the eight tasks
+
+
+def test_pii_learns_from_every_document(spark, monkeypatch):
+    monkeypatch.setattr(pii, "SAMPLE", 5, raising=False)
+    read, calibrated = [], pii.calibrated
+    monkeypatch.setattr(pii, "calibrated", lambda model, steps: read.append(sum(r["n"] for r in steps)) or calibrated(model, steps))
+    draw = np.random.default_rng(1)
+    some = [(k, f"mail u{k}.a@host{k % 9}.example.com or {valid_card(draw)}", "x") for k in range(60)]
+    for n in (60, 40_000):  # the others hold no candidate
+        rows = some + [(k, "none", "x") for k in range(60, n)]
+        pii.train(spark.createDataFrame(rows, "doc_id long, text string, spans string"), rounds=1, depth=1)
+    assert read[0] == read[1] > 0

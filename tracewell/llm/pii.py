@@ -19,8 +19,6 @@ from tracewell.llm.common import packed, with_row
 from tracewell.plans.lineage import settle
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents whose candidates are read for training, at most.
-SAMPLE = 30_000
 #: Characters around a candidate that are looked at.
 CONTEXT = 40
 #: Precision on held-out candidates that a threshold has to reach, and the threshold of a kind that has too few.
@@ -320,8 +318,8 @@ def _example_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
-def train(docs: DataFrame, limit: int = SAMPLE, rounds: int = 20, depth: int = 4) -> Model:
-    """Fit on the candidates of at most ``limit`` documents, chosen by a hash of the id.
+def train(docs: DataFrame, rounds: int = 20, depth: int = 4) -> Model:
+    """Fit on the candidates of all documents.
 
     Base spans are the labels: they and rewritten copies of them are positive, other candidates and
     spoilt copies negative. The candidates of a fifth of the texts are held out to calibrate the margin and to
@@ -329,8 +327,7 @@ def train(docs: DataFrame, limit: int = SAMPLE, rounds: int = 20, depth: int = 4
     steps of the margin. Of rows that share an id the smallest text is read. Without both classes no
     span is added.
     """
-    ids = docs.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(limit)
-    texts = docs.where(F.col("text").rlike("[0-9@]")).select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike("[0-9@]")).select("doc_id", "text")
     texts = texts.groupBy("doc_id").agg(F.min("text").alias("text")).select("text")
     rows = settle(texts.mapInArrow(_example_rows, "kind string, x array<double>, label double, held boolean"))
     held = F.col("held")
@@ -379,7 +376,8 @@ def calibrated(model: Model, steps: list) -> Model:
         enough = np.flatnonzero(true >= PRECISION * every)
         limit = SAFE
         if len(enough) and true[-1] >= FEW:
-            lowest = at[::-1][enough[-1]] - 0.5 / STEPS  # from the lower end of the step on
+            lowest, below = [*at[::-1], -WIDEST][enough[-1] : enough[-1] + 2]  # nothing was seen between them
+            lowest = max((lowest + below) / 2, below + 0.5 / STEPS)
             limit = float(1 / (1 + np.exp(-np.clip(slope * lowest + offset, -500, 500))))
         model.limits[kind] = max(limit, 0.5)
     return model
