@@ -139,12 +139,12 @@ def _pieces(part: int, total: np.ndarray) -> pa.RecordBatch:
 PIECES = "piece int, part int, total binary"
 
 
-def _added(kind):
+def _added(kind, wide):
     """One stretch of the sums of all tasks, in the order of the tasks so that reruns agree."""
 
     def add(table: pa.Table) -> pa.Table:
         rows = table.sort_by("part")
-        out = sum(np.frombuffer(x.as_py(), kind) for x in rows.column("total"))
+        out = sum(np.frombuffer(x.as_py(), kind).astype(wide) for x in rows.column("total"))
         return pa.table({"piece": rows.column("piece")[:1].cast(pa.int32()), "total": pa.array([out.tobytes()], pa.binary())})
 
     return add
@@ -160,10 +160,10 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _pieces(TaskContext.get().partitionId(), counts)
 
 
-def _sums(frame: DataFrame, shape: tuple[int, ...], kind) -> np.ndarray:
+def _sums(frame: DataFrame, shape: tuple[int, ...], kind, wide) -> np.ndarray:
     """The sum of the tasks' arrays (piece, part, total); added up by tasks, so the driver gets it once."""
-    found = frame.repartition(STRETCHES, "piece").groupBy("piece").applyInArrow(_added(kind), "piece int, total binary").collect()
-    held = [np.frombuffer(x, kind).reshape(*shape[:-1], -1) for _, x in sorted(map(tuple, found))]
+    found = frame.repartition(STRETCHES, "piece").groupBy("piece").applyInArrow(_added(kind, wide), "piece int, total binary").collect()
+    held = [np.frombuffer(x, wide).reshape(*shape[:-1], -1) for _, x in sorted(map(tuple, found))]
     return np.concatenate(held, axis=-1)
 
 
@@ -192,7 +192,7 @@ def _pass(kept, shared):
             error = (1 / (1 + np.exp(-np.clip(raw, -500, 500))) - label) * count
             total += np.bincount(cell, np.repeat(error, sizes), 1 << BITS)
             rest += error.sum(), (count * (np.logaddexp(0, raw) - label * raw)).sum()
-        yield _pieces(TaskContext.get().partitionId(), np.concatenate([total[kept.value], rest]))
+        yield _pieces(TaskContext.get().partitionId(), np.concatenate([total[kept.value], rest]).astype(np.float32))
 
     return summed
 
@@ -241,7 +241,7 @@ def fit(sample: DataFrame, strength: float = 1.0, passes: int = PASSES) -> Model
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
         return Model(np.zeros(1 << BITS), 5.0 if n_toxic else -5.0)
-    clean, toxic = _sums(rows.mapInArrow(_counter, PIECES), (2, 1 << BITS), np.int32)
+    clean, toxic = _sums(rows.mapInArrow(_counter, PIECES), (2, 1 << BITS), np.int32, np.int32)
     ratios = np.log((toxic + 0.5) / (n_toxic + 1.0)) - np.log((clean + 0.5) / (n_clean + 1.0))
     cell = np.flatnonzero((clean + toxic >= LEAST) & (ratios != 0))
     cell = cell.astype(np.int32)
@@ -250,8 +250,8 @@ def fit(sample: DataFrame, strength: float = 1.0, passes: int = PASSES) -> Model
     each = tuple((0.5 + 0.5 * n / (2 * of)) / n for of in (n_clean, n_toxic))  # halfway to balanced classes
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
-        shared = spark.sparkContext.broadcast(Loss(x[:-1] * ratios, float(x[-1]), each))
-        total = _sums(rows.mapInArrow(_pass(kept, shared), PIECES), (len(cell) + 2,), np.float64)
+        shared = spark.sparkContext.broadcast(Loss((x[:-1] * ratios).astype(np.float32), float(x[-1]), each))
+        total = _sums(rows.mapInArrow(_pass(kept, shared), PIECES), (len(cell) + 2,), np.float32, np.float64)
         shared.destroy()
         gradient = total[:-1].copy()
         gradient[:-1] = gradient[:-1] * ratios + decay * x[:-1]
