@@ -324,6 +324,30 @@ def test_exports_come_back_whole_and_appear_at_once(spark, tmp_path, form):
     assert json.loads((tmp_path / "none" / "manifest.json").read_text())["files"] == []
 
 
+def test_packed_exports_come_back_whole(spark, tmp_path):
+    rows = spark.createDataFrame([(k, ["a,b", 'say "x"', "two\nlines", "", None][k % 5], k / 4) for k in range(3000)], "id bigint, text string, x double")
+    for form in ("csv", "jsonl"):
+        path = str(tmp_path / form)
+        exports.export(rows.repartition(3), path, form, packed=True)
+        assert sorted(map(tuple, exports.exported(spark, path, rows.schema, form).collect()), key=repr) == sorted(map(tuple, rows.collect()), key=repr)
+        held = json.loads((tmp_path / form / "manifest.json").read_text())
+        files = {f["file"]: (tmp_path / form / f["file"]).read_bytes() for f in held["files"]}
+        assert held["rows"] == 3000 and all((len(files[f["file"]]), hashlib.sha256(files[f["file"]]).hexdigest()) == (f["bytes"], f["sha256"]) for f in held["files"])
+        exports.export(rows, str(tmp_path / f"{form}-plain"), form)
+        assert sum(map(len, files.values())) * 2 < sum(p.stat().st_size for p in (tmp_path / f"{form}-plain").glob("part-*"))
+
+
+def test_statuses_join_windows_before_samples(spark):
+    """The samples in windows, the large side, are not joined with the runs again."""
+    samples = spark.createDataFrame([(60000 * k, float(k)) for k in range(50)], "ts_ms bigint, cpu_pct double")
+    windows = spark.createDataFrame([(1, 0, 600000), (2, 300000, 300000), (3, 0, 1)], "run_id int, from_ms bigint, to_ms bigint")
+    runs = spark.createDataFrame([(1, "ok"), (2, "failed"), (4, "ok")], "run_id int, status string")
+    rows = exports.host_window_rows(samples, windows, runs)
+    assert sorted((r["run_id"], r["status"], r["ts_ms"]) for r in rows.collect()) == [(1, "ok", 60000 * k) for k in range(11)] + [(2, "failed", 300000)]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "__bin" in next(line for line in plan.splitlines() if "Join" in line)
+
+
 def test_programs_stand_for_entities(spark):
     programs = ["cadcli", "ALTPROD.prg", "pedido", "grupo_lista", "xyz", "", "codven", "fatura_nfe", "est_ven"]
     entities = ["CLIENTES", "PRODUTOS", "PEDIDOS", "grupo_itens", "VENDEDORES", "NOTAS", "estoque", "vendas"]
