@@ -534,3 +534,20 @@ def test_failure_breakdown_moves_no_expanded_rows(spark):
     assert got[1, "total", None, None, None, None] == (3, 5) and got[1, "flow_severity", None, "high", "sem_fluxo", None] == (2, 5)
     assert got[2, "type", None, None, None, None] == (1, 3) and got[2, "session", None, None, None, "sem_sessao"] == (1, 3)
     assert "Expand" not in plan and plan.count("Exchange hashpartitioning") == 2
+
+
+def _plan(rows):
+    return rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_operations_look_back_without_copying_rows(spark):
+    """Three operations on the same table count, others between do not; lower case and empty lines as well."""
+    text = ["use t1", "append blank", "seek k", "SEEK k", "replace a with 1", "replace b with 2", "use t2", "REPLACE c WITH 3", None, "", "if DELETE", "dbseek(x", "* note"]
+    lines = spark.createDataFrame([("f", k, line) for k, line in enumerate(text)], "file string, line_no int, line string")
+    rows = corpus.file_operations(lines)
+    got = {r["line_no"]: (r["entity"], r["operation"], r["fields"]) for r in rows.collect()}
+    assert got == {
+        0: ("T1", "use", []), 1: ("T1", "append", []), 2: ("T1", "seek", ["k"]), 3: ("T1", "seek", ["k"]), 4: ("T1", "insert", ["a"]),
+        5: ("T1", "update", ["b"]), 6: ("T2", "use", []), 7: ("T2", "update", ["c"]), 10: ("T2", "delete", []), 11: ("T2", "dbseek", []),
+    }
+    assert "Generate" not in _plan(rows)

@@ -185,30 +185,38 @@ def file_operations(lines: DataFrame) -> DataFrame:
     The table of the last USE is carried down the file.  REPLACE counts as insert when one
     of the last three operations on the table in the file was an append, else as update.
     """
-    line = F.col("line")
-    use = F.upper(F.regexp_extract(line, r"(?i)USE\s+(\w+)", 1))
-    marked = lines.withColumn("__use", F.when(use != "", use))
-    carried = ordered.scan(marked, ["file"], ["line_no"], entity=ordered.last_known(F.col("__use")))
-    is_area = line.rlike(r"(?i)^(?:SELECT|SELE)\s+\w+") & ~line.rlike(r"(?i)\bFROM\b|SQLEXEC|DECLARE|CURSOR")
+    line, up = F.col("line"), F.col("__up")
+
+    def found(word: str, shape: str) -> Column:
+        # most lines do not hold the word at all, which needs no pattern
+        return F.contains(up, F.lit(word)) & line.rlike(shape)
+
+    use = F.when(F.contains(up, F.lit("USE")), F.upper(F.regexp_extract(line, r"(?i)USE\s+(\w+)", 1)))
+    marked = lines.withColumn("__up", F.upper("line")).withColumn("__use", F.when(use != "", use))
+    is_area = found("SELE", r"(?i)^(?:SELECT|SELE)\s+\w+") & ~line.rlike(r"(?i)\bFROM\b|SQLEXEC|DECLARE|CURSOR")
     with_part = r"(?i)REPLACE\s+(.+?)(?:\s+FOR\s+.+?)?(?:\s+WHILE\s+.+?)?(?:\s+ALL|NEXT\s+\d+|RECORD\s+\d+|REST)?\s*$"
     kind = (
         F.when(F.col("__use").isNotNull(), "use")
         .when(is_area, None)
-        .when(line.rlike(r"(?i)APPEND\s+BLANK"), "append")
-        .when(line.rlike(with_part), "replace")
-        .when(line.rlike(r"(?i)SET\s+ORDER\s+TO\s+\w+"), None)
-        .when(line.rlike(r"(?i)SEEK\s+\w+"), "seek")
-        .when(line.rlike(r"(?i)INDEX\s+ON\s+\w+\s+TAG\s+\w+"), None)
-        .when(line.rlike(r"(?i)LOCATE\s+FOR\s+.+"), "locate")
-        .when(line.rlike(r"(?i)SCATTER\s+(?:MEMVAR|NAME\s+\w+)"), "scatter")
-        .when(line.rlike(r"(?i)GATHER\s+(?:MEMVAR|FROM\s+\w+)"), "gather")
-        .when(line.rlike(r"(?i)\bDELETE\b"), "delete")
-        .when(line.rlike(r"(?i)\bPACK\b"), "pack")
-        .when(line.rlike(r"(?i)\bZAP\b"), "zap")
-        .when(line.rlike(r"(?i)DBSEEK\s*\(\s*\w+"), "dbseek")
-        .when(line.rlike(r"(?i)FIELDGET\s*\(\s*\d+"), "fieldget")
-        .when(line.rlike(r"(?i)FIELDPUT\s*\(\s*\d+\s*,\s*\w+"), "fieldput")
-    )
+        .when(found("APPEND", r"(?i)APPEND\s+BLANK"), "append")
+        .when(found("REPLACE", with_part), "replace")
+        .when(found("ORDER", r"(?i)SET\s+ORDER\s+TO\s+\w+"), None)
+        .when(found("SEEK", r"(?i)SEEK\s+\w+"), "seek")
+        .when(found("INDEX", r"(?i)INDEX\s+ON\s+\w+\s+TAG\s+\w+"), None)
+        .when(found("LOCATE", r"(?i)LOCATE\s+FOR\s+.+"), "locate")
+        .when(found("SCATTER", r"(?i)SCATTER\s+(?:MEMVAR|NAME\s+\w+)"), "scatter")
+        .when(found("GATHER", r"(?i)GATHER\s+(?:MEMVAR|FROM\s+\w+)"), "gather")
+        .when(found("DELETE", r"(?i)\bDELETE\b"), "delete")
+        .when(found("PACK", r"(?i)\bPACK\b"), "pack")
+        .when(found("ZAP", r"(?i)\bZAP\b"), "zap")
+        .when(found("DBSEEK", r"(?i)DBSEEK\s*\(\s*\w+"), "dbseek")
+        .when(found("FIELDGET", r"(?i)FIELDGET\s*\(\s*\d+"), "fieldget")
+        .when(found("FIELDPUT", r"(?i)FIELDPUT\s*\(\s*\d+\s*,\s*\w+"), "fieldput")
+    )
+    # the kind is worked out once, before the rows are sorted; sizes are counted on the lines alone
+    hot = ordered.hot_keys(lines, ["file"], "line_no")
+    kinds = marked.withColumn("kind", kind).select("file", "line_no", "line", "__use", "kind")
+    carried = ordered.scan(kinds, ["file"], ["line_no"], hot, entity=ordered.last_known(F.col("__use")))
     assigned = F.filter(
         F.transform(
             F.split(F.regexp_extract(line, with_part, 1), ","), lambda p: F.regexp_extract(F.trim(p), r"(?i)^(\w+)\s+WITH", 1)
@@ -217,19 +225,20 @@ def file_operations(lines: DataFrame) -> DataFrame:
     )
     compared = F.regexp_extract_all(F.regexp_extract(line, r"(?i)LOCATE\s+FOR\s+(.+)", 1), F.lit(r"(\w+)\s*(?:=|!=|>=|<=|>|<|\$)"), F.lit(1))
     fields = (
-        F.when(kind == "replace", assigned)
-        .when(kind == "locate", compared)
-        .when(kind == "seek", F.array(F.regexp_extract(line, r"(?i)SEEK\s+(\w+)", 1)))
+        F.when(F.col("kind") == "replace", assigned)
+        .when(F.col("kind") == "locate", compared)
+        .when(F.col("kind") == "seek", F.array(F.regexp_extract(line, r"(?i)SEEK\s+(\w+)", 1)))
         .otherwise(F.array().cast("array<string>"))
     )
-    operations = carried.select("file", "line_no", "entity", kind.alias("kind"), fields.alias("fields")).where(
-        F.col("kind").isNotNull() & F.col("entity").isNotNull()
-    )
-    placed = ordered.scan(operations, ["file", "entity"], ["line_no"], __pos=ordered.row_number())
-    near = ordered.neighbours(
-        placed, ["file", "entity"], "__pos", 3, 0, __near=F.collect_list(F.struct("__pos", "kind"))
+    operations = carried.where(F.col("kind").isNotNull() & F.col("entity").isNotNull()).select(
+        "file", "line_no", "entity", "kind", fields.alias("fields")
     )
-    recent = F.exists("__near", lambda x: (x["__pos"] < F.col("__pos")) & (x["kind"] == "append"))
+    # a table has no more operations in a file than the file has lines
+    keys, sizes = ["file", "entity"], hot if hot.table is None else ordered.hot_keys(operations, ["file", "entity"], "line_no")
+    placed = ordered.scan(operations, keys, ["line_no"], sizes, __pos=ordered.row_number())
+    append = F.when(F.col("kind") == "append", F.col("__pos"))
+    near = ordered.scan(placed, keys, ["line_no"], sizes, __append=ordered.running_max(append, include_current=False))
+    recent = F.col("__append") >= F.col("__pos") - 3
     return near.select(
         "file", "line_no", "entity",
         F.when(F.col("kind") != "replace", F.col("kind")).when(recent, "insert").otherwise("update").alias("operation"),
