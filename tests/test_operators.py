@@ -551,3 +551,12 @@ def test_operations_look_back_without_copying_rows(spark):
         5: ("T1", "update", ["b"]), 6: ("T2", "use", []), 7: ("T2", "update", ["c"]), 10: ("T2", "delete", []), 11: ("T2", "dbseek", []),
     }
     assert "Generate" not in _plan(rows)
+
+
+def test_calls_are_followed_without_broadcasts(spark, monkeypatch):
+    plans, settle = [], corpus.settle
+    monkeypatch.setattr(corpus, "settle", lambda rows: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or settle(rows))
+    edges = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(20, 5)], "src int, dst int")
+    ways = corpus.reached(edges, spark.createDataFrame([(0,), (20,), (99,)], "node int"))
+    assert sorted(map(tuple, ways.collect())) == sorted([(0, k) for k in range(1, 21)] + [(20, k) for k in range(5, 21)])
+    assert len(plans) < 2 * 20 and not any("BroadcastHashJoin" in p for p in plans)

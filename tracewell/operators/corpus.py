@@ -488,6 +488,8 @@ def call_edges(files: DataFrame, shape: str = r"(?i)\bDO\s+(\w+(?:/\w+)*)") -> D
     )
 
 
+#: Rounds after which the pairs found are written together.
+SHORT_PLAN = 16
 PROGRAM_CALL = r"(?i)\bDO\s+(\w+(?:/\w+)*)"
 
 
@@ -514,13 +516,16 @@ def reached(edges: DataFrame, starts: DataFrame) -> DataFrame:
     Each round follows the calls of the pairs found last only, and pairs seen before are dropped, so a
     cycle of calls ends; there are as many rounds as the longest shortest way.
     """
-    edges = settle(edges.select("src", "dst").distinct())
+    # merged, not broadcast: otherwise every round sends its calls or pairs through the driver
+    edges = settle(edges.select("src", "dst").distinct()).hint("merge")
     fresh = settle(starts.select(F.col("node").alias("src")).distinct().join(edges, "src").select(F.col("src").alias("start"), F.col("dst").alias("node")))
-    seen = fresh
+    seen, rounds = fresh, 0
     while fresh.limit(1).count():
         further = fresh.join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
-        fresh = settle(further.join(seen, ["start", "node"], "left_anti"))
-        seen = settle(seen.unionByName(fresh))
+        fresh = settle(further.join(seen.hint("merge"), ["start", "node"], "left_anti"))
+        # the rounds are stored already; they are written again only now and then, to keep the plan short
+        seen, rounds = seen.unionByName(fresh), rounds + 1
+        seen = settle(seen) if rounds % SHORT_PLAN == 0 else seen
     return seen
 
 
@@ -533,11 +538,12 @@ def program_index(files: DataFrame, mentions: DataFrame) -> DataFrame:
     direct = calls.groupBy(F.col("src").alias("program")).agg(F.count(F.lit(1)).alias("calls"))
     far = ways.groupBy(F.col("start").alias("program")).agg(F.count(F.lit(1)).alias("reached"))
     own = found.select(F.col("program").alias("start"), F.col("program").alias("node"))
-    touched = own.unionByName(ways).distinct().join(mentions.select(F.col("program").alias("node"), "entity").distinct(), "node")
+    named = mentions.select(F.col("program").alias("node"), "entity").distinct()
+    touched = own.unionByName(ways).distinct().join(named.hint("merge"), "node")
     entities = touched.groupBy(F.col("start").alias("program")).agg(F.count_distinct("entity").alias("entities"))
     joined = found.drop("text")
     for part in (direct, far, entities):
-        joined = joined.join(part, "program", "left")
+        joined = joined.join(part.hint("merge"), "program", "left")
     return joined.fillna(0, ["calls", "reached", "entities"])
 
 
