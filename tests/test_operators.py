@@ -560,3 +560,15 @@ def test_calls_are_followed_without_broadcasts(spark, monkeypatch):
     ways = corpus.reached(edges, spark.createDataFrame([(0,), (20,), (99,)], "node int"))
     assert sorted(map(tuple, ways.collect())) == sorted([(0, k) for k in range(1, 21)] + [(20, k) for k in range(5, 21)])
     assert len(plans) < 2 * 20 and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_screens_with_the_same_fields_are_scored_once(spark):
+    shown = [(k, f) for k in range(6) for f in ("CODCLI", "NOME_CLI", "obs")] + [(6, "QTD"), (7, None), (None, "QTD")]
+    titles = {0: ("Cadastro de clientes", "x"), 1: (None, "x"), 2: ("Consulta pedidos", ""), 3: ("", "cadcli"), 4: ("clientes", "cadcli"), 5: ("pedidos clientes", None), 6: ("", ""), 7: ("Menu", "")}
+    screens_ = spark.createDataFrame([(k, *v) for k, v in titles.items()] + [(0, *titles[0])], "screen_id int, title string, program string")
+    fields = spark.createDataFrame([("CLIENTES", "CODCLI"), ("CLIENTES", "nome_cli"), ("PEDIDOS", "OBS"), ("PEDIDOS", "qtd")], "entity string, field string")
+    entities = spark.createDataFrame([("CLIENTES", "isam"), ("PEDIDOS", None)], "entity string, storage_type string")
+    rows = knowledge.link_screens(screens_, spark.createDataFrame(shown, "screen_id int, field string"), fields, entities)
+    got = sorted((r["screen_id"], r["entity"], r["matched"], r["fields"]) for r in rows.collect())
+    assert got == [(0, "CLIENTES", 2, 3), (0, "CLIENTES", 2, 3), *[(k, "CLIENTES", 2, 3) for k in range(1, 6)], (6, "PEDIDOS", 1, 1), (7, "", 0, 1)]
+    assert not re.search(r"Aggregate \[screen_id#\d+, entity#", _plan(rows))

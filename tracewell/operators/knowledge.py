@@ -440,52 +440,77 @@ def link_screens(screens: DataFrame, screen_fields: DataFrame, entity_fields: Da
     equal keys; a screen and an entity meet only if they share one, the title names the entity
     or the program stands for it.
     """
-    left = screen_fields.distinct().select("screen_id", F.col("field").alias("screen_field"), F.explode(match_keys(F.col("field"))).alias("key"))
+    # a name is compared once, and a set of fields is scored once, however many screens show it
+    asked = screen_fields.select("field").distinct().select(F.col("field").alias("screen_field"), F.explode(match_keys(F.col("field"))).alias("key"))
     right = entity_fields.distinct().select("entity", F.col("field").alias("entity_field"), F.explode(match_keys(F.col("field"))).alias("key"))
-    matched = (
-        left.join(right, "key")
-        .groupBy("screen_id", "entity", "screen_field")
-        .agg(F.min("entity_field").alias("entity_field"))
-        .groupBy("screen_id", "entity")
+    meets = asked.join(right, "key").groupBy("screen_field", "entity").agg(F.min("entity_field").alias("entity_field"))
+    shown = screen_fields.repartition("screen_id").groupBy("screen_id").agg(
+        F.array_sort(F.collect_set("field")).alias("names"), F.max(F.col("field").isNull().cast("int")).alias("unnamed")
+    )
+    totals = shown.select("screen_id", "names", (F.size("names") + F.col("unnamed")).cast("long").alias("fields"))
+    low, up = F.lower("entity").alias("low"), F.upper("entity").alias("up")
+    stored = entities.select("entity", "storage_type", low, up).distinct()
+    candidate = F.struct("entity", "storage_type", "low", "up", "matched", "strong")
+
+    def scored(c, by_program: Column, by_title: Column) -> Column:
+        share = F.when(F.col("fields") > 0, c["matched"] / F.col("fields")).otherwise(0.0)
+        score = F.least(
+            F.lit(1.0),
+            share + F.when(by_program, 0.25).otherwise(0.0) + F.when(by_title, 0.15).otherwise(0.0)
+            + F.when(c["storage_type"].isin("sql", "isam", "recital", "dbf"), 0.05).otherwise(0.0),
+        )
+        evidence = F.when(by_program, 1).otherwise(0) + F.when(by_title, 1).otherwise(0) + F.when(c["strong"] >= 2, 1).otherwise(0)
+        only_weak = (c["matched"] > 0) & (c["strong"] == 0) & ~by_program & ~by_title
+        return F.struct(
+            score.alias("score"), c["entity"].alias("entity"), evidence.alias("evidence"), only_weak.alias("only_weak"),
+            c["matched"].alias("matched"), c["strong"].alias("strong"),
+        )
+
+    columns = {c: F.col(c) for c in ("entity", "storage_type", "matched", "strong")}
+    by_fields = (
+        totals.select("names", "fields").distinct()
+        .select("names", "fields", F.explode("names").alias("screen_field"))
+        .join(meets, "screen_field")
+        .groupBy("names", "fields", "entity")
         .agg(
             F.count(F.lit(1)).alias("matched"),
             F.count_if(~F.upper("entity_field").isin(*WEAK_FIELDS)).alias("strong"),
         )
-    )
-    totals = screen_fields.distinct().groupBy("screen_id").agg(F.count(F.lit(1)).alias("fields"))
-    words = screens.select(
-        "screen_id",
-        F.explode(name_tokens(F.col("title"))).alias("word"),
-    )
+        .join(stored, "entity")
+        .groupBy("names", "fields")
+        .agg(F.collect_list(candidate).alias("by_fields"), F.max(scored(columns, F.lit(False), F.lit(False))).alias("plain"))
+    )
+    unmatched = [F.lit(0).cast("long").alias(c) for c in ("matched", "strong")]
+    titles = screens.select("title").distinct().select("title", F.lower("title").alias("low_title"))
+    words = titles.select("title", F.explode(name_tokens(F.col("title"))).alias("word"))
+    by_title = words.join(stored.select("*", F.col("low").alias("word"), *unmatched), "word").groupBy("title").agg(F.collect_set(candidate).alias("by_title"))
+    by_title = titles.join(by_title, "title", "left")
     meant = program_entities(screens, entities).withColumnRenamed("entity", "meant")
-    named = words.join(entities.select("entity", F.lower("entity").alias("word")), "word").select("screen_id", "entity")
-    named = named.unionByName(screens.join(meant, "program").select("screen_id", F.col("meant").alias("entity"))).distinct()
-    candidates = matched.select("screen_id", "entity").unionByName(named).distinct()
-    scored = (
-        candidates.join(matched, ["screen_id", "entity"], "left")
-        .join(totals, "screen_id", "left")
-        .join(screens, "screen_id")
-        .join(entities, "entity")
-        .join(meant, "program", "left")
-        .fillna(0, ["matched", "strong", "fields"])
-    )
-    low = F.lower("entity")
-    by_program = F.coalesce(F.upper("entity") == F.upper("meant"), F.lit(False))
-    by_title = F.contains(F.lower("title"), low)
-    share = F.when(F.col("fields") > 0, F.col("matched") / F.col("fields")).otherwise(0.0)
-    score = F.least(
-        F.lit(1.0),
-        share + F.when(by_program, 0.25).otherwise(0.0) + F.when(by_title, 0.15).otherwise(0.0)
-        + F.when(F.col("storage_type").isin("sql", "isam", "recital", "dbf"), 0.05).otherwise(0.0),
-    )
+    by_program = meant.join(stored.select("*", *unmatched), F.col("meant") == F.col("entity")).groupBy("program", F.upper("meant").alias("up_meant"))
+    by_program = by_program.agg(F.collect_list(candidate).alias("by_program"))
+    placed = (
+        screens.join(totals, "screen_id", "left").join(by_fields, ["names", "fields"], "left")
+        .join(by_title, "title", "left").join(by_program, "program", "left")
+    )
+    # only entities that the title or the program names differ from screen to screen with the same fields
+    none = F.array().cast(by_fields.schema["by_fields"].dataType)
+    is_meant = lambda c: F.coalesce(c["up"] == F.col("up_meant"), F.lit(False))
+    in_title = lambda c: F.contains(F.col("low_title"), c["low"])
+    matching, titled, programmed = (F.coalesce(c, none) for c in ("by_fields", "by_title", "by_program"))
+    marked = F.filter(matching, lambda c: is_meant(c) | in_title(c))
+    named = F.filter(
+        F.array_distinct(F.concat(titled, programmed)), lambda n: ~F.exists(matching, lambda m: m["entity"] == n["entity"])
+    )
+    untitled = F.col("plain").withField("only_weak", F.lit(False))
+    plain = F.when(F.col("title").isNull(), untitled).otherwise(F.col("plain"))
     best = (
-        scored.withColumn("score", score)
-        .withColumn("evidence", F.when(by_program, 1).otherwise(0) + F.when(by_title, 1).otherwise(0) + F.when(F.col("strong") >= 2, 1).otherwise(0))
-        .withColumn("only_weak", (F.col("matched") > 0) & (F.col("strong") == 0) & ~by_program & ~by_title)
+        placed.select("screen_id", plain.alias("plain"), F.array_max(F.transform(F.concat(marked, named), lambda c: scored(c, is_meant(c), in_title(c)))).alias("marked"))
         .groupBy("screen_id")
-        .agg(F.max_by(F.struct("entity", "score", "evidence", "only_weak", "matched", "strong"), F.struct("score", "entity")).alias("b"))
+        .agg(F.max("plain").alias("plain"), F.max("marked").alias("marked"))
+        .select("screen_id", F.greatest("plain", "marked").alias("b"))
         .select("screen_id", "b.*")
     )
+    totals = totals.drop("names")
     linked = screens.join(totals, "screen_id", "left").join(best, "screen_id", "left").fillna(0, ["fields", "score", "evidence", "matched", "strong"])
     title = F.lower("title")
     by_words = F.coalesce(*[F.when(title.rlike(words), F.lit(op)) for op, words in TITLE_WORDS])
