@@ -572,3 +572,13 @@ def test_screens_with_the_same_fields_are_scored_once(spark):
     got = sorted((r["screen_id"], r["entity"], r["matched"], r["fields"]) for r in rows.collect())
     assert got == [(0, "CLIENTES", 2, 3), (0, "CLIENTES", 2, 3), *[(k, "CLIENTES", 2, 3) for k in range(1, 6)], (6, "PEDIDOS", 1, 1), (7, "", 0, 1)]
     assert not re.search(r"Aggregate \[screen_id#\d+, entity#", _plan(rows))
+
+
+def test_failures_are_dealt_by_runs_in_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(reports, "ROWS_PER_TASK", 10)
+    failures = spark.createDataFrame([(k % 20, f"flow{k % 3}") for k in range(200)], "run_id int, flow_name string")
+    baselines = spark.createDataFrame([(k, k - 1 if k else None) for k in range(20)], "run_id int, baseline_run_id int")
+    rows = reports.compare_flows(failures, baselines)
+    assert {r["run_id"] for r in rows.collect()} == set(range(1, 20))
+    assert rows.agg(F.sum("current_count"), F.sum("baseline_count")).first()[:] == (190, 190)
+    assert "RepartitionByExpression [run_id" in _plan(rows) and ", 20" in _plan(rows)

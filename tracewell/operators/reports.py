@@ -140,14 +140,26 @@ def choose_baselines(runs: DataFrame, match: list[str]) -> DataFrame:
     )
 
 
-def _paired(counts: DataFrame, baselines: DataFrame, key: str) -> DataFrame:
-    """Counts of each run next to those of its baseline, in one aggregation."""
+#: Failures one task counts and pairs; with more of them there are more tasks, not larger ones.
+ROWS_PER_TASK = 1_000_000
+
+
+def _tasks(rows: DataFrame) -> int:
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ROWS_PER_TASK))
+
+
+def _paired(failures: DataFrame, baselines: DataFrame, key: str, value: Column) -> DataFrame:
+    """Failures of each run by ``value`` next to those of its baseline, dealt by runs throughout."""
+    tasks = _tasks(failures)
+    dealt = failures.select("run_id", value.alias(key)).repartition(tasks, "run_id")
+    counts = dealt.groupBy("run_id", key).agg(F.count(F.lit(1)).alias("failures"))
     current = counts.select("run_id", key, F.col("failures").alias("current"), F.lit(0).alias("base"))
     pairs = baselines.where(F.col("baseline_run_id").isNotNull()).select("run_id", "baseline_run_id")
     base = counts.select(F.col("run_id").alias("baseline_run_id"), key, "failures").join(pairs, "baseline_run_id")
     base = base.select("run_id", key, F.lit(0).alias("current"), F.col("failures").alias("base"))
     return (
         current.unionByName(base)
+        .repartition(tasks, "run_id")
         .groupBy("run_id", key)
         .agg(F.sum("current").alias("current_count"), F.sum("base").alias("baseline_count"))
     )
@@ -155,11 +167,10 @@ def _paired(counts: DataFrame, baselines: DataFrame, key: str) -> DataFrame:
 
 def compare_groups(failures: DataFrame, baselines: DataFrame) -> DataFrame:
     """New, recurring and resolved failure groups of every run against its baseline."""
-    counts = failures.groupBy("run_id", signature().alias("signature")).agg(F.count(F.lit(1)).alias("failures"))
     state = (
         F.when(F.col("baseline_count") == 0, "new").when(F.col("current_count") == 0, "resolved").otherwise("recurring")
     )
-    return _paired(counts, baselines, "signature").select(
+    return _paired(failures, baselines, "signature", signature()).select(
         "run_id", "signature", state.alias("state"), "current_count", "baseline_count",
         (F.col("current_count") - F.col("baseline_count")).alias("delta_count"),
     )
@@ -168,10 +179,9 @@ def compare_groups(failures: DataFrame, baselines: DataFrame) -> DataFrame:
 def compare_flows(failures: DataFrame, baselines: DataFrame) -> DataFrame:
     """Failures per flow of each run with a baseline against that baseline."""
     flow = F.coalesce(F.nullif(F.trim("flow_name"), F.lit("")), F.lit("sem_fluxo"))
-    counts = failures.groupBy("run_id", flow.alias("flow_name")).agg(F.count(F.lit(1)).alias("failures"))
     based = baselines.where(F.col("baseline_run_id").isNotNull())
     return (
-        _paired(counts, baselines, "flow_name")
+        _paired(failures, baselines, "flow_name", flow)
         .join(based.select("run_id"), "run_id", "left_semi")
         .withColumn("delta_count", F.col("current_count") - F.col("baseline_count"))
         .withColumn("regression", F.col("delta_count") > 0)
