@@ -582,3 +582,19 @@ def test_failures_are_dealt_by_runs_in_tasks_of_bounded_size(spark, monkeypatch)
     assert {r["run_id"] for r in rows.collect()} == set(range(1, 20))
     assert rows.agg(F.sum("current_count"), F.sum("baseline_count")).first()[:] == (190, 190)
     assert "RepartitionByExpression [run_id" in _plan(rows) and ", 20" in _plan(rows)
+
+
+def test_frames_of_screens_need_no_cells(spark):
+    """Geometry and cursor are followed without comparing cells, and come out with the verdicts in one pass."""
+    flags = ", ".join(f"false AS {f}" for f in screens.FLAGS)
+    cells = spark.sql(f"SELECT 's' AS session_id, id DIV 6 + 1 AS seq, 2 AS rows, 3 AS cols, CAST(id % 6 DIV 3 AS INT) AS row, CAST(id % 3 AS INT) AS col, CAST(id % 4 AS STRING) AS ch, 'default' AS fg, 'default' AS bg, {flags} FROM range(18)")
+    turns = spark.sql("SELECT 's' AS session_id, id AS seq, 2 AS rows, 3 AS cols, 0 AS cursor_row, CAST(id DIV 2 AS INT) AS cursor_col FROM range(1, 4)")
+    changes = screens.screen_changes(turns, cells)
+    frames = screens._frames(turns.where("seq = 1"), changes, turns)
+    assert sorted(map(tuple, frames.collect())) == [("s", 1, 2, 3, 0, 0), ("s", 2, 2, 3, 0, 1), ("s", 3, 2, 3, 0, 1)]
+    assert "FullOuter" in _plan(changes) and "FullOuter" not in _plan(frames)
+    recorded = screens.screen_signatures(cells, ["session_id", "seq"])
+    recorded = recorded.unionByName(recorded.where("seq = 3").withColumn("seq", F.lit(9).cast("bigint")))
+    rebuilt = screens.rebuild_screens(turns.where("seq = 1"), cells.where("seq = 1"), changes, turns)
+    got = screens.verify_screens(rebuilt, recorded, ("rows", "cursor_row", "cursor_col")).drop("session_id", "verified")
+    assert sorted(map(tuple, got.collect())) == [(1, None, 2, 0, 0), (2, None, 2, 0, 1), (3, None, 2, 0, 1), (9, "missing", None, None, None)]

@@ -533,7 +533,9 @@ def _frames(first: DataFrame, changes: DataFrame, targets: DataFrame) -> DataFra
     of_first = first.select("session_id", "seq", F.lit(0).alias("kind"), size.alias("size"), F.struct("cursor_row", "cursor_col").alias("cursor"))
     kinds = {"size": "struct<rows:int,cols:int>", "cursor": "struct<cursor_row:int,cursor_col:int>"}
     of_first = of_first.withColumns({name: F.col(name).cast(kind) for name, kind in kinds.items()})
-    of_changes = changes.where(F.col("change").isin("geometry", "cursor")).groupBy("session_id", "seq").agg(
+    # written as two comparisons, of which the planner sees that no change of a cell meets them
+    of_frames = (F.col("change") == "geometry") | (F.col("change") == "cursor")
+    of_changes = changes.where(of_frames).groupBy("session_id", "seq").agg(
         F.max(F.when(F.col("change") == "geometry", size)).cast(kinds["size"]).alias("size"),
         F.max(F.when(F.col("change") == "cursor", place)).cast(kinds["cursor"]).alias("cursor"),
     )
@@ -582,18 +584,25 @@ def rebuild_screens(first: DataFrame, first_cells: DataFrame, changes: DataFrame
 SIGNATURES = ("text", "visual", "semantic")
 
 
-def verify_screens(rebuilt: DataFrame, expected: DataFrame) -> DataFrame:
+def verify_screens(rebuilt: DataFrame, expected: DataFrame, frame: tuple[str, ...] = ()) -> DataFrame:
     """Verdict per expected screen: whether it is what was recorded, else the first signature that differs.
 
+    ``frame`` names columns that are the same in all cells of a screen; they come out beside the
+    verdict, from the one pass over the cells.
+
     ``rebuilt`` comes from ``rebuild_screens``; ``expected``: session_id, seq and the signatures
     recorded for it.  A screen that could not be rebuilt is ``missing``.
     """
-    found = screen_signatures(rebuilt, ["session_id", "seq"])
-    found = found.select("session_id", "seq", F.lit(True).alias("here"), *[F.col(f"{s}_sig").alias(f"now_{s}") for s in SIGNATURES])
+    kept = [f"frame_{c}" for c in frame]
+    found = screen_signatures(rebuilt.withColumns({k: F.col(c) for k, c in zip(kept, frame, strict=True)}), ["session_id", "seq", *kept])
+    found = found.select(
+        "session_id", "seq", F.lit(True).alias("here"), *[F.col(f"{s}_sig").alias(f"now_{s}") for s in SIGNATURES],
+        *[F.col(k).alias(c) for k, c in zip(kept, frame, strict=True)],
+    )
     joined = expected.join(found, ["session_id", "seq"], "left")
     differs = [F.when(~F.col(f"{s}_sig").eqNullSafe(F.col(f"now_{s}")), s) for s in SIGNATURES]
     rejected = F.when(F.col("here").isNull(), "missing").otherwise(F.coalesce(*differs))
-    return joined.select("session_id", "seq", rejected.isNull().alias("verified"), rejected.alias("rejected"))
+    return joined.select("session_id", "seq", rejected.isNull().alias("verified"), rejected.alias("rejected"), *frame)
 
 
 def terminal_geometry(events: DataFrame) -> DataFrame:
