@@ -4,7 +4,9 @@ import json
 import random
 import re
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import naming
@@ -598,3 +600,56 @@ def test_frames_of_screens_need_no_cells(spark):
     rebuilt = screens.rebuild_screens(turns.where("seq = 1"), cells.where("seq = 1"), changes, turns)
     got = screens.verify_screens(rebuilt, recorded, ("rows", "cursor_row", "cursor_col")).drop("session_id", "verified")
     assert sorted(map(tuple, got.collect())) == [(1, None, 2, 0, 0), (2, None, 2, 0, 1), (3, None, 2, 0, 1), (9, "missing", None, None, None)]
+
+
+def _cells_joined(turns, cells):
+    """Changes of cells as a join of all cells, one by one."""
+    order = turns.withColumn("base_seq", F.lag("seq").over(Window.partitionBy("session_id").orderBy("seq"))).where("base_seq IS NOT NULL")
+    order, look = order.select("session_id", "base_seq", "seq"), F.struct("ch", "fg", "bg", *screens.FLAGS)
+    now = cells.select("session_id", "seq", "row", "col", look.alias("cell")).join(order, ["session_id", "seq"])
+    old = cells.select("session_id", F.col("seq").alias("base_seq"), "row", "col", look.alias("old")).join(order, ["session_id", "base_seq"])
+    both = now.join(old, ["session_id", "base_seq", "seq", "row", "col"], "full").where(~F.col("cell").eqNullSafe(F.col("old")))
+    kind = F.when(F.col("old").isNull(), "added").when(F.col("cell").isNull(), "removed").otherwise("changed")
+    return both.select("session_id", "base_seq", "seq", kind.alias("change"), "row", "col", "cell")
+
+
+def test_changes_of_cells_join_whole_screens(spark):
+    """Repeated screens and cells, null places, looks and keys, screens without cells: as in a join of cells, which is none."""
+    draw = random.Random(14)
+    chars = ["a", "b", "ç", "┌", "ab", "", None, " "]
+    rows = []
+    for session in ("s", "t", None):
+        for seq in (1, 2, 2, 4, 4, 4, 7, None):
+            for place in range(12):
+                flags = {f: draw.choice([True, False, False, None]) if f == "bold" else False for f in screens.FLAGS}
+                spot = {"row": draw.choice([place // 4, place // 4, place // 4, None]), "col": place % 4}
+                rows.append({"session_id": session, "seq": seq, **spot, "ch": draw.choice(chars), "fg": draw.choice(["red", "default", None]), "bg": "default", **flags})
+    draw.shuffle(rows)
+    rows = sorted(rows[:-40], key=lambda r: (str(r["session_id"]), r["col"] % 2)) + rows[-40:] * 2
+    kinds = "session_id string, seq bigint, row int, col int, ch string, fg string, bg string, " + ", ".join(f"{f} boolean" for f in screens.FLAGS)
+    cells = spark.createDataFrame(rows, kinds).repartition(3)
+    shown = [(s, seq, 3, 4, 0, 0) for s in ("s", "t", "u", None) for seq in (0, 1, 2, 2, 4, 4, 4, 6, 7, 9, None)]
+    turns = spark.createDataFrame(shown, "session_id string, seq bigint, rows int, cols int, cursor_row int, cursor_col int")
+    got = screens.screen_changes(turns, cells)
+    want = _cells_joined(turns, cells)
+    assert sorted(map(repr, got.select(want.columns).collect())) == sorted(map(repr, want.collect())) != []
+    join = next(line for line in _plan(got).split("\n") if "FullOuter" in line)
+    assert "base_seq" in join and "row#" not in join
+
+
+def test_screens_are_compared_in_parts(spark, monkeypatch):
+    kinds = "session_id string, seq bigint, row int, col int, ch string, fg string, bg string, " + ", ".join(f"{f} boolean" for f in screens.FLAGS)
+    rows = [("s", seq, k // 3, k % 3, chr(97 + (k * seq) % 5), "default", "default", *[False] * 6) for seq in range(1, 9) for k in range(seq % 4 * 3)]
+    packed = pa.Table.from_batches(screens._pack(spark.createDataFrame(rows, kinds).toArrow().combine_chunks().to_batches())).to_pylist()
+    parts = ("row", "col", "text", "bytes", "style", "styles")
+    piece = {p["seq"]: [{k: p[k] for k in parts}] for p in packed}
+    steps = [{"session_id": "s", "base_seq": seq - 1, "seq": seq, "times": 1, "now": piece.get(seq), "old": piece.get(seq - 1)} for seq in range(2, 9)]
+    batch = pa.RecordBatch.from_pylist(steps, pa.Table.from_pylist(steps).schema)
+    found = []
+    for most in (300_000, 4):
+        monkeypatch.setattr(screens, "CELLS_AT_ONCE", most)
+        assert len(list(screens._some_screens(batch))) == (1 if most > 4 else 7)
+        found.append(sorted(map(repr, pa.Table.from_batches(screens._compare(iter([batch]))).to_pylist())))
+    assert found[0] == found[1] and len(found[0]) == sum(
+        {k: (k * seq) % 5 for k in range(seq % 4 * 3)}.get(k) != {k: (k * (seq - 1)) % 5 for k in range((seq - 1) % 4 * 3)}.get(k) for seq in range(2, 9) for k in range(9)
+    )

@@ -6,9 +6,13 @@ import functools
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewell.functions import text as tx
 from tracewell.plans import ordered
@@ -493,6 +497,133 @@ def screen_signatures(
 
 
 SCREEN_STATE = ("rows", "cols", "cursor_row", "cursor_col")
+STYLE = ("fg", "bg", *FLAGS)
+#: Cells of screens that a task compares at a time (one pair of screens may hold more).
+CELLS_AT_ONCE = 300_000
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One piece for cells of a screen that follow each other: places, characters, and styles written once."""
+    for batch in batches:
+        n = batch.num_rows
+        if n == 0:
+            continue
+        fresh = np.zeros(n, bool)
+        for key in (batch.column("session_id"), batch.column("seq")):
+            fresh[1:] |= pc.not_equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)
+        fresh[0] = True
+        starts, piece = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+        ends = pa.array(np.append(starts, n), pa.int32())
+        code = _codes([batch.column(c) for c in STYLE])
+        _, code = np.unique(code, return_inverse=True)
+        styles, first, style = np.unique(piece * n + code, return_index=True, return_inverse=True)
+        of_piece = np.searchsorted(styles // n, np.arange(len(starts) + 1))
+        looks = pa.StructArray.from_arrays([batch.column(c).take(pa.array(first)) for c in STYLE], list(STYLE))
+        ch = batch.column("ch")
+        yield pa.RecordBatch.from_pydict({
+            "session_id": batch.column("session_id").take(pa.array(starts)), "seq": batch.column("seq").take(pa.array(starts)),
+            "row": pa.ListArray.from_arrays(ends, batch.column("row")), "col": pa.ListArray.from_arrays(ends, batch.column("col")),
+            "text": pc.binary_join(pa.ListArray.from_arrays(ends, ch.fill_null("")), ""),
+            "bytes": pa.ListArray.from_arrays(ends, pc.binary_length(ch).cast(pa.int32()).fill_null(-1)),
+            "style": pa.ListArray.from_arrays(ends, pa.array(style - of_piece[piece], pa.int32())),
+            "styles": pa.ListArray.from_arrays(pa.array(of_piece, pa.int32()), looks),
+        })
+
+
+def _codes(columns: list[pa.Array]) -> np.ndarray:
+    """A number per row, the same for rows that are equal in all columns; null is a value as well."""
+    code, most = np.zeros(len(columns[0]), np.int64), 1
+    for column in columns:
+        found = column.dictionary_encode("encode")
+        if most * len(found.dictionary) >= 2**62:
+            values, code = np.unique(code, return_inverse=True)
+            most = len(values)
+        code = code * len(found.dictionary) + found.indices.to_numpy()
+        most *= max(1, len(found.dictionary))
+    return code
+
+
+def _unpack(pieces: pa.ListArray) -> dict:
+    """The cells of screens in pieces; ``at`` is the place of their screen, ``style`` that of their style."""
+    screen, parts = pc.list_parent_indices(pieces).to_numpy(), pieces.flatten()
+    part = dict(zip((f.name for f in parts.type), parts.flatten(), strict=True))
+    piece = pc.list_parent_indices(part["row"]).to_numpy()
+    before = np.cumsum(np.append(0, pc.list_value_length(part["styles"]).to_numpy()))
+    sizes = part["bytes"].flatten().to_numpy()
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(parts)], pa.int32()), part["text"]), "")[0].as_buffer()
+    ends = np.append(0, np.cumsum(np.maximum(sizes, 0))).astype(np.int32)
+    ch = pa.StringArray.from_buffers(len(sizes), pa.py_buffer(ends), joined)
+    return {
+        "at": screen[piece], "row": part["row"].flatten(), "col": part["col"].flatten(),
+        "ch": pc.if_else(pa.array(sizes >= 0), ch, pa.scalar(None, pa.string())),
+        "style": before[piece] + part["style"].flatten().to_numpy(), "styles": part["styles"].flatten(),
+    }
+
+
+def _some_screens(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about as many cells as are compared at a time."""
+    cells = np.zeros(batch.num_rows, np.int64)
+    for name in ("now", "old"):
+        pieces = batch.column(name)
+        sizes = pc.list_value_length(pc.struct_field(pieces.flatten(), "row")).to_numpy()
+        np.add.at(cells, pc.list_parent_indices(pieces).to_numpy(), sizes)
+    part = np.cumsum(cells) // CELLS_AT_ONCE
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
+    for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+        yield batch.slice(a, z - a)
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells that differ between two screens: the new state (null: removed), and whether there was an old one."""
+    for batch in (some for whole in batches for some in _some_screens(whole)):
+        times = batch.column("times").to_numpy()
+        cells = {name: _unpack(batch.column(name)) for name in ("now", "old")}
+        sides = {}
+        for name, held in cells.items():
+            each = np.repeat(np.arange(len(held["at"])), times[held["at"]])
+            sides[name] = pa.table({"at": held["at"][each], "row": held["row"].take(pa.array(each)), "col": held["col"].take(pa.array(each)), name: each})
+        pairs = sides["now"].join(sides["old"], ["at", "row", "col"], join_type="full outer", use_threads=False).combine_chunks()
+        both = cells["now"], cells["old"]
+        style = _codes(pa.concat_arrays([held["styles"] for held in both]).flatten())
+        style = style[np.concatenate([cells["now"]["style"], cells["old"]["style"] + len(cells["now"]["styles"])])]
+        look = pa.array(_codes([pa.concat_arrays([held["ch"] for held in both]), pa.array(style)]))
+        same = pc.equal(look.take(pairs["now"]), look.take(pc.add(pairs["old"], len(cells["now"]["at"]))))
+        found = pairs.filter(pc.invert(same.fill_null(False))).combine_chunks()
+        now, styles = found["now"].combine_chunks(), cells["now"]["styles"]
+        worn = pa.array(cells["now"]["style"]).take(now)
+        looks = [cells["now"]["ch"].take(now), *(part.take(worn) for part in styles.flatten())]
+        keys = {k: batch.column(k).take(found["at"].combine_chunks()) for k in ("session_id", "base_seq", "seq")}
+        yield pa.RecordBatch.from_pydict({
+            **keys, "row": found["row"].combine_chunks(), "col": found["col"].combine_chunks(),
+            "cell": pa.StructArray.from_arrays(looks, ["ch", *STYLE], mask=now.is_null()), "had": found["old"].combine_chunks().is_valid(),
+        })
+
+
+def _changed_cells(order: DataFrame, cells: DataFrame) -> DataFrame:
+    """(session_id, base_seq, seq, row, col, cell, had) of the cells that differ between two screens.
+
+    Cells travel packed, a few bytes each: the cells of a screen that stand next to each other become
+    a piece where they are, the pieces of a screen meet, and then those of both screens.  Rows that
+    come several times count as in a join of all cells: ``times`` is how often a pair of screens does.
+    """
+    kinds = cells.schema
+    numbers = T.ArrayType(T.IntegerType())
+    parts = [
+        T.StructField("row", T.ArrayType(kinds["row"].dataType)), T.StructField("col", T.ArrayType(kinds["col"].dataType)),
+        T.StructField("text", T.StringType()), T.StructField("bytes", numbers), T.StructField("style", numbers),
+        T.StructField("styles", T.ArrayType(T.StructType([T.StructField(c, kinds[c].dataType) for c in STYLE]))),
+    ]
+    keyed = cells.where(F.col("session_id").isNotNull() & F.col("seq").isNotNull()).select("session_id", "seq", "row", "col", "ch", *STYLE)
+    pieces = keyed.mapInArrow(_pack, T.StructType([kinds["session_id"], kinds["seq"], *parts]))
+    # dealt before they are grouped: screens would otherwise be sorted where they are read as well
+    packed = pieces.repartition("session_id", "seq").groupBy("session_id", "seq").agg(F.collect_list(F.struct(*[p.name for p in parts])).alias("pieces"))
+    pairs = order.groupBy("session_id", "base_seq", "seq").agg(F.count(F.lit(1)).alias("times"))
+    now = packed.withColumnRenamed("pieces", "now").join(pairs, ["session_id", "seq"]).withColumnRenamed("times", "n")
+    old = packed.select("session_id", F.col("seq").alias("base_seq"), F.col("pieces").alias("old")).join(pairs, ["session_id", "base_seq"])
+    both = now.join(old, ["session_id", "base_seq", "seq"], "full").withColumn("times", F.coalesce("n", "times")).drop("n")
+    keys = [both.schema[k] for k in ("session_id", "base_seq", "seq")]
+    cell = T.StructType([T.StructField(c, kinds[c].dataType) for c in ("ch", *STYLE)])
+    return both.mapInArrow(_compare, T.StructType([*keys, kinds["row"], kinds["col"], T.StructField("cell", cell), T.StructField("had", T.BooleanType())]))
 
 
 def screen_changes(screens: DataFrame, cells: DataFrame) -> DataFrame:
@@ -502,19 +633,16 @@ def screen_changes(screens: DataFrame, cells: DataFrame) -> DataFrame:
     col, ch, fg, bg and the flags.  A change is ``geometry`` (rows and cols are the new ones),
     ``cursor`` (row and col are its place), or a cell that was ``added``, ``changed`` or ``removed``;
     a screen that shrinks removes the cells it loses, so that they do not come back when it grows.
+    A screen has at most 100 000 cells, so one of them fits into a task.
     """
     hot = ordered.hot_keys(screens, ["session_id"], "seq")
     frame = F.struct(*SCREEN_STATE)
     steps = ordered.scan(screens, ["session_id"], ["seq"], hot, base_seq=ordered.lag(F.col("seq")), was=ordered.lag(frame))
     steps = settle(steps.where(F.col("base_seq").isNotNull()))
-    look = F.struct("ch", "fg", "bg", *FLAGS)
-    order = steps.select("session_id", "base_seq", "seq")
-    now = cells.select("session_id", "seq", "row", "col", look.alias("cell")).join(order, ["session_id", "seq"])
-    before = cells.select("session_id", F.col("seq").alias("base_seq"), "row", "col", look.alias("old")).join(order, ["session_id", "base_seq"])
-    both = now.join(before, ["session_id", "base_seq", "seq", "row", "col"], "full").where(~F.col("cell").eqNullSafe(F.col("old")))
+    found = _changed_cells(steps.select("session_id", "base_seq", "seq"), cells)
     none = F.lit(None).cast("int")
-    kind = F.when(F.col("old").isNull(), "added").when(F.col("cell").isNull(), "removed").otherwise("changed")
-    of_cells = both.select("session_id", "base_seq", "seq", kind.alias("change"), "row", "col", "cell", none.alias("rows"), none.alias("cols"))
+    kind = F.when(~F.col("had"), "added").when(F.col("cell").isNull(), "removed").otherwise("changed")
+    of_cells = found.select("session_id", "base_seq", "seq", kind.alias("change"), "row", "col", "cell", none.alias("rows"), none.alias("cols"))
     no_cell = F.lit(None).cast(of_cells.schema["cell"].dataType).alias("cell")
     resized = steps.where((F.col("rows") != F.col("was.rows")) | (F.col("cols") != F.col("was.cols"))).select(
         "session_id", "base_seq", "seq", F.lit("geometry").alias("change"), none.alias("row"), none.alias("col"), no_cell, "rows", "cols"
