@@ -653,3 +653,80 @@ def test_screens_are_compared_in_parts(spark, monkeypatch):
     assert found[0] == found[1] and len(found[0]) == sum(
         {k: (k * seq) % 5 for k in range(seq % 4 * 3)}.get(k) != {k: (k * (seq - 1)) % 5 for k in range((seq - 1) % 4 * 3)}.get(k) for seq in range(2, 9) for k in range(9)
     )
+
+
+def _some_cells(spark, seed, seqs, sessions=("s", "t")):
+    """Screens of changing sizes, some of them and some cells twice, with odd characters and looks."""
+    draw, rows, turns = random.Random(seed), [], []
+    for session in sessions:
+        for seq in seqs:
+            high, wide = draw.choice([(1, 3), (2, 3), (3, 2)])
+            turns.append((session, seq, high, wide, 0, draw.randrange(2)))
+            for k in range(high * wide):
+                flags = {f: draw.choice([True, False, None]) if f == "bold" else False for f in screens.FLAGS}
+                cell = {"session_id": session, "seq": seq, "rows": high, "cols": wide, "row": k // wide, "col": k % wide, "ch": draw.choice(["a", "ç", "┌", "ab", "", None, " "]), "fg": draw.choice(["red", None]), "bg": "default", **flags}
+                rows += [cell] * draw.choice([1, 1, 1, 2])
+    kinds = "session_id string, seq bigint, rows int, cols int, row int, col int, ch string, fg string, bg string, " + ", ".join(f"{f} boolean" for f in screens.FLAGS)
+    draw.shuffle(rows)
+    return spark.createDataFrame(turns, "session_id string, seq bigint, rows int, cols int, cursor_row int, cursor_col int"), spark.createDataFrame(rows, kinds)
+
+
+def test_signatures_against_a_plain_loop(spark):
+    turns, cells = _some_cells(spark, 5, range(4))
+    code = lambda ch: None if ch is None else "32" if ch == "" else str(ord(ch[0]))
+    full = lambda *parts: tuple((x is not None, x) for x in parts)
+    want, screen = {}, {}
+    for c in cells.collect():
+        bits = sum(1 << k for k, f in enumerate(screens.FLAGS) if c[f])
+        look = "|".join(x for x in (code(c["ch"]), c["fg"], c["bg"], str(bits)) if x is not None)
+        plain = "#" if c["ch"] == "┌" else c["ch"]
+        screen.setdefault((c["session_id"], c["seq"], c["rows"], c["cols"]), []).append((c["row"] * c["cols"] + c["col"], code(c["ch"]), look, c["row"], plain))
+    for (session, seq, high, wide), held in screen.items():
+        held.sort(key=lambda x: full(*x))
+        sign = lambda *parts: "sha256:" + hashlib.sha256("\n".join([*parts, ""]).encode()).hexdigest()
+        head = ["1", str(high), str(wide), "utf-8", "xterm"]
+        body = "\n".join("".join(x[4] or "" for x in held[r * wide : (r + 1) * wide]).rstrip() for r in range(high))
+        body = re.sub(r"\A(?:\s*\n)+|(?:\n\s*)+\Z", "", body)
+        semantic = "sha256:" + hashlib.sha256((body if body.strip() else "").encode()).hexdigest()
+        want[session, seq] = sign("SCREEN-TEXT", *head, "\n".join(x[1] for x in held if x[1] is not None)), sign("SCREEN-VISUAL", *head, "\n".join(x[2] for x in held)), semantic
+    for given in (cells, screens.pack_screens(cells, ["session_id", "seq"])):
+        got = screens.screen_signatures(given, ["session_id", "seq"])
+        assert {(r["session_id"], r["seq"]): r[2:] for r in got.collect()} == want
+        assert "transform(c#" not in _plan(got)  # no expression that runs through the cells
+
+
+@pytest.mark.parametrize("limit", [None, 5])
+def test_patches_are_replayed_in_order(spark, monkeypatch, limit):
+    """Rebuilt cells are those of the last patch that names their place, also where a session is cut into ranges."""
+    turns, cells = _some_cells(spark, 6, range(1, 24))
+    first, first_cells = turns.where("seq = 1"), cells.where("seq = 1")
+    changes = screens.screen_changes(turns, cells)
+    states, last = {}, {}
+    look = ("ch", *screens.STYLE)
+    for c in first_cells.collect():
+        states.setdefault((c["session_id"], c["row"], c["col"], c["seq"]), []).append(tuple(c[x] for x in look))
+    for c in changes.where("change IN ('added', 'changed', 'removed')").collect():
+        states.setdefault((c["session_id"], c["row"], c["col"], c["seq"]), []).append(c["cell"] and tuple(c["cell"][x] for x in look))
+    want = []
+    for session in ("s", "t"):
+        for target in range(1, 24):
+            last = {}
+            for (s, row, col, seq), held in sorted(states.items(), key=lambda kv: kv[0][3]):
+                if s == session and seq <= target:
+                    last[row, col] = held
+            want += [(session, target, row, col, *cell) for (row, col), held in last.items() for cell in held if cell]
+    if limit:
+        spark.conf.set("spark.tracewell.hotRows", str(limit))
+    monkeypatch.setattr(screens, "CELLS_AT_ONCE", 7)
+    pieces = screens.pack_screens(cells, ["session_id", "seq"])
+    try:
+        whole = screens.rebuild_screens(first, first_cells, changes, turns)
+        packed = screens.rebuild_screens(first, pieces.where("seq = 1"), screens.screen_changes(turns, pieces, packed=True), turns, packed=True)
+    finally:
+        spark.conf.unset("spark.tracewell.hotRows")
+    got = [(r["session_id"], r["seq"], r["row"], r["col"], *[r[x] for x in look]) for r in whole.collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) != []
+    frame = ("rows", "cursor_row", "cursor_col")
+    recorded = screens.screen_signatures(whole, ["session_id", "seq"])
+    assert {r["rejected"] for r in screens.verify_screens(packed, recorded, frame).collect()} == {None}
+    assert not [line for line in _plan(whole).split("\n") if ("Join" in line or "Window" in line) and "row#" in line]

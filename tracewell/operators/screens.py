@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -13,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tracewell.functions import text as tx
 from tracewell.plans import ordered
@@ -450,86 +452,61 @@ def line_differences(pairs: DataFrame, keys: list[str]) -> DataFrame:
 FLAGS = ("bold", "dim", "underline", "blink", "reverse", "hidden")
 
 
-def _flag_bits() -> Column:
-    bits = F.lit(0)
-    for place, name in enumerate(FLAGS):
-        bits = bits + F.when(F.col(name), 1 << place).otherwise(0)
-    return bits
-
-
-def screen_signatures(
-    cells: DataFrame, keys: list[str], text_magic: str = "SCREEN-TEXT", visual_magic: str = "SCREEN-VISUAL"
-) -> DataFrame:
-    """Text, visual and tolerant signatures of each snapshot.
-
-    ``cells`` has rows, cols, row, col, ch, fg, bg and the flags.  A screen has at most
-    100 000 cells, so one snapshot is a bounded group.
-    """
-    place = F.col("row") * F.col("cols") + F.col("col")
-    code = F.when(F.col("ch") == "", "32").otherwise(F.ascii("ch").cast("string"))
-    plain = F.when(F.col("ch").rlike("[┌┐└┘├┤┬┴┼─│]"), "#").otherwise(F.col("ch"))
-    cell = F.struct(
-        place.alias("at"), code.alias("text"),
-        F.concat_ws("|", code, "fg", "bg", _flag_bits().cast("string")).alias("look"),
-        F.col("row").alias("row"), plain.alias("ch"),
-    )
-    grouped = cells.groupBy(*keys).agg(
-        F.max("rows").alias("rows"), F.max("cols").alias("cols"), F.array_sort(F.collect_list(cell)).alias("c")
-    )
-    head = F.concat_ws("\n", F.lit("1"), F.col("rows").cast("string"), F.col("cols").cast("string"), F.lit("utf-8"), F.lit("xterm"))
-
-    def joined(part: str) -> Column:
-        return F.array_join(F.transform("c", lambda x: x[part]), "\n")
-
-    text_rows = F.transform(
-        F.sequence(F.lit(0), F.col("rows") - 1),
-        lambda r: tx.rstrip(
-            F.array_join(F.transform(F.slice("c", r * F.col("cols") + 1, F.col("cols")), lambda x: x["ch"]), "")
-        ),
-    )
-    body = F.regexp_replace(F.array_join(text_rows, "\n"), r"(?U)\A(?:\s*\n)+|(?:\n\s*)+\z", "")
-    return grouped.select(
-        *keys,
-        F.concat(F.lit("sha256:"), F.sha2(F.concat(F.lit(text_magic + "\n"), head, F.lit("\n"), joined("text"), F.lit("\n")), 256)).alias("text_sig"),
-        F.concat(F.lit("sha256:"), F.sha2(F.concat(F.lit(visual_magic + "\n"), head, F.lit("\n"), joined("look"), F.lit("\n")), 256)).alias("visual_sig"),
-        F.concat(F.lit("sha256:"), F.sha2(F.when(tx.is_blank(body), "").otherwise(body), 256)).alias("semantic_sig"),
-    )
-
-
 SCREEN_STATE = ("rows", "cols", "cursor_row", "cursor_col")
 STYLE = ("fg", "bg", *FLAGS)
+#: The style of cells that a patch may take away.
+GONE = (*STYLE, "gone")
 #: Cells of screens that a task compares at a time (one pair of screens may hold more).
 CELLS_AT_ONCE = 300_000
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One piece for cells of a screen that follow each other: places, characters, and styles written once."""
+def _pack(
+    batches: Iterator[pa.RecordBatch], keys: tuple[str, ...] = ("session_id", "seq"), lists: tuple[str, ...] = ("row", "col"), looks: tuple[str, ...] = STYLE
+) -> Iterator[pa.RecordBatch]:
+    """One piece for cells of a screen that follow each other: numbers, characters, and styles written once."""
     for batch in batches:
         n = batch.num_rows
         if n == 0:
             continue
-        fresh = np.zeros(n, bool)
-        for key in (batch.column("session_id"), batch.column("seq")):
-            fresh[1:] |= pc.not_equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)
+        fresh, of_keys = np.zeros(n, bool), _codes([batch.column(k) for k in keys])
+        fresh[1:] = of_keys[1:] != of_keys[:-1]
         fresh[0] = True
         starts, piece = np.flatnonzero(fresh), np.cumsum(fresh) - 1
         ends = pa.array(np.append(starts, n), pa.int32())
-        code = _codes([batch.column(c) for c in STYLE])
+        code = _codes([batch.column(c) for c in looks])
         _, code = np.unique(code, return_inverse=True)
         styles, first, style = np.unique(piece * n + code, return_index=True, return_inverse=True)
         of_piece = np.searchsorted(styles // n, np.arange(len(starts) + 1))
-        looks = pa.StructArray.from_arrays([batch.column(c).take(pa.array(first)) for c in STYLE], list(STYLE))
+        worn = pa.StructArray.from_arrays([batch.column(c).take(pa.array(first)) for c in looks], list(looks))
         ch = batch.column("ch")
         yield pa.RecordBatch.from_pydict({
-            "session_id": batch.column("session_id").take(pa.array(starts)), "seq": batch.column("seq").take(pa.array(starts)),
-            "row": pa.ListArray.from_arrays(ends, batch.column("row")), "col": pa.ListArray.from_arrays(ends, batch.column("col")),
+            **{k: batch.column(k).take(pa.array(starts)) for k in keys},
+            **{c: pa.ListArray.from_arrays(ends, batch.column(c)) for c in lists},
             "text": pc.binary_join(pa.ListArray.from_arrays(ends, ch.fill_null("")), ""),
             "bytes": pa.ListArray.from_arrays(ends, pc.binary_length(ch).cast(pa.int32()).fill_null(-1)),
             "style": pa.ListArray.from_arrays(ends, pa.array(style - of_piece[piece], pa.int32())),
-            "styles": pa.ListArray.from_arrays(pa.array(of_piece, pa.int32()), looks),
+            "styles": pa.ListArray.from_arrays(pa.array(of_piece, pa.int32()), worn),
         })
 
 
+def _parts(lists: list[T.StructField], looks: list[T.StructField]) -> list[T.StructField]:
+    numbers = T.ArrayType(T.IntegerType())
+    return [
+        *[T.StructField(f.name, T.ArrayType(f.dataType)) for f in lists],
+        T.StructField("text", T.StringType()), T.StructField("bytes", numbers), T.StructField("style", numbers),
+        T.StructField("styles", T.ArrayType(T.StructType([T.StructField(f.name, f.dataType) for f in looks]))),
+    ]
+
+
+def _packed(cells: DataFrame, keys: tuple[str, ...], lists: tuple[str, ...], looks: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
+    """Pieces of screens (``keys`` and parts) where their cells are, and the names of the parts."""
+    kinds = cells.schema
+    parts = _parts([kinds[c] for c in lists], [kinds[c] for c in looks])
+    pack = functools.partial(_pack, keys=keys, lists=lists, looks=looks)
+    pieces = cells.select(*keys, *lists, "ch", *looks).mapInArrow(pack, T.StructType([*[kinds[k] for k in keys], *parts]))
+    return pieces, [p.name for p in parts]
+
+
 def _codes(columns: list[pa.Array]) -> np.ndarray:
     """A number per row, the same for rows that are equal in all columns; null is a value as well."""
     code, most = np.zeros(len(columns[0]), np.int64), 1
@@ -543,29 +520,42 @@ def _codes(columns: list[pa.Array]) -> np.ndarray:
     return code
 
 
+def pack_screens(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per screen with its size and its cells in ``pieces``, a few bytes each.
+
+    ``screen_signatures``, ``screen_changes`` and ``rebuild_screens`` take them for cells, which are then read once.
+    """
+    placed = cells.withColumn("place", F.col("row") * F.col("cols") + F.col("col"))
+    pieces, parts = _packed(placed, (*keys, "rows", "cols"), ("row", "col", "place"), STYLE)
+    # dealt before they are grouped: screens would otherwise be sorted where they are read as well
+    return pieces.repartition(*keys).groupBy(*keys).agg(
+        F.max("rows").alias("rows"), F.max("cols").alias("cols"), F.collect_list(F.struct(*parts)).alias("pieces")
+    )
+
+
 def _unpack(pieces: pa.ListArray) -> dict:
     """The cells of screens in pieces; ``at`` is the place of their screen, ``style`` that of their style."""
     screen, parts = pc.list_parent_indices(pieces).to_numpy(), pieces.flatten()
     part = dict(zip((f.name for f in parts.type), parts.flatten(), strict=True))
-    piece = pc.list_parent_indices(part["row"]).to_numpy()
+    piece = pc.list_parent_indices(part["bytes"]).to_numpy()
     before = np.cumsum(np.append(0, pc.list_value_length(part["styles"]).to_numpy()))
     sizes = part["bytes"].flatten().to_numpy()
     joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(parts)], pa.int32()), part["text"]), "")[0].as_buffer()
     ends = np.append(0, np.cumsum(np.maximum(sizes, 0))).astype(np.int32)
     ch = pa.StringArray.from_buffers(len(sizes), pa.py_buffer(ends), joined)
     return {
-        "at": screen[piece], "row": part["row"].flatten(), "col": part["col"].flatten(),
-        "ch": pc.if_else(pa.array(sizes >= 0), ch, pa.scalar(None, pa.string())),
+        **{name: part[name].flatten() for name in part if name not in ("text", "bytes", "style", "styles")},
+        "at": screen[piece], "ch": pc.if_else(pa.array(sizes >= 0), ch, pa.scalar(None, pa.string())),
         "style": before[piece] + part["style"].flatten().to_numpy(), "styles": part["styles"].flatten(),
     }
 
 
-def _some_screens(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of about as many cells as are compared at a time."""
+def _some_screens(batch: pa.RecordBatch, names: tuple[str, ...] = ("now", "old")) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about as many cells as are worked on at a time."""
     cells = np.zeros(batch.num_rows, np.int64)
-    for name in ("now", "old"):
+    for name in names:
         pieces = batch.column(name)
-        sizes = pc.list_value_length(pc.struct_field(pieces.flatten(), "row")).to_numpy()
+        sizes = pc.list_value_length(pc.struct_field(pieces.flatten(), "bytes")).to_numpy()
         np.add.at(cells, pc.list_parent_indices(pieces).to_numpy(), sizes)
     part = np.cumsum(cells) // CELLS_AT_ONCE
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
@@ -573,6 +563,68 @@ def _some_screens(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(a, z - a)
 
 
+BOX = re.compile("[┌┐└┘├┤┬┴┼─│]")
+
+
+def _sha(*parts: str) -> str:
+    return "sha256:" + hashlib.sha256("\n".join([*parts, ""]).encode()).hexdigest()
+
+
+def _sign(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], text_magic: str, visual_magic: str) -> Iterator[pa.RecordBatch]:
+    """Text and visual signatures of screens in pieces, and their lines."""
+    for batch in (some for whole in batches for some in _some_screens(whole, ("pieces",))):
+        held = _unpack(batch.column("pieces"))
+        found, styles = held["ch"].dictionary_encode("encode"), held["styles"]
+        chars, char = found.dictionary.to_pylist(), found.indices.to_numpy()
+        codes = [None if c is None else "32" if c == "" else str(ord(c[0])) for c in chars]
+        plain = np.array([c if c is None or not BOX.search(c) else "#" for c in chars], object)
+        worn = [[w["fg"], w["bg"], str(sum(1 << k for k, f in enumerate(FLAGS) if w[f]))] for w in styles.to_pylist()]
+        pairs, look = np.unique(char.astype(np.int64) * max(1, len(worn)) + held["style"], return_inverse=True)
+        looks = np.array(["|".join(x for x in (codes[p // len(worn)], *worn[p % len(worn)]) if x is not None) for p in pairs.tolist()], object)
+        codes = np.array(codes, object)
+        place, line = (held[c].cast(pa.int64()) for c in ("place", "row"))
+        known = place.is_valid().to_numpy(zero_copy_only=False)
+        place, at = place.fill_null(0).to_numpy(), held["at"]
+        order = np.lexsort((place, at))
+        # cells that share a place, or have none, go on by what they show
+        shared = (place[order][1:] == place[order][:-1]) & (at[order][1:] == at[order][:-1])
+        unclear = {*at[~known].tolist(), *at[order][1:][shared].tolist()}
+        bounds = np.searchsorted(at[order], np.arange(batch.num_rows + 1))
+        signed: dict[str, list] = {"text_sig": [], "visual_sig": [], "lines": []}
+        for no, (rows, cols) in enumerate(zip(batch.column("rows").to_pylist(), batch.column("cols").to_pylist(), strict=True)):
+            cells = order[bounds[no] : bounds[no + 1]]
+            if no in unclear:
+                nulls = lambda x: (x is not None, x)
+                full = lambda i: tuple(map(nulls, (int(place[i]) if known[i] else None, codes[char[i]], looks[look[i]], line[i].as_py(), plain[char[i]])))
+                cells = np.array(sorted(cells.tolist(), key=full), np.int64)
+            head = [str(x) for x in ("1", rows, cols, "utf-8", "xterm") if x is not None]
+            shown = codes[char[cells]].tolist()
+            signed["text_sig"].append(_sha(text_magic, *head, "\n".join(x for x in shown if x is not None)))
+            signed["visual_sig"].append(_sha(visual_magic, *head, "\n".join(looks[look[cells]].tolist())))
+            flat, wide = plain[char[cells]].tolist(), cols or 0
+            signed["lines"].append(None if rows is None else ["".join(x for x in flat[r * wide : (r + 1) * wide] if x is not None) for r in range(rows)])
+        lines = pa.array(signed.pop("lines"), pa.list_(pa.string()))
+        yield pa.RecordBatch.from_pydict({**{k: batch.column(k) for k in keys}, **{k: pa.array(v, pa.string()) for k, v in signed.items()}, "lines": lines})
+
+
+def screen_signatures(
+    cells: DataFrame, keys: list[str], text_magic: str = "SCREEN-TEXT", visual_magic: str = "SCREEN-VISUAL"
+) -> DataFrame:
+    """Text, visual and tolerant signatures of each snapshot.
+
+    ``cells`` has rows, cols, row, col, ch, fg, bg and the flags.  A screen has at most
+    100 000 cells, so one snapshot is a bounded group; its cells travel packed.  Screens of
+    ``pack_screens`` are taken as well.
+    """
+    whole = cells if "pieces" in cells.columns else pack_screens(cells, keys)
+    sign = functools.partial(_sign, keys=tuple(keys), text_magic=text_magic, visual_magic=visual_magic)
+    whole = whole.select(*keys, "rows", "cols", "pieces")
+    made = T.StructType([*[whole.schema[k] for k in keys], *[T.StructField(s, T.StringType()) for s in ("text_sig", "visual_sig")], T.StructField("lines", T.ArrayType(T.StringType()))])
+    body = F.regexp_replace(F.array_join(F.transform("lines", tx.rstrip), "\n"), r"(?U)\A(?:\s*\n)+|(?:\n\s*)+\z", "")
+    semantic = F.concat(F.lit("sha256:"), F.sha2(F.when(tx.is_blank(body), "").otherwise(body), 256))
+    return whole.mapInArrow(sign, made).select(*keys, "text_sig", "visual_sig", semantic.alias("semantic_sig"))
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cells that differ between two screens: the new state (null: removed), and whether there was an old one."""
     for batch in (some for whole in batches for some in _some_screens(whole)):
@@ -599,51 +651,74 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         })
 
 
-def _changed_cells(order: DataFrame, cells: DataFrame) -> DataFrame:
+def _compare_packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells that differ as pieces: the new state, and which cells are gone."""
+    for found in _compare(batches):
+        cell = found.column("cell")
+        looks = {c: pc.struct_field(cell, c) for c in ("ch", *STYLE)}
+        yield from _pack([pa.RecordBatch.from_pydict({
+            **{c: found.column(c) for c in ("session_id", "base_seq", "seq", "row", "col")}, **looks, "gone": cell.is_null(),
+        })], keys=("session_id", "base_seq", "seq"), looks=GONE)
+
+
+def _changed_cells(order: DataFrame, cells: DataFrame, packed: bool) -> DataFrame:
     """(session_id, base_seq, seq, row, col, cell, had) of the cells that differ between two screens.
 
     Cells travel packed, a few bytes each: the cells of a screen that stand next to each other become
     a piece where they are, the pieces of a screen meet, and then those of both screens.  Rows that
     come several times count as in a join of all cells: ``times`` is how often a pair of screens does.
+    ``packed``: (session_id, base_seq, seq, pieces) instead, as patches of ``_replay``.
     """
-    kinds = cells.schema
-    numbers = T.ArrayType(T.IntegerType())
-    parts = [
-        T.StructField("row", T.ArrayType(kinds["row"].dataType)), T.StructField("col", T.ArrayType(kinds["col"].dataType)),
-        T.StructField("text", T.StringType()), T.StructField("bytes", numbers), T.StructField("style", numbers),
-        T.StructField("styles", T.ArrayType(T.StructType([T.StructField(c, kinds[c].dataType) for c in STYLE]))),
-    ]
-    keyed = cells.where(F.col("session_id").isNotNull() & F.col("seq").isNotNull()).select("session_id", "seq", "row", "col", "ch", *STYLE)
-    pieces = keyed.mapInArrow(_pack, T.StructType([kinds["session_id"], kinds["seq"], *parts]))
-    # dealt before they are grouped: screens would otherwise be sorted where they are read as well
-    packed = pieces.repartition("session_id", "seq").groupBy("session_id", "seq").agg(F.collect_list(F.struct(*[p.name for p in parts])).alias("pieces"))
+    if "pieces" in cells.columns:
+        whole = cells.select("session_id", "seq", "pieces")
+        held = cells.schema["pieces"].dataType.elementType
+        kinds = {c: held[c].dataType.elementType for c in ("row", "col")} | {f.name: f.dataType for f in held["styles"].dataType.elementType} | {"ch": T.StringType()}
+    else:
+        kinds = {f.name: f.dataType for f in cells.schema}
+        keyed = cells.where(F.col("session_id").isNotNull() & F.col("seq").isNotNull())
+        pieces, parts = _packed(keyed, ("session_id", "seq"), ("row", "col"), STYLE)
+        # dealt before they are grouped: screens would otherwise be sorted where they are read as well
+        whole = pieces.repartition("session_id", "seq").groupBy("session_id", "seq").agg(F.collect_list(F.struct(*parts)).alias("pieces"))
     pairs = order.groupBy("session_id", "base_seq", "seq").agg(F.count(F.lit(1)).alias("times"))
-    now = packed.withColumnRenamed("pieces", "now").join(pairs, ["session_id", "seq"]).withColumnRenamed("times", "n")
-    old = packed.select("session_id", F.col("seq").alias("base_seq"), F.col("pieces").alias("old")).join(pairs, ["session_id", "base_seq"])
+    now = whole.withColumnRenamed("pieces", "now").join(pairs, ["session_id", "seq"]).withColumnRenamed("times", "n")
+    old = whole.select("session_id", F.col("seq").alias("base_seq"), F.col("pieces").alias("old")).join(pairs, ["session_id", "base_seq"])
     both = now.join(old, ["session_id", "base_seq", "seq"], "full").withColumn("times", F.coalesce("n", "times")).drop("n")
     keys = [both.schema[k] for k in ("session_id", "base_seq", "seq")]
-    cell = T.StructType([T.StructField(c, kinds[c].dataType) for c in ("ch", *STYLE)])
-    return both.mapInArrow(_compare, T.StructType([*keys, kinds["row"], kinds["col"], T.StructField("cell", cell), T.StructField("had", T.BooleanType())]))
+    if packed:
+        parts = _parts([T.StructField(c, kinds[c]) for c in ("row", "col")], [T.StructField(c, kinds[c]) for c in STYLE] + [T.StructField("gone", T.BooleanType())])
+        return both.mapInArrow(_compare_packed, T.StructType([*keys, *parts])).select("session_id", "base_seq", "seq", F.array(F.struct(*[p.name for p in parts])).alias("pieces"))
+    cell = T.StructType([T.StructField(c, kinds[c]) for c in ("ch", *STYLE)])
+    places = [T.StructField(c, kinds[c]) for c in ("row", "col")]
+    return both.mapInArrow(_compare, T.StructType([*keys, *places, T.StructField("cell", cell), T.StructField("had", T.BooleanType())]))
 
 
-def screen_changes(screens: DataFrame, cells: DataFrame) -> DataFrame:
+def screen_changes(screens: DataFrame, cells: DataFrame, packed: bool = False) -> DataFrame:
     """The patch from each screen of a session to the next, one row per change.
 
     ``screens``: session_id, seq, rows, cols, cursor_row, cursor_col; ``cells``: session_id, seq, row,
     col, ch, fg, bg and the flags.  A change is ``geometry`` (rows and cols are the new ones),
     ``cursor`` (row and col are its place), or a cell that was ``added``, ``changed`` or ``removed``;
     a screen that shrinks removes the cells it loses, so that they do not come back when it grows.
-    A screen has at most 100 000 cells, so one of them fits into a task.
+    A screen has at most 100 000 cells, so one of them fits into a task.  With ``packed``, ``cells``
+    is one row for all cells of a step, in ``pieces``; ``rebuild_screens`` reads both.
     """
     hot = ordered.hot_keys(screens, ["session_id"], "seq")
     frame = F.struct(*SCREEN_STATE)
     steps = ordered.scan(screens, ["session_id"], ["seq"], hot, base_seq=ordered.lag(F.col("seq")), was=ordered.lag(frame))
     steps = settle(steps.where(F.col("base_seq").isNotNull()))
-    found = _changed_cells(steps.select("session_id", "base_seq", "seq"), cells)
+    found = _changed_cells(steps.select("session_id", "base_seq", "seq"), cells, packed)
     none = F.lit(None).cast("int")
+    if packed:
+        found = found.select("session_id", "base_seq", "seq", F.lit("cells").alias("change"), none.alias("row"), none.alias("col"), "pieces", none.alias("rows"), none.alias("cols"))
+        return _with_frames(found, steps, "pieces")
     kind = F.when(~F.col("had"), "added").when(F.col("cell").isNull(), "removed").otherwise("changed")
     of_cells = found.select("session_id", "base_seq", "seq", kind.alias("change"), "row", "col", "cell", none.alias("rows"), none.alias("cols"))
-    no_cell = F.lit(None).cast(of_cells.schema["cell"].dataType).alias("cell")
+    return _with_frames(of_cells, steps, "cell")
+
+
+def _with_frames(of_cells: DataFrame, steps: DataFrame, cell: str) -> DataFrame:
+    """Changes of cells, then those of geometry and cursor."""
+    none, no_cell = F.lit(None).cast("int"), F.lit(None).cast(of_cells.schema[cell].dataType).alias(cell)
     resized = steps.where((F.col("rows") != F.col("was.rows")) | (F.col("cols") != F.col("was.cols"))).select(
         "session_id", "base_seq", "seq", F.lit("geometry").alias("change"), none.alias("row"), none.alias("col"), no_cell, "rows", "cols"
     )
@@ -673,40 +748,190 @@ def _frames(first: DataFrame, changes: DataFrame, targets: DataFrame) -> DataFra
     return known.where("kind = 1").select("session_id", "seq", "at_size.*", "at_cursor.*")
 
 
-def rebuild_screens(first: DataFrame, first_cells: DataFrame, changes: DataFrame, targets: DataFrame) -> DataFrame:
+class _Shown:
+    """The cells of one screen while patches are applied to it: a place has the cells of the last number that names it."""
+
+    def __init__(self):
+        self.chars, self.styles = {}, {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.cells = np.zeros((3, 0), np.int64)  # place, character, style
+        self.patch, self.number = [], None
+        if len(self.chars) + len(self.styles) > CELLS_AT_ONCE:
+            self.chars, self.styles = {}, {}
+
+    def add(self, number: int | None, cells: np.ndarray) -> None:
+        """Cells of a patch; those of one number belong together."""
+        if self.patch and number != self.number:
+            self.apply()
+        self.patch.append(cells)
+        self.number = number
+
+    def apply(self) -> None:
+        if self.patch:
+            new = np.concatenate(self.patch, axis=1)
+            self.cells = np.concatenate([self.cells[:, ~np.isin(self.cells[0], new[0])], new], axis=1)
+            self.patch = []
+
+    def coded(self, known: dict, values: pa.Array) -> np.ndarray:
+        """Numbers of values that hold while the screen does."""
+        return np.array([known.setdefault(tuple(v.values()) if isinstance(v, dict) else v, len(known)) for v in values.to_pylist()], np.int64)
+
+
+def _replay(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], frame: pa.Schema, ends: bool = False, packed: bool = False) -> Iterator[pa.RecordBatch]:
+    """Cells of screens at their targets, from rows in order: patches (no ``is_target``) and targets.
+
+    With ``ends`` there is a row of cells per key instead: the cells at the end of its patches, with those that are gone.
+    With ``packed`` a target is one row, its cells a piece.  Only the screen of one key is held at a time.
+    """
+    if packed:
+        for found in _replay(batches, keys, frame, ends):
+            place = pc.add(pc.multiply(found.column("row"), found.column("cols")), found.column("col"))
+            yield from _pack([found.append_column("place", place)], keys=tuple(frame.names), lists=("row", "col", "place"))
+        return
+    shown, now, out, held = _Shown(), None, [], 0
+
+    def taken(row: dict) -> None:
+        nonlocal held
+        cells = shown.cells
+        if not ends and cells.shape[1]:
+            styles = list(shown.styles)
+            there = ~np.array([s[-1] for s in styles], bool)[cells[2]]
+            cells = cells[:, there]
+        out.append((row, cells))
+        held += cells.shape[1] + 1
+
+    def made() -> pa.RecordBatch:
+        nonlocal held
+        every, sizes = np.concatenate([c for _, c in out], axis=1), [c.shape[1] for _, c in out]
+        each = pa.array(np.repeat(np.arange(len(out)), sizes))
+        rows = pa.RecordBatch.from_pylist([r for r, _ in out], frame)
+        chars, styles = pa.array(list(shown.chars), pa.string()), list(shown.styles)
+        worn = {c: pa.array([s[k] for s in styles], pa.string() if c in ("fg", "bg") else pa.bool_()) for k, c in enumerate(GONE)}
+        style = pa.array(every[2])
+        cells = {
+            "row": pa.array((every[0] >> 32).astype(np.int32)), "col": pa.array((every[0] & 0xFFFFFFFF).astype(np.uint32).astype(np.int32)),
+            "ch": chars.take(pa.array(every[1])), **{c: w.take(style) for c, w in worn.items() if ends or c != "gone"},
+        }
+        out.clear()
+        held = 0
+        return pa.RecordBatch.from_pydict({**{n: rows.column(n).take(each) for n in frame.names}, **cells})
+
+    for batch in (some for whole in batches for some in _some_screens(whole, ("pieces",))):
+        cells = _unpack(batch.column("pieces"))
+        found = cells["ch"].dictionary_encode("encode")
+        row, col = (cells[c].cast(pa.int64()) for c in ("row", "col"))
+        placed = pc.and_(row.is_valid(), col.is_valid()).to_numpy(zero_copy_only=False)
+        places = (row.fill_null(0).to_numpy() << 32) | (col.fill_null(0).to_numpy() & 0xFFFFFFFF)
+        bounds = np.searchsorted(cells["at"], np.arange(batch.num_rows + 1))
+        chars = styles = None
+        rows = batch.select([n for n in batch.schema.names if n != "pieces"]).to_pylist()
+        for no, row in enumerate(rows):
+            key = tuple(row[k] for k in keys)
+            if key != now:
+                if ends and now is not None:
+                    shown.apply()
+                    taken(dict(zip(keys, now, strict=True)))
+                if out and len(shown.chars) + len(shown.styles) > CELLS_AT_ONCE:
+                    yield made()
+                before = shown.chars
+                shown.clear()
+                if shown.chars is not before:
+                    chars = styles = None
+                now = key
+            if chars is None:
+                chars, styles = shown.coded(shown.chars, found.dictionary), shown.coded(shown.styles, cells["styles"])
+            a, z = bounds[no], bounds[no + 1]
+            if row["is_target"] == 0:
+                patch = np.stack([places[a:z], chars[found.indices.to_numpy()[a:z]], styles[cells["style"][a:z]]])
+                shown.add(row["seq"], patch[:, placed[a:z]])
+            elif not ends:
+                shown.apply()
+                taken({n: row[n] for n in frame.names})
+            if held >= CELLS_AT_ONCE:
+                yield made()
+    if ends and now is not None:
+        shown.apply()
+        taken(dict(zip(keys, now, strict=True)))
+    if out:
+        yield made()
+
+
+def _replayed(rows: DataFrame, frame: list[str], keys: list[str], order: list[Column], ends: bool = False, packed: bool = False) -> DataFrame:
+    """The cells that ``_replay`` finds, beside the columns ``frame`` of their target or key."""
+    whole = rows.select(*dict.fromkeys([*keys, "seq", "is_target", *frame]), "pieces")
+    fields = T.StructType([whole.schema[c] for c in frame])
+    cells = [T.StructField(c, T.IntegerType()) for c in ("row", "col")] + [T.StructField(c, T.StringType()) for c in ("ch", "fg", "bg")]
+    flags = [T.StructField(c, T.BooleanType()) for c in (*FLAGS, *(["gone"] if ends else []))]
+    replay = functools.partial(_replay, keys=tuple(keys), frame=to_arrow_schema(fields), ends=ends, packed=packed)
+    sorted_rows = whole.repartition(*keys).sortWithinPartitions(*keys, *order)
+    if packed:
+        parts = _parts([T.StructField(c, T.IntegerType()) for c in ("row", "col", "place")], [*cells[3:], *flags])
+        found = sorted_rows.mapInArrow(replay, T.StructType([*fields, *parts]))
+        return found.select(*frame, F.array(F.struct(*[p.name for p in parts])).alias("pieces"))
+    return sorted_rows.mapInArrow(replay, T.StructType([*fields, *cells, *flags]))
+
+
+def _as_pieces(cells: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Patches for ``_replay``, one row for cells of a screen that follow each other."""
+    pieces, parts = _packed(cells, keys, ("row", "col"), GONE)
+    return pieces.select(*keys, F.lit(0).alias("is_target"), F.array(F.struct(*parts)).alias("pieces"))
+
+
+def _with_starts(rows: DataFrame, cuts: ordered.Cuts) -> DataFrame:
+    """``rows`` with the range of their session, and before each range the cells that it starts from.
+
+    Ranges are replayed on their own first: the cells at their ends are patches of a session that has a
+    number per range, and the targets of that session are the ranges.
+    """
+    ranged = ordered.with_range(rows, ["session_id"], ["seq"], cuts).withColumnRenamed("__range", "range")
+    cut = ranged.where(F.col("range") > 0)
+    ends = _replayed(cut.where("is_target = 0"), ["session_id", "range"], ["session_id", "range"], [F.col("seq")], ends=True)
+    marks = cut.select("session_id", F.col("range").alias("seq")).distinct().withColumn("is_target", F.lit(1))
+    patches = _as_pieces(ends.withColumnRenamed("range", "seq"), ("session_id", "seq"))
+    both = patches.unionByName(marks, allowMissingColumns=True).withColumn("pieces", F.coalesce("pieces", F.array().cast(patches.schema["pieces"].dataType)))
+    # a range starts from what those before it left
+    begun = _replayed(both, ["session_id", "seq"], ["session_id"], [F.col("seq"), F.col("is_target").desc()])
+    starts = _as_pieces(begun.withColumnRenamed("seq", "range").withColumn("gone", F.lit(False)), ("session_id", "range"))
+    return ranged.unionByName(starts, allowMissingColumns=True)
+
+
+def rebuild_screens(first: DataFrame, first_cells: DataFrame, changes: DataFrame, targets: DataFrame, packed: bool = False) -> DataFrame:
     """Cells, geometry and cursor of each session at all of its targets, in one pass over the patches.
 
     ``first`` and ``first_cells`` are the first screen of each session, ``targets`` the (session_id,
-    seq) to rebuild.  A cell keeps its state until its next change; the targets in that time follow
-    each other in the order of the session, so a state is joined with those targets only.
+    seq) to rebuild.  Patches travel packed and are applied in the order of their session, of which a
+    task holds one screen; a session above the row limit is cut into ranges.  With ``packed`` a
+    target is one row, as ``pack_screens`` gives them.
     """
     wanted = targets.select("session_id", "seq").distinct()
-    look = F.struct("ch", "fg", "bg", *FLAGS)
-    states = first_cells.select("session_id", "seq", "row", "col", look.alias("cell")).unionByName(
-        changes.where(F.col("change").isin("added", "changed", "removed")).select("session_id", "seq", "row", "col", "cell")
-    )
-    lasting = settle(ordered.scan(states, ["session_id", "row", "col"], ["seq"], until=ordered.lead(F.col("seq"))))
-    ends = F.array(F.struct(F.lit("low").alias("end"), F.col("seq").alias("at")), F.struct(F.lit("high").alias("end"), F.col("until").alias("at")))
-    probes = lasting.where(F.col("cell").isNotNull()).select("session_id", "row", "col", "seq", F.explode(ends).alias("e")).select(
-        "session_id", "row", "col", "seq", "e.*"
-    )
-    probes = probes.where(F.col("at").isNotNull()).withColumn("is_target", F.lit(0))
-    none = F.lit(-1)
-    marks = wanted.select("session_id", none.alias("row"), none.alias("col"), "seq", F.lit("").alias("end"), F.col("seq").alias("at"), F.lit(1).alias("is_target"))
-    # how many targets stand before each end; targets at the same number come after it
-    counted = ordered.scan(
-        probes.unionByName(marks), ["session_id"], ["at", "is_target", "row", "col", "seq", "end"], before=ordered.running_sum(F.col("is_target"))
-    )
-    numbered = counted.where("is_target = 1").select("session_id", F.col("seq").alias("target"), F.col("before").alias("no"))
-    spans = counted.where("is_target = 0").groupBy("session_id", "row", "col", "seq").agg(
-        F.max(F.when(F.col("end") == "low", F.col("before"))).alias("low"), F.max(F.when(F.col("end") == "high", F.col("before"))).alias("high")
-    )
-    totals = wanted.groupBy("session_id").agg(F.count(F.lit(1)).alias("targets"))
-    placed = spans.join(totals, "session_id").withColumn("high", F.coalesce("high", "targets")).where("low < high")
-    at_targets = placed.withColumn("no", F.explode(F.sequence(F.col("low") + 1, F.col("high")))).join(numbered, ["session_id", "no"])
-    cells = at_targets.join(lasting.select("session_id", "row", "col", "seq", "cell"), ["session_id", "row", "col", "seq"])
-    cells = cells.select("session_id", F.col("target").alias("seq"), "row", "col", "cell.*")
-    return cells.join(_frames(first, changes, wanted), ["session_id", "seq"])
+    none = F.lit(None).cast("int")
+    patches = _patches(first_cells).unionByName(_patches(changes))
+    frames = _frames(first, changes, wanted).where(F.col("session_id").isNotNull() & F.col("seq").isNotNull())
+    marks = frames.select("session_id", "seq", *SCREEN_STATE, F.lit(1).alias("is_target"), F.array().cast(patches.schema["pieces"].dataType).alias("pieces"))
+    rows = settle(marks.unionByName(patches.select("*", *[none.alias(c) for c in SCREEN_STATE])))
+    cuts, order, keys = ordered.hot_keys(rows, ["session_id"], "seq"), [F.col("seq"), F.col("is_target")], ["session_id"]
+    if cuts.table is not None:
+        rows, keys = _with_starts(rows, cuts), ["session_id", "range"]
+    return _replayed(rows, ["session_id", "seq", *SCREEN_STATE], keys, order, packed=packed)
+
+
+def _patches(cells: DataFrame) -> DataFrame:
+    """Patches for ``_replay`` from a first screen or from changes, packed or not."""
+    known = F.col("session_id").isNotNull() & F.col("seq").isNotNull()
+    if "pieces" in cells.columns:
+        worn = lambda s: F.struct(*[s[c].alias(c) for c in STYLE], (s["gone"] if "change" in cells.columns else F.lit(False)).alias("gone"))
+        if "change" in cells.columns:
+            cells = cells.where("change = 'cells'")
+        each = cells.where(known).select("session_id", "seq", F.explode("pieces").alias("p"))
+        parts = [F.col(f"p.{c}") for c in ("row", "col", "text", "bytes", "style")]
+        return each.select("session_id", "seq", F.lit(0).alias("is_target"), F.array(F.struct(*parts, F.transform("p.styles", worn).alias("styles"))).alias("pieces"))
+    look = F.struct("ch", *STYLE).alias("cell")
+    states = cells.where(F.col("change").isin("added", "changed", "removed")) if "change" in cells.columns else cells.withColumn("cell", look)
+    placed = states.where(known & F.col("row").isNotNull() & F.col("col").isNotNull())
+    flat = placed.select("session_id", "seq", F.col("row").cast("int"), F.col("col").cast("int"), "cell.*", F.col("cell").isNull().alias("gone"))
+    return _as_pieces(flat, ("session_id", "seq"))
 
 
 SIGNATURES = ("text", "visual", "semantic")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tracewell.functions import naming, text as tx
 from tracewell.operators import screens
 from tracewell.plans import ordered
+from tracewell.plans.lineage import settle
 from tracewell.queries import tables as t
 from tracewell.queries.registry import query
 
@@ -623,7 +624,7 @@ cells AS (SELECT session_id, seq, rows, i, i // {WIDTH} AS r, i % {WIDTH} AS c,
 
 def _turns(spark, sf):
     """Every turn of a conversation as a screen of 40 columns, the cursor behind its text."""
-    c = t.read(spark, sf, "conversations").where(F.col("text") != "")
+    c = t.spread(t.read(spark, sf, "conversations").where(F.col("text") != ""), "conv_id", "turn")
     rows = F.ceil(F.length("text") / WIDTH).cast("int")
     behind = F.length("text") % (rows * WIDTH)
     return c.select(
@@ -634,7 +635,10 @@ def _turns(spark, sf):
 
 
 def _cells(spark, sf):
-    sized = _turns(spark, sf)
+    return _cells_of(_turns(spark, sf))
+
+
+def _cells_of(sized):
     padded = F.split(F.rpad("text", F.col("rows") * WIDTH, F.lit(" ")), "")
     flat = sized.select("session_id", "seq", "rows", "cols", F.posexplode(padded).alias("i", "ch"))
     off = F.lit(False)
@@ -694,10 +698,11 @@ def cell_changes(spark, sf):
 )
 def rebuilt_screens(spark, sf):
     """Every screen rebuilt from the first one and the patches; forged signatures are rejected."""
-    turns, cells = _turns(spark, sf).drop("text"), _cells(spark, sf)
+    texts = _turns(spark, sf)
+    turns, cells = texts.drop("text"), settle(screens.pack_screens(_cells_of(texts), ["session_id", "seq"]))
     starts = turns.groupBy("session_id").agg(F.min("seq").alias("seq"))
     first, first_cells = turns.join(starts, ["session_id", "seq"]), cells.join(starts, ["session_id", "seq"])
-    rebuilt = screens.rebuild_screens(first, first_cells, screens.screen_changes(turns, cells), turns)
+    rebuilt = screens.rebuild_screens(first, first_cells, screens.screen_changes(turns, cells, packed=True), turns, packed=True)
     forged = (F.col("session_id") + F.col("seq")) % 12
     recorded = screens.screen_signatures(cells, ["session_id", "seq"]).withColumns({
         "text_sig": F.when(forged == 0, "sha256:forged").otherwise(F.col("text_sig")), "visual_sig": F.when(forged == 6, "sha256:forged").otherwise(F.col("visual_sig"))

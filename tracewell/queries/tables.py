@@ -18,10 +18,10 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread(rows: DataFrame, key: str) -> DataFrame:
-    """Rows dealt by a key where the scan has fewer splits than there are cores for heavy work on each row."""
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by keys where the scan has fewer splits than there are cores for heavy work on each row."""
     few = rows.rdd.getNumPartitions() < rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(key) if few else rows
+    return rows.repartition(*keys) if few else rows
 
 
 def audit_events(spark: SparkSession, sf: str, seq_session: bool = False) -> DataFrame:
