@@ -4,6 +4,7 @@ import json
 import random
 import re
 
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import Window
@@ -730,3 +731,90 @@ def test_patches_are_replayed_in_order(spark, monkeypatch, limit):
     recorded = screens.screen_signatures(whole, ["session_id", "seq"])
     assert {r["rejected"] for r in screens.verify_screens(packed, recorded, frame).collect()} == {None}
     assert not [line for line in _plan(whole).split("\n") if ("Join" in line or "Window" in line) and "row#" in line]
+
+
+class _Held:
+    """State of one key of a stream, with the calls made for it."""
+
+    def __init__(self):
+        self.calls, self.states, self.timers = 0, {}, set()
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self.states.setdefault(name, _Kept(self))
+
+    getListState = getValueState  # noqa: N815
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.remove(at)
+
+
+class _Kept:
+    def __init__(self, handle):
+        self.handle, self.value = handle, None
+
+    def _set(self, value):
+        self.handle.calls += 1
+        self.value = value
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        self.handle.calls += 1
+        return self.value
+
+    update = put = _set
+
+    def clear(self):
+        self._set(None)
+
+    def appendValue(self, value):  # noqa: N802
+        self._set([*(self.value or []), value])
+
+
+def _follow(processor, key, deliveries, delay):
+    """What comes out of a key, and the calls of its state: rows first, then timers, by the watermark of the delivery before."""
+    held, wm, out = _Held(), 0, []
+    timer_values = type("Timers", (), {"getCurrentWatermarkInMs": lambda self: wm})()
+    processor.init(held)
+    for rows in [*deliveries, None]:
+        if rows is not None:
+            half = len(rows) // 2
+            out += processor.handleInputRows(key, iter([rows[:half], rows[half:]]), timer_values)
+        for at in sorted(t for t in held.timers if t <= wm):
+            if at in held.timers:
+                held.timers.remove(at)
+                out += processor.handleExpiredTimer(key, timer_values, None)
+        wm = wm if rows is None else max(wm, int(rows["ts_ms"].max()) - delay)
+    return [tuple(r) for frame in out for r in frame.itertuples(index=False, name=None)], held.calls
+
+
+def test_sessions_of_a_group_share_their_state():
+    """Runs as of a plain loop, in few calls of the state however many sessions and runs there are."""
+    draw, stale, late = random.Random(3), 1000, 400
+    events = [(draw.choice(["a", "b", "c", "d", None]), draw.randrange(40_000), draw.choice(["bytes", "bytes", "session_end"])) for _ in range(300)]
+    arriving = sorted(events, key=lambda e: e[1] + draw.randrange(late))
+    deliveries = [pd.DataFrame(arriving[k : k + 75], columns=["session_id", "ts_ms", "type"]) for k in range(0, 300, 75)]
+    got, calls = _follow(live._Sessions(stale), (1,), deliveries, late)
+    last = {}
+    for session, start, *state, version in got:
+        assert version > last.get((session, start), (0,))[-1]
+        last[session, start] = (*state, version)
+    want = {}
+    for session in "abcd":
+        runs = []
+        for ts, kind in sorted((ts, kind) for s, ts, kind in events if s == session):
+            if not runs or ts - runs[-1][1] >= stale:
+                runs.append([ts, ts, 0, False])
+            runs[-1][1:] = [ts, runs[-1][2] + 1, runs[-1][3] or kind == "session_end"]
+        want |= {(session, r[0]): (r[1], r[2], r[3]) for r in runs}
+    found = {k: v for k, v in last.items() if v[2] != "merged"}
+    assert {k: (v[0], v[1], v[2] == "closed") for k, v in found.items()} == want
+    final = max(ts for _, ts, _ in arriving[:225]) - late
+    assert all((v[2] == "interrupted") == (v[0] + stale <= max(e[1] for e in arriving) - late) for v in found.values() if v[2] != "closed") and final > 0
+    assert calls < 50
