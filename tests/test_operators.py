@@ -818,3 +818,24 @@ def test_sessions_of_a_group_share_their_state():
     final = max(ts for _, ts, _ in arriving[:225]) - late
     assert all((v[2] == "interrupted") == (v[0] + stale <= max(e[1] for e in arriving) - late) for v in found.values() if v[2] != "closed") and final > 0
     assert calls < 50
+
+
+def test_rows_wait_in_batches():
+    """Alarms of a chain, whose rows wait packed and not one by one, as of a plain loop."""
+    draw = random.Random(4)
+    rows, last = [], ""
+    for no in range(1, 401):
+        if no % 29 == 0:
+            continue
+        rows.append((no * 10, no, f"h{no}", draw.choice([last] * 9 + ["bad", None])))
+        last = f"h{no}"
+    want, seq, before = [], 0, ""
+    for _, no, digest, prev in rows:
+        want += [("c", no, "gap", str(seq + 1), str(no))] * (no != seq + 1) + [("c", no, "link", before, prev)] * (prev != before)
+        seq, before = no, digest
+    rows.sort(key=lambda r: r[0] + draw.randrange(300))
+    kinds = ["ts_ms", "seq_global", "hash", "prev_hash"]
+    end = pd.DataFrame([(10**9, 10**6, "end", "end")], columns=kinds)
+    got, calls = _follow(live._Chain(), ("c",), [*(pd.DataFrame(rows[k : k + 100], columns=kinds) for k in range(0, len(rows), 100)), end], 300)
+    assert got == want
+    assert calls < 60
